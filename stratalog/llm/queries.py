@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.shared import Workspace, read_table
@@ -25,8 +26,42 @@ def query(name: str, oracle: str = "") -> Callable:
 
 
 @query(
-    "op5_mix_sources",
+    "op4_benchmark_decontamination",
+    r"""
+    WITH low AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    ), d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low
+    ), b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+    ), bw AS (
+        SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0
+    ), phrases AS (
+        SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM bw
+    ), lengths AS (
+        SELECT DISTINCT k FROM phrases
+    ), dw AS (
+        SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lengths WHERE len(w) >= k
+    ), hits AS (
+        SELECT r, i, x.k, item_id FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS p FROM dw) x JOIN phrases USING (k, p)
+    ), covered AS (
+        SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r
+    ), items AS (
+        SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+    """,
 )
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(contamination(docs, read_table(spark, sf_dir, "benchmark")))
+
+
+@query("op5_mix_sources")
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, Workspace(spark, "op5")).select("doc_id", "size", "source_size", "target", "taken")
