@@ -10,6 +10,7 @@ from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.shared import Workspace, read_table
+from stratalog.llm.substring import repeated_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,32 @@ def query(name: str, oracle: str = "") -> Callable:
     return register
 
 
+@query(
+    "op2_substring_dedup",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+    ), firsts AS (
+        SELECT h, min(doc_id) AS least FROM windows GROUP BY h
+    ), gone AS (
+        SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (h) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)
+    ), kept AS (
+        SELECT r, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n
+        FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) LEFT JOIN (SELECT r, j, 1 AS out FROM gone) USING (r, j)
+        WHERE out IS NULL GROUP BY r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r)
+    """,
+)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_windows(docs, Workspace(spark, "op2")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query(
     "op4_benchmark_decontamination",
     r"""
