@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
+from stratalog.llm.jaccard import similar_groups
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.shared import Workspace, read_table
 from stratalog.llm.substring import repeated_windows
@@ -52,6 +53,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(docs, Workspace(spark, "op2")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_groups(docs, Workspace(spark, "op3"), words=3, percent=90)
+
+
 @query(
     "op4_benchmark_decontamination",
     r"""
