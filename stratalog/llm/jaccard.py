@@ -26,8 +26,10 @@ from stratalog.llm.components import connected_components
 from stratalog.llm.shared import Workspace
 from stratalog.llm.substring import NO_ID, squeeze, unsqueeze
 
-#: Prefix lists up to this length are paired in full; longer ones get a hub.
+#: Prefix lists with at most so many sets that are not near their hub are paired in full; others get a hub of their own.
 FULL_LIST = 24
+#: The same for lists of differences, which the filters thin out far more.
+DEEP_LIST = 2048
 #: Counters of the shared frequency table, a fixed size whatever the corpus.
 COUNTERS_LOG2 = 20
 SEGMENTS = 16
@@ -237,22 +239,22 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
     """Distinct pairs (ctx, a, b, hub) of a level, from its prefix lists."""
     lists = (
         postings.groupBy("ctx", "elem")
-        .agg(F.count("*").alias("c"), F.min(F.struct("pos", "node")).alias("best"))
-        .where("c > 1")
-        .select("ctx", "elem", "c", F.col("best.node").alias("hub_node"))
+        .agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("far"), F.min(F.struct("pos", "node")).alias("best"))
+        .where("c > 1 AND far > 0")
+        .select("ctx", "elem", (F.col("far") > full_list).alias("long"), F.col("best.node").alias("hub_node"))
     )
     met = space.write(postings.join(lists, ["ctx", "elem"]), f"lists{level}")
-    entry = F.struct("node", "n", "pos", "near")
-    short = met.where(F.col("c") <= full_list).groupBy("ctx", "elem").agg(F.array_sort(F.collect_set(entry)).alias("es"))
-    pairs = short.select("ctx", "es", F.posexplode("es").alias("i", "x")).select("ctx", "x", F.explode(F.slice("es", F.col("i") + 2, F.lit(full_list))).alias("y"))
-    total = F.col("x.n") + F.col("y.n")
+    # Two sets near the same hub are in one component already, so one of each pair is far.
+    short = met.where("NOT long")
+    far = short.where("NOT near").select("ctx", "elem", F.struct("node", "n", "pos").alias("x"))
+    pairs = far.join(short.select("ctx", "elem", "near", F.struct("node", "n", "pos").alias("y")), ["ctx", "elem"])
     pairs = pairs.where(
-        (F.col("x.node") != F.col("y.node"))
-        & ~(F.col("x.near") & F.col("y.near"))
+        (F.col("near") | (F.col("x.node") < F.col("y.node")))
+        & (F.col("x.node") != F.col("y.node"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ((F.col("x.pos") + F.col("y.pos")) * (100 + percent) <= (100 - percent) * total)
+        & ((F.col("x.pos") + F.col("y.pos")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
     ).select("ctx", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("hub"))
-    long = met.where((F.col("c") > full_list) & (F.col("node") != F.col("hub_node")))
+    long = met.where(F.col("long") & (F.col("node") != F.col("hub_node")))
     long = long.select("ctx", F.col("hub_node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
     return pairs.union(long).distinct()
 
@@ -265,6 +267,7 @@ def similar_groups(
     text: str = "text",
     key: str = "doc_id",
     full_list: int = FULL_LIST,
+    deep_list: int = DEEP_LIST,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -288,7 +291,7 @@ def similar_groups(
     postings = docs.mapInArrow(_prefixes(counts, "text", words, percent), POSTING_SQL)
     links, level = [], 0
     while True:
-        pairs = space.write(_candidates(postings, space, level, percent, full_list), f"pairs{level}")
+        pairs = space.write(_candidates(postings, space, level, percent, full_list if level == 0 else deep_list), f"pairs{level}")
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = wanted.join(heads, "node").select(F.col("head").alias("id")).distinct()

@@ -52,10 +52,10 @@ def fixture(seed):
     return [*rows, (500, None, "s"), (501, "", "s"), (502, " ", "s"), (3, rows[3][1], "s"), (None, rows[4][1], "s"), (None, "only here", "s"), (None, "or here", "s")]
 
 
-@pytest.mark.parametrize("k, percent, full", [(3, 90, 24), (5, 80, 4), (3, 80, 6)])
-def test_matches_brute_force(spark, k, percent, full):
+@pytest.mark.parametrize("k, percent, full, deep", [(3, 90, 24, 2048), (5, 80, 4, 12), (3, 80, 6, 2048)])
+def test_matches_brute_force(spark, k, percent, full, deep):
     rows = fixture(k * percent)
-    got = similar_groups(docs_frame(spark, rows), Workspace(spark, "t"), k, percent, full_list=full).collect()
+    got = similar_groups(docs_frame(spark, rows), Workspace(spark, "t"), k, percent, full_list=full, deep_list=deep).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, k, percent)
 
 
