@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
+from stratalog.llm.html import extract_main_text
 from stratalog.llm.jaccard import similar_groups
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.shared import Workspace, read_table
@@ -112,3 +113,8 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_groups(docs, Workspace(spark, "op7"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
