@@ -13,6 +13,7 @@ from stratalog.llm.jaccard import similar_groups
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.shared import Workspace, read_table
 from stratalog.llm.substring import repeated_windows
+from stratalog.llm.warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,30 @@ def query(name: str, oracle: str = "") -> Callable:
     return register
 
 
+@query(
+    "op1_warc",
+    """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS h FROM pages
+    ), q AS (
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id,
+               sha1(h) AS hex
+        FROM p
+    ), letters AS (
+        SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * k, 5))::INT >> (15 - 5 * j)) & 31), 1), '' ORDER BY k, j) AS digest
+        FROM (SELECT DISTINCT hex FROM q), range(8) a(k), range(4) b(j) GROUP BY hex
+    )
+    SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM q JOIN letters USING (hex)
+    """,
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = Workspace(spark, "op1")
+    write_archive(read_table(spark, sf_dir, "pages"), space, f"{space.path}/archive")
+    return read_archive(space, f"{space.path}/archive").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     "op2_substring_dedup",
     r"""
