@@ -295,7 +295,7 @@ def similar_groups(
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = wanted.join(heads, "node").select(F.col("head").alias("id")).distinct()
-            sets = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted, "id", "left_semi")
+            sets = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted.hint("shuffle_hash"), "id", "left_semi")
             sets = space.write(sets.select("text").mapInArrow(_whole_sets("text", words), SETS_SQL), "sets")
         left = sets.select("ctx", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("body").alias("body_a"), F.col("lost").alias("lost_a"))
         right = sets.select("ctx", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("body").alias("body_b"), F.col("lost").alias("lost_b"))
