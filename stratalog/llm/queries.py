@@ -11,6 +11,7 @@ from stratalog.llm.exact import exact_groups
 from stratalog.llm.html import extract_main_text
 from stratalog.llm.jaccard import similar_groups
 from stratalog.llm.mixing import mix_sources
+from stratalog.llm.ordinal import fit_on_labels, grade_documents, select_documents
 from stratalog.llm.shared import Workspace, read_table
 from stratalog.llm.substring import repeated_windows
 from stratalog.llm.warc import read_archive, write_archive
@@ -127,6 +128,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, Workspace(spark, "op5")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
+    return select_documents(grade_documents(docs, model)).drop("text")
+
+
 @query(
     "op7_exact_dedup",
     """
