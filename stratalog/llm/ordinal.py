@@ -86,7 +86,7 @@ class OrdinalModel:
 
 def fit(grades: np.ndarray, lists: list[np.ndarray], n_grades: int = 3, rounds: int = 400, penalty: float = 6e-4) -> OrdinalModel:
     """Maximum likelihood of the cumulative logit model by Adam over the whole sample, with an L2 penalty."""
-    counts = np.array([len(x) for x in lists])
+    counts = np.array([len(x) for x in lists], np.int64)
     found = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
     rows = np.repeat(np.arange(len(lists)), counts)
     common = np.bincount(found, minlength=1 << BITS) >= LEAST_DOCS

@@ -14,6 +14,7 @@ from stratalog.llm.mixing import mix_sources
 from stratalog.llm.ordinal import fit_on_labels, grade_documents, select_documents
 from stratalog.llm.shared import Workspace, read_table
 from stratalog.llm.substring import repeated_windows
+from stratalog.llm.tokens import token_counts
 from stratalog.llm.warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, Workspace(spark, "op7"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
