@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
 from stratalog.llm.html import extract_main_text
 from stratalog.llm.jaccard import similar_groups
+from stratalog.llm.licenses import scan_licenses
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.ordinal import fit_on_labels, grade_documents, select_documents
 from stratalog.llm.shared import Workspace, read_table
@@ -156,6 +158,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source and language are directories, 64 more below those."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.pmod("doc_id", F.lit(64)).cast("string"))
+    docs = docs.select("doc_id", "text", F.concat(folder, F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    return scan_licenses(docs, Workspace(spark, "op9"))
+
+
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
