@@ -9,7 +9,7 @@ from stratalog.llm.shared import Workspace
 
 
 def connected_components(edges: DataFrame, space: Workspace, name: str = "stars") -> DataFrame:
-    """``edges(a, b)`` -> ``(node, component)``: the smallest node that each linked node reaches.
+    """``edges(a, b)`` -> ``(node, component)``: the smallest node that each linked node reaches, where smaller than itself.
 
     Large-star and small-star rounds alternate until the edges no longer change, in O(log^2 n) rounds. A round groups by
     node with a map-side minimum and joins that minimum back, so a hub's links are never gathered into a list. Each round

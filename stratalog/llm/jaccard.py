@@ -34,6 +34,10 @@ DEEP_LIST = 2048
 COUNTERS_LOG2 = 20
 SEGMENTS = 16
 ELEMENT_BITS = 48
+#: The suffix filter compares sets by how many shingles each has in so many parts of the hash space.
+PARTS = 32
+#: Documents in candidate pairs up to this number (8 bytes each) are told to the scan by broadcast, more by a join.
+BROADCAST_IDS = 1_000_000
 SALTS = 16
 
 
@@ -86,11 +90,14 @@ def unbody(blob: bytes) -> np.ndarray:
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-DIGEST = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
-DIGEST_SQL = "id long, n int, node long, segment int, salt int, counts binary"
+DIGEST = pa.schema(
+    [("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("parts", pa.list_(pa.int32())), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
+)
+DIGEST_SQL = "id long, n int, node long, parts array<int>, segment int, salt int, counts binary"
 POSTING = pa.schema([("ctx", pa.int64()), ("elem", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("near", pa.bool_())])
 POSTING_SQL = "ctx long, elem long, node long, n int, pos int, near boolean"
 SETS = pa.schema([("ctx", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("near", pa.bool_()), ("body", pa.binary()), ("lost", pa.binary())])
@@ -118,10 +125,12 @@ def _digests(key: str, text: str, k: int):
                 counts += np.bincount((values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64), minlength=len(counts))
                 sizes, nodes = set_digests(rows, values, high - low)
                 none = [None] * (high - low)
-                yield _batch(DIGEST, ids[low:high], sizes, tx.signed(nodes), none, none, none)
+                split = np.bincount(rows * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * (high - low))
+                split = pa.ListArray.from_arrays(pa.array(np.arange(0, len(split) + 1, PARTS).astype(np.int32)), pa.array(split.astype(np.int32)))
+                yield _batch(DIGEST, ids[low:high], sizes, tx.signed(nodes), split, none, none, none)
         salt = TaskContext.get().partitionId() >> 8
         parts = [squeeze(x.astype(np.uint64)) for x in np.split(counts, SEGMENTS)]
-        yield _batch(DIGEST, [None] * SEGMENTS, [None] * SEGMENTS, [None] * SEGMENTS, range(SEGMENTS), [salt] * SEGMENTS, parts)
+        yield _batch(DIGEST, *[[None] * SEGMENTS] * 4, range(SEGMENTS), [salt] * SEGMENTS, parts)
 
     return run
 
@@ -259,6 +268,15 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
     return pairs.union(long).distinct()
 
 
+def _suffix_filter(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs that differ too much in how many shingles they have in some part of the hash space."""
+    left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
+    right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.col("hub") | (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
+
+
 def similar_groups(
     docs: DataFrame,
     space: Workspace,
@@ -268,6 +286,7 @@ def similar_groups(
     key: str = "doc_id",
     full_list: int = FULL_LIST,
     deep_list: int = DEEP_LIST,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -279,23 +298,28 @@ def similar_groups(
     as larger than all others and comes out null. Extra columns are ignored; an empty table gives no rows.
 
     Plan: two scans make sizes, counts and prefixes; prefixes are grouped by shingle with map-side combine, and only
-    shingles of two sets or more go on. Documents in candidate pairs are read once more for their sets. Links and
+    shingles of two sets or more go on. The suffix filter works on 32
+    numbers a set; documents in the pairs that it leaves are read once more for their sets. Links and
     components are narrow tables. Nothing of the documents reaches the driver but the 2**20 summed counters.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     digests = space.write(docs.mapInArrow(_digests("id", "text", words), DIGEST_SQL), "digests")
     counts = space.spark.sparkContext.broadcast(corpus_counts(digests))
-    nodes = digests.where("segment IS NULL").select("id", "n", "node")
-    heads = nodes.groupBy("node").agg(F.min("id").alias("head"), F.count("*").alias("uses"), F.first("n").alias("n"))
+    nodes = digests.where("segment IS NULL").select("id", "n", "node", "parts")
+    heads = nodes.groupBy("node").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    nodes = nodes.drop("parts")
     heads = space.write(heads, "heads")
     postings = docs.mapInArrow(_prefixes(counts, "text", words, percent), POSTING_SQL)
     links, level = [], 0
     while True:
-        pairs = space.write(_candidates(postings, space, level, percent, full_list if level == 0 else deep_list), f"pairs{level}")
+        pairs = _candidates(postings, space, level, percent, full_list if level == 0 else deep_list)
+        pairs = space.write(pairs if level else _suffix_filter(pairs, heads, percent), f"pairs{level}")
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = wanted.join(heads, "node").select(F.col("head").alias("id")).distinct()
-            sets = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted.hint("shuffle_hash"), "id", "left_semi")
+            wanted = space.write(wanted, "wanted")
+            wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted.hint("shuffle_hash")
+            sets = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted, "id", "left_semi")
             sets = space.write(sets.select("text").mapInArrow(_whole_sets("text", words), SETS_SQL), "sets")
         left = sets.select("ctx", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("body").alias("body_a"), F.col("lost").alias("lost_a"))
         right = sets.select("ctx", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("body").alias("body_b"), F.col("lost").alias("lost_b"))
