@@ -5,6 +5,753 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.functions import geometry, identity, moments, payload
+from stratalog.operators import applying, drift, integrity, planning, retention, rewind, scope, search, snapshot, stats
+from stratalog.plans.derived import derived_journal, derived_sql
+from stratalog.session import settled
+from stratalog.sources import journal as jr
+from stratalog.streaming import capture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The instants that the registered queries ask about.
+AT, LATER, NOW = "2024-01-15T12:00:00+00:00", "2024-01-20T00:00:00+00:00", "2024-01-30T18:00:00+00:00"
+CUTOFF = rewind.Cutoff(AT)
+LAYER = "ogr::/d/layer1.gpkg|layername=l"
+#: Alias edges of the registered queries: an older spelling, one chain and one circle.
+ALIASES = [
+    ("ogr::/d/layer0.gpkg|layername=l", "ogr::/e/layer0.gpkg|layername=l"),
+    ("ogr::/e/layer0.gpkg|layername=l", "ogr::/f/layer0.gpkg|layername=l"),
+    ("ogr::/d/layer3.gpkg|layername=l", "ogr::/d/layer2.gpkg|layername=l"),
+    ("ogr::/x", "ogr::/y"),
+    ("ogr::/y", "ogr::/x"),
+]
+
+
+def query(name: str, oracle: str = "") -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(derived_journal(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = f"WITH RECURSIVE {derived_sql()}, {COMMON} {oracle}"
+        return f
+
+    return register
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, "alias_fingerprint string, target_fingerprint string")
+
+
+def _side(name: str, place: int) -> str:
+    return f"coalesce(CAST(v->'{name}' AS VARCHAR), CASE WHEN json_type(v) = 'ARRAY' AND json_array_length(v) = 2 THEN CAST(v->{place} AS VARCHAR) END, CAST(v AS VARCHAR))"
+
+
+_ALIAS_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in ALIASES)
+#: Views that the oracles share: entity keys, cells of payloads, traces with what they applied.
+COMMON = f"""
+keyed AS (
+  SELECT *, restored_from_event_id AS ref, coalesce(entity_fingerprint, 'pk:' || (feature_identity_json->>'pk_field') || '=' || (feature_identity_json->>'pk_value')) AS entity,
+         CAST(attributes_json AS JSON) AS j FROM journal
+), full_cells AS (
+  SELECT event_id, k AS field, CAST(j->'all_attributes'->k AS VARCHAR) AS value
+  FROM (SELECT event_id, j, unnest(json_keys(j->'all_attributes')) AS k FROM keyed WHERE (j->'all_attributes') IS NOT NULL)
+), delta_cells AS (
+  SELECT event_id, k AS field, {_side("old", 0)} AS old, {_side("new", 1)} AS new
+  FROM (SELECT event_id, k, j->'changed_only'->k AS v FROM (SELECT event_id, j, unnest(json_keys(j->'changed_only')) AS k FROM keyed WHERE (j->'changed_only') IS NOT NULL))
+), sourced AS (
+  SELECT t.*, s.event_id AS source_id, s.geometry_wkb AS source_geometry
+  FROM keyed t LEFT JOIN keyed s ON t.ref = s.event_id AND s.restored_from_event_id IS NULL AND s.datasource_fingerprint = t.datasource_fingerprint AND s.entity = t.entity
+    AND (s.created_at < t.created_at OR (s.created_at = t.created_at AND s.event_id < t.event_id))
+    AND (t.operation_type = 'UPDATE' OR (s.j->'all_attributes') IS NOT NULL OR s.geometry_wkb IS NOT NULL)
+  WHERE t.invalidated_at IS NULL
+), eff AS (
+  SELECT datasource_fingerprint, entity, event_id, created_at, operation_type, ref, source_id,
+         CASE WHEN source_id IS NOT NULL AND operation_type <> 'UPDATE' THEN source_geometry ELSE geometry_wkb END AS geometry_wkb,
+         CASE WHEN source_id IS NOT NULL AND operation_type = 'UPDATE' THEN source_geometry ELSE new_geometry_wkb END AS new_geometry_wkb
+  FROM sourced
+), written AS (
+  SELECT e.datasource_fingerprint, e.entity, e.event_id, e.created_at, c.field, c.value
+  FROM eff e JOIN full_cells c ON c.event_id = coalesce(e.source_id, e.event_id) WHERE e.operation_type <> 'UPDATE'
+  UNION ALL
+  SELECT e.datasource_fingerprint, e.entity, e.event_id, e.created_at, c.field, CASE WHEN e.source_id IS NULL THEN c.new ELSE c.old END
+  FROM eff e JOIN delta_cells c ON c.event_id = coalesce(e.source_id, e.event_id) WHERE e.operation_type = 'UPDATE'
+), alias(a, t) AS (VALUES {_ALIAS_ROWS})"""
+
+
+def _state_sql(at: str) -> str:
+    """State rows as of an instant: view ``state``."""
+    return f"""
+    , seen AS (SELECT * FROM eff WHERE created_at <= '{at}'), last_rows AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY datasource_fingerprint, entity ORDER BY created_at DESC, event_id DESC) AS n FROM seen) WHERE n = 1
+    ), shapes AS (
+      SELECT * FROM (
+        SELECT datasource_fingerprint, entity, CASE WHEN operation_type = 'INSERT' THEN geometry_wkb ELSE coalesce(new_geometry_wkb, geometry_wkb) END AS shape,
+               row_number() OVER (PARTITION BY datasource_fingerprint, entity ORDER BY created_at DESC, event_id DESC) AS n
+        FROM seen WHERE operation_type = 'INSERT' OR (operation_type = 'UPDATE' AND coalesce(new_geometry_wkb, geometry_wkb) IS NOT NULL)) WHERE n = 1
+    ), fields AS (
+      SELECT datasource_fingerprint, entity, string_agg(field || '=' || value, ';' ORDER BY field) AS attributes FROM (
+        SELECT *, row_number() OVER (PARTITION BY datasource_fingerprint, entity, field ORDER BY created_at DESC, event_id DESC) AS n FROM written WHERE created_at <= '{at}')
+      WHERE n = 1 GROUP BY 1, 2
+    ), state AS (
+      SELECT l.datasource_fingerprint, l.entity, l.operation_type AS last_op, l.event_id AS last_event_id, f.attributes, hex(s.shape) AS shape
+      FROM last_rows l LEFT JOIN fields f USING (datasource_fingerprint, entity) LEFT JOIN shapes s USING (datasource_fingerprint, entity)
+      WHERE l.operation_type <> 'DELETE'
+    )"""
+
+
+def flat_state(state: DataFrame) -> DataFrame:
+    return state.select("datasource_fingerprint", "entity", "last_op", "last_event_id", payload.as_text(F.col("attributes")).alias("attributes"), F.hex("geometry_wkb").alias("shape"))
+
+
+# --- state at an instant ---------------------------------------------------------------------------------------------
+
+
+@query("state_at", _state_sql(AT) + " SELECT * FROM state")
+def state_at(j: DataFrame) -> DataFrame:
+    return flat_state(snapshot.state_at(j, AT))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    return QUERIES["state_at"](spark, sf_dir)
+
+
+@query(
+    "snapshot_counts",
+    f"""
+    , chains AS (
+      SELECT datasource_fingerprint, entity, arg_max(operation_type, (created_at, event_id)) FILTER (WHERE created_at <= '{AT}') AS op,
+             count(*) FILTER (WHERE ref IS NOT NULL AND source_id IS NOT NULL) AS resolved, count(*) FILTER (WHERE ref IS NOT NULL AND source_id IS NULL) AS missing
+      FROM eff GROUP BY 1, 2)
+    SELECT count(*) FILTER (WHERE op <> 'DELETE') AS n_entities, count(*) FILTER (WHERE op = 'DELETE') AS n_absent, count(*) FILTER (WHERE op IS NULL) AS n_unknown,
+           sum(resolved)::BIGINT AS n_traces_resolved, sum(missing)::BIGINT AS n_traces_missing FROM chains""",
+)
+def snapshot_counts(j: DataFrame) -> DataFrame:
+    return snapshot.snapshot_counts(j, AT)
+
+
+@query(
+    "state_changed_after",
+    _state_sql(AT) + f" SELECT s.* FROM state s WHERE EXISTS (SELECT 1 FROM keyed k WHERE k.datasource_fingerprint = s.datasource_fingerprint AND k.entity = s.entity AND k.invalidated_at IS NULL AND k.created_at > '{AT}')",
+)
+def state_changed_after(j: DataFrame) -> DataFrame:
+    return flat_state(snapshot.changed_after(snapshot.state_at(j, AT), j, AT))
+
+
+_X = "CASE substr(shape, 11, 16) WHEN '0000000000000000' THEN 0 WHEN '000000000000F03F' THEN 1 WHEN '0000000000000040' THEN 2 WHEN '0000000000000840' THEN 3 WHEN '0000000000001040' THEN 4 WHEN '0000000000001440' THEN 5 WHEN '0000000000001840' THEN 6 END"
+
+
+@query("state_in_view", _state_sql(AT) + f" SELECT * FROM state WHERE shape IS NULL OR datasource_fingerprint <> '{LAYER}' OR ({_X}) BETWEEN 2 AND 4")
+def state_in_view(j: DataFrame) -> DataFrame:
+    boxes = j.sparkSession.createDataFrame([(LAYER, 2.0, -1.0, 4.0, 10.0)], "datasource_fingerprint string, x0 double, y0 double, x1 double, y1 double")
+    return flat_state(snapshot.in_view(snapshot.state_at(j, AT), boxes))
+
+
+@query("date_range", "SELECT min(created_at) AS first_at, max(created_at) AS last_at FROM journal WHERE invalidated_at IS NULL")
+def date_range(j: DataFrame) -> DataFrame:
+    return snapshot.date_range(j, "2024-01-31")
+
+
+@query(
+    "state_export",
+    _state_sql(AT)
+    + f""" SELECT s.datasource_fingerprint, s.entity, try_cast(regexp_extract(attributes, '(?:^|;)amount=([^;]*)', 1) AS BIGINT) AS amount,
+      nullif(regexp_extract(attributes, '(?:^|;)kind="([^";]*)"', 1), '') AS kind, shape, '{AT}' AS snap_date, last_op AS snap_op FROM state s""",
+)
+def state_export(j: DataFrame) -> DataFrame:
+    out = snapshot.exported(snapshot.state_at(j, AT), {"amount": "long", "kind": "string"}, AT)
+    return out.select("datasource_fingerprint", "entity", "amount", "kind", F.hex("geometry_wkb").alias("shape"), F.col("_snap_date").alias("snap_date"), F.col("_snap_op").alias("snap_op"))
+
+
+# --- scans, search, statistics ---------------------------------------------------------------------------------------
+
+
+@query("light_scan", "SELECT event_id, operation_type, created_at, geometry_wkb IS NOT NULL AS has_geometry, new_geometry_wkb IS NOT NULL AS has_new_geometry FROM journal")
+def light_scan(j: DataFrame) -> DataFrame:
+    return jr.light(j).select("event_id", "operation_type", "created_at", "has_geometry", "has_new_geometry")
+
+
+@query("events_by_ids", "SELECT event_id, operation_type, created_at FROM journal WHERE event_id IN (SELECT restored_from_event_id FROM journal)")
+def events_by_ids(j: DataFrame) -> DataFrame:
+    return jr.events_by_ids(j, j.select("restored_from_event_id").where("restored_from_event_id IS NOT NULL")).select("event_id", "operation_type", "created_at")
+
+
+@query("search_page", f"SELECT event_id, created_at, operation_type FROM journal WHERE restored_from_event_id IS NULL AND datasource_fingerprint = '{LAYER}' AND operation_type = 'UPDATE' AND created_at <= '{LATER}' ORDER BY created_at DESC, event_id DESC LIMIT 100 OFFSET 100")
+def search_page(j: DataFrame) -> DataFrame:
+    return search.search_page(j, search.Criteria((LAYER,), operation="UPDATE", end=LATER), page=2).select("event_id", "created_at", "operation_type")
+
+
+@query("search_count", f"SELECT count(*) AS n_events FROM journal WHERE restored_from_event_id IS NULL AND user_name = 'user7' AND created_at >= '{AT}'")
+def search_count(j: DataFrame) -> DataFrame:
+    return search.count_matching(j, search.Criteria(user_name="user7", start=AT))
+
+
+@query(
+    "search_summary",
+    f"""SELECT count(*) AS total_count, count(*) FILTER (WHERE operation_type = 'DELETE') AS selected_count, count(DISTINCT user_name) AS n_users,
+    count(DISTINCT datasource_fingerprint) AS n_sources, count(*) FILTER (WHERE operation_type = 'INSERT') AS n_insert, count(*) FILTER (WHERE operation_type = 'UPDATE') AS n_update,
+    count(*) FILTER (WHERE operation_type = 'DELETE') AS n_delete FROM journal WHERE restored_from_event_id IS NULL AND created_at >= '{AT}'""",
+)
+def search_summary(j: DataFrame) -> DataFrame:
+    return search.summary(j, search.Criteria(operation="DELETE", start=AT))
+
+
+@query("distinct_users", "SELECT DISTINCT user_name FROM journal ORDER BY 1 LIMIT 1000")
+def distinct_users(j: DataFrame) -> DataFrame:
+    return search.distinct_users(j)
+
+
+@query("distinct_layers", "SELECT datasource_fingerprint, max(layer_name_snapshot) AS layer_name FROM journal WHERE datasource_fingerprint <> 'ogr::/d/layer3.gpkg|layername=l' GROUP BY 1")
+def distinct_layers(j: DataFrame) -> DataFrame:
+    return search.distinct_layers(j, jr.journal_registry(j), scope.final_targets(aliases(j.sparkSession)))
+
+
+@query("entity_stream", f"SELECT event_id, operation_type FROM journal WHERE datasource_fingerprint = '{LAYER}' AND entity_fingerprint = 'pk:id=5'")
+def entity_stream(j: DataFrame) -> DataFrame:
+    return search.entity_stream(j, LAYER, "pk:id=5").select("event_id", "operation_type")
+
+
+@query(
+    "session_summary",
+    """SELECT session_id, count(*) FILTER (WHERE operation_type = 'INSERT') AS n_insert, count(*) FILTER (WHERE operation_type = 'UPDATE') AS n_update,
+    count(*) FILTER (WHERE operation_type = 'DELETE') AS n_delete, count(DISTINCT layer_name_snapshot) AS n_layers, min(created_at) AS first_at, max(created_at) AS last_at
+    FROM journal WHERE restored_from_event_id IS NULL AND session_id IS NOT NULL GROUP BY 1""",
+)
+def session_summary(j: DataFrame) -> DataFrame:
+    return search.session_summary(j)
+
+
+_BOX = f"shape IS NULL OR ({_X}) BETWEEN 1 AND 3"
+
+
+@query("zone_events", f", z AS (SELECT event_id, hex(coalesce(geometry_wkb, new_geometry_wkb)) AS shape FROM journal WHERE created_at >= '{AT}' AND created_at <= '{LATER}' ORDER BY created_at, event_id LIMIT 5000) SELECT event_id FROM z WHERE {_BOX}")
+def zone_events(j: DataFrame) -> DataFrame:
+    return search.zone_events(j, (1.0, -1.0, 3.0, 10.0), AT, LATER).select("event_id")
+
+
+@query(
+    "zone_markers",
+    f""", z AS (SELECT created_at, operation_type, hex(coalesce(geometry_wkb, new_geometry_wkb)) AS shape, row_number() OVER (PARTITION BY datasource_fingerprint ORDER BY created_at, event_id) AS n FROM journal)
+    SELECT DISTINCT created_at, operation_type FROM z WHERE n <= 5000 AND ({_BOX})""",
+)
+def zone_markers(j: DataFrame) -> DataFrame:
+    return search.zone_markers(j, (1.0, -1.0, 3.0, 10.0))
+
+
+@query("text_filter", "SELECT event_id, user_name, created_at FROM journal WHERE lower(concat_ws(chr(10), event_id, user_name, created_at)) LIKE '%user14%'")
+def text_filter(j: DataFrame) -> DataFrame:
+    return search.text_matches(j.select("event_id", "user_name", "created_at"), "USER14")
+
+
+@query(
+    "changed_cells",
+    """SELECT c.event_id, field, old, new FROM delta_cells c JOIN journal USING (event_id) WHERE operation_type = 'UPDATE' AND field <> 'updated_at'""",
+)
+def changed_cells(j: DataFrame) -> DataFrame:
+    return search.changed_cells(j)
+
+
+@query(
+    "result_grid",
+    """SELECT event_id, operation_type, created_at, max(value) FILTER (WHERE field = 'amount') AS amount, max(value) FILTER (WHERE field = 'kind') AS kind
+    FROM journal LEFT JOIN (SELECT event_id, field, value FROM full_cells UNION ALL SELECT event_id, field, old FROM delta_cells) USING (event_id) GROUP BY ALL""",
+)
+def result_grid(j: DataFrame) -> DataFrame:
+    return search.result_grid(j, ["amount", "kind"])
+
+
+@query("grid_fields", "SELECT field, min(event_id) AS first_event, count(*) AS n_events FROM (SELECT event_id, field FROM full_cells UNION ALL SELECT event_id, field FROM delta_cells WHERE field <> 'updated_at') GROUP BY 1")
+def grid_fields(j: DataFrame) -> DataFrame:
+    return search.grid_fields(j)
+
+
+_STATS = "min(created_at) AS first_at, max(created_at) AS last_at, array_to_string(list_sort(list(DISTINCT operation_type)), ',') AS operations, count(*) AS n_events, count(*) FILTER (WHERE restored_from_event_id IS NULL) AS n_user_events"
+
+
+@query("layer_stats", f"SELECT datasource_fingerprint, {_STATS} FROM journal GROUP BY ROLLUP (datasource_fingerprint)")
+def layer_stats(j: DataFrame) -> DataFrame:
+    return stats.all_stats(j)
+
+
+@query(
+    "audit_counts",
+    """SELECT count(*) AS n_total, count(*) FILTER (WHERE restored_from_event_id IS NULL) AS n_user, count(restored_from_event_id) AS n_trace,
+    count(*) FILTER (WHERE operation_type = 'INSERT' AND restored_from_event_id IS NULL) AS n_insert, count(*) FILTER (WHERE operation_type = 'UPDATE' AND restored_from_event_id IS NULL) AS n_update,
+    count(*) FILTER (WHERE operation_type = 'DELETE' AND restored_from_event_id IS NULL) AS n_delete, count(DISTINCT user_name) AS n_users, count(DISTINCT datasource_fingerprint) AS n_layers,
+    min(created_at) AS first_at, max(created_at) AS last_at FROM journal""",
+)
+def audit_counts(j: DataFrame) -> DataFrame:
+    return stats.audit_counts(j)
+
+
+@query("top_users", "SELECT user_name, count(*) AS n_events FROM journal WHERE restored_from_event_id IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_users(j: DataFrame) -> DataFrame:
+    return stats.top_users(j)
+
+
+@query("top_layers", "SELECT datasource_fingerprint, max(layer_name_snapshot) AS layer_name, count(*) AS n_events FROM journal WHERE restored_from_event_id IS NULL GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
+def top_layers(j: DataFrame) -> DataFrame:
+    return stats.top_layers(j)
+
+
+@query(
+    "chain_lengths",
+    """SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 50 THEN '11-50' ELSE '51+' END AS bin, count(*) AS n_entities
+    FROM (SELECT entity_fingerprint, count(*) AS n FROM journal WHERE restored_from_event_id IS NULL AND entity_fingerprint IS NOT NULL GROUP BY 1) GROUP BY 1""",
+)
+def chain_lengths(j: DataFrame) -> DataFrame:
+    return stats.chain_lengths(j)
+
+
+@query(
+    "storage_report",
+    """SELECT count(geometry_wkb) AS n_geometry, count(*) FILTER (WHERE geometry_wkb IS NULL) AS n_no_geometry, count(new_geometry_wkb) AS n_new_geometry,
+    count(*) FILTER (WHERE new_geometry_wkb IS NULL) AS n_no_new_geometry, count(*) FILTER (WHERE geometry_wkb = new_geometry_wkb) AS n_unmoved,
+    coalesce(sum(octet_length(geometry_wkb)) FILTER (WHERE geometry_wkb = new_geometry_wkb), 0)::BIGINT AS unmoved_bytes, sum(length(field_schema_json))::BIGINT AS schema_characters,
+    count(DISTINCT field_schema_json) AS n_schemas, greatest(0, sum(length(field_schema_json)) - floor(avg(length(field_schema_json)) * count(DISTINCT field_schema_json)))::BIGINT AS schema_saving
+    FROM journal WHERE restored_from_event_id IS NULL""",
+)
+def storage_report(j: DataFrame) -> DataFrame:
+    return stats.storage_report(j)
+
+
+@query(
+    "born_and_gone",
+    """SELECT entity_fingerprint, session_id FROM journal WHERE restored_from_event_id IS NULL AND entity_fingerprint IS NOT NULL AND operation_type = 'INSERT'
+    INTERSECT SELECT entity_fingerprint, session_id FROM journal WHERE restored_from_event_id IS NULL AND entity_fingerprint IS NOT NULL AND operation_type = 'DELETE'""",
+)
+def born_and_gone(j: DataFrame) -> DataFrame:
+    return stats.born_and_gone(j)
+
+
+@query(
+    "health",
+    """SELECT count(*) AS n_events, min(created_at) AS first_at, max(created_at) AS last_at, CASE WHEN count(*) >= 1000000 THEN 'critical' WHEN count(*) >= 500000 THEN 'warning' ELSE 'info' END AS level,
+    0 AS coverage_months FROM journal""",
+)
+def health(j: DataFrame) -> DataFrame:
+    return stats.health(j, 60 << 20)
+
+
+@query(
+    "activity_segments",
+    """, i AS (SELECT datasource_fingerprint AS d, epoch(created_at::TIMESTAMPTZ)::BIGINT AS s, count(*) AS n FROM journal WHERE operation_type = 'DELETE' GROUP BY 1, 2),
+    g AS (SELECT *, s - lag(s) OVER (PARTITION BY d ORDER BY s) > greatest(3600, 0.03 * (max(s) OVER (PARTITION BY d) - min(s) OVER (PARTITION BY d))) AS apart FROM i),
+    n AS (SELECT *, sum(coalesce(apart, false)::INT) OVER (PARTITION BY d ORDER BY s) AS seg FROM g)
+    SELECT d AS datasource_fingerprint, min(s) AS start_s, max(s) AS end_s, sum(n)::BIGINT AS n_events FROM n GROUP BY d, seg""",
+)
+def activity_segments(j: DataFrame) -> DataFrame:
+    out = stats.activity_segments(j.where("operation_type = 'DELETE'"))
+    return out.select("datasource_fingerprint", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "n_events")
+
+
+@query(
+    "daily_activity",
+    """, d AS (SELECT substr(created_at, 1, 10)::DATE AS day, operation_type AS o FROM journal)
+    SELECT strftime(r.day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE o = 'INSERT') AS n_insert, count(*) FILTER (WHERE o = 'UPDATE') AS n_update, count(*) FILTER (WHERE o = 'DELETE') AS n_delete
+    FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day) r LEFT JOIN d ON r.day = d.day GROUP BY 1""",
+)
+def daily_activity(j: DataFrame) -> DataFrame:
+    return stats.daily_activity(j).withColumn("day", F.col("day").cast("string"))
+
+
+@query("mass_deletes", "SELECT datasource_fingerprint, substr(created_at, 1, 13) AS created_at, count(*) AS n_deleted FROM journal WHERE operation_type = 'DELETE' AND restored_from_event_id IS NULL GROUP BY 1, 2 HAVING count(*) >= 2")
+def mass_deletes(j: DataFrame) -> DataFrame:
+    return stats.mass_deletes(j.withColumn("created_at", F.substring("created_at", 1, 13)), 2)
+
+
+@query(
+    "anomalies",
+    """, c(cycle, plan_actions, apply_ok, apply_skipped, apply_fail) AS (SELECT CASE user_name WHEN 'user7' THEN 'undo' ELSE 'rewind' END, count(*), count(*) FILTER (WHERE operation_type = 'INSERT'),
+    count(*) FILTER (WHERE operation_type <> 'INSERT'), count(*) FILTER (WHERE operation_type = 'DELETE') FROM journal GROUP BY user_name)
+    SELECT cycle, plan_actions, concat_ws(',', CASE WHEN cycle = 'rewind' AND plan_actions > 0 AND apply_ok = 0 AND apply_skipped = plan_actions THEN 'all_skipped' END,
+    CASE WHEN cycle = 'rewind' AND apply_ok > 0 THEN 'missing_traces' END, CASE WHEN apply_fail > 0 THEN 'apply_failures' END, CASE WHEN cycle = 'undo' AND apply_ok > 0 AND apply_fail > 0 THEN 'undo_partial' END) AS anomalies FROM c""",
+)
+def anomalies(j: DataFrame) -> DataFrame:
+    op = F.col("operation_type")
+    cycles = j.groupBy("user_name").agg(
+        F.count("*").alias("plan_actions"), F.count_if(op == "INSERT").alias("apply_ok"), F.count_if(op != "INSERT").alias("apply_skipped"), F.count_if(op == "DELETE").alias("apply_fail")
+    )
+    zeros = {k: F.lit(0) for k in ("user", "traces", "traces_invalidated", "dedup_active", "dedup_dropped", "traces_written")}
+    cycles = cycles.withColumns({"cycle": F.when(F.col("user_name") == "user7", "undo").otherwise("rewind"), **zeros}).drop("user_name")
+    return stats.anomalies(cycles).select("cycle", "plan_actions", "anomalies")
+
+
+# --- payloads, identity, time ----------------------------------------------------------------------------------------
+
+
+@query(
+    "attributes_before",
+    "SELECT event_id, string_agg(field || '=' || value, ';' ORDER BY field) AS attributes FROM (SELECT event_id, field, value FROM full_cells UNION ALL SELECT event_id, field, old FROM delta_cells WHERE field <> 'updated_at') GROUP BY 1",
+)
+def attributes_before(j: DataFrame) -> DataFrame:
+    return j.select("event_id", payload.as_text(payload.old_attributes()).alias("attributes")).where("attributes <> ''")
+
+
+@query(
+    "attributes_after",
+    "SELECT event_id, string_agg(field || '=' || value, ';' ORDER BY field) AS attributes FROM (SELECT event_id, field, value FROM full_cells UNION ALL SELECT event_id, field, new FROM delta_cells WHERE field <> 'updated_at') GROUP BY 1",
+)
+def attributes_after(j: DataFrame) -> DataFrame:
+    return j.select("event_id", payload.as_text(payload.new_attributes()).alias("attributes")).where("attributes <> ''")
+
+
+@query("geometry_only", "SELECT event_id FROM keyed k WHERE operation_type = 'UPDATE' AND (j->'changed_only') IS NOT NULL AND NOT EXISTS (SELECT 1 FROM delta_cells c WHERE c.event_id = k.event_id AND field <> 'updated_at')")
+def geometry_only(j: DataFrame) -> DataFrame:
+    return j.where(payload.is_geometry_only()).select("event_id")
+
+
+@query("entity_keys", "SELECT event_id, entity FROM keyed")
+def entity_keys(j: DataFrame) -> DataFrame:
+    return j.select("event_id", identity.entity_key().alias("entity"))
+
+
+@query(
+    "canonical_sources",
+    """SELECT DISTINCT provider_type || '::' || '/d/layer' || substr(layer_id_snapshot, 7) || '.gpkg|layername=l' AS canonical, 'STRONG' AS strength, true AS restore FROM journal""",
+)
+def canonical_sources(j: DataFrame) -> DataFrame:
+    shown = j.select(F.concat("datasource_fingerprint", F.lit("|subset=x"), F.pmod("event_id", F.lit(3)).cast("string")).alias("datasource_fingerprint"), "provider_type").distinct()
+    out = identity.source_policies(shown)
+    return out.select(identity.canonical_fingerprint("datasource_fingerprint").alias("canonical"), "strength", "restore").distinct()
+
+
+@query(
+    "time_labels",
+    f""", s AS (SELECT created_at, CAST(epoch(TIMESTAMPTZ '{NOW}') - epoch(created_at::TIMESTAMPTZ) AS BIGINT) AS s FROM (SELECT DISTINCT created_at FROM journal)),
+    p AS (SELECT *, substr(created_at, 9, 2) || '/' || substr(created_at, 6, 2) || ' ' || substr(created_at, 12, 5) AS short FROM s)
+    SELECT created_at, short, CASE WHEN s < 0 THEN short WHEN s < 10 THEN 'now' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 86400 THEN s // 3600 || 'h'
+    WHEN s < 172800 THEN 'yesterday ' || substr(created_at, 12, 5) WHEN s < 604800 THEN s // 86400 || 'd' ELSE short END AS label FROM p""",
+)
+def time_labels(j: DataFrame) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")
+    return j.select("created_at").distinct().select("created_at", moments.short_absolute("created_at", now).alias("short"), moments.relative("created_at", now).alias("label"))
+
+
+@query(
+    "history_spans",
+    """, b AS (SELECT user_name, CAST(epoch(max(created_at)::TIMESTAMPTZ) - epoch(min(created_at)::TIMESTAMPTZ) AS BIGINT) AS s FROM journal GROUP BY 1)
+    SELECT user_name, CASE WHEN s < 3600 THEN '< 1 hour' WHEN s < 86400 THEN s // 3600 || ' hours' ELSE s // 86400 || ' days' END AS span, CASE WHEN s <= 86400 THEN 1 WHEN s <= 2592000 THEN 60 ELSE 3600 END AS step FROM b""",
+)
+def history_spans(j: DataFrame) -> DataFrame:
+    b = j.groupBy("user_name").agg(F.min("created_at").alias("a"), F.max("created_at").alias("b"))
+    seconds = moments.seconds_between(moments.instant("b"), moments.instant("a"))
+    return b.select("user_name", moments.history_span("a", "b").alias("span"), moments.granularity(seconds).alias("step"))
+
+
+# --- aliases ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "alias_families",
+    """, e(a, b) AS (SELECT a, t FROM alias UNION SELECT t, a FROM alias), walk(f, m, d) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT f, b, d + 1 FROM walk JOIN e ON m = a WHERE d < 8)
+    SELECT DISTINCT f AS fingerprint, m AS member FROM walk""",
+)
+def alias_families(j: DataFrame) -> DataFrame:
+    return scope.family(aliases(j.sparkSession))
+
+
+@query(
+    "events_by_final_source",
+    """, hop(a, t, seen, d) AS (SELECT a, t, [a], 0 FROM alias UNION ALL SELECT h.a, x.t, list_append(h.seen, h.t), d + 1 FROM hop h JOIN alias x ON h.t = x.a WHERE d < 8 AND NOT list_contains(h.seen, h.t)),
+    final AS (SELECT a, arg_max(t, d) AS t FROM hop GROUP BY a)
+    SELECT coalesce(t, datasource_fingerprint) AS datasource_fingerprint, count(*) AS n_events FROM journal LEFT JOIN final ON a = datasource_fingerprint GROUP BY 1""",
+)
+def events_by_final_source(j: DataFrame) -> DataFrame:
+    return scope.canonical_events(j, aliases(j.sparkSession)).groupBy("datasource_fingerprint").agg(F.count("*").alias("n_events"))
+
+
+@query("events_in_scope", "SELECT datasource_fingerprint, count(*) AS n_events FROM journal WHERE datasource_fingerprint IN ('ogr::/d/layer0.gpkg|layername=l', 'ogr::/d/layer2.gpkg|layername=l', 'ogr::/d/layer3.gpkg|layername=l') GROUP BY 1")
+def events_in_scope(j: DataFrame) -> DataFrame:
+    wanted = j.sparkSession.createDataFrame([("ogr::/f/layer0.gpkg|layername=l",), ("ogr::/d/layer2.gpkg|layername=l",)], "fingerprint string")
+    return scope.in_scope(j, wanted, aliases(j.sparkSession)).groupBy("datasource_fingerprint").agg(F.count("*").alias("n_events"))
+
+
+@query(
+    "reconcile",
+    """SELECT DISTINCT datasource_fingerprint, CASE WHEN user_name IS NOT NULL THEN datasource_fingerprint END AS target,
+    'canonical' AS verdict FROM journal""",
+)
+def reconcile(j: DataFrame) -> DataFrame:
+    return scope.reconcile(j, jr.journal_registry(j), aliases(j.sparkSession))
+
+
+# --- rewind ----------------------------------------------------------------------------------------------------------
+
+_WINDOW = f"""
+    , win AS (SELECT * FROM keyed WHERE (ref IS NULL AND created_at >= '{AT}') OR (ref IS NOT NULL AND invalidated_at IS NULL AND (
+      ref IN (SELECT event_id FROM journal WHERE created_at >= '{AT}') OR (created_at >= '{AT}' AND NOT EXISTS (SELECT 1 FROM journal s WHERE s.event_id = keyed.ref)))))
+    , live AS (SELECT *, row_number() OVER (PARTITION BY datasource_fingerprint, entity_fingerprint ORDER BY created_at, event_id) AS n FROM win
+      WHERE ref IS NULL AND entity_fingerprint IS NOT NULL AND event_id NOT IN (SELECT ref FROM win WHERE ref IS NOT NULL))
+    , machine(d, f, n, state, split) AS (
+      SELECT datasource_fingerprint, entity_fingerprint, n, CASE operation_type WHEN 'INSERT' THEN 'open' WHEN 'DELETE' THEN 'closed' ELSE 'before' END, false FROM live WHERE n = 1
+      UNION ALL
+      SELECT d, f, l.n, CASE operation_type WHEN 'INSERT' THEN 'open' WHEN 'DELETE' THEN 'closed' ELSE CASE WHEN state = 'closed' THEN 'before' ELSE state END END,
+        (operation_type = 'INSERT' AND state IN ('closed', 'before')) OR (operation_type = 'UPDATE' AND state = 'closed')
+      FROM machine m JOIN live l ON l.datasource_fingerprint = d AND l.entity_fingerprint = f AND l.n = m.n + 1)
+    , splits AS (SELECT d, f, max((created_at, event_id)) AS k FROM machine JOIN live l ON l.datasource_fingerprint = d AND l.entity_fingerprint = f AND l.n = machine.n WHERE split GROUP BY 1, 2)
+    , lives AS (SELECT w.* EXCLUDE (entity), CASE WHEN k IS NOT NULL AND (created_at, event_id) >= k THEN entity_fingerprint || '@' || struct_extract_at(k, 2) ELSE entity END AS entity
+      FROM win w LEFT JOIN splits ON d = datasource_fingerprint AND f = entity_fingerprint)
+    , spans AS (SELECT t.datasource_fingerprint AS d, t.entity AS e, t.event_id, t.ref,
+        CASE WHEN s.event_id IS NULL THEN (SELECT min((created_at, event_id)) FROM lives) WHEN s.ref IS NULL THEN (s.created_at, s.event_id) ELSE (t.created_at, t.event_id) END AS lo, (t.created_at, t.event_id) AS hi
+      FROM lives t LEFT JOIN lives s ON s.event_id = t.ref WHERE t.ref IS NOT NULL)
+    , judged AS (SELECT l.*, l.event_id IN (SELECT ref FROM spans) OR EXISTS (SELECT 1 FROM spans WHERE d = l.datasource_fingerprint AND e = l.entity AND lo <= (l.created_at, l.event_id) AND (l.created_at, l.event_id) < hi) AS dropped
+      FROM lives l WHERE ref IS NULL)"""
+_COLLAPSE = (
+    _WINDOW
+    + """
+    , act AS (SELECT *, row_number() OVER w AS n, sum(CASE operation_type WHEN 'INSERT' THEN 1 WHEN 'DELETE' THEN -1 ELSE 0 END) OVER w AS s FROM judged WHERE NOT dropped
+      WINDOW w AS (PARTITION BY datasource_fingerprint, entity ORDER BY created_at, event_id))
+    , lev AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY datasource_fingerprint, entity ORDER BY n)) AS level FROM act)
+    , kept AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY datasource_fingerprint, entity ORDER BY created_at, event_id) AS n, count(*) OVER (PARTITION BY datasource_fingerprint, entity) AS c FROM lev x
+      WHERE CASE WHEN operation_type = 'DELETE' THEN NOT coalesce((SELECT level > 0 FROM lev p WHERE p.datasource_fingerprint = x.datasource_fingerprint AND p.entity = x.entity AND p.n = x.n - 1), false)
+        ELSE NOT EXISTS (SELECT 1 FROM lev y WHERE y.datasource_fingerprint = x.datasource_fingerprint AND y.entity = x.entity AND y.n > x.n AND y.level < x.level) END)
+    , chain AS (SELECT datasource_fingerprint, entity, max(c) AS c, arg_min(operation_type, n) AS first_op, arg_max(operation_type, n) AS last_op, count(*) FILTER (WHERE operation_type <> 'UPDATE') AS others,
+        max(n) AS last_n FROM kept GROUP BY 1, 2)
+    , kinds AS (SELECT *, CASE WHEN c > 1 AND first_op = 'UPDATE' AND last_op = 'DELETE' AND others = 1 THEN 'delete' WHEN c > 10 AND first_op = 'UPDATE' AND last_op = 'UPDATE' THEN 'update' WHEN c > 10 THEN 'ends' ELSE 'all' END AS kind FROM chain)
+    , cells AS (SELECT k.datasource_fingerprint, k.entity, field, arg_min(old, n) AS old, arg_max(new, n) AS new FROM kept k JOIN delta_cells d USING (event_id) WHERE operation_type = 'UPDATE' GROUP BY 1, 2, 3)
+    , ends AS (SELECT k.*, kind, last_n FROM kept k JOIN kinds USING (datasource_fingerprint, entity))
+    , base AS (SELECT e.datasource_fingerprint, e.entity, f.field, f.value FROM ends e JOIN full_cells f USING (event_id) WHERE n = last_n AND kind = 'delete')
+    , fused_fields AS (
+      SELECT datasource_fingerprint, entity, string_agg(field || '=' || value, ';' ORDER BY field) AS attributes FROM (
+        SELECT c.datasource_fingerprint, c.entity, c.field, CASE kind WHEN 'delete' THEN c.old ELSE c.old || '>' || c.new END AS value FROM cells c JOIN kinds USING (datasource_fingerprint, entity) WHERE kind IN ('delete', 'update')
+        UNION ALL SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.datasource_fingerprint = b.datasource_fingerprint AND c.entity = b.entity AND c.field = b.field)) GROUP BY 1, 2)
+    , shape AS (SELECT datasource_fingerprint, entity, arg_min(geometry_wkb, n) FILTER (WHERE operation_type = 'UPDATE' AND geometry_wkb IS NOT NULL) AS oldest, arg_max(coalesce(hex(geometry_wkb), ''), n) AS newest,
+        arg_max(coalesce(hex(new_geometry_wkb), ''), n) AS newest_new FROM kept GROUP BY 1, 2)
+    , least_events AS (
+      SELECT datasource_fingerprint, entity, event_id, operation_type, 1::BIGINT AS fused, hex(geometry_wkb) AS shape, hex(new_geometry_wkb) AS new_shape, '' AS attributes FROM ends WHERE kind = 'all' OR (kind = 'ends' AND (n = 1 OR n = last_n))
+      UNION ALL
+      SELECT e.datasource_fingerprint, e.entity, event_id, CASE kind WHEN 'delete' THEN 'DELETE' ELSE 'UPDATE' END, c,
+        CASE kind WHEN 'delete' THEN coalesce(hex(oldest), nullif(newest, '')) ELSE coalesce(hex(oldest), hex(geometry_wkb)) END, CASE kind WHEN 'delete' THEN hex(new_geometry_wkb) ELSE nullif(newest_new, '') END, coalesce(attributes, '')
+      FROM ends e JOIN shape USING (datasource_fingerprint, entity) LEFT JOIN fused_fields USING (datasource_fingerprint, entity) WHERE kind IN ('delete', 'update') AND n = 1)"""
+)
+
+
+@query("rewind_window", _WINDOW + " SELECT event_id, operation_type, ref IS NOT NULL AS is_trace FROM win")
+def rewind_window(j: DataFrame) -> DataFrame:
+    return rewind.window_events(j, CUTOFF).select("event_id", "operation_type", jr.is_trace().alias("is_trace"))
+
+
+@query("rewind_forward", f"SELECT event_id, restored_from_event_id FROM journal t WHERE restored_from_event_id IS NOT NULL AND invalidated_at IS NULL AND EXISTS (SELECT 1 FROM journal s WHERE s.event_id = t.restored_from_event_id AND s.created_at < '{AT}')")
+def rewind_forward(j: DataFrame) -> DataFrame:
+    return rewind.forward_traces(j, CUTOFF).select("event_id", "restored_from_event_id")
+
+
+@query("rewind_newest", _WINDOW + " SELECT event_id FROM win ORDER BY created_at DESC, event_id DESC LIMIT 1000")
+def rewind_newest(j: DataFrame) -> DataFrame:
+    return rewind.newest_first(rewind.window_events(j, CUTOFF), 1000).select("event_id")
+
+
+@query("reused_ids", _WINDOW + " SELECT d AS datasource_fingerprint, f AS entity_fingerprint, struct_extract_at(k, 2) AS split_id FROM splits")
+def reused_ids(j: DataFrame) -> DataFrame:
+    return rewind.reused_ids(rewind.window_events(j, CUTOFF)).select("datasource_fingerprint", "entity_fingerprint", "split_id")
+
+
+@query("compensated_spans", _WINDOW + " SELECT d AS datasource_fingerprint, e AS entity, event_id, ref, struct_extract_at(lo, 1) AS lo_at, struct_extract_at(lo, 2) AS lo_id FROM spans")
+def compensated_spans(j: DataFrame) -> DataFrame:
+    out = rewind.compensated_spans(settled(rewind.split_lives(settled(rewind.window_events(j, CUTOFF)))))
+    return out.select("datasource_fingerprint", "entity", "event_id", "ref", F.col("lo.created_at").alias("lo_at"), F.col("lo.event_id").alias("lo_id"))
+
+
+@query("neutralised_events", _WINDOW + " SELECT event_id, entity, dropped FROM judged")
+def neutralised_events(j: DataFrame) -> DataFrame:
+    return rewind.judged_events(rewind.window_events(j, CUTOFF)).select("event_id", "entity", "dropped")
+
+
+def _flat_rewind(j: DataFrame) -> DataFrame:
+    out = rewind.rewind_events(rewind.window_events(j, CUTOFF))
+    old_new = F.transform_values(payload.changes(), lambda _, v: F.concat(v["old"], F.lit(">"), v["new"]))
+    text = F.when(F.col("fused") == 1, "").otherwise(F.coalesce(payload.as_text(payload.full_attributes()), payload.as_text(old_new)))
+    return out.select("datasource_fingerprint", "entity", "event_id", "operation_type", "fused", F.hex("geometry_wkb").alias("shape"), F.hex("new_geometry_wkb").alias("new_shape"), text.alias("attributes"))
+
+
+@query("rewind_events", _COLLAPSE + " SELECT * FROM least_events")
+def rewind_events(j: DataFrame) -> DataFrame:
+    return _flat_rewind(j)
+
+
+@query(
+    "rewind_stats",
+    _COLLAPSE
+    + """ SELECT count(*) AS raw, count(*) FILTER (WHERE ref IS NULL) AS "user", count(ref) AS traces, count(*) FILTER (WHERE ref IS NOT NULL AND invalidated_at IS NOT NULL) AS traces_invalidated,
+    count(*) FILTER (WHERE ref IS NOT NULL AND invalidated_at IS NULL) AS traces_active, (SELECT count(*) FROM judged WHERE dropped) AS dedup_dropped, (SELECT count(*) FROM least_events) AS dedup_active,
+    (SELECT count(*) FROM judged WHERE NOT dropped) - (SELECT count(*) FROM least_events) AS dedup_redundant FROM win""",
+)
+def rewind_stats(j: DataFrame) -> DataFrame:
+    return rewind.rewind_stats(rewind.window_events(j, CUTOFF))
+
+
+_ACTIONS = """
+    , acts AS (SELECT l.*, w.entity_fingerprint, CASE l.operation_type WHEN 'DELETE' THEN 'INSERT' WHEN 'INSERT' THEN 'DELETE' ELSE 'UPDATE' END AS compensation,
+      CASE l.operation_type WHEN 'DELETE' THEN 0 WHEN 'UPDATE' THEN 1 ELSE 2 END AS phase
+      FROM least_events l JOIN (SELECT datasource_fingerprint, entity, event_id, CASE WHEN kind IN ('delete', 'update') THEN newest_fp ELSE entity_fingerprint END AS entity_fingerprint FROM (
+        SELECT *, last_value(entity_fingerprint) OVER (PARTITION BY datasource_fingerprint, entity ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS newest_fp FROM ends)) w USING (datasource_fingerprint, entity, event_id))"""
+
+
+@query("plan_actions", _COLLAPSE + _ACTIONS + " SELECT datasource_fingerprint, event_id, compensation, entity_fingerprint, shape IS NOT NULL AS has_geometry, phase, CASE phase WHEN 1 THEN -event_id ELSE event_id END AS seq FROM acts WHERE entity_fingerprint IS NOT NULL")
+def plan_actions(j: DataFrame) -> DataFrame:
+    out = planning.actions(rewind.rewind_events(rewind.window_events(j, CUTOFF)))
+    return out.select("datasource_fingerprint", "event_id", "compensation", "entity_fingerprint", "has_geometry", "phase", "seq")
+
+
+@query(
+    "preflight",
+    _COLLAPSE
+    + _ACTIONS
+    + f""", n AS (SELECT datasource_fingerprint, count(entity_fingerprint) AS n_events, count(DISTINCT entity_fingerprint) AS n_entities, count(*) FILTER (WHERE entity_fingerprint IS NULL) AS w FROM acts GROUP BY 1),
+    o AS (SELECT datasource_fingerprint, min(created_at) AS first_at FROM journal GROUP BY 1),
+    r AS (SELECT *, concat_ws(',', CASE WHEN n_events > 10000 THEN 'too_many_events' END, CASE WHEN n_entities > 1000 THEN 'too_many_entities' END, CASE WHEN '{AT}' < first_at THEN 'history_purged' END, CASE WHEN n_events = 0 THEN 'no_actions' END) AS blocking,
+      concat_ws(',', CASE WHEN n_events > 1000 AND n_events <= 10000 THEN 'many_events' END, CASE WHEN n_entities > 100 AND n_entities <= 1000 THEN 'many_entities' END, CASE WHEN w > 0 THEN 'skipped_events' END) AS warnings FROM n JOIN o USING (datasource_fingerprint))
+    SELECT datasource_fingerprint, n_events, n_entities, CASE WHEN blocking <> '' THEN 'BLOCKED' WHEN warnings <> '' THEN 'GO_WITH_WARNINGS' ELSE 'GO' END AS verdict, blocking, warnings FROM r""",
+)
+def preflight(j: DataFrame) -> DataFrame:
+    oldest = j.groupBy("datasource_fingerprint").agg(F.min("created_at").alias("first_at"))
+    return planning.preflight(settled(rewind.rewind_events(rewind.window_events(j, CUTOFF))), CUTOFF, oldest)
+
+
+def _decided(j: DataFrame) -> tuple[DataFrame, DataFrame]:
+    now = settled(snapshot.state_at(j, "2025-01-01T00:00:00+00:00"))
+    return now, settled(applying.outcomes(now, rewind.rewind_events(rewind.window_events(j, CUTOFF))))
+
+
+@query("apply_outcomes")
+def apply_outcomes(j: DataFrame) -> DataFrame:
+    return applying.conserved(applying.outcome_counts(_decided(j)[1]))
+
+
+@query("applied_state")
+def applied_state(j: DataFrame) -> DataFrame:
+    now, decided = _decided(j)
+    out = applying.apply_plan(now, decided)
+    return out.select("datasource_fingerprint", "entity", payload.as_text(F.col("attributes")).alias("attributes"), F.hex("geometry_wkb").alias("shape"))
+
+
+@query("apply_row_counts")
+def apply_row_counts(j: DataFrame) -> DataFrame:
+    now, decided = _decided(j)
+    return applying.row_count_check(now, applying.apply_plan(now, decided), decided)
+
+
+@query(
+    "undo_traces",
+    "SELECT event_id, invalidated_at IS NOT NULL OR (restored_from_event_id IS NOT NULL AND restored_from_event_id % 4 = 1) AS invalid FROM journal",
+)
+def undo_traces(j: DataFrame) -> DataFrame:
+    out = applying.invalidated(j, j.where("event_id % 4 = 1").select("event_id"), NOW)
+    return out.select("event_id", F.col("invalidated_at").isNotNull().alias("invalid"))
+
+
+@query("inverse_events", "SELECT event_id, CASE operation_type WHEN 'INSERT' THEN 'DELETE' WHEN 'DELETE' THEN 'INSERT' ELSE 'UPDATE' END AS operation_type, hex(CASE operation_type WHEN 'UPDATE' THEN new_geometry_wkb ELSE geometry_wkb END) AS shape FROM journal")
+def inverse_events(j: DataFrame) -> DataFrame:
+    return applying.inverse_events(j).select("event_id", "operation_type", F.hex("geometry_wkb").alias("shape"))
+
+
+# --- retention, integrity, drift, capture ----------------------------------------------------------------------------
+
+
+@query("purge_before", f"SELECT event_id FROM journal WHERE created_at >= '{AT}'")
+def purge_before(j: DataFrame) -> DataFrame:
+    return retention.purge_before(j, AT).select("event_id")
+
+
+@query("purge_excess", ", p AS (SELECT created_at FROM journal ORDER BY created_at DESC, event_id DESC LIMIT 1 OFFSET 299) SELECT event_id FROM journal WHERE created_at >= (SELECT created_at FROM p)")
+def purge_excess(j: DataFrame) -> DataFrame:
+    return retention.purge_excess(j, 300).select("event_id")
+
+
+_PAIRS = """, o AS (SELECT event_id, operation_type, lead(operation_type) OVER w AS next_op, lead(event_id) OVER w AS next_id FROM journal WHERE invalidated_at IS NULL AND entity_fingerprint IS NOT NULL
+    WINDOW w AS (PARTITION BY entity_fingerprint, session_id ORDER BY event_id)), pairs AS (SELECT event_id, next_id FROM o WHERE operation_type = 'INSERT' AND next_op = 'DELETE')
+    , orphans AS (SELECT event_id FROM journal WHERE restored_from_event_id IS NOT NULL AND restored_from_event_id NOT IN (SELECT event_id FROM journal WHERE restored_from_event_id IS NULL))"""
+
+
+@query("purge_pairs", _PAIRS + " SELECT event_id FROM journal WHERE event_id NOT IN (SELECT event_id FROM pairs UNION SELECT next_id FROM pairs)")
+def purge_pairs(j: DataFrame) -> DataFrame:
+    return retention.purge_pairs(j).select("event_id")
+
+
+@query("orphan_traces", _PAIRS + " SELECT * FROM orphans")
+def orphan_traces(j: DataFrame) -> DataFrame:
+    return retention.orphan_traces(j).select("event_id")
+
+
+@query(
+    "garbage_counts",
+    _PAIRS + " SELECT n_invalidated, n_pairs, n_orphans, n_invalidated + 2 * n_pairs + n_orphans AS n_garbage FROM (SELECT (SELECT count(invalidated_at) FROM journal) AS n_invalidated, (SELECT count(*) FROM pairs) AS n_pairs, (SELECT count(*) FROM orphans) AS n_orphans)",
+)
+def garbage_counts(j: DataFrame) -> DataFrame:
+    return retention.garbage_counts(j)
+
+
+@query(
+    "purge_horizons",
+    f""", n AS (SELECT datasource_fingerprint AS d, max(created_at) AS m FROM journal WHERE created_at < '{AT}' GROUP BY 1), e(a, b) AS (SELECT a, t FROM alias UNION SELECT t, a FROM alias),
+    walk(f, m, d) AS (SELECT d, d, 0 FROM n UNION SELECT f, b, walk.d + 1 FROM walk JOIN e ON walk.m = a WHERE walk.d < 8)
+    SELECT w.m AS datasource_fingerprint, max(n.m) AS purged_until FROM walk w JOIN n ON n.d = w.f GROUP BY 1""",
+)
+def purge_horizons(j: DataFrame) -> DataFrame:
+    return retention.horizons(j, AT, aliases(j.sparkSession))
+
+
+@query("integrity_issues", _PAIRS + " SELECT 'orphan_trace' AS issue, count(*) AS n FROM orphans HAVING count(*) > 0")
+def integrity_issues(j: DataFrame) -> DataFrame:
+    return integrity.issues(j, jr.journal_registry(j), j.select("session_id").where("session_id IS NOT NULL").distinct())
+
+
+@query(
+    "schema_drift",
+    """, f AS (SELECT DISTINCT datasource_fingerprint, x->>'name' AS name, x->>'type' AS type FROM (SELECT datasource_fingerprint, unnest(CAST(field_schema_json AS JSON[])) AS x FROM journal)),
+    n(name, type) AS (VALUES ('id', 'bigint'), ('amount', 'DOUBLE'), ('note', 'text'), ('extra', 'text')), c AS (SELECT * FROM (SELECT DISTINCT datasource_fingerprint FROM journal) CROSS JOIN n)
+    SELECT datasource_fingerprint, name, f.type AS old_type, c.type AS new_type, CASE WHEN c.type IS NULL THEN 'missing' WHEN f.type IS NULL THEN 'added' WHEN name IN ('id', 'amount') THEN 'matched' ELSE 'type_changed' END AS verdict
+    FROM f FULL JOIN c USING (datasource_fingerprint, name)""",
+)
+def schema_drift(j: DataFrame) -> DataFrame:
+    now = j.sparkSession.createDataFrame([("id", "bigint"), ("amount", "DOUBLE"), ("note", "text"), ("extra", "text")], "name string, type string")
+    present = j.select("datasource_fingerprint").distinct().join(F.broadcast(now))  # four fixed rows
+    return drift.compare(drift.captured_fields(j), present)
+
+
+@query(
+    "captured_changes",
+    _state_sql(AT).replace("state AS", "state_a AS").replace("last_rows", "last_a").replace("shapes", "shapes_a").replace("fields AS", "fields_a AS").replace("LEFT JOIN fields f", "LEFT JOIN fields_a f").replace("seen", "seen_a")
+    + _state_sql(LATER)
+    + """ SELECT datasource_fingerprint, entity, CASE WHEN a.last_op IS NULL THEN 'INSERT' WHEN b.last_op IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation_type FROM state_a a FULL JOIN state b USING (datasource_fingerprint, entity)
+    WHERE a.last_op IS NULL OR b.last_op IS NULL OR a.shape IS DISTINCT FROM b.shape OR EXISTS (
+      SELECT 1 FROM (SELECT unnest(string_split(a.attributes, ';')) AS x) p JOIN (SELECT unnest(string_split(b.attributes, ';')) AS y) q ON split_part(x, '=', 1) = split_part(y, '=', 1) WHERE x <> y)""",
+)
+def captured_changes(j: DataFrame) -> DataFrame:
+    out = capture.changes_between(snapshot.state_at(j, AT), snapshot.state_at(j, LATER))
+    return out.select("datasource_fingerprint", "entity", "operation_type")
+
+
+@query(
+    "net_effect",
+    """, s AS (SELECT datasource_fingerprint, entity, session_id AS commit, bool_or(operation_type = 'INSERT') AS a, bool_or(operation_type = 'DELETE') AS d, min(event_id) AS old, max(event_id) AS new FROM keyed
+      WHERE ref IS NULL GROUP BY 1, 2, 3)
+    SELECT datasource_fingerprint || commit AS datasource_fingerprint, entity, CASE WHEN d THEN 'deleted' WHEN a THEN 'added' ELSE 'modified' END AS kind, old, new FROM s WHERE NOT (a AND d)""",
+)
+def net_effect(j: DataFrame) -> DataFrame:
+    kind = F.when(F.col("operation_type") == "INSERT", "added").when(F.col("operation_type") == "DELETE", "deleted").otherwise("modified")
+    edits = snapshot.keyed(j).where(~jr.is_trace()).select(
+        F.concat("datasource_fingerprint", "session_id").alias("datasource_fingerprint"), "entity", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").alias("old"), F.col("event_id").alias("new")
+    )
+    return capture.net_effect(edits)
+
+
+@query("envelopes", f", z AS (SELECT event_id, hex(geometry_wkb) AS shape FROM journal WHERE geometry_wkb IS NOT NULL) SELECT event_id, CAST(({_X}) AS DOUBLE) AS xmin, CAST(({_X}) AS DOUBLE) AS xmax FROM z")
+def envelopes(j: DataFrame) -> DataFrame:
+    out = j.where("geometry_wkb IS NOT NULL").select("event_id", geometry.envelope("geometry_wkb").alias("e"))
+    return out.select("event_id", "e.xmin", "e.xmax")
+
+
+@query("rejected_events", "SELECT event_id, 'empty attributes_json' AS reason FROM journal WHERE event_id % 10 = 3")
+def rejected_events(j: DataFrame) -> DataFrame:
+    broken = j.withColumn("attributes_json", F.when(F.col("event_id") % 10 == 3, "").otherwise(F.col("attributes_json")))
+    return jr.split_valid(broken)[1].select("event_id", "reason")
+
+
+@query("registry", "SELECT datasource_fingerprint, provider_type, '/d/layer' || substr(layer_id_snapshot, 7) || '.gpkg|layername=l' AS source_uri, layer_name_snapshot AS layer_name, max(created_at) AS last_seen_at FROM journal GROUP BY ALL")
+def registry(j: DataFrame) -> DataFrame:
+    early, late = jr.journal_registry(j.where(F.col("created_at") < AT)), jr.journal_registry(j)
+    return jr.register_sources(early, late)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans, not the size of the cluster.
 RUNTIME_CONF = {
@@ -23,3 +23,14 @@ def build_session(app: str = "stratalog", master: str | None = None, shuffle_par
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once for all their uses, and the end of a long plan.
+
+    They are written to the folder that ``spark.checkpoint.dir`` names, which outlives executors; where none is set, they
+    are kept by the executors and computed again if lost.
+    """
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
