@@ -6,7 +6,7 @@ changes it: it gives a new state, and an outcome for every action.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
@@ -27,22 +27,34 @@ def _holds(now: Column, wanted: Column) -> Column:
     return F.forall(F.map_entries(wanted), lambda e: F.element_at(now, e["key"]).eqNullSafe(e["value"]) & F.map_contains_key(now, e["key"]))
 
 
+def update_targets(plan: DataFrame) -> DataFrame:
+    """Where the updates of a plan lead, per entity: ``_old`` (field -> its oldest old value), ``_move.g`` (oldest shape)."""
+    k, updates = order_key(), plan.where("compensation = 'UPDATE'")
+    shapes = updates.groupBy(*KEYS).agg(F.min_by(F.struct(F.col("geometry_wkb").alias("g")), F.when(F.col("geometry_wkb").isNotNull(), k)).alias("_move"))
+    cells = updates.select(*KEYS, k.alias("k"), F.explode(payload.changes()).alias("field", "v"))
+    cells = cells.groupBy(*KEYS, "field").agg(F.min_by(F.struct("v.old"), "k").alias("o"))
+    cells = cells.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("field", "o.old"))).alias("_old"))
+    return shapes.join(cells, KEYS, "left")
+
+
 def outcomes(state: DataFrame, events: DataFrame) -> DataFrame:
     """The actions of ``events`` (with ``entity``) and the ``outcome`` of each against ``state``.
 
-    An insert is needed unless the entity is there, a delete unless it is gone. An update is needed unless all its old
-    values hold, and refused where the entity is gone (and no action of the plan brings it back) or where neither its old
-    nor its new geometry is the present one.
+    An insert is needed unless the entity is there, a delete unless it is gone. Updates are needed unless the entity has
+    all the values that they lead to, and refused where it is gone (and no action of the plan brings it back) or where its
+    geometry, once the newer updates are undone, is neither the update's new one nor its old one.
     """
     plan = judged(events).where("compensation IS NOT NULL")
     now = state.select(*KEYS, F.col("attributes").alias("_now"), F.col("geometry_wkb").alias("_shape"), F.lit(True).alias("_there"))
     brought = plan.where("compensation = 'INSERT'").select(*KEYS).distinct().withColumn("_brought", F.lit(True))
-    met = plan.join(now, KEYS, "left").join(brought, KEYS, "left")
+    met = plan.join(now, KEYS, "left").join(brought, KEYS, "left").join(update_targets(plan), KEYS, "left")
     there, coming = F.coalesce("_there", F.lit(False)), F.coalesce("_brought", F.lit(False))
-    old = payload.old_attributes()
-    moved = F.col("geometry_wkb").isNotNull()
-    drift = moved & ~F.col("_shape").eqNullSafe(F.col("new_geometry_wkb")) & ~F.col("_shape").eqNullSafe(F.col("geometry_wkb"))
-    settled = _holds(F.col("_now"), old) & (~moved | F.col("_shape").eqNullSafe(F.col("geometry_wkb")))
+    moved = (F.col("compensation") == "UPDATE") & F.col("geometry_wkb").isNotNull()
+    newer = Window.partitionBy(*KEYS).orderBy("created_at", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    met = met.withColumn("_then", F.coalesce(F.first(F.when(moved, F.col("geometry_wkb")), ignorenulls=True).over(newer), F.col("_shape")))
+    drift = moved & ~F.col("_then").eqNullSafe(F.col("new_geometry_wkb")) & ~F.col("_then").eqNullSafe(F.col("geometry_wkb"))
+    none = F.create_map().cast("map<string,string>")
+    settled = _holds(F.coalesce("_now", none), F.coalesce("_old", none)) & (F.col("_move").isNull() | F.col("_shape").eqNullSafe(F.col("_move.g")))
     outcome = (
         F.when(F.col("compensation") == "INSERT", F.when(there, "skipped_idempotent").otherwise("applied"))
         .when(F.col("compensation") == "DELETE", F.when(there | coming, "applied").otherwise("skipped_idempotent"))
@@ -52,7 +64,7 @@ def outcomes(state: DataFrame, events: DataFrame) -> DataFrame:
         .when(drift, "failed_geometry_drift")
         .otherwise("applied")
     )
-    return met.withColumn("outcome", outcome).drop("_now", "_shape", "_there", "_brought")
+    return met.withColumn("outcome", outcome).drop("_now", "_shape", "_there", "_brought", "_then", "_old", "_move")
 
 
 def apply_plan(state: DataFrame, decided: DataFrame, strict: bool = True) -> DataFrame:
@@ -69,12 +81,8 @@ def apply_plan(state: DataFrame, decided: DataFrame, strict: bool = True) -> Dat
     whole = done.groupBy(*KEYS).agg(
         F.max(c == "DELETE").alias("_delete"),
         F.min_by(F.struct(payload.full_attributes().alias("a"), F.col("geometry_wkb").alias("g")), F.when(c == "INSERT", k)).alias("_insert"),
-        F.min_by(F.struct(F.col("geometry_wkb").alias("g")), F.when((c == "UPDATE") & F.col("geometry_wkb").isNotNull(), k)).alias("_move"),
     )
-    cells = done.where(c == "UPDATE").select(*KEYS, k.alias("k"), F.explode(payload.changes()).alias("field", "v"))
-    cells = cells.groupBy(*KEYS, "field").agg(F.min_by(F.struct("v.old"), "k").alias("o"))
-    cells = cells.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("field", "o.old"))).alias("_old"))
-    met = state.select(*KEYS, "attributes", "geometry_wkb", F.lit(True).alias("_there")).join(whole, KEYS, "full_outer").join(cells, KEYS, "left")
+    met = state.select(*KEYS, "attributes", "geometry_wkb", F.lit(True).alias("_there")).join(whole, KEYS, "full_outer").join(update_targets(done), KEYS, "left")
     none = F.create_map().cast("map<string,string>")
     base = F.coalesce(F.when(F.col("_there"), F.col("attributes")), F.col("_insert.a"), none)
     old = F.coalesce("_old", none)
