@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm import text as tx
@@ -100,6 +100,10 @@ DIGEST = pa.schema(
 DIGEST_SQL = "id long, n int, node long, parts array<int>, segment int, salt int, counts binary"
 POSTING = pa.schema([("ctx", pa.int64()), ("elem", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("near", pa.bool_())])
 POSTING_SQL = "ctx long, elem long, node long, n int, pos int, near boolean"
+#: Prefixes of differences also carry how many shingles the difference has in each part of the hash space: what the set
+#: has beyond its hub, then what it lacks.
+DEEP = pa.schema([*POSTING, ("parts", pa.list_(pa.int32()))])
+DEEP_SQL = f"{POSTING_SQL}, parts array<int>"
 SETS = pa.schema([("ctx", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("near", pa.bool_()), ("body", pa.binary()), ("lost", pa.binary())])
 SETS_SQL = "ctx long, node long, n int, near boolean, body binary, lost binary"
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), *SETS])
@@ -199,17 +203,21 @@ def _delta_prefixes(counts, percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in POSTING]
+            out, parts, repeats = [[] for _ in POSTING], [], []
             for ctx, node, n, near, blob, lost in zip(*(batch.column(f.name).to_pylist() for f in SETS), strict=True):
                 values = unbody(blob)
                 flags = np.unpackbits(np.frombuffer(lost, np.uint8), count=len(values))
                 order = np.argsort(flags.astype(np.int64) * 256 + rarity(counts.value, values), kind="stable")
                 order = order[: (100 - percent) * n // percent + 1]
                 m = len(order)
+                parts.append(np.bincount((values % np.uint64(PARTS)).astype(np.int64) + PARTS * flags, minlength=2 * PARTS))
+                repeats.append(m)
                 for column, x in zip(out, (np.full(m, ctx), tx.signed(values[order]), np.full(m, node), np.full(m, n), np.arange(m), np.full(m, near)), strict=True):
                     column.append(x)
             if out[0]:
-                yield _batch(POSTING, *[np.concatenate(x) for x in out])
+                flat = np.repeat(np.stack(parts), repeats, axis=0).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 2 * PARTS), pa.array(flat.reshape(-1)))
+                yield _batch(DEEP, *[np.concatenate(x) for x in out], lists)
 
     return run
 
@@ -245,7 +253,8 @@ def _verify(percent: int):
 
 
 def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int, full_list: int) -> DataFrame:
-    """Distinct pairs (ctx, a, b, hub) of a level, from its prefix lists."""
+    """Distinct pairs (ctx, a, b, hub) of a level, from its prefix lists; differences also pass the suffix filter."""
+    side = ["node", "n", "pos", *(["parts"] if level else [])]
     lists = (
         postings.groupBy("ctx", "elem")
         .agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("far"), F.min(F.struct("pos", "node")).alias("best"))
@@ -255,24 +264,30 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
     met = space.write(postings.join(lists, ["ctx", "elem"]), f"lists{level}")
     # Two sets near the same hub are in one component already, so one of each pair is far.
     short = met.where("NOT long")
-    far = short.where("NOT near").select("ctx", "elem", F.struct("node", "n", "pos").alias("x"))
-    pairs = far.join(short.select("ctx", "elem", "near", F.struct("node", "n", "pos").alias("y")), ["ctx", "elem"])
+    far = short.where("NOT near").select("ctx", "elem", F.struct(*side).alias("x"))
+    pairs = far.join(short.select("ctx", "elem", "near", F.struct(*side).alias("y")), ["ctx", "elem"])
     pairs = pairs.where(
         (F.col("near") | (F.col("x.node") < F.col("y.node")))
         & (F.col("x.node") != F.col("y.node"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         & ((F.col("x.pos") + F.col("y.pos")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
+        & (_apart("x.parts", "y.parts") * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")) if level else F.lit(True))
     ).select("ctx", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("hub"))
     long = met.where(F.col("long") & (F.col("node") != F.col("hub_node")))
     long = long.select("ctx", F.col("hub_node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
     return pairs.union(long).distinct()
 
 
+def _apart(a: str, b: str) -> Column:
+    """A lower bound of how many shingles are in one of two sets only, from their counts by part."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+
+
 def _suffix_filter(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that differ too much in how many shingles they have in some part of the hash space."""
     left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
     right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    apart = _apart("parts_a", "parts_b")
     met = pairs.join(left, "a").join(right, "b")
     return met.where(F.col("hub") | (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
 
@@ -331,7 +346,7 @@ def similar_groups(
         level += 1
         if not sets.limit(1).count():
             break
-        postings = sets.mapInArrow(_delta_prefixes(counts, percent), POSTING_SQL)
+        postings = sets.mapInArrow(_delta_prefixes(counts, percent), DEEP_SQL)
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
