@@ -39,29 +39,92 @@ MARKED = re.compile(
     r"toolbar|login|signup|search|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Class and id words that say how a page is laid out or what is switched on, and headings of an article; neither marks boilerplate.
+LAYOUT = re.compile(
+    r"(?<!\S)(?:has|no|with|without|hide|show)[_-]\S+|(?<!\S)\S+[_-](?:open|opened|closed|enabled|disabled)(?!\S)"
+    r"|(?<!\S)(?:post|entry|article|story|content|title|headline)[_-]*header(?!\S)",
+    re.I,
+)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies))(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
+#: A marked element with at least this share of the page's unlinked text is its content; one around an article needs the lesser share.
+MOST, SOME = 2 / 3, 1 / 4
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+class Region:
+    """An article, main or marked element of a page: what it stands in, and its text outside and inside links."""
+
+    def __init__(self, tag: str, outer: tuple[Region, ...], marked: bool, readers: bool) -> None:
+        self.tag, self.outer, self.marked, self.kept = tag, outer, marked, not marked
+        self.unlinked = self.linked = 0
+        nested = any(r.tag == "article" for r in outer)
+        self.is_article = tag == "main" or (tag == "article" and not nested)
+        #: Readers' own text under an article, which may be longer than it.
+        self.replies = nested and (readers or tag == "article")
+
+    def shown(self) -> bool:
+        return self.kept and all(r.kept for r in self.outer)
+
+
+def judge(regions: list[Region], unlinked: int) -> None:
+    """Sets ``kept`` of the marked regions, given in page order, of a page with so many characters outside links.
+
+    Kept are an article that is in no other, an element with most of the page's text, and one around an article with some
+    of it, as long as links are the lesser part of its text and no article that is shown stands outside it.
+    """
+    articles = [r for r in regions if r.is_article]
+    for r in articles:
+        r.kept = True
+    for r in regions:
+        if r.kept or r.replies or r.linked > r.unlinked or not all(o.kept for o in r.outer):
+            continue
+        if any(a.unlinked and r not in a.outer and a not in r.outer and a.shown() for a in articles):
+            continue
+        around = any(r in a.outer for a in articles)
+        r.kept = r.unlinked > 0 and r.unlinked >= (SOME if around else MOST) * unlinked
+
+
+def is_marked(label: str, inside: bool) -> bool:
+    """Whether a class or id is on the list; in an article or main, a header is a headline's, as the element ``header`` is."""
+    label = LAYOUT.sub(" ", label)
+    return bool(MARKED.search(HEADER.sub("", label) if inside else label))
+
+
 def blocks(page: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
     """(text, link characters, paths of the containers around it, outermost first) of every block not in boilerplate."""
-    stack: list[tuple[str, str, bool]] = []
+    regions: list[Region] = []
+    found = list(_parts(page, regions))
+    if any(r.marked for r in regions):
+        judge(regions, sum(len(t.strip()) for parts, _ in found for t, in_link, _ in parts if not in_link))
+    for parts, paths in found:
+        shown = [(text, in_link) for text, in_link, around in parts if all(r.kept for r in around)]
+        text = " ".join(entities.unescape("".join(text for text, _ in shown)).split())
+        if text:
+            yield text, sum(len(text.strip()) for text, in_link in shown if in_link), paths
+
+
+def _parts(page: str, regions: list[Region]) -> Iterator[tuple[list[tuple[str, bool, tuple[Region, ...]]], tuple[str, ...]]]:
+    """Each block's pieces (text, in a link, regions around it) and container paths; fills ``regions`` in page order."""
+    stack: list[tuple[str, str, bool, tuple[Region, ...]]] = []
     paths: list[str] = []
-    text: list[str] = []
-    skipped, links, in_link, at = 0, 0, 0, 0
+    parts: list[tuple[str, bool, tuple[Region, ...]]] = []
+    around: tuple[Region, ...] = ()
+    skipped, in_link, at = 0, 0, 0
 
-    def flush() -> Iterator[tuple[str, int, tuple[str, ...]]]:
-        nonlocal links
-        if text:
-            found = " ".join(entities.unescape("".join(text)).split())
-            text.clear()
-            if found:
-                yield found, links, tuple(paths)
-        links = 0
+    def add(part: str) -> None:
+        parts.append((part, in_link > 0, around))
+        n = len(part.strip())
+        for r in around:
+            if in_link:
+                r.linked += n
+            else:
+                r.unlinked += n
 
     def pop() -> None:
-        nonlocal skipped, in_link
-        tag, path, skip = stack.pop()
+        nonlocal skipped, in_link, around
+        tag, path, skip, around = stack.pop()
         skipped -= skip
         in_link -= tag == "a"
         if path:
@@ -69,17 +132,15 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not skipped:
-            part = page[at : m.start()]
-            text.append(part)
-            if in_link:
-                links += len(part.strip())
+            add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
-        if tag not in INLINE:
-            yield from flush()
+        if tag not in INLINE and parts:
+            yield parts, tuple(paths)
+            parts = []
         if m["end"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -105,7 +166,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
             for a in ATTRIBUTE.finditer(m["attrs"]):
                 named[(a[1] or a[5]).lower()] = a[2] or a[3] or a[4] or ""
         label = named.get("class", "")
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+        inside = any(r.tag in ("article", "main") for r in around)
         skip = (
             tag in BOILERPLATE
             or (tag == "header" and not inside)
@@ -113,22 +174,27 @@ def blocks(page: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
             or "hidden" in named
             or named.get("aria-hidden") == "true"
             or "display:none" in named.get("style", "").replace(" ", "").lower()
-            or (tag not in ("html", "body", "main", "header") and bool(MARKED.search(label) or MARKED.search(named.get("id", ""))))
         )
+        marked = tag not in ("html", "body", "main", "header") and (is_marked(label, inside) or is_marked(named.get("id", ""), inside))
+        outer = around
         path = ""
         if tag in CONTAINERS:
             general = ".".join(sorted(re.sub(r"\d+", "N", label.lower()).split()))
             path = (paths[-1] + "/" if paths else "") + (f"{tag}.{general}" if general else tag)
             paths.append(path)
         if not m["attrs"].endswith("/") or tag in CONTAINERS:
-            stack.append((tag, path, skip))
+            stack.append((tag, path, skip, outer))
+            if not skipped and not skip and (marked or tag in ("article", "main")):
+                regions.append(Region(tag, outer, marked, bool(READERS.search(f"{label} {named.get('id', '')}"))))
+                around = (*outer, regions[-1])
             skipped += skip
             in_link += tag == "a"
         elif path:
             paths.pop()
     if at < len(page) and not skipped:
-        text.append(page[at:])
-    yield from flush()
+        add(page[at:])
+    if parts:
+        yield parts, tuple(paths)
 
 
 def container_scores(page: str) -> dict[str, float]:
@@ -192,7 +258,8 @@ def extract_main_text(pages: DataFrame, space: Workspace, url: str = "url", html
     generalised; its score counts the text of its blocks, links against it. Paths' scores are summed over all pages of
     their host, and the best path of a host is the one from which all its pages are read again; a page without that path
     is read from its own best container. Menus, page headers, footers, asides, forms, scripts, styles, adverts, notices
-    and reader comments are left out by tag, role, class or id. White space in a block becomes one space, blocks are
+    and reader comments are left out by tag, role, class or id; a class or id decides only where the element is neither the
+    page's article nor around it nor holds most of the page's text (``judge``). White space in a block becomes one space, blocks are
     joined by one space in page order; nothing is cut.
 
     A null html gives an empty text; a null or odd url counts as one host without a name. Rows are kept one to one,

@@ -51,3 +51,29 @@ def test_unclosed_and_odd_markup():
     assert main_text("<body><article><p><b>One.<br><p>Two<i>x</i></article><footer>no", None) == "One. Twox"
     assert [b[0] for b in blocks('<div title="a>b">x</div><a href=y')] == ["x"]
     assert main_text("<p>" + "<div>" * 3000 + "deep", None) == "deep"
+
+
+def test_marked_wrappers_keep_their_article():
+    story, notice = "The river rose over the old bridge that night. " * 6, '<div class="cookie-notice">We use cookies.</div>'
+    article = f"<article><h1>High water</h1><p>{story}</p></article>"
+    want = f"High water {story.strip()}"
+    for page in (
+        f'<div class="layout has-sidebar">{article}</div>',
+        f'<div id="page" class="no-sidebar">{article}<div class="sidebar">Other things</div></div>',
+        f'<article class="post comments-open"><h1>High water</h1><p>{story}</p></article>',
+        f'<article class="post tag-search"><h1>High water</h1><p>{story}</p></article>',
+        f'<div class="search-page">{article}</div>',
+        f'<div class="search-page"><div class="text"><h1>High water</h1><p>{story}</p></div></div>',
+        f'<article><div class="post-header"><h1>High water</h1></div><p>{story}</p></article>',
+        f'<div class="post"><div class="entry-header"><h1>High water</h1></div><p>{story}</p></div>',
+    ):
+        got = " ".join(b[0] for b in blocks(f"<html><body>{notice}{page}<footer>Foot</footer></body></html>"))
+        assert got == want, page
+
+
+def test_marked_boilerplate_stays_out():
+    story = "The river rose over the old bridge. "
+    comments = f'<div id="comments"><article class="comment"><p>{"I was there and saw it. " * 40}</p></article></div>'
+    related = f'<section class="related"><article><a href="/x">{"Another story " * 30}</a></article></section>'
+    for page in (f"<main><article><p>{story}</p></article>{comments}</main>{related}", f"<article><p>{story}</p>{comments}</article>{related}", f'<div><p>{story * 30}<span class="share">Share</span></p></div>{related}'):
+        assert {b[0] for b in blocks(f"<body>{page}</body>")} <= {story.strip(), (story * 30).strip()}, page
