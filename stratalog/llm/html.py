@@ -197,34 +197,97 @@ def _parts(page: str, regions: list[Region]) -> Iterator[tuple[list[tuple[str, b
         yield parts, tuple(paths)
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Each container path's score: characters of its own blocks without links, half of them for the container around."""
-    scores: dict[str, float] = defaultdict(float)
-    for text, links, paths in blocks(page):
+#: An article stands for its page from this share of the page's text; a container below it is left for the one around.
+ARTICLE_SHARE, HELD = 1 / 3, 1 / 2
+#: Body is taken for containers in it alone only where they leave more than this share of its text out.
+OUTSIDE = 1 / 5
+#: Added text may have this share in links. A host's path is not read where it has less than this share of the page's own best.
+LINKED, SMALL = 1 / 3, 1 / 3
+
+
+class Container:
+    """What stands in the containers of one path: characters, of them in links, and their worth, in all and in own blocks."""
+
+    __slots__ = ("length", "linked", "own", "score", "worth")
+
+    def __init__(self) -> None:
+        self.length = self.linked = 0
+        self.worth = self.own = self.score = 0.0
+
+
+def containers(found: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, Container]:
+    """By path; the empty one has the whole page. A block's worth is its characters without links."""
+    by_path: dict[str, Container] = defaultdict(Container)
+    for text, links, paths in found:
         worth = max(0.0, len(text) - 2.0 * links)
+        around = ("", *paths)
+        for path in around:
+            c = by_path[path]
+            c.length += len(text)
+            c.linked += links
+            c.worth += worth
+        by_path[around[-1]].own += worth
         for path, share in zip(paths[:-3:-1], (1.0, 0.5), strict=False):
-            scores[path] += worth * share
-    return scores
+            by_path[path].score += worth * share
+    return by_path
+
+
+def tag_of(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def best_container(found: list[tuple[str, int, tuple[str, ...]]]) -> tuple[str, float]:
+    """Path and worth of the outermost container that has the page's text without its links; an empty path is the page.
+
+    It starts at the best article, where that has a fair share of the text, or else at the container with most text in
+    its own blocks and half as much for its children's, and goes outwards as long as unlinked text is added. An article
+    or main that has most of the text around it is not left, nor is a container for a body that adds little beside it.
+    """
+    by_path = containers(found)
+    chains = {}
+    for _, _, paths in found:
+        for k, path in enumerate(paths):
+            chains.setdefault(path, ("", *paths[:k]))
+    if not chains:
+        return "", by_path[""].worth if found else 0.0
+    outermost = [p for p, chain in chains.items() if tag_of(p) == "article" and not any(tag_of(q) == "article" for q in chain)]
+    at = max(outermost, key=lambda p: (by_path[p].worth, p), default="")
+    if not at or by_path[at].worth < ARTICLE_SHARE * by_path[""].worth:
+        at = max(chains, key=lambda p: (by_path[p].score, p))
+    for path in chains[at][::-1]:
+        here, there = by_path[at], by_path[path]
+        added = there.worth - here.worth
+        if added <= 0:
+            continue
+        if there.linked - here.linked > LINKED * (there.length - here.length):
+            break
+        if tag_of(at) in ("article", "main") and here.worth >= HELD * there.worth:
+            break
+        if tag_of(path) in ("", "body") and not there.own and added <= OUTSIDE * there.worth:
+            break
+        at = path
+    return at, by_path[at].worth
 
 
 def main_text(page: str, wanted: str | None) -> str:
-    """Blocks of all containers on the path ``wanted``; of the page's best container, where there is none."""
+    """Blocks of all containers on the path ``wanted``; of the page's best container, where they have little beside it."""
     found = list(blocks(page))
-    here = [text for text, _, paths in found if wanted in paths] if wanted else []
-    if not here:
-        scores = container_scores(page)
-        best = max(scores, key=lambda p: (scores[p], p)) if scores else None
-        here = [text for text, _, paths in found if best is None or best in paths]
-    return " ".join(here)
+    best, worth = best_container(found)
+    if wanted:
+        here = [(text, links) for text, links, paths in found if wanted in paths]
+        if here and sum(max(0.0, len(text) - 2.0 * links) for text, links in here) >= SMALL * worth:
+            return " ".join(text for text, _ in here)
+    return " ".join(text for text, _, paths in found if not best or best in paths)
 
 
 def _votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: dict[tuple[str, str], list] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for path, score in container_scores(page or "").items():
+            path, worth = best_container(list(blocks(page or "")))
+            if path:
                 vote = total.setdefault((host, path), [0.0, 0])
-                vote[0] += score
+                vote[0] += worth
                 vote[1] += 1
         yield pa.RecordBatch.from_pydict(
             {
@@ -255,9 +318,10 @@ def extract_main_text(pages: DataFrame, space: Workspace, url: str = "url", html
     """One row per row of ``pages``: key, url, text, n_chars.
 
     Every container (article, main, section, div, td, body, blockquote) of a page has a path of tags and classes, numbers
-    generalised; its score counts the text of its blocks, links against it. Paths' scores are summed over all pages of
-    their host, and the best path of a host is the one from which all its pages are read again; a page without that path
-    is read from its own best container. Menus, page headers, footers, asides, forms, scripts, styles, adverts, notices
+    generalised. Each page votes for its outermost container that still adds unlinked text (``best_container``) with the
+    worth of that text, links against it. Votes are summed over all pages of their host, and the best path of a host is
+    the one from which all its pages are read again; a page where that path has little of the text is read from its own
+    best container. Menus, page headers, footers, asides, forms, scripts, styles, adverts, notices
     and reader comments are left out by tag, role, class or id; a class or id decides only where the element is neither the
     page's article nor around it nor holds most of the page's text (``judge``). White space in a block becomes one space, blocks are
     joined by one space in page order; nothing is cut.

@@ -77,3 +77,26 @@ def test_marked_boilerplate_stays_out():
     related = f'<section class="related"><article><a href="/x">{"Another story " * 30}</a></article></section>'
     for page in (f"<main><article><p>{story}</p></article>{comments}</main>{related}", f"<article><p>{story}</p>{comments}</article>{related}", f'<div><p>{story * 30}<span class="share">Share</span></p></div>{related}'):
         assert {b[0] for b in blocks(f"<body>{page}</body>")} <= {story.strip(), (story * 30).strip()}, page
+
+
+def test_text_in_nested_containers_is_read_with_its_lead():
+    long = lambda w: f"{w} of the long river. " * 50
+    foot = '<div class="legal">All rights reserved.</div>'
+    pages = {
+        "article": f"<article><h1>T</h1><p>lead</p><section>{long('One')}</section><section>{long('Two')}</section></article>{foot}",
+        "table": f'<div class="post"><h1>T</h1><p>lead</p><table><tr><td>{long("One")}</td><td>{long("Two")}</td></tr></table></div>{foot}',
+        "quote": f'<div class="post"><h1>T</h1><p>lead</p><blockquote>{long("One")}</blockquote><div class="text"><div>{long("Two")}</div></div></div>{foot}',
+    }
+    for page in pages.values():
+        for wanted in (None, "body/article", "body/div.post"):
+            assert main_text(f"<body>{page}</body>", wanted) == f"T lead {long('One').strip()} {long('Two').strip()}", page
+    layout = f'<table><tr><td class="left">{"<p><a href=/x>Linked page</a></p>" * 9}</td><td class="text"><p>{long("One")}</p></td></tr></table>'
+    assert main_text(f"<body>{layout}</body>", None) == long("One").strip()
+
+
+def test_page_of_another_template_on_the_host(spark):
+    story = "The river rose over the old bridge. " * 30
+    rows = [(i, f"http://h.org/{i}", f"<body><div><h1>T{i}</h1><p>{story}</p></div></body>") for i in range(20)]
+    rows.append((99, "http://h.org/x", f"<body><div>Small note.</div><article><h1>X</h1><section><p>{story}</p></section></article></body>"))
+    got = {r.page_id: r.text for r in extract_main_text(frame(spark, rows), Workspace(spark, "t")).collect()}
+    assert got == {i: f"T{i} {story.strip()}" for i in range(20)} | {99: f"X {story.strip()}"}
