@@ -64,6 +64,29 @@ def block_quotas(strata: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+def balance(quotas: DataFrame) -> DataFrame:
+    """Corrects ``tokens`` of rows (s, of, target, most_tokens, tokens) so that they sum to each source's target.
+
+    What the shards' deals left over of a source is shared among its shards by the room that they still have up to
+    ``most_tokens``; what they took too much is taken back by what they took. Running sums over the source's shards in
+    order are rounded, so the remainder is carried on and nothing is lost, however small a source's part in a shard is.
+    """
+    source = Window.partitionBy("of")
+    upto = source.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.least(F.floor(F.col("target") + 0.5), F.sum("most_tokens").over(source)) - F.sum("tokens").over(source)
+    room = F.when(F.col("left") > 0, F.col("most_tokens") - F.col("tokens")).otherwise(F.col("tokens"))
+    shared = lambda until: F.floor(F.col("left") * (until / F.col("rooms")) + 0.5)
+    change = F.when(F.col("rooms") > 0, shared(F.col("until")) - shared(F.col("until") - F.col("room"))).otherwise(0)
+    return (
+        quotas.withColumn("left", left)
+        .withColumn("room", room)
+        .withColumn("rooms", F.sum("room").over(source))
+        .withColumn("until", F.sum("room").over(upto))
+        .withColumn("tokens", F.greatest(F.lit(0), F.least("most_tokens", F.col("tokens") + change)).cast("long"))
+        .drop("left", "room", "rooms", "until")
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     space: Workspace,
@@ -77,14 +100,16 @@ def mix_sources(
 
     ``size`` is the words of the whole text (null: 0). Documents are dealt into shards by a seeded hash of their id; the
     budget of a shard is cut into equal blocks of tokens, which Sainte-Lague deals to its sources in proportion to their
-    targets there. A source's documents in a shard stand in a seeded order as one line of tokens; its quota of blocks is
+    targets there. What a source's deals leave over or take too much against its target over the whole table is balanced
+    between its shards (``balance``), so each source gets its target to the token. A source's documents in a shard stand in a seeded order as one line of tokens; its quota of blocks is
     taken from the line's start, going round again when it ends, so each document gives at most ``most`` times its size.
 
     A null source is a source of its own, in last place. Empty texts give 0. Rows that repeat an id are taken each on its
     own. Reruns agree, as order and shards come from hashes of ids. Extra columns are ignored; an empty table gives none.
 
     Plan: texts are read once to a narrow table. Windows run over one source in one shard, some hundreds of rows however
-    large a source is; quotients are at most two a document.
+    large a source is; quotients are at most two a document. To balance, a source has one narrow row for each shard, some
+    two-thousandth of its documents.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = space.write(docs.select("doc_id", "source", size.alias("size")), "sizes")
@@ -112,12 +137,12 @@ def mix_sources(
             "source_size",
             "target",
             "stratum",
-            F.least(
-                F.floor(F.coalesce("quota", F.lit(0)) * F.col("block") + 0.5).cast("long"),
-                F.floor(F.col("stratum") * F.lit(float(most))).cast("long"),
-            ).alias("tokens"),
+            F.floor(F.coalesce("quota", F.lit(0)) * F.col("block") + 0.5).cast("long").alias("dealt"),
+            F.floor(F.col("stratum") * F.lit(float(most))).cast("long").alias("most_tokens"),
         )
+        .withColumn("tokens", F.least("dealt", "most_tokens"))
     )
+    quotas = balance(quotas)
     line = Window.partitionBy("shard", "source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     placed = dealt.withColumn("until", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     joined = placed.join(quotas, (F.col("shard") == F.col("s")) & F.col("source").eqNullSafe(F.col("of")))

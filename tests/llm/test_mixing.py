@@ -1,7 +1,9 @@
 import itertools
 from collections import defaultdict
 
-from stratalog.llm.mixing import block_quotas, mix_sources
+from pyspark.sql import functions as F
+
+from stratalog.llm.mixing import balance, block_quotas, mix_sources
 from stratalog.llm.shared import Workspace
 
 from .helpers import docs_frame, words
@@ -61,3 +63,21 @@ def test_repeated_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", "x")]
     got = mix_sources(docs_frame(spark, rows), Workspace(spark, "t")).collect()
     assert len(got) == 3 and all(r.taken <= 2 * r.size for r in got)
+
+
+def test_rare_sources_get_their_targets_over_many_shards(spark):
+    rows = [(i, "w " * 400, f"s{i % 3}") for i in range(12_000)]
+    rows += [(50_000 + i, "v " * 20, "rare") for i in range(5)] + [(60_000 + i, "v " * 10, f"tail{i}") for i in range(40)]
+    got = mix_sources(docs_frame(spark, rows), Workspace(spark, "t"))
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(sums) == 44
+    for r in sums:
+        assert abs(r.taken - r.target) <= 1, r
+    assert got.where("taken > 2 * size OR taken < 0").count() == 0
+
+
+def test_balance_carries_remainders(spark):
+    frame = lambda target, tokens: spark.createDataFrame([(k, None, target, 3, t) for k, t in enumerate(tokens)], "s int, of string, target double, most_tokens long, tokens long")
+    for target, tokens in ((10.0, [0] * 40), (119.6, [0, 3, 1, 2] * 10), (7.0, [3, 2] * 20), (0.2, [1, 0])):
+        found = [r.tokens for r in balance(frame(target, tokens)).collect()]
+        assert sum(found) == int(target + 0.5) and all(0 <= t <= 3 for t in found)
