@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from stratalog.llm.licenses import TEMPLATES, scan_licenses
+from stratalog.llm.licenses import TEMPLATES, licence_bodies, scan_licenses
 from stratalog.llm.shared import Workspace
 
 FILLER = "some plain prose about rivers and hills that goes on for quite a while without any statement"
@@ -67,3 +67,24 @@ def test_matches_brute_force(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, path string, text string")
     assert scan_licenses(frame, Workspace(spark, "t")).count() == 0
+
+
+def test_whole_and_wrapped_licences(spark):
+    bodies = {name: texts[0] for name, texts in licence_bodies().items()}
+    rows = [(k, f"{name}/LICENSE", text.replace("<year>", "2021").replace("<copyright holders>", "Jo Doe")) for k, (name, text) in enumerate(bodies.items())]
+    rows += [(100 + k, f"{name}/src/x", FILLER) for k, name in enumerate(bodies)]
+    notice = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    code = "\n".join(f"value{i} = compute(river{i}, hill{i})" for i in range(60))
+    comment = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.split("\n"))
+    wrapped = {200: comment(notice, "#"), 201: comment(notice, " *"), 202: f"/*\n{notice}\n*/\n", 203: notice + "\n\n", 204: f"// short\n{comment(notice, '//')}"}
+    rows += [(k, f"code/{k}", t + code) for k, t in wrapped.items()]
+    rows += [(300, "code/300", comment(bodies["MIT"], "//") + code), (301, "code/301", f"{code}\n\n{FILLER}\n{FILLER}")]
+    rows += [(1000 + i, f"m/{i}", f"{FILLER} {i}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    by = {r.doc_id: r for r in scan_licenses(frame, Workspace(spark, "t")).collect()}
+    for k, name in enumerate(bodies):
+        assert (by[k].own_license, by[k].license_file) == (name, True), (name, by[k])
+        assert (by[100 + k].license, by[100 + k].inherited_from) == (name, name)
+    assert {k: by[k].own_license for k in wrapped} == dict.fromkeys(wrapped, "GPL-3.0")
+    assert not any(by[k].license_file for k in wrapped)
+    assert by[300].own_license == "MIT" and by[301].license is None
