@@ -45,11 +45,25 @@ def chunk_dictionary(recipes: DataFrame) -> DataFrame:
     )
 
 
+def recipe_groups(listed: DataFrame, keep: str = "max", by: list[str] | None = None) -> DataFrame:
+    """Recipes of two rows or more: ``group_size``, ``keep_id``, and ``confirmed``: whether all have one ``text_sha256``."""
+    best = F.max if keep == "max" else F.min
+    return (
+        listed.groupBy(*(by or ["recipe"]))
+        .agg(
+            F.count("*").alias("group_size"),
+            best("key").alias("keep_id"),
+            (F.min(listed["text_sha256"]) == F.max(listed["text_sha256"])).alias("confirmed"),
+        )
+        .where("group_size > 1")
+    )
+
+
 def exact_groups(docs: DataFrame, space: Workspace, text: str = "text", key: str = "doc_id", keep: str = "max") -> DataFrame:
     """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their ordered lists of verified chunk identifiers are, confirmed by the SHA-256 of the whole
-    text. Of equal texts the row with the largest key (``keep="max"``) or the smallest stays. Were an identifier to stand
+    Texts are equal when their ordered lists of verified chunk identifiers are; rows are grouped by these alone, and the
+    SHA-256 of the whole text checks each group afterwards (were one not confirmed, it would group rows too). Of equal texts the row with the largest key (``keep="max"``) or the smallest stays. Were an identifier to stand
     for two contents, lists would be compared with their proofs instead.
 
     A null text equals the empty one. Null keys lose to all others; if all keys of a group are null, all its rows stay.
@@ -63,15 +77,14 @@ def exact_groups(docs: DataFrame, space: Workspace, text: str = "text", key: str
     shared = chunk_dictionary(recipes).where("NOT verified").limit(1).count() > 0
     brief = F.transform("chunks", lambda c: c if shared else F.struct(c["id"].alias("id")))
     listed = recipes.select("key", "text_sha256", brief.alias("recipe"))
-    best = F.max if keep == "max" else F.min
-    groups = (
-        listed.groupBy("text_sha256", "recipe")
-        .agg(F.count("*").alias("group_size"), best("key").alias("keep_id"))
-        .where("group_size > 1")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
+    groups = space.write(recipe_groups(listed, keep), "groups")
+    on = ["recipe"]
+    if groups.where("NOT confirmed").limit(1).count():
+        on = ["recipe", "text_sha256"]
+        groups = recipe_groups(listed, keep, on)
+    groups = groups.drop("confirmed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = listed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return rows.join(groups, ["text_sha256", "recipe", "salt"], "left").select(
+    return rows.join(groups, [*on, "salt"], "left").select(
         F.col("key").alias(key),
         F.coalesce("keep_id", "key").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from stratalog.llm.exact import CHUNK_PATTERN, chunk_dictionary, chunk_recipes, exact_groups
+from pyspark.sql import functions as F
+
+from stratalog.llm import exact
+from stratalog.llm.exact import CHUNK_PATTERN, chunk_dictionary, chunk_recipes, exact_groups, recipe_groups
 from stratalog.llm.shared import Workspace
 
 from .helpers import docs_frame
@@ -44,3 +47,13 @@ def test_chunks_cover_texts_and_follow_content(spark):
 
 def test_empty_table(spark):
     assert exact_groups(docs_frame(spark, []), Workspace(spark, "t")).count() == 0
+
+
+def test_recipes_decide_and_hashes_confirm(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "h1", [1, 2]), (2, "h1", [1, 2]), (3, "h1", [2, 1]), (4, "h2", [2, 1]), (5, "h3", [])], "key long, text_sha256 string, recipe array<long>")
+    got = {tuple(r.recipe): (r.group_size, r.keep_id, r.confirmed) for r in recipe_groups(rows).collect()}
+    assert got == {(1, 2): (2, 2, True), (2, 1): (2, 4, False)}
+    texts = [(1, "same", "s"), (2, "same", "s"), (3, "other", "s"), (4, "", "s")]
+    recipes = chunk_recipes(docs_frame(spark, texts))
+    monkeypatch.setattr(exact, "chunk_recipes", lambda *_: recipes.withColumn("chunks", F.slice("chunks", 1, 0)))
+    assert sorted(map(str, map(tuple, exact_groups(docs_frame(spark, texts), Workspace(spark, "t")).collect()))) == brute(texts)
