@@ -134,7 +134,8 @@ class Phrases:
         data = tx.LOWER[data]
         start, end, row = tx.split_words(data, offsets, tx.ALNUM)
         hashes = tx.hash_spans(data, start, end)
-        self.vocabulary = np.unique(hashes)
+        self.vocabulary, firsts = np.unique(hashes, return_index=True)
+        self.seconds = tx.hash_spans(data, start[firsts], end[firsts], 1)
         symbols = np.searchsorted(self.vocabulary, hashes) + 1
         self.names = sorted({i for i, _ in items})
         name = {x: k for k, x in enumerate(self.names)}
@@ -164,6 +165,9 @@ def _hits(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.n
     place = np.searchsorted(phrases.vocabulary, hashes)
     place[place == len(phrases.vocabulary)] = 0
     known = phrases.vocabulary[place] == hashes if len(phrases.vocabulary) else np.zeros(len(hashes), bool)
+    # A word of the benchmark has both of its fingerprints.
+    at = np.flatnonzero(known)
+    known[at] = phrases.seconds[place[at]] == tx.hash_spans(data, start[at], end[at], 1)
     symbols = np.where(known, place + 1, 0)
     # A break after each row, so that no phrase crosses rows.
     spread = np.zeros(len(symbols) + len(offsets) - 1, np.int64)
@@ -192,10 +196,11 @@ def _hits(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.n
     return row, hit, pair // len(phrases.names), pair % len(phrases.names)
 
 
-def _search(phrases: Phrases, text: str, added: list[str]):
+def _search(shared, text: str, added: list[str]):
     """Adds words, merged spans and item names to the rows of Arrow batches, shard by shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
         names = np.array(phrases.names, object)
         for batch in batches:
             data, offsets = tx.column_bytes(batch.column(text))
@@ -245,15 +250,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; rows are kept one to one, in place,
     repeated rows included. Columns of ``docs`` that bear one of the added names are replaced.
 
-    Plan: no shuffle. Phrases go to the tasks in blocks of ``block_bytes`` of benchmark text; a larger benchmark takes
-    more passes over the same rows, not more memory. A shard's index lives in one task and is rebuilt if that is lost.
+    A text longer than a shard is a shard of its own, whole.
+
+    Plan: no shuffle. Phrases are broadcast in blocks of ``block_bytes`` of benchmark text, so the driver and each task
+    hold one block at a time (broadcasts wait on disk); a larger benchmark takes more passes over the same rows. A
+    shard's index lives in one task and is rebuilt if that is lost.
     """
     added = ["n_words", "hit_spans", "hit_items"]
     base = docs.select(*[c for c in docs.columns if c not in added])
     kinds = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T._parse_datatype_string(SPANS)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
     schema = T.StructType([*base.schema.fields, *kinds])
     found = None
-    for phrases in phrase_blocks(benchmark, width, block_bytes):
+    for block in phrase_blocks(benchmark, width, block_bytes):
+        phrases = docs.sparkSession.sparkContext.broadcast(block)
         if found is None:
             found = base.mapInArrow(_search(phrases, text, added), schema)
             continue

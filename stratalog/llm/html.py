@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -31,6 +32,9 @@ INLINE = frozenset(
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+CLOSABLE = frozenset({"p"}.union(*CLOSES.values()))
+#: Elements beyond which a start tag ends nothing.
+SCOPES = CONTAINERS | frozenset("ul ol table dl".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 BOILERPLATE = frozenset("nav footer aside form button select head title menu dialog object audio video canvas".split())
 MARKED = re.compile(
@@ -56,34 +60,52 @@ HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 class Region:
     """An article, main or marked element of a page: what it stands in, and its text outside and inside links."""
 
-    def __init__(self, tag: str, outer: tuple[Region, ...], marked: bool, readers: bool) -> None:
+    __slots__ = ("tag", "outer", "marked", "kept", "unlinked", "linked", "inside", "nested", "is_article", "replies", "around", "open", "above")
+
+    def __init__(self, tag: str, outer: Region | None, marked: bool, readers: bool) -> None:
         self.tag, self.outer, self.marked, self.kept = tag, outer, marked, not marked
-        self.unlinked = self.linked = 0
-        nested = any(r.tag == "article" for r in outer)
+        self.unlinked = self.linked = self.above = 0
+        nested = outer is not None and outer.nested
+        self.nested = nested or tag == "article"
+        self.inside = tag in ("article", "main") or (outer is not None and outer.inside)
         self.is_article = tag == "main" or (tag == "article" and not nested)
         #: Readers' own text under an article, which may be longer than it.
         self.replies = nested and (readers or tag == "article")
-
-    def shown(self) -> bool:
-        return self.kept and all(r.kept for r in self.outer)
+        self.around, self.open = False, True
 
 
 def judge(regions: list[Region], unlinked: int) -> None:
-    """Sets ``kept`` of the marked regions, given in page order, of a page with so many characters outside links.
+    """Sets ``kept`` and ``open`` (all outer ones are kept) of regions, given in page order, of a page with so many
+    characters outside links.
 
     Kept are an article that is in no other, an element with most of the page's text, and one around an article with some
-    of it, as long as links are the lesser part of its text and no article that is shown stands outside it.
+    of it, as long as links are the lesser part of its text and no article that is shown stands outside it. An outer
+    region is judged before those in it, so one walk inwards and one outwards do, however deep they are.
     """
-    articles = [r for r in regions if r.is_article]
-    for r in articles:
-        r.kept = True
+    for r in reversed(regions):
+        if r.outer:
+            r.outer.unlinked += r.unlinked
+            r.outer.linked += r.linked
+            r.outer.around |= r.around or r.is_article
+    walls: dict[Region, Region | None] = {}
+    waiting: dict[Region, int] = defaultdict(int)
+    shown = 0
     for r in regions:
-        if r.kept or r.replies or r.linked > r.unlinked or not all(o.kept for o in r.outer):
-            continue
-        if any(a.unlinked and r not in a.outer and a not in r.outer and a.shown() for a in articles):
+        r.kept |= r.is_article
+        wall = walls[r] = r if not r.kept else walls[r.outer] if r.outer else None
+        if r.is_article and r.unlinked:
+            if wall:
+                waiting[wall] += 1
+            else:
+                shown += 1
+    for r in regions:
+        if r.outer:
+            r.open = r.outer.open and r.outer.kept
+            r.above = r.outer.above + (r.outer.is_article and r.outer.unlinked > 0)
+        if r.kept or r.replies or r.linked > r.unlinked or not r.open or shown > r.above:
             continue
-        around = any(r in a.outer for a in articles)
-        r.kept = r.unlinked > 0 and r.unlinked >= (SOME if around else MOST) * unlinked
+        r.kept = r.unlinked > 0 and r.unlinked >= (SOME if r.around else MOST) * unlinked
+        shown += waiting[r] if r.kept else 0
 
 
 def is_marked(label: str, inside: bool) -> bool:
@@ -92,43 +114,104 @@ def is_marked(label: str, inside: bool) -> bool:
     return bool(MARKED.search(HEADER.sub("", label) if inside else label))
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, tuple[str, ...]]]:
-    """(text, link characters, paths of the containers around it, outermost first) of every block not in boilerplate."""
+class Box:
+    """A container of a page: its path, what it stands in, and the text of its own blocks, then of all in it."""
+
+    __slots__ = ("tag", "path", "outer", "nested", "length", "linked", "worth", "own", "wanted")
+
+    def __init__(self, segment: str, outer: Box | None) -> None:
+        self.tag, self.outer = segment.partition(".")[0], outer
+        self.path = inner_path(outer.path if outer else "", segment)
+        #: Whether an article stands around it.
+        self.nested = outer is not None and (outer.nested or outer.tag == "article")
+        self.length = self.linked = 0
+        self.worth = self.own = 0.0
+        self.wanted = False
+
+
+def inner_path(outer: str, segment: str) -> str:
+    """The path of a container in one of path ``outer``: a digest of all tags and classes from the outside, and the last."""
+    return f"{hashlib.blake2b(f'{outer}/{segment}'.encode('utf-8', 'replace'), digest_size=9).hexdigest()} {segment}"
+
+
+def container_path(segments: str) -> str:
+    """The path of the innermost of containers such as ``body/div.post``."""
+    path = ""
+    for segment in segments.split("/"):
+        path = inner_path(path, segment)
+    return path
+
+
+Block = tuple[str, int, "Box | None"]
+
+
+def read(page: str) -> tuple[list[Block], list[Box]]:
+    """(text, link characters, container) of every block not in boilerplate, and all containers, outer ones first."""
     regions: list[Region] = []
-    found = list(_parts(page, regions))
+    boxes: list[Box] = []
+    found = list(_parts(page, regions, boxes))
     if any(r.marked for r in regions):
         judge(regions, sum(len(t.strip()) for parts, _ in found for t, in_link, _ in parts if not in_link))
-    for parts, paths in found:
-        shown = [(text, in_link) for text, in_link, around in parts if all(r.kept for r in around)]
+    blocks = []
+    for parts, box in found:
+        shown = [(text, in_link) for text, in_link, region in parts if region is None or (region.open and region.kept)]
         text = " ".join(entities.unescape("".join(text for text, _ in shown)).split())
         if text:
-            yield text, sum(len(text.strip()) for text, in_link in shown if in_link), paths
+            blocks.append((text, sum(len(text.strip()) for text, in_link in shown if in_link), box))
+    return blocks, boxes
+
+
+def blocks(page: str) -> list[Block]:
+    return read(page)[0]
 
 
-def _parts(page: str, regions: list[Region]) -> Iterator[tuple[list[tuple[str, bool, tuple[Region, ...]]], tuple[str, ...]]]:
-    """Each block's pieces (text, in a link, regions around it) and container paths; fills ``regions`` in page order."""
-    stack: list[tuple[str, str, bool, tuple[Region, ...]]] = []
-    paths: list[str] = []
-    parts: list[tuple[str, bool, tuple[Region, ...]]] = []
-    around: tuple[Region, ...] = ()
+def _parts(page: str, regions: list[Region], boxes: list[Box]) -> Iterator[tuple[list[tuple[str, bool, Region | None]], Box | None]]:
+    """Each block's pieces (text, in a link, innermost region) and innermost container; fills ``regions`` and ``boxes`` in
+    page order.
+
+    Open elements are found by tag in lists of places on the stack, so a tag costs the same however deep it stands.
+    """
+    stack: list[tuple[str, bool, Region | None, Box | None]] = []
+    opens: dict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    scopes: list[tuple[int, dict[str, list[int]]]] = [(-1, defaultdict(list))]
+    parts: list[tuple[str, bool, Region | None]] = []
+    region: Region | None = None
+    box: Box | None = None
     skipped, in_link, at = 0, 0, 0
 
     def add(part: str) -> None:
-        parts.append((part, in_link > 0, around))
-        n = len(part.strip())
-        for r in around:
+        parts.append((part, in_link > 0, region))
+        if region:
             if in_link:
-                r.linked += n
+                region.linked += len(part.strip())
             else:
-                r.unlinked += n
-
-    def pop() -> None:
-        nonlocal skipped, in_link, around
-        tag, path, skip, around = stack.pop()
-        skipped -= skip
-        in_link -= tag == "a"
-        if path:
-            paths.pop()
+                region.unlinked += len(part.strip())
+
+    def push(tag: str, skip: bool) -> None:
+        place = len(stack)
+        stack.append((tag, skip, region, box))
+        opens[tag].append(place)
+        if tag not in INLINE:
+            block_at.append(place)
+        if tag in CLOSABLE:
+            scopes[-1][1][tag].append(place)
+        if tag in SCOPES:
+            scopes.append((place, defaultdict(list)))
+
+    def close(depth: int) -> None:
+        nonlocal skipped, in_link, region, box
+        while len(stack) > depth:
+            tag, skip, region, box = stack.pop()
+            opens[tag].pop()
+            if tag not in INLINE:
+                block_at.pop()
+            if tag in SCOPES:
+                scopes.pop()
+            if tag in CLOSABLE:
+                scopes[-1][1][tag].pop()
+            skipped -= skip
+            in_link -= tag == "a"
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not skipped:
@@ -139,34 +222,27 @@ def _parts(page: str, regions: list[Region]) -> Iterator[tuple[list[tuple[str, b
             continue
         tag = tag.lower()
         if tag not in INLINE and parts:
-            yield parts, tuple(paths)
+            yield parts, box
             parts = []
         if m["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            places = opens.get(tag)
+            if places and not (tag in INLINE and block_at and block_at[-1] > places[-1]):
+                close(places[-1])
             continue
         if tag in VOID:
             continue
         ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
         if ends:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if stack[depth][0] in CONTAINERS or stack[depth][0] in ("ul", "ol", "table", "dl"):
-                    break
+            owner, inner = scopes[-1]
+            depth = max((inner[t][-1] for t in ends if inner.get(t)), default=owner if owner >= 0 and stack[owner][0] in ends else -1)
+            if depth >= 0:
+                close(depth)
         named = {}
         if m["attrs"]:
             for a in ATTRIBUTE.finditer(m["attrs"]):
                 named[(a[1] or a[5]).lower()] = a[2] or a[3] or a[4] or ""
         label = named.get("class", "")
-        inside = any(r.tag in ("article", "main") for r in around)
+        inside = region is not None and region.inside
         skip = (
             tag in BOILERPLATE
             or (tag == "header" and not inside)
@@ -176,25 +252,21 @@ def _parts(page: str, regions: list[Region]) -> Iterator[tuple[list[tuple[str, b
             or "display:none" in named.get("style", "").replace(" ", "").lower()
         )
         marked = tag not in ("html", "body", "main", "header") and (is_marked(label, inside) or is_marked(named.get("id", ""), inside))
-        outer = around
-        path = ""
-        if tag in CONTAINERS:
-            general = ".".join(sorted(re.sub(r"\d+", "N", label.lower()).split()))
-            path = (paths[-1] + "/" if paths else "") + (f"{tag}.{general}" if general else tag)
-            paths.append(path)
         if not m["attrs"].endswith("/") or tag in CONTAINERS:
-            stack.append((tag, path, skip, outer))
+            push(tag, skip)
+            if tag in CONTAINERS:
+                general = ".".join(sorted(re.sub(r"\d+", "N", label.lower()).split()))
+                box = Box(f"{tag}.{general}" if general else tag, box)
+                boxes.append(box)
             if not skipped and not skip and (marked or tag in ("article", "main")):
-                regions.append(Region(tag, outer, marked, bool(READERS.search(f"{label} {named.get('id', '')}"))))
-                around = (*outer, regions[-1])
+                region = Region(tag, region, marked, bool(READERS.search(f"{label} {named.get('id', '')}")))
+                regions.append(region)
             skipped += skip
             in_link += tag == "a"
-        elif path:
-            paths.pop()
     if at < len(page) and not skipped:
         add(page[at:])
     if parts:
-        yield parts, tuple(paths)
+        yield parts, box
 
 
 #: An article stands for its page from this share of the page's text; a container below it is left for the one around.
@@ -208,83 +280,101 @@ LINKED, SMALL = 1 / 3, 1 / 3
 class Container:
     """What stands in the containers of one path: characters, of them in links, and their worth, in all and in own blocks."""
 
-    __slots__ = ("length", "linked", "own", "score", "worth")
+    __slots__ = ("tag", "outer", "nested", "length", "linked", "own", "score", "worth")
 
-    def __init__(self) -> None:
+    def __init__(self, tag: str = "", outer: str | None = None, nested: bool = False) -> None:
+        self.tag, self.outer, self.nested = tag, outer, nested
         self.length = self.linked = 0
         self.worth = self.own = self.score = 0.0
 
 
-def containers(found: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, Container]:
-    """By path; the empty one has the whole page. A block's worth is its characters without links."""
-    by_path: dict[str, Container] = defaultdict(Container)
-    for text, links, paths in found:
+def containers(found: list[Block], boxes: list[Box]) -> dict[str, Container]:
+    """By path, those with text; the empty path has the whole page. A block's worth is its characters without links."""
+    page = Container()
+    by_path = {"": page}
+    for text, links, box in found:
         worth = max(0.0, len(text) - 2.0 * links)
-        around = ("", *paths)
-        for path in around:
-            c = by_path[path]
+        for c in (page, box) if box else (page,):
             c.length += len(text)
             c.linked += links
             c.worth += worth
-        by_path[around[-1]].own += worth
-        for path, share in zip(paths[:-3:-1], (1.0, 0.5), strict=False):
-            by_path[path].score += worth * share
+        (box or page).own += worth
+    for box in reversed(boxes):
+        if not box.length:
+            continue
+        up = box.outer.path if box.outer else ""
+        if box.path not in by_path:
+            by_path[box.path] = Container(box.tag, up, box.nested)
+        if up not in by_path:
+            by_path[up] = Container(box.outer.tag, box.outer.outer.path if box.outer.outer else "", box.outer.nested)
+        c = by_path[box.path]
+        c.length += box.length
+        c.linked += box.linked
+        c.worth += box.worth
+        c.own += box.own
+        c.score += box.own
+        by_path[up].score += box.own / 2 if up else 0
+        if box.outer:
+            box.outer.length += box.length
+            box.outer.linked += box.linked
+            box.outer.worth += box.worth
     return by_path
 
 
-def tag_of(path: str) -> str:
-    return path.rpartition("/")[2].partition(".")[0]
-
-
-def best_container(found: list[tuple[str, int, tuple[str, ...]]]) -> tuple[str, float]:
+def best_container(found: list[Block], boxes: list[Box]) -> tuple[str, float]:
     """Path and worth of the outermost container that has the page's text without its links; an empty path is the page.
 
     It starts at the best article, where that has a fair share of the text, or else at the container with most text in
     its own blocks and half as much for its children's, and goes outwards as long as unlinked text is added. An article
     or main that has most of the text around it is not left, nor is a container for a body that adds little beside it.
     """
-    by_path = containers(found)
-    chains = {}
-    for _, _, paths in found:
-        for k, path in enumerate(paths):
-            chains.setdefault(path, ("", *paths[:k]))
-    if not chains:
-        return "", by_path[""].worth if found else 0.0
-    outermost = [p for p, chain in chains.items() if tag_of(p) == "article" and not any(tag_of(q) == "article" for q in chain)]
+    by_path = containers(found, boxes)
+    page = by_path[""]
+    inner = [p for p in by_path if p]
+    if not inner:
+        return "", page.worth
+    outermost = [p for p in inner if by_path[p].tag == "article" and not by_path[p].nested]
     at = max(outermost, key=lambda p: (by_path[p].worth, p), default="")
-    if not at or by_path[at].worth < ARTICLE_SHARE * by_path[""].worth:
-        at = max(chains, key=lambda p: (by_path[p].score, p))
-    for path in chains[at][::-1]:
+    if not at or by_path[at].worth < ARTICLE_SHARE * page.worth:
+        at = max(inner, key=lambda p: (by_path[p].score, p))
+    path = by_path[at].outer
+    while path is not None:
         here, there = by_path[at], by_path[path]
         added = there.worth - here.worth
-        if added <= 0:
-            continue
-        if there.linked - here.linked > LINKED * (there.length - here.length):
-            break
-        if tag_of(at) in ("article", "main") and here.worth >= HELD * there.worth:
-            break
-        if tag_of(path) in ("", "body") and not there.own and added <= OUTSIDE * there.worth:
-            break
-        at = path
+        if added > 0:
+            if there.linked - here.linked > LINKED * (there.length - here.length):
+                break
+            if here.tag in ("article", "main") and here.worth >= HELD * there.worth:
+                break
+            if there.tag in ("", "body") and not there.own and added <= OUTSIDE * there.worth:
+                break
+            at = path
+        path = there.outer
     return at, by_path[at].worth
 
 
 def main_text(page: str, wanted: str | None) -> str:
     """Blocks of all containers on the path ``wanted``; of the page's best container, where they have little beside it."""
-    found = list(blocks(page))
-    best, worth = best_container(found)
+    found, boxes = read(page)
+    best, worth = best_container(found, boxes)
+
+    def held(path: str) -> list[Block]:
+        for box in boxes:
+            box.wanted = box.path == path or (box.outer is not None and box.outer.wanted)
+        return [b for b in found if b[2] is not None and b[2].wanted]
+
     if wanted:
-        here = [(text, links) for text, links, paths in found if wanted in paths]
-        if here and sum(max(0.0, len(text) - 2.0 * links) for text, links in here) >= SMALL * worth:
-            return " ".join(text for text, _ in here)
-    return " ".join(text for text, _, paths in found if not best or best in paths)
+        here = held(wanted)
+        if here and sum(max(0.0, len(text) - 2.0 * links) for text, links, _ in here) >= SMALL * worth:
+            return " ".join(text for text, _, _ in here)
+    return " ".join(text for text, _, _ in (held(best) if best else found))
 
 
 def _votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: dict[tuple[str, str], list] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            path, worth = best_container(list(blocks(page or "")))
+            path, worth = best_container(*read(page or ""))
             if path:
                 vote = total.setdefault((host, path), [0.0, 0])
                 vote[0] += worth
@@ -326,7 +416,8 @@ def extract_main_text(pages: DataFrame, space: Workspace, url: str = "url", html
     page's article nor around it nor holds most of the page's text (``judge``). White space in a block becomes one space, blocks are
     joined by one space in page order; nothing is cut.
 
-    A null html gives an empty text; a null or odd url counts as one host without a name. Rows are kept one to one,
+    Reading a page takes time and memory in proportion to its length, however deep its elements stand. A null html gives an
+    empty text; a null or odd url counts as one host without a name. Rows are kept one to one,
     repeated ones included; extra columns are ignored; ties go to the path last in order. An empty table gives no rows.
 
     Plan: each task sums its votes by host and path before the shuffle, so a host with a third of all pages is a few

@@ -33,7 +33,7 @@ DEEP_LIST = 2048
 #: Counters of the shared frequency table, a fixed size whatever the corpus.
 COUNTERS_LOG2 = 20
 SEGMENTS = 16
-ELEMENT_BITS = 48
+ELEMENT_BITS = 64
 #: The suffix filter compares sets by how many shingles each has in so many parts of the hash space.
 PARTS = 32
 #: Documents in candidate pairs up to this number (8 bytes each) are told to the scan by broadcast, more by a join.
@@ -42,7 +42,7 @@ SALTS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 48-bit shingle) of each distinct shingle, sorted; a text of fewer than ``k`` words is one shingle."""
+    """(row, 64-bit shingle) of each distinct shingle, sorted; a text of fewer than ``k`` words is one shingle."""
     data = tx.LOWER[data]
     start, end, row = tx.split_words(data, offsets, tx.NOT_SPACE)
     hashes = tx.hash_spans(data, start, end)
@@ -55,17 +55,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         if len(short):
             rows.append(short)
             values.append(tx.windows(hashes, n)[first[short]])
-    rows, values = np.concatenate(rows), np.concatenate(values) >> np.uint64(64 - ELEMENT_BITS)
+    rows, values = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((values, rows))
     rows, values = rows[order], values[order]
     new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])]) if len(rows) else np.zeros(0, bool)
     return rows[new], values[new]
 
 
-def set_digests(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and 64-bit fingerprint of each row's set."""
+def set_digests(rows: np.ndarray, values: np.ndarray, n_rows: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Size and 64-bit fingerprint of each row's set; another ``seed`` gives an independent one."""
     sizes = np.bincount(rows, minlength=n_rows)
-    mixed = tx.mix(values * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x632BE59BD9B4E019))
+    mixed = tx.mix(tx.mix(values + np.uint64(seed) * np.uint64(0xA24BAED4963EE407)) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x632BE59BD9B4E019))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(mixed, out=total[1:])
     ends = np.cumsum(sizes)
@@ -80,13 +80,11 @@ def rarity(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def body(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(values, np.uint64).tobytes()
 
 
 def unbody(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+    return np.frombuffer(blob, np.uint64)
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -95,9 +93,9 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 DIGEST = pa.schema(
-    [("id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("parts", pa.list_(pa.int32())), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
+    [("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("parts", pa.list_(pa.int32())), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
 )
-DIGEST_SQL = "id long, n int, node long, parts array<int>, segment int, salt int, counts binary"
+DIGEST_SQL = "id long, tie long, n int, node long, proof long, parts array<int>, segment int, salt int, counts binary"
 POSTING = pa.schema([("ctx", pa.int64()), ("elem", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("near", pa.bool_())])
 POSTING_SQL = "ctx long, elem long, node long, n int, pos int, near boolean"
 #: Prefixes of differences also carry how many shingles the difference has in each part of the hash space: what the set
@@ -114,7 +112,7 @@ def _ids(batch: pa.RecordBatch, key: str) -> np.ndarray:
     return batch.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _digests(key: str, text: str, k: int):
+def _digests(key: str, text: str, k: int, seed: int):
     """Size and fingerprint of every set, and at the end of a partition its counts of hashed shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +121,19 @@ def _digests(key: str, text: str, k: int):
         counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
         for batch in batches:
             data, offsets = tx.column_bytes(batch.column(text))
-            ids = _ids(batch, key)
+            ids, ties = _ids(batch, key), _ids(batch, "tie")
             for low, high in tx.pieces(offsets):
                 rows, values = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
                 counts += np.bincount((values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64), minlength=len(counts))
-                sizes, nodes = set_digests(rows, values, high - low)
+                sizes, nodes = set_digests(rows, values, high - low, seed)
+                proofs = set_digests(rows, values, high - low, -1 - seed & (1 << 32) - 1)[1]
                 none = [None] * (high - low)
                 split = np.bincount(rows * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * (high - low))
                 split = pa.ListArray.from_arrays(pa.array(np.arange(0, len(split) + 1, PARTS).astype(np.int32)), pa.array(split.astype(np.int32)))
-                yield _batch(DIGEST, ids[low:high], sizes, tx.signed(nodes), split, none, none, none)
+                yield _batch(DIGEST, ids[low:high], ties[low:high], sizes, tx.signed(nodes), tx.signed(proofs), split, none, none, none)
         salt = TaskContext.get().partitionId() >> 8
         parts = [squeeze(x.astype(np.uint64)) for x in np.split(counts, SEGMENTS)]
-        yield _batch(DIGEST, *[[None] * SEGMENTS] * 4, range(SEGMENTS), [salt] * SEGMENTS, parts)
+        yield _batch(DIGEST, *[[None] * SEGMENTS] * 6, range(SEGMENTS), [salt] * SEGMENTS, parts)
 
     return run
 
@@ -154,7 +153,7 @@ def corpus_counts(digests: DataFrame) -> np.ndarray:
     return np.concatenate([unsqueeze(r["counts"]) for r in rows]).astype(np.int64) if rows else np.zeros(1 << COUNTERS_LOG2, np.int64)
 
 
-def _prefixes(counts, text: str, k: int, percent: int):
+def _prefixes(counts, text: str, k: int, percent: int, seed: int):
     """Rare-first prefixes of the distinct sets of each batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +162,7 @@ def _prefixes(counts, text: str, k: int, percent: int):
             seen = np.zeros(0, np.uint64)
             for low, high in tx.pieces(offsets):
                 rows, values = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
-                sizes, nodes = set_digests(rows, values, high - low)
+                sizes, nodes = set_digests(rows, values, high - low, seed)
                 fresh = np.zeros(high - low, bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
                 fresh &= ~np.isin(nodes, seen) & (sizes > 0)
@@ -182,7 +181,7 @@ def _prefixes(counts, text: str, k: int, percent: int):
     return run
 
 
-def _whole_sets(text: str, k: int):
+def _whole_sets(text: str, k: int, seed: int):
     """The sets of chosen documents, as differences with nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +189,7 @@ def _whole_sets(text: str, k: int):
             data, offsets = tx.column_bytes(batch.column(text))
             for low, high in tx.pieces(offsets):
                 rows, values = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
-                sizes, nodes = set_digests(rows, values, high - low)
+                sizes, nodes = set_digests(rows, values, high - low, seed)
                 parts = [body(x) for x in np.split(values, np.cumsum(sizes)[:-1])]
                 none = [None] * (high - low)
                 yield _batch(SETS, np.zeros(high - low, np.int64), tx.signed(nodes), sizes, np.zeros(high - low, bool), parts, none)
@@ -302,40 +301,54 @@ def similar_groups(
     full_list: int = FULL_LIST,
     deep_list: int = DEEP_LIST,
     broadcast_ids: int = BROADCAST_IDS,
+    tie: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, tie, kept.
 
     A document's set holds the distinct shingles of ``words`` words (runs without white space, A-Z lower-cased) of its
     whole text; a shorter text is one shingle, a null or empty one has none and links with nothing. Two documents link
     when 100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id that links reach.
 
-    Equal sets are one node, whatever their number. Rows that repeat an id are judged each on its own. A null id counts
-    as larger than all others and comes out null. Extra columns are ignored; an empty table gives no rows.
+    ``kept`` marks one row of each component: that of the smallest id and then of the smallest ``tie``, a long column that
+    tells rows of one id apart (without it, all rows of the smallest id stay). Rows without shingles stay.
+
+    Equal sets are one node, whatever their number; a node's two independent fingerprints must agree, or all are made again
+    from another seed. Rows that repeat an id are judged each on its own. A null id counts as larger than all others and
+    comes out null. Very long texts are read whole, as any other. Extra columns are ignored; an empty table gives no rows.
 
     Plan: two scans make sizes, counts and prefixes; prefixes are grouped by shingle with map-side combine, and only
     shingles of two sets or more go on. The suffix filter works on 32
     numbers a set; documents in the pairs that it leaves are read once more for their sets. Links and
     components are narrow tables. Nothing of the documents reaches the driver but the 2**20 summed counters.
     """
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    digests = space.write(docs.mapInArrow(_digests("id", "text", words), DIGEST_SQL), "digests")
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"))
+    seed = 0
+    while True:
+        digests = space.write(docs.mapInArrow(_digests("id", "text", words, seed), DIGEST_SQL), f"digests{seed}")
+        nodes = digests.where("segment IS NULL")
+        heads = nodes.groupBy("node").agg(
+            F.min(F.struct("id", "tie")).alias("head"),
+            F.first("n").alias("n"),
+            F.first("parts").alias("parts"),
+            (F.min("proof") != F.max("proof")).alias("torn"),
+        )
+        heads = space.write(heads, f"heads{seed}")
+        if not heads.where("torn").limit(1).count():
+            break
+        seed += 1
     counts = space.spark.sparkContext.broadcast(corpus_counts(digests))
-    nodes = digests.where("segment IS NULL").select("id", "n", "node", "parts")
-    heads = nodes.groupBy("node").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    nodes = nodes.drop("parts")
-    heads = space.write(heads, "heads")
-    postings = docs.mapInArrow(_prefixes(counts, "text", words, percent), POSTING_SQL)
+    postings = docs.mapInArrow(_prefixes(counts, "text", words, percent, seed), POSTING_SQL)
     links, level = [], 0
     while True:
         pairs = _candidates(postings, space, level, percent, full_list if level == 0 else deep_list)
         pairs = space.write(pairs if level else _suffix_filter(pairs, heads, percent), f"pairs{level}")
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = wanted.join(heads, "node").select(F.col("head").alias("id")).distinct()
+            wanted = wanted.join(heads, "node").select(F.col("head.id").alias("id")).distinct()
             wanted = space.write(wanted, "wanted")
             wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted.hint("shuffle_hash")
             sets = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted, "id", "left_semi")
-            sets = space.write(sets.select("text").mapInArrow(_whole_sets("text", words), SETS_SQL), "sets")
+            sets = space.write(sets.select("text").mapInArrow(_whole_sets("text", words, seed), SETS_SQL), "sets")
         left = sets.select("ctx", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("body").alias("body_a"), F.col("lost").alias("lost_a"))
         right = sets.select("ctx", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("body").alias("body_b"), F.col("lost").alias("lost_b"))
         found = pairs.join(left, ["ctx", "a"]).join(right, ["ctx", "b"])
@@ -351,15 +364,21 @@ def similar_groups(
     for more in links[1:]:
         edges = edges.union(more)
     groups = connected_components(edges, space)
-    named = heads.join(groups, "node", "left").select("node", "head", F.coalesce("component", "node").alias("group"))
-    leaders = named.groupBy("group").agg(F.min("head").alias("component"))
-    named = space.write(named.join(leaders, "group").select("node", "component"), "named")
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = nodes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(salted, ["node", "salt"])
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
+    # Only linked nodes have a leader other than their own head.
+    linked = groups.union(groups.select(F.col("component").alias("node"), "component").distinct()).join(heads.select("node", "head"), "node")
+    leaders = linked.groupBy("component").agg(F.min("head").alias("leader"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    linked = linked.join(leaders.withColumn("salt", salts), ["component", "salt"]).select("node", "leader")
+    named = space.write(heads.join(linked, "node", "left").select("node", F.coalesce("leader", "head").alias("leader")), "named")
+    # Rows of one node are dealt by their place in the table, whatever their ids.
+    rows = nodes.select("id", "tie", "n", "node", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    out = rows.join(named.withColumn("salt", salts), ["node", "salt"])
+    none = F.col("n") == 0
     return out.select(
         F.nullif("id", F.lit(NO_ID)).alias(key),
         F.col("n").cast("long").alias("n_shingles"),
-        F.nullif(component, F.lit(NO_ID)).alias("component_id"),
+        F.nullif(F.when(none, F.col("id")).otherwise(F.col("leader.id")), F.lit(NO_ID)).alias("component_id"),
+        "tie",
+        (none | ((F.col("leader.id") == F.col("id")) & (F.col("leader.tie") == F.col("tie")))).alias("kept"),
     )

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import text as tx
-from stratalog.llm.jaccard import COUNTERS_LOG2, SEGMENTS, corpus_counts
 from stratalog.llm.shared import Workspace
-from stratalog.llm.substring import squeeze
 
 #: Header statements by licence; fixed values, in the licences' own usual words. Whole notices stand after the short statements.
 TEMPLATES = {
@@ -73,7 +71,6 @@ COMMENT = np.isin(np.arange(256), np.frombuffer(b"#/*;%", np.uint8))
 #: A line is a licence header from this cosine on; a text whose lines are headers for this share of words is a licence file.
 LEAST_COSINE, LEAST_SHARE = 0.75, 0.5
 SALTS = 16
-COUNT_SQL = "segment int, salt int, counts binary"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,49 +82,55 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, line, tx.hash_spans(low, start, end), feeds
 
 
-def _document_counts(text: str):
-    """In how many documents each hashed word occurs, and how many documents there are, summed by partition."""
+def _document_counts(vocabulary, text: str):
+    """In how many texts each word of the vocabulary occurs, and how many texts there are (word -1), summed by partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
+        words, n = vocabulary.value, 0
+        counts = np.zeros(len(words), np.int64)
         for batch in batches:
             data, offsets = tx.column_bytes(batch.column(text))
+            n += len(offsets) - 1
             for low, high in tx.pieces(offsets):
                 row, _, hashes, _ = _words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                slot = (hashes >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
-                once = np.unique(row.astype(np.int64) << COUNTERS_LOG2 | slot)
-                counts += np.bincount(once & ((1 << COUNTERS_LOG2) - 1), minlength=len(counts))
-        salt = TaskContext.get().partitionId() >> 8
-        yield pa.RecordBatch.from_pydict(
-            {
-                "segment": pa.array(range(SEGMENTS), pa.int32()),
-                "salt": pa.array([salt] * SEGMENTS, pa.int32()),
-                "counts": pa.array([squeeze(x.astype(np.uint64)) for x in np.split(counts, SEGMENTS)], pa.binary()),
-            }
-        )
+                place, known = _places(words, hashes)
+                once = np.unique(row[known].astype(np.int64) * len(words) + place[known])
+                counts += np.bincount(once % len(words), minlength=len(words))
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(counts[there], n))], ["word", "n"])
 
     return run
 
 
+def _places(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each word in the vocabulary, and whether it is there."""
+    place = np.searchsorted(vocabulary, hashes)
+    place[place == len(vocabulary)] = 0
+    return place, vocabulary[place] == hashes
+
+
+def template_words(*templates: dict[str, list[str]]) -> np.ndarray:
+    data, offsets = tx.column_bytes(pa.array([t for named in templates for texts in named.values() for t in texts], pa.string()))
+    return np.unique(_words(data, offsets)[2])
+
+
 class Templates:
-    """Templates as sparse unit vectors over their words, weighted by the corpus's document counts."""
+    """Templates as sparse unit vectors over their words, weighted by in how many of the corpus's texts a word occurs.
+
+    A word that no template has counts as one of no text: it only adds to a vector's length.
+    """
 
-    def __init__(self, counts: np.ndarray, n_docs: int, templates: dict[str, list[str]]) -> None:
+    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, n_docs: int, templates: dict[str, list[str]]) -> None:
+        self.vocabulary, self.other = vocabulary, np.log(n_docs + 1) + 1
         self.idf = np.log((n_docs + 1) / (counts + 1)) + 1
         self.names = [name for name, texts in templates.items() for _ in texts]
         data, offsets = tx.column_bytes(pa.array([t for texts in templates.values() for t in texts], pa.string()))
         row, _, hashes, _ = _words(data, offsets)
-        self.vocabulary, place = np.unique(hashes, return_inverse=True)
-        weights = np.zeros((len(self.vocabulary), len(self.names)))
-        np.add.at(weights, (place, row), 1.0)
-        weights = np.where(weights > 0, 1 + np.log(np.maximum(weights, 1)), 0) * self.weight(self.vocabulary)[:, None]
+        weights = np.zeros((len(vocabulary), len(self.names)))
+        np.add.at(weights, (_places(vocabulary, hashes)[0], row), 1.0)
+        weights = np.where(weights > 0, 1 + np.log(np.maximum(weights, 1)), 0) * self.idf[:, None]
         self.weights = weights / np.sqrt((weights**2).sum(0))
 
-    def weight(self, hashes: np.ndarray) -> np.ndarray:
-        return self.idf[(hashes >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
-
     def cosines(self, at: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Best template and cosine of each of ``n`` units; ``at`` is the unit of each word."""
         order = np.lexsort((hashes, at))
@@ -136,11 +139,9 @@ class Templates:
         firsts = np.flatnonzero(new)
         tf = np.diff(np.append(firsts, len(a)))
         a, h = a[firsts], h[firsts]
-        weight = (1 + np.log(tf)) * self.weight(h)
+        place, known = _places(self.vocabulary, h)
+        weight = (1 + np.log(tf)) * np.where(known, self.idf[place], self.other)
         norm = np.sqrt(np.bincount(a, weights=weight**2, minlength=n))
-        place = np.searchsorted(self.vocabulary, h)
-        place[place == len(self.vocabulary)] = 0
-        known = self.vocabulary[place] == h
         a, weight, place = a[known], weight[known], place[known]
         cosine = np.zeros((n, len(self.names)))
         for k in range(len(self.names)):
@@ -244,8 +245,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: key, path, own_license, cosine, license_file, license, inherited_from.
 
-    Every line of the whole text is compared, as a sparse TF-IDF vector with corpus-wide document counts, to every
-    template; the best line of cosine ``least`` or more names the text's own license (the first of equals, in text and
+    Every line of the whole text is compared, as a sparse TF-IDF vector with document counts over the whole corpus, to
+    every template (words that no template has weigh as much as one that no document has); the best line of cosine ``least`` or more names the text's own license (the first of equals, in text and
     template order). Paragraphs and comments of several lines are compared as wholes too, to the header statements and to
     the whole licences in ``bodies`` (default ``licence_bodies``), and name the license where they have a higher cosine.
     A text whose header lines and blocks hold ``share`` of its words is a licence file and speaks for its directory; so is
@@ -253,19 +254,21 @@ def scan_licenses(
     of several in one directory, that of highest cosine, then smallest key, does. A text without a license of its own
     inherits that of the nearest directory at or above its own.
 
-    A null path has no directory and inherits nothing; null and empty texts have no license of their own. Rows are kept
+    A line or text of any length is compared whole. A null path has no directory and inherits nothing; null and empty texts have no license of their own. Rows are kept
     one to one; extra columns are ignored; an empty table gives no rows.
 
     Plan: two scans (counts, then cosines), no text is shuffled. Directories are narrow rows: each distinct one looks up
     its ancestors once, and files meet their directory in a salted join, as one may hold a third of them.
     """
     base = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
-    parts = space.write(base.select("text").mapInArrow(_document_counts("text"), COUNT_SQL), "counts")
-    counts = corpus_counts(parts)
-    n_docs = base.count()
-    both = [Templates(counts, n_docs, t) for t in (templates or TEMPLATES, licence_bodies() if bodies is None else bodies)]
-    both[1].idf = both[0].idf
-    model = space.spark.sparkContext.broadcast(both)
+    named = [templates or TEMPLATES, licence_bodies() if bodies is None else bodies]
+    words = template_words(*named)
+    context = space.spark.sparkContext
+    parts = base.select("text").mapInArrow(_document_counts(context.broadcast(words), "text"), "word long, n long")
+    # A row for each word of the templates, whatever the corpus.
+    found = {r["word"]: r["n"] for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = np.array([found.get(k, 0) for k in range(len(words))], np.int64)
+    model = context.broadcast([Templates(words, counts, found.get(-1, 0), t) for t in named])
     fields = [base.schema["key"], base.schema["path"], T.StructField("own_license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("license_file", T.BooleanType())]
     found = base.mapInArrow(_scan(model, "text", ["key", "path"], least, share), T.StructType(fields))
     found = space.write(found.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "found")

@@ -17,6 +17,8 @@ from stratalog.llm import text as tx
 BITS = 18
 #: The fit reads at most so many labelled documents: those whose ids hash lowest. A documented bound, not a cap on scoring.
 FIT_ROWS = 6000
+#: Pairs of document and feature that a step of the fit handles at once.
+FIT_BLOCK = 1 << 18
 #: A feature is used if so many of the fitted documents have it.
 LEAST_DOCS = 4
 #: Words count by their first bytes too, so that forms of a word share a feature.
@@ -78,6 +80,8 @@ class OrdinalModel:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    #: How many labelled documents it was fitted on.
+    fitted: int = 0
 
     def tails(self, rows: np.ndarray, found: np.ndarray, n_rows: int) -> np.ndarray:
         score = np.bincount(rows, weights=self.weights[found], minlength=n_rows)
@@ -87,12 +91,16 @@ class OrdinalModel:
 def fit(grades: np.ndarray, lists: list[np.ndarray], n_grades: int = 3, rounds: int = 400, penalty: float = 6e-4) -> OrdinalModel:
     """Maximum likelihood of the cumulative logit model by Adam over the whole sample, with an L2 penalty."""
     counts = np.array([len(x) for x in lists], np.int64)
-    found = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-    rows = np.repeat(np.arange(len(lists)), counts)
+    found = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), counts)
     common = np.bincount(found, minlength=1 << BITS) >= LEAST_DOCS
+    used = np.flatnonzero(common)
+    number = np.cumsum(common, dtype=np.int32) - 1
     some = common[found]
-    found, rows = found[some], rows[some]
-    used, place = np.unique(found, return_inverse=True)
+    place, rows = number[found[some]], rows[some]
+    del found, some
+    blocks = [slice(k, k + FIT_BLOCK) for k in range(0, len(rows), FIT_BLOCK)]
+    total = lambda at, weights, of, n: sum((np.bincount(at[b], weights=weights[of[b]], minlength=n) for b in blocks), np.zeros(n))
     share = [(np.sum(grades >= k) + 1) / (len(grades) + 2) for k in range(1, n_grades)]
     theta = -np.log(np.array(share) / (1 - np.array(share)))
     # Thresholds as a first one and logarithms of the steps, so that they stay in order.
@@ -100,7 +108,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray], n_grades: int = 3, rounds:
     m, v, n = np.zeros_like(x), np.zeros_like(x), max(1, len(grades))
     cuts = n_grades - 1
     for t in range(1, rounds + 1):
-        score = np.bincount(rows, weights=x[place], minlength=len(grades))
+        score = total(rows, x, place, len(grades))
         steps = np.exp(x[len(used) + 1 :])
         theta = x[len(used)] + np.concatenate([[0], np.cumsum(steps)])
         tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -30, 30)))
@@ -114,7 +122,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray], n_grades: int = 3, rounds:
         np.add.at(g_theta, np.minimum(cuts - 1, grades), np.where(grades < cuts, -at_lower, 0) / n)
         g = np.concatenate(
             [
-                np.bincount(place, weights=g_score[rows], minlength=len(used)) + penalty * x[: len(used)],
+                total(place, g_score, rows, len(used)) + penalty * x[: len(used)],
                 [g_theta.sum()],
                 np.cumsum(g_theta[::-1])[::-1][1:] * steps,
             ]
@@ -123,7 +131,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray], n_grades: int = 3, rounds:
         x = x - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(1 << BITS)
     weights[used] = x[: len(used)]
-    return OrdinalModel(weights, x[len(used)] + np.concatenate([[0], np.cumsum(np.exp(x[len(used) + 1 :]))]))
+    return OrdinalModel(weights, x[len(used)] + np.concatenate([[0], np.cumsum(np.exp(x[len(used) + 1 :]))]), len(grades))
 
 
 def _lists(text: str):
@@ -132,10 +140,10 @@ def _lists(text: str):
             data, offsets = tx.column_bytes(batch.column(text))
             for low, high in tx.pieces(offsets):
                 rows, found = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                ends = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("grade").slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int32)))], ["grade", "found"]
-                )
+                lists = np.split(found.astype(np.int32), np.searchsorted(rows, np.arange(1, high - low)))
+                kept = [k for k in batch.schema.names if k != text]
+                columns = [batch.column(k).slice(low, high - low) for k in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in lists], pa.binary())], [*kept, "found"])
 
     return run
 
@@ -143,15 +151,19 @@ def _lists(text: str):
 def fit_on_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
     """Fits grades 0 (toxic), 1 (poor) and 2 (good) on a bounded sample of the labelled documents.
 
-    The sample is the ``fit_rows`` labelled ids of lowest hash. A document labelled more than once has its lowest grade;
-    null labels count as 0 toxic and 0 quality. Without labels every document gets the prior.
+    The sample is the ``fit_rows`` labelled ids of lowest hash, and no more rows than that where rows repeat an id; ties go
+    by id and text. A document labelled more than once has its lowest grade; null labels count as 0 toxic and 0 quality.
+    Without labels every document gets the prior and the model says that it is ``fitted`` on none. The driver gets the
+    features of the sample, 4 bytes for each distinct one of a text.
     """
     grade = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.coalesce("quality", F.lit(0)) == 1, 2).otherwise(1)
     picked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(grade).cast("int").alias("grade"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "text")
-    sample = rows.select("grade", "text").mapInArrow(_lists("text"), "grade int, found array<int>").toPandas()
-    return fit(sample["grade"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in sample["found"]])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.select("grade", F.xxhash64("doc_id").alias("place"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+    found = rows.mapInArrow(_lists("text"), "grade int, place long, doc_id long, tie long, found binary")
+    sample = found.orderBy("place", "doc_id", "tie").limit(fit_rows).select("grade", "found").collect()
+    return fit(np.array([r["grade"] for r in sample], np.int64), [np.frombuffer(r["found"], np.int32) for r in sample])
 
 
 def _score(model, text: str, kept: list[str]):

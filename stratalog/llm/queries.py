@@ -86,7 +86,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return similar_groups(docs, Workspace(spark, "op3"), words=3, percent=90)
+    return similar_groups(docs, Workspace(spark, "op3"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 @query(

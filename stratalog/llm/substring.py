@@ -3,8 +3,8 @@
 Any window of 2 * B words or more holds a whole block of B words that starts at a multiple of B in the document it is
 compared with. So blocks at multiples of B are the index, every rolling window of B words is a probe, and only what lies
 around a hit can be a repeat. Probes leave a task as sorted, delta-coded hash lists, a few bytes a word. Hits are then
-extended: each window of ``width`` words around a hit is compared, by an 88-bit fingerprint of all its words, with all
-others, and runs of repeated windows make up the maximal repeats.
+extended: each window of ``width`` words around a hit is compared, by 88 bits of two independent fingerprints of all its
+words, with all others, and runs of repeated windows make up the maximal repeats.
 """
 
 from __future__ import annotations
@@ -79,6 +79,10 @@ class Chunk:
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.counts = counts
 
+    def seconds(self) -> np.ndarray:
+        """A second fingerprint of every word, independent of ``hashes``."""
+        return tx.hash_spans(self.data, self.start, self.end, 1)
+
     def some(self, rows: np.ndarray) -> Chunk:
         """The chunk's documents with the given numbers."""
         sizes = np.diff(self.offsets)[rows]
@@ -218,7 +222,7 @@ def _seeds(table: pa.Table) -> pa.Table:
 def _window_keys(chunk: Chunk, starts: np.ndarray, width: int, spread: int) -> tuple:
     """Distinct windows in order of fingerprint: key, check, smallest id; and each start's place among them."""
     keys = tx.windows(chunk.hashes, width)[starts]
-    checks = tx.windows(tx.mix(chunk.hashes + np.uint64(0x5851F42D4C957F2D)), width)[starts] >> np.uint64(40)
+    checks = tx.windows(chunk.seconds(), width)[starts] >> np.uint64(40)
     owner = chunk.ids[chunk.row[starts]]
     order = np.lexsort((owner, checks, keys))
     k, c = keys[order], checks[order]

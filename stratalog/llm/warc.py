@@ -26,6 +26,7 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: Up to this many revisits, their targets are broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_REVISITS = 500_000
+SALTS = 64
 
 
 def base32_sha1(data: Column) -> Column:
@@ -54,7 +55,9 @@ def write_archive(pages: DataFrame, space: Workspace, path: str, min_bytes: int
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, that with the smallest page_id is a response and the
     others are revisits of it, which have no payload. Null ids count as larger than all others; pages that repeat the
-    smallest id are all responses. Digests are found in a first scan and grouped narrow, so payloads never move.
+    smallest id are all responses. Digests are found in a first scan and grouped narrow, so payloads never move while the
+    repeated digests are few. Other columns than page_id, url and html are ignored, whatever their names; equal urls are
+    records of their own; an empty table writes files without records. A very long payload is one record in one task.
     """
     rows = with_payload(pages)
     narrow = space.write(rows.select("page_id", "bytes", "digest"), "digests")
@@ -62,8 +65,12 @@ def write_archive(pages: DataFrame, space: Workspace, path: str, min_bytes: int
         narrow.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     )
     targets = space.write(repeated.select("digest", "first_id"), "targets")
-    few = targets.count() <= broadcast_revisits
-    met = rows.join(F.broadcast(targets) if few else targets, "digest", "left")
+    if targets.count() <= broadcast_revisits:
+        met = rows.join(F.broadcast(targets), "digest", "left")
+    else:
+        # Payloads that are not repeated are dealt by their digest; a repeated one by its page too, as it may be a third of all.
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("bytes") >= min_bytes)
     record_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
@@ -176,19 +183,22 @@ def reachable(candidates: DataFrame, space: Workspace) -> DataFrame:
     of a file's records. A round is a pair of narrow tables in the shared folder.
     """
     known = candidates.select("file", "offset")
-    jumps = candidates.where("next IS NOT NULL").join(known.withColumnRenamed("offset", "next"), ["file", "next"])
+    jumps = candidates.where("next IS NOT NULL").join(known.withColumnRenamed("offset", "next").hint("merge"), ["file", "next"])
     jumps = space.write(jumps.select("file", "offset", "next"), "jumps0")
     reached = space.write(known.where("offset = 0"), "reached0")
     count, turn = reached.count(), 0
     while True:
         turn += 1
-        more = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
+        more = reached.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("next").alias("offset"))
         after = space.write(reached.union(more).distinct(), f"reached{turn}")
         now = after.count()
+        space.drop(f"reached{turn - 1}")
         if now == count:
+            space.drop(f"jumps{turn - 1}")
             return after
         second = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("far"))
-        jumps = space.write(jumps.join(second, ["file", "next"]).select("file", "offset", F.col("far").alias("next")), f"jumps{turn}")
+        jumps = space.write(jumps.join(second.hint("merge"), ["file", "next"]).select("file", "offset", F.col("far").alias("next")), f"jumps{turn}")
+        space.drop(f"jumps{turn - 1}")
         reached, count = after, now
 
 
@@ -207,7 +217,7 @@ def _assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def torn_payloads(space: Workspace, pieces: DataFrame, placed: DataFrame, reached: DataFrame) -> DataFrame:
     """Payloads of records whose pieces don't hold them whole: the pieces up to the next record, read again and joined."""
-    marked = placed.join(reached.withColumn("record", F.lit(True)), ["file", "offset"], "left")
+    marked = placed.join(reached.withColumn("record", F.lit(True)).hint("merge"), ["file", "offset"], "left")
     until = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.last(F.when(F.col("record"), F.struct("offset", "whole")), ignorenulls=True).over(until)
     parts = marked.select("file", "split", "at", "offset", owner.alias("owner")).where("NOT owner.whole")
@@ -232,7 +242,7 @@ def read_archive(space: Workspace, path: str) -> DataFrame:
     placed = found.join(split_bases(found), ["file", "split"]).where(offset >= 0)
     placed = space.write(placed.withColumn("offset", offset).withColumn("next", F.col("offset") + F.col("next")).drop("base"), "placed")
     reached = reachable(placed, space)
-    records = placed.join(reached, ["file", "offset"]).where("head IS NOT NULL")
+    records = placed.join(reached.hint("merge"), ["file", "offset"]).where("head IS NOT NULL")
     if records.where("NOT whole").limit(1).count():
         joined = torn_payloads(space, pieces, placed, reached)
         again = records.where("NOT whole").drop("payload_bytes", "stated_bytes", "digest").join(joined, ["file", "offset"], "left")

@@ -1,6 +1,7 @@
 import random
+import time
 
-from stratalog.llm.html import blocks, extract_main_text, main_text
+from stratalog.llm.html import best_container, blocks, container_path, extract_main_text, main_text, read
 from stratalog.llm.shared import Workspace
 
 
@@ -88,7 +89,7 @@ def test_text_in_nested_containers_is_read_with_its_lead():
         "quote": f'<div class="post"><h1>T</h1><p>lead</p><blockquote>{long("One")}</blockquote><div class="text"><div>{long("Two")}</div></div></div>{foot}',
     }
     for page in pages.values():
-        for wanted in (None, "body/article", "body/div.post"):
+        for wanted in (None, container_path("body/article"), container_path("body/div.post")):
             assert main_text(f"<body>{page}</body>", wanted) == f"T lead {long('One').strip()} {long('Two').strip()}", page
     layout = f'<table><tr><td class="left">{"<p><a href=/x>Linked page</a></p>" * 9}</td><td class="text"><p>{long("One")}</p></td></tr></table>'
     assert main_text(f"<body>{layout}</body>", None) == long("One").strip()
@@ -100,3 +101,35 @@ def test_page_of_another_template_on_the_host(spark):
     rows.append((99, "http://h.org/x", f"<body><div>Small note.</div><article><h1>X</h1><section><p>{story}</p></section></article></body>"))
     got = {r.page_id: r.text for r in extract_main_text(frame(spark, rows), Workspace(spark, "t")).collect()}
     assert got == {i: f"T{i} {story.strip()}" for i in range(20)} | {99: f"X {story.strip()}"}
+
+
+def test_an_article_is_never_left_for_a_part_of_it():
+    long = "Of the long river. " * 60
+    quote = f"<article><p>{'The author says. ' * 5}</p><blockquote>{long}</blockquote><p>And ends.</p></article>"
+    section = f"<article><h1>Head</h1><p>Lead.</p><section>{long}</section></article>"
+    assert main_text(f"<body>{quote}</body>", None) == f"{('The author says. ' * 5).strip()} {long.strip()} And ends."
+    assert main_text(f"<body>{section}</body>", None) == f"Head Lead. {long.strip()}"
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    began = time.perf_counter()
+    for page, want in (("<div>" * 100_000 + "deep", "deep"), ("<div class=menu>" * 30_000 + "<p>x" * 10_000, "x"), ("<b>" * 60_000 + "<p>a</b>" * 10_000, "a"), ("<article class=comments>" * 20_000 + "t", "t"), ("</section>" * 99_999 + "e", "e")):
+        assert set(main_text(page, None).split()) == {want}
+    assert time.perf_counter() - began < 40
+
+
+def test_votes_match_brute_force(spark):
+    rng = random.Random(9)
+    story = lambda n: "The river rose over the old bridge. " * n
+    rows = []
+    for i in range(90):
+        a, b = rng.randrange(1, 40), rng.randrange(1, 40)
+        rows.append((i, f"http://h{i % 4}.org/{i}", f"<body><div class='left'><p>{story(a)}</p></div><div class='right'><p>{story(b)}</p></div><p>{story(30)}</p></body>" if i % 5 else f"<article>{story(b)}</article>"))
+    votes = {}
+    for i, _, page in rows:
+        path, worth = best_container(*read(page))
+        own = votes.setdefault(i % 4, {})
+        own[path] = own.get(path, 0) + worth
+    best = {h: max(v, key=lambda p: (round(v[p], 3), p)) for h, v in votes.items()}
+    got = {r.page_id: r.text for r in extract_main_text(frame(spark, rows).repartition(5), Workspace(spark, "t")).collect()}
+    assert got == {i: main_text(page, best[i % 4]) for i, _, page in rows}

@@ -21,7 +21,8 @@ def fixture():
 def brute(rows, least, share):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
     df = Counter(w for _, _, t in rows for w in set(split(t or "")))
-    idf = lambda w: math.log((len(rows) + 1) / (df[w] + 1)) + 1
+    known = {w for named in (TEMPLATES, licence_bodies()) for ts in named.values() for t in ts for w in split(t)}
+    idf = lambda w: math.log((len(rows) + 1) / (df[w] * (w in known) + 1)) + 1
     vector = lambda ws: {w: (1 + math.log(n)) * idf(w) for w, n in Counter(ws).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     flat = [(name, vector(split(t))) for name, ts in TEMPLATES.items() for t in ts]
@@ -64,6 +65,12 @@ def test_matches_brute_force(spark):
     assert by[12].license == "CC-BY-NC-4.0" and by[3].license == "Apache-2.0" and by[3].inherited_from == "a/b" and by[100].license is None
 
 
+def test_a_very_long_line(spark):
+    rows = [(1, "x/LICENSE", " ".join(t for t in licence_bodies()["MIT"]).replace("\n", " ")), (2, "x/long", f"{FILLER} " * 40_000), (3, None, None)]
+    by = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), Workspace(spark, "t")).collect()}
+    assert by[1].license_file and by[2].own_license is None and by[2].license == "MIT" and by[3].license is None
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, path string, text string")
     assert scan_licenses(frame, Workspace(spark, "t")).count() == 0
