@@ -113,8 +113,8 @@ def test_an_article_is_never_left_for_a_part_of_it():
 
 def test_deep_and_unclosed_pages_take_linear_time():
     began = time.perf_counter()
-    for page, want in (("<div>" * 100_000 + "deep", "deep"), ("<div class=menu>" * 30_000 + "<p>x" * 10_000, "x"), ("<b>" * 60_000 + "<p>a</b>" * 10_000, "a"), ("<article class=comments>" * 20_000 + "t", "t"), ("</section>" * 99_999 + "e", "e")):
-        assert set(main_text(page, None).split()) == {want}
+    for page, want in (("<div>" * 100_000 + "deep", "deep"), ("<div class=menu>" * 30_000 + "<p>x" * 10_000, "x"), ("<b>" * 60_000 + "<p>a</b>" * 10_000, "a"), ("<article class=comments>" * 20_000 + "t", ""), ("</section>" * 99_999 + "e", "e")):
+        assert set(main_text(page, None).split()) == set(want.split())
     assert time.perf_counter() - began < 40
 
 
