@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import geometry, identity, moments, payload
 from stratalog.operators import applying, drift, integrity, planning, retention, rewind, scope, search, snapshot, stats
-from stratalog.plans.derived import derived_journal, derived_sql
+from stratalog.plans.derived import derived_sql, loaded_journal
 from stratalog.session import settled
 from stratalog.sources import journal as jr
 from stratalog.streaming import capture
@@ -33,7 +33,7 @@ ALIASES = [
 
 def query(name: str, oracle: str = "") -> Callable:
     def register(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(derived_journal(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(loaded_journal(spark, sf_dir))
         if oracle:
             ORACLES[name] = f"WITH RECURSIVE {derived_sql()}, {COMMON} {oracle}"
         return f
@@ -639,7 +639,9 @@ def apply_row_counts(j: DataFrame) -> DataFrame:
     "SELECT event_id, invalidated_at IS NOT NULL OR (restored_from_event_id IS NOT NULL AND restored_from_event_id % 4 = 1) AS invalid FROM journal",
 )
 def undo_traces(j: DataFrame) -> DataFrame:
-    out = applying.invalidated(j, j.where("event_id % 4 = 1").select("event_id"), NOW)
+    # Undone are events by their numbers, whether or not the journal still has them.
+    undone = j.where("restored_from_event_id % 4 = 1").select(F.col("restored_from_event_id").alias("event_id"))
+    out = applying.invalidated(j, undone, NOW)
     return out.select("event_id", F.col("invalidated_at").isNotNull().alias("invalid"))
 
 

@@ -8,9 +8,13 @@ all shapes, amounts are whole cents, geometries are points on a small grid.
 from __future__ import annotations
 
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalog.session import shared_folder
+from stratalog.sources.journal import JOURNAL as JOURNAL_SCHEMA
+
 STAMP = {"spark": "date_format(ts, 'yyyy-MM-dd\\'T\\'HH:mm:ss')", "duckdb": "strftime(ts, '%Y-%m-%dT%H:%M:%S')"}
 
 
@@ -86,6 +90,19 @@ def derived_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.where(KEPT).selectExpr(*named(JOURNAL))
 
 
+_loaded: dict[tuple[str, str], str] = {}
+
+
+def loaded_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``derived_journal`` as a table, as a journal is kept: written once for a session and folder, then read from files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _loaded:
+        path = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
+        derived_journal(spark, sf_dir).write.parquet(path)
+        _loaded[key] = path
+    return spark.read.schema(JOURNAL_SCHEMA).parquet(_loaded[key])
+
+
 def derived_sql() -> str:
     """The same as the CTE ``journal`` for DuckDB."""
     named = lambda columns: ",\n  ".join(f"{e} AS {n}" for n, e in columns.items())

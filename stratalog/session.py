@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans, not the size of the cluster.
@@ -25,12 +28,38 @@ def build_session(app: str = "stratalog", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode only, a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="stratalog-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+_settled: list[tuple[SparkSession, str]] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once for all their uses, and the end of a long plan.
 
-    They are written to the folder that ``spark.checkpoint.dir`` names, which outlives executors; where none is set, they
-    are kept by the executors and computed again if lost.
+    They are written as a table to the folder that ``shared_folder`` names, which outlives executors, and read from there,
+    so later steps know its size. ``discard_settled`` deletes these tables when the results that read them are done with.
     """
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _settled.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_settled(spark: SparkSession) -> int:
+    """Deletes the tables that ``settled`` made in this session and says how many they were."""
+    mine = [path for session, path in _settled if session is spark]
+    for path in mine:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _settled[:] = [x for x in _settled if x[0] is not spark]
+    return len(mine)

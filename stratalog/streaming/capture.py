@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalog.functions import payload
+from stratalog.session import settled
 from stratalog.sources.journal import JOURNAL, is_trace, split_valid, write_journal
 
 KEYS = ["datasource_fingerprint", "entity"]
@@ -72,13 +73,35 @@ def net_effect(edits: DataFrame) -> DataFrame:
     return out.where("NOT (added AND deleted)").select(*KEYS, kind.alias("kind"), "old", "new")
 
 
+#: Fields that tell events of one batch apart, in the order in which they get their ids.
+NATURAL = ["created_at", "datasource_fingerprint", "entity_fingerprint", "operation_type", "attributes_json", "session_id", "user_name"]
+
+
+def numbered(events: DataFrame, first: int) -> DataFrame:
+    """``events`` with ids from ``first`` on, without gaps, for those that have none; the same on every run.
+
+    Events are sorted by ``NATURAL`` into ranges; each range counts its own, and the counts, a row a range, give where it
+    begins. So no task sees all events, and ids follow time. Events that are alike in all of these are interchangeable.
+    """
+    own = events.where("event_id IS NOT NULL")
+    bare = events.where("event_id IS NULL")
+    if not bare.limit(1).count():
+        return events
+    placed = settled(bare.repartitionByRange(*NATURAL).sortWithinPartitions(*NATURAL).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    begins = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    met = placed.withColumn("_part", part).join(F.broadcast(begins), "_part")  # a row a task
+    number = F.lit(first) + F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return own.unionByName(met.withColumn("event_id", number).select(*events.columns))
+
+
 def append_batch(events: DataFrame, batch_id: int, path: str, pending: str) -> None:
     """A micro-batch into the journal; what isn't valid goes to the dead letters. A batch that is run again after a
-    failure overwrites its own files, so each event ends in one of the two, once."""
+    failure overwrites its own files with the same ids, so each event ends in one of the two, once. A batch has 2**36 ids
+    of its own, which follow the order of its events."""
     good, bad = split_valid(events)
-    number = F.lit(batch_id + 1).cast("long") * F.lit(1 << 36) + F.monotonically_increasing_id() % F.lit(1 << 36)
-    good = good.withColumn("event_id", F.coalesce("event_id", number))
-    write_journal(good, f"{path}/batch={batch_id}", "overwrite")
+    write_journal(numbered(good, (batch_id + 1) << 36), f"{path}/batch={batch_id}", "overwrite")
     bad.write.mode("overwrite").json(f"{pending}/batch={batch_id}")
 
 
