@@ -1,5 +1,7 @@
+import base64
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -22,14 +24,18 @@ def fixture():
     return [*rows, (7, rows[7][1], "s"), (None, "null id", "s")]
 
 
-@pytest.mark.parametrize("columns", [128, 20])
-def test_equals_the_library(spark, monkeypatch, columns):
-    monkeypatch.setattr(tokens, "COLUMNS", columns)
+@pytest.mark.parametrize("unit, entries, chunk", [(1 << 17, 700_000, 48), (700, 4000, 20)])
+def test_equals_the_library(spark, monkeypatch, unit, entries, chunk):
     model, rows = SentencePieceProcessor(model_file=PATH), fixture()
     want = sorted(str((i, len((t or "").encode()), n := len(model.encode(t or "")), n > 500)) for i, t, _ in rows)
-    got = token_counts(docs_frame(spark, rows), PATH, limit=500).collect()
-    assert sorted(map(str, map(tuple, got))) == want
+    if chunk == 48:
+        got = token_counts(docs_frame(spark, rows), PATH, limit=500).collect()
+        assert sorted(map(str, map(tuple, got))) == want
+    for name, value in (("UNIT", unit), ("MOST_ENTRIES", entries), ("CHUNK", chunk), ("LEAD", chunk // 3)):
+        monkeypatch.setattr(tokens, name, value)
     machine = tokens.Transducer(tokens.compiled(PATH).ranks)
+    assert [counted(machine, [t or ""])[0] for _, t, _ in rows] == counted(machine, [t or "" for _, t, _ in rows]) == [len(model.encode(t or "")) for _, t, _ in rows]
+    assert machine.entries() <= entries + 12 * unit
     for _, t, _ in rows[:200]:
         state, total = machine.first, machine.first_adds
         for c in t.replace(" ", "▁"):
@@ -38,6 +44,45 @@ def test_equals_the_library(spark, monkeypatch, columns):
         assert total * bool(t) == len(model.encode(t))
 
 
+def counted(machine, texts):
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+    return machine.counts(np.concatenate(points), np.cumsum([0, *map(len, points)])).tolist()
+
+
+def test_long_texts_without_spaces():
+    rng = random.Random(2)
+    model, machine = SentencePieceProcessor(model_file=PATH), tokens.Transducer(tokens.compiled(PATH).ranks)
+    texts = ["a" * 300_000, "ab" * 60_000, "日本語" * 50_000, base64.b64encode(rng.randbytes(60_000)).decode(), "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(60_000))]
+    assert counted(machine, texts) == [len(model.encode(t)) for t in texts]
+
+
+def test_neighbours_match_brute_force():
+    rng = random.Random(3)
+    machine = tokens.compiled(PATH)
+    pieces = list(machine.ranks)
+    short = [p for p in pieces if len(p) <= 3]
+    for k in range(20_000):
+        left, right = rng.choice(short if k % 2 else pieces), rng.choice(short if k % 3 else pieces)
+        left = right if k % 7 == 0 else left
+        assert machine.neighbours(left, right) == (machine.pieces(left + right) == [left, right])
+
+
+def test_what_neighbours_do_not_decide_is_left_to_the_library(monkeypatch):
+    model, machine = SentencePieceProcessor(model_file=PATH), tokens.Transducer(tokens.compiled(PATH).ranks)
+    walk = machine.walk
+
+    def refuse(state, char):
+        if char == "q":
+            raise tokens.Unsure(char)
+        return walk(state, char)
+
+    monkeypatch.setattr(machine, "walk", refuse)
+    texts = ["plain words", "a quick one", ""]
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in texts]
+    got = tokens._each(machine, PATH, np.concatenate(points), np.cumsum([0, *map(len, points)]))
+    assert got.tolist() == [len(model.encode(t)) for t in texts]
+
+
 def test_sample_table(spark):
     model = SentencePieceProcessor(model_file=PATH)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
