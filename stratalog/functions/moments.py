@@ -47,6 +47,30 @@ def instant(text: Column | str) -> Column:
     return F.trim(_col(text)).try_cast("timestamp")
 
 
+#: Spellings of times that labels read, with and without an offset and fractions of a second.
+SPELLINGS = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})?| \d{2}:\d{2}:\d{2}(\.\d{1,6})?)$"
+
+
+def strict_instant(text: Column | str) -> Column:
+    """A time in one of the ``SPELLINGS``, UTC where it has no offset; null for any other text, a bare date too."""
+    c = F.trim(_col(text))
+    with_colon = F.regexp_replace(c, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(c.rlike(SPELLINGS), with_colon.try_cast("timestamp"))
+
+
+def clamped_cutoff(wanted: Column | str, first_tracked: Column | str) -> Column:
+    """The wanted cutoff, or the time of the first tracked event where the cutoff lies before it; as it is if unreadable."""
+    early = instant(wanted) < instant(first_tracked)
+    return F.when(F.coalesce(early, F.lit(False)), _col(first_tracked)).otherwise(_col(wanted))
+
+
+def marker_ticks(ticks: DataFrame, seconds_shown: float, at: str = "tick") -> DataFrame:
+    """The ticks to draw: all of them where at most three days are shown, else the first of each day."""
+    if 0 < seconds_shown <= 3 * 86400:
+        return ticks
+    return ticks.groupBy(F.to_date(at).alias("_day")).agg(F.min(at).alias(at)).drop("_day")
+
+
 def seconds_between(later: Column, earlier: Column) -> Column:
     return F.unix_seconds(later) - F.unix_seconds(earlier)
 
@@ -123,7 +147,12 @@ def ticks(bounds: DataFrame, unit: str, start: str = "start", end: str = "end")
 KILO, MEGA, GIGA = 1 << 10, 1 << 20, 1 << 30
 
 
-def size_text(size: Column | str) -> Column:
+def size_text(size: Column | str, style: str = "health") -> Column:
+    """A size in bytes as text: ``health`` (B, KB, MB, GB with one decimal), ``journal`` (the same, GB with two) or
+    ``report`` (MB with two decimals, and no larger unit)."""
     c = _col(size)
-    part = lambda unit, name: F.concat(F.format_string("%.1f", c / F.lit(float(unit))), F.lit(f" {name}"))
-    return F.when(c < KILO, F.concat(c.cast("string"), F.lit(" B"))).when(c < MEGA, part(KILO, "KB")).when(c < GIGA, part(MEGA, "MB")).otherwise(part(GIGA, "GB"))
+    part = lambda unit, name, n: F.concat(F.format_string(f"%.{n}f", c / F.lit(float(unit))), F.lit(f" {name}"))
+    out = F.when(c < KILO, F.concat(c.cast("string"), F.lit(" B"))).when(c < MEGA, part(KILO, "KB", 1))
+    if style == "report":
+        return out.otherwise(part(MEGA, "MB", 2))
+    return out.when(c < GIGA, part(MEGA, "MB", 1)).otherwise(part(GIGA, "GB", 2 if style == "journal" else 1))

@@ -159,3 +159,16 @@ def cell(value: Column, kind: str) -> Column:
     text = plain(value)
     text = F.when(~text.isin("", "NULL", "null"), text)
     return text if kind == "string" else text.try_cast(kind)
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two JSON texts are one value to a layer: the same text, number, instant (a time without an offset is UTC) or
+    bytes; a boolean is never a number, and null equals null only."""
+    x, y = plain(a), plain(b)
+    quoted = lambda c: c.startswith('"')
+    numbers = ~quoted(a) & ~quoted(b) & (x.try_cast("double") == y.try_cast("double"))
+    dated = r"^\"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+    instants = a.rlike(dated) & b.rlike(dated) & (x.try_cast("timestamp") == y.try_cast("timestamp"))
+    both = x.startswith("b64:") & y.startswith("b64:") & (decoded(a, "binary") == decoded(b, "binary"))
+    none = (a.isNull() | (a == "null")) & (b.isNull() | (b == "null"))
+    return F.coalesce(none | (a == b) | numbers | instants | both, F.lit(False))

@@ -17,7 +17,7 @@ KEYS = ["datasource_fingerprint", "entity"]
 #: Outcomes, and whether they count as done, skipped or failed.
 OUTCOMES = {
     "applied": "ok", "applied_partial": "ok", "skipped_idempotent": "skipped", "failed": "fail", "failed_target_absent": "fail",
-    "failed_geometry_drift": "fail",
+    "failed_geometry_drift": "fail", "rolled_back": "fail",
 }
 HARD = ("failed",)
 
@@ -37,9 +37,12 @@ def update_targets(plan: DataFrame) -> DataFrame:
     return shapes.join(cells, KEYS, "left")
 
 
-def outcomes(state: DataFrame, events: DataFrame) -> DataFrame:
+def outcomes(state: DataFrame, events: DataFrame, refused: DataFrame | None = None, lost: DataFrame | None = None) -> DataFrame:
     """The actions of ``events`` (with ``entity``) and the ``outcome`` of each against ``state``.
 
+    ``refused(event_id)`` are actions whose write the source turned down: they fail, hard. ``lost`` (datasource_fingerprint,
+    field) are fields that can't be written: an action that would write one is applied in part.
+
     An insert is needed unless the entity is there, a delete unless it is gone. Updates are needed unless the entity has
     all the values that they lead to, and refused where it is gone (and no action of the plan brings it back) or where its
     geometry, once the newer updates are undone, is neither the update's new one nor its old one.
@@ -64,7 +67,28 @@ def outcomes(state: DataFrame, events: DataFrame) -> DataFrame:
         .when(drift, "failed_geometry_drift")
         .otherwise("applied")
     )
-    return met.withColumn("outcome", outcome).drop("_now", "_shape", "_there", "_brought", "_then", "_old", "_move")
+    if lost is not None:
+        gone = lost.groupBy("datasource_fingerprint").agg(F.collect_set("field").alias("_lost"))  # fields of a source
+        met = met.join(gone, "datasource_fingerprint", "left")
+        written = F.when(F.col("compensation") == "UPDATE", F.map_keys(F.coalesce("_old", none))).when(F.col("compensation") == "INSERT", F.map_keys(F.coalesce(payload.full_attributes(), none)))
+        partial = F.coalesce(F.arrays_overlap(written, F.col("_lost")), F.lit(False))
+        outcome = F.when((outcome == "applied") & partial, "applied_partial").otherwise(outcome)
+    if refused is not None:
+        met = met.join(refused.select("event_id", F.lit(True).alias("_refused")).distinct(), "event_id", "left")
+        outcome = F.when(F.col("_refused") & ~outcome.startswith("skipped"), "failed").otherwise(outcome)
+    return met.withColumn("outcome", outcome).select(*plan.columns, "outcome")
+
+
+def rolled_back(decided: DataFrame) -> DataFrame:
+    """``decided`` as a strict run reports it: in a source with a hard failure nothing was applied.
+
+    Actions that were refused or found nothing to do keep their outcome; the others of such a source are ``rolled_back``.
+    Targets that are gone or have drifted are soft failures: the run goes on.
+    """
+    broken = decided.where(F.col("outcome").isin(*HARD)).select("datasource_fingerprint").distinct().withColumn("_broken", F.lit(True))
+    met = decided.join(F.broadcast(broken), "datasource_fingerprint", "left")  # a name a source
+    undone = F.coalesce("_broken", F.lit(False)) & F.col("outcome").isin("applied", "applied_partial")
+    return met.withColumn("outcome", F.when(undone, "rolled_back").otherwise(F.col("outcome"))).select(*decided.columns)
 
 
 def apply_plan(state: DataFrame, decided: DataFrame, strict: bool = True) -> DataFrame:
@@ -75,8 +99,7 @@ def apply_plan(state: DataFrame, decided: DataFrame, strict: bool = True) -> Dat
     """
     done = decided.where(F.col("outcome").isin("applied", "applied_partial"))
     if strict:
-        broken = decided.where(F.col("outcome").isin(*HARD)).select("datasource_fingerprint").distinct()
-        done = done.join(broken, "datasource_fingerprint", "left_anti")
+        done = rolled_back(decided).where(F.col("outcome").isin("applied", "applied_partial"))
     k, c = order_key(), F.col("compensation")
     whole = done.groupBy(*KEYS).agg(
         F.max(c == "DELETE").alias("_delete"),
@@ -135,19 +158,20 @@ def inverse_events(events: DataFrame) -> DataFrame:
 def outcome_counts(decided: DataFrame) -> DataFrame:
     """One row per source: each outcome's count, apply_ok, apply_skipped, apply_fail, and plan_actions, their sum."""
     each = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    out = decided.groupBy("datasource_fingerprint").agg(*each, F.count("*").alias("plan_actions"))
+    known = F.col("outcome").isin(*OUTCOMES)
+    out = decided.groupBy("datasource_fingerprint").agg(*each, F.count("*").alias("plan_actions"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
     sums = {f"apply_{k}": sum((F.col(o) for o, v in OUTCOMES.items() if v == k), F.lit(0)) for k in ("ok", "skipped", "fail")}
     return out.withColumns(sums)
 
 
 def conserved(counts: DataFrame) -> DataFrame:
-    """``outcome_counts`` with ``holds``: outcomes add up to the plan."""
+    """``outcome_counts`` with ``holds``: outcomes add up to the plan. An outcome that is none of ``OUTCOMES`` breaks it."""
     return counts.withColumn("holds", F.col("apply_ok") + F.col("apply_skipped") + F.col("apply_fail") == F.col("plan_actions"))
 
 
 def row_count_check(before: DataFrame, after: DataFrame, decided: DataFrame) -> DataFrame:
     """Per source: rows expected to come (applied inserts less deletes) and rows that did."""
-    done = F.col("outcome") == "applied"
+    done = F.col("outcome").isin("applied", "applied_partial")
     due = decided.groupBy("datasource_fingerprint").agg(
         (F.count_if(done & (F.col("compensation") == "INSERT")) - F.count_if(done & (F.col("compensation") == "DELETE"))).alias("expected")
     )

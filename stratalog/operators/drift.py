@@ -56,3 +56,30 @@ def restorable(events: DataFrame, compared: DataFrame) -> DataFrame:
     cells = events.select("event_id", "datasource_fingerprint", F.explode(payload.old_attributes()).alias("field", "value"))
     good = compared.where("verdict = 'matched'").select("datasource_fingerprint", F.col("name").alias("field"))
     return cells.where(~payload.is_audit_field(F.col("field"))).join(good.distinct(), ["datasource_fingerprint", "field"], "left_semi").select("event_id", "field", "value")
+
+
+def field_mapping(compared: DataFrame) -> DataFrame:
+    """(datasource_fingerprint, mapping): captured name -> present name of the matched and the missing fields.
+
+    Missing fields stay in the mapping, so that what can't be written is reported; fields of another type don't.
+    """
+    named = compared.where("verdict IN ('matched', 'missing')").select("datasource_fingerprint", "name").distinct()
+    return named.groupBy("datasource_fingerprint").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("name").alias("to"))))).alias("mapping"))
+
+
+def mapped_values(events: DataFrame, compared: DataFrame) -> DataFrame:
+    """(event_id, field, family, text, number, truth, moment, bytes): ``restorable`` values in the type of their present field.
+
+    One of the typed columns holds the value, by the field's family; one that can't be read as that is kept as text.
+    """
+    types = compared.where("verdict = 'matched'").select("datasource_fingerprint", F.col("name").alias("field"), payload.type_family(F.col("new_type")).alias("family"))
+    rows = restorable(events, compared).join(events.select("event_id", "datasource_fingerprint"), "event_id")
+    rows = rows.join(types.distinct(), ["datasource_fingerprint", "field"])
+    v, family = F.col("value"), F.col("family")
+    typed = {
+        "number": F.when(family.isin("int", "real"), payload.decoded(v, "real")),
+        "truth": F.when(family == "bool", payload.decoded(v, "bool")),
+        "moment": F.when(family.isin("date", "timestamp"), payload.decoded(v, "timestamp")),
+        "bytes": payload.decoded(v, "binary"),
+    }
+    return rows.select("event_id", "field", "family", F.when(F.coalesce(*[c.cast("string") for c in typed.values()]).isNull(), payload.plain(v)).alias("text"), *[c.alias(k) for k, c in typed.items()])

@@ -20,11 +20,10 @@ def issues(journal: DataFrame, registry: DataFrame | None = None, sessions: Data
         found.append(("session_without_events", sessions.join(journal.select("session_id").distinct(), "session_id", "left_anti")))
     if registry is not None:
         found.append(("source_without_events", registry.join(journal.select("datasource_fingerprint").distinct(), "datasource_fingerprint", "left_anti")))
-    found.append(("newer_layout", journal.where(F.col("event_schema_version") > SCHEMA_VERSION)))
-    found.append(("invalid_event", journal.where(rejection().isNotNull())))
     found.append(("repeated_id", journal.groupBy("event_id").agg(F.count("*").alias("c")).where("c > 1")))
-    out = None
+    # What one row tells is counted in one pass.
+    own = journal.agg(F.count_if(F.col("event_schema_version") > SCHEMA_VERSION).alias("newer_layout"), F.count_if(rejection().isNotNull()).alias("invalid_event"))
+    out = own.unpivot([], ["newer_layout", "invalid_event"], "issue", "n")
     for name, rows in found:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n"))
     return out.where("n > 0")

@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.functions import moments
 from stratalog.operators.scope import expanded
-from stratalog.sources.journal import is_active, is_trace
+from stratalog.session import settled
+from stratalog.sources.journal import is_active, is_trace, write_journal
 
 RETENTION_DAYS, MOST_EVENTS = 365, 1_000_000
 
@@ -30,19 +32,20 @@ def commit_boundary(journal: DataFrame, most: int) -> DataFrame:
     """One row, ``boundary``: the time from which events are kept so that about ``most`` are left; null to keep all.
 
     The cut falls between commits (events of one time). If it fell within the first commit, it moves behind it. Events
-    are counted per time first, so the ordered pass is over distinct times, one row each.
+    are counted per time, times per day; days, a few thousand rows at most, are put in order, and then the times of the
+    one day in which the cut falls.
     """
-    commits = journal.groupBy("created_at").agg(F.count("*").alias("n"))
-    back = Window.orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = commits.withColumn("kept", F.sum("n").over(back))
-    # The oldest event to keep lies in the commit where the count from the newest reaches ``most``.
-    whole = placed.agg(
-        F.max(F.when(F.col("kept") >= most, F.col("created_at"))).alias("at"),
-        F.min("created_at").alias("first"),
-        F.sum("n").alias("total"),
-    )
-    second = commits.join(F.broadcast(commits.agg(F.min("created_at").alias("f"))), F.col("created_at") > F.col("f")).agg(F.min("created_at").alias("second"))
-    met = whole.join(F.broadcast(second))  # one row each
+    commits = journal.where("created_at IS NOT NULL").groupBy("created_at").agg(F.count("*").alias("n"))
+    commits = settled(commits.withColumn("day", F.substring("created_at", 1, moments.DAY_LENGTH)))
+    back = lambda c: Window.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)
+    days = commits.groupBy("day").agg(F.sum("n").alias("n")).withColumn("kept", F.sum("n").over(back("day")))
+    # The oldest event to keep lies in the day, and of that in the commit, where the count from the newest reaches ``most``.
+    day = days.where(F.col("kept") >= most).agg(F.max(F.struct("day", (F.col("kept") - F.col("n")).alias("newer"))).alias("d")).select("d.*")
+    inside = commits.join(F.broadcast(day), "day").withColumn("kept", F.sum("n").over(back("created_at")) + F.col("newer"))
+    at = inside.where(F.col("kept") >= most).agg(F.max("created_at").alias("at"))
+    whole = commits.agg(F.sum("n").alias("total"), F.min("created_at").alias("first"))
+    second = commits.join(F.broadcast(whole), F.col("created_at") > F.col("first")).agg(F.min("created_at").alias("second"))
+    met = whole.join(F.broadcast(at)).join(F.broadcast(second))  # one row each
     cut = F.when(F.col("at") > F.col("first"), F.col("at")).otherwise(F.col("second"))
     return met.select(F.when(F.lit(most > 0) & (F.col("total") > most), cut).alias("boundary"))
 
@@ -62,9 +65,21 @@ def pairs(journal: DataFrame) -> DataFrame:
 
 
 def purge_pairs(journal: DataFrame) -> DataFrame:
-    found = pairs(journal)
-    ids = found.select("event_id").union(found.select("next_id"))
-    return journal.join(ids, "event_id", "left_anti")
+    """The journal without inserts and the deletes next after them, again and again until no such pair is left.
+
+    Rounds run on the four columns that decide, of the entities that still have both kinds of event.
+    """
+    own = journal.where(is_active() & F.col("entity_fingerprint").isNotNull())
+    left = own.select("entity_fingerprint", "session_id", "event_id", "operation_type", "invalidated_at")
+    gone = None
+    while True:
+        found = pairs(left)
+        round_ = settled(found.select("event_id").union(found.select("next_id")))
+        if not round_.limit(1).count():
+            break
+        gone = round_ if gone is None else gone.union(round_)
+        left = settled(left.join(round_, "event_id", "left_anti"))
+    return journal if gone is None else journal.join(gone, "event_id", "left_anti").select(*journal.columns)
 
 
 def orphan_traces(journal: DataFrame) -> DataFrame:
@@ -112,6 +127,4 @@ def horizons(journal: DataFrame, cutoff: str, aliases: DataFrame | None = None)
 
 def compact(journal: DataFrame, path: str, buckets: int = 64) -> None:
     """Rewrites a journal in few files, ordered by entity and time within each, for narrow reads."""
-    from stratalog.sources.journal import write_journal
-
-    write_journal(journal.sortWithinPartitions("datasource_fingerprint", "entity_fingerprint", "created_at"), path, "overwrite", buckets)
+    write_journal(journal, path, "overwrite", buckets, ordered=True)

@@ -73,6 +73,42 @@ def newest_first(window: DataFrame, limit: int | None = 10_000) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
+#: A rewind reads at most so many events of a source.
+MOST_FETCHED = 10_000
+
+
+def newest_of_each(window: DataFrame, limit: int = MOST_FETCHED, salts: int = 64) -> DataFrame:
+    """The newest ``limit`` events of each source, newest first over all; each source is dealt over ``salts`` tasks first."""
+    line = lambda *more: Window.partitionBy("datasource_fingerprint", *more).orderBy(F.desc("created_at"), F.desc("event_id"))
+    salted = window.withColumn("_salt", F.pmod(F.xxhash64("event_id", "created_at"), F.lit(salts)))
+    some = salted.withColumn("_place", F.row_number().over(line("_salt"))).where(F.col("_place") <= limit)
+    some = some.withColumn("_place", F.row_number().over(line())).where(F.col("_place") <= limit)
+    return some.drop("_salt", "_place").orderBy(F.desc("created_at"), F.desc("event_id"))
+
+
+def truncated_sources(window: DataFrame, limit: int = MOST_FETCHED) -> DataFrame:
+    """(datasource_fingerprint, n_events, n_dropped): sources of which a fetch of ``limit`` events would leave out the oldest.
+
+    These hold the state at the cutoff, so a rewind of such a source from a cut window is refused, never run in part.
+    """
+    counts = window.groupBy("datasource_fingerprint").agg(F.count("*").alias("n_events"))
+    return counts.where(F.col("n_events") > limit).withColumn("n_dropped", F.col("n_events") - limit)
+
+
+class TruncatedWindow(ValueError):
+    """A window has more events than may be read."""
+
+
+def whole_window(window: DataFrame, limit: int | None = MOST_FETCHED) -> DataFrame:
+    """The window, or an error where a source has more than ``limit`` events; None lifts the limit."""
+    if limit is not None:
+        cut = truncated_sources(window, limit).orderBy(F.desc("n_events")).limit(3).collect()
+        if cut:
+            told = ", ".join(f"{r['datasource_fingerprint']} has {r['n_events']}" for r in cut)
+            raise TruncatedWindow(f"more than {limit} events: {told}; choose a later cutoff or lift the limit")
+    return window
+
+
 def reused_ids(window: DataFrame) -> DataFrame:
     """(datasource_fingerprint, entity_fingerprint, split_at, split_id): the last place where an id began another life.
 

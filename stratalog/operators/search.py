@@ -120,14 +120,45 @@ def zone_events(events: DataFrame, bbox: tuple[float, float, float, float], star
     return window.where(geometry.intersects(box, bbox))
 
 
+def earliest(events: DataFrame, keys: list[str], limit: int, salts: int = 64) -> DataFrame:
+    """The earliest ``limit`` events of each key, by (created_at, event_id).
+
+    Each key is dealt over ``salts`` tasks, each keeps its own earliest, and what is left of a key meets in one task: at
+    most ``salts`` times ``limit`` rows, however many events the key has.
+    """
+    line = lambda *more: Window.partitionBy(*keys, *more).orderBy("created_at", "event_id")
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64("event_id", "created_at"), F.lit(salts)))
+    some = salted.withColumn("_place", F.row_number().over(line("_salt"))).where(F.col("_place") <= limit)
+    return some.withColumn("_place", F.row_number().over(line())).where(F.col("_place") <= limit).drop("_salt", "_place")
+
+
 def zone_markers(events: DataFrame, bbox: tuple[float, float, float, float], limit: int = 5000) -> DataFrame:
     """Distinct (created_at, operation_type) of the earliest ``limit`` events of each source that touch a box."""
-    place = F.row_number().over(Window.partitionBy("datasource_fingerprint").orderBy("created_at", "event_id"))
-    first = events.withColumn("_place", place).where(F.col("_place") <= limit)
+    columns = ["datasource_fingerprint", "created_at", "event_id", "operation_type", "geometry_wkb", "new_geometry_wkb"]
+    first = earliest(events.select(*columns), ["datasource_fingerprint"], limit)
     box = geometry.envelope(F.coalesce("geometry_wkb", "new_geometry_wkb"))
     return first.where(geometry.intersects(box, bbox)).select("created_at", "operation_type").distinct().orderBy("created_at", "operation_type")
 
 
+def whole_within(rows: DataFrame, limit: int) -> DataFrame:
+    """One row that says what a limit leaves out: n_rows, limit, truncated. What is cut must be told, or refused."""
+    return rows.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(limit).alias("limit"), (F.col("n_rows") > limit).alias("truncated"))
+
+
+def used_fingerprints(events: DataFrame, limit: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(the first ``limit`` fingerprints that the journal names, ``whole_within`` of all of them)."""
+    every = events.select("datasource_fingerprint").distinct()
+    return every.orderBy("datasource_fingerprint").limit(limit), whole_within(every, limit)
+
+
+def distinct_of(events: DataFrame, column: str, fingerprint: str | None = None) -> DataFrame:
+    """The values of one of the layer columns, of one source or of all."""
+    if column not in ("layer_id_snapshot", "layer_name_snapshot", "provider_type"):
+        raise ValueError(f"{column} is no layer column")
+    own = events if fingerprint is None else events.where(F.col("datasource_fingerprint") == fingerprint)
+    return own.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+
+
 def text_matches(rows: DataFrame, wanted: str) -> DataFrame:
     """Rows with the text in any of their cells, whatever its case."""
     line = F.lower(F.concat_ws("\n", *[F.col(c).cast("string") for c in rows.columns]))

@@ -101,8 +101,12 @@ def born_and_gone(events: DataFrame) -> DataFrame:
     return of("INSERT").intersect(of("DELETE"))
 
 
-def oldest_event(events: DataFrame) -> DataFrame:
-    return events.agg(F.min("created_at").alias("first_at"))
+def oldest_event(events: DataFrame, wanted: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """``first_at`` of all events, or of the sources ``wanted(fingerprint)`` under any of their names."""
+    from stratalog.operators.scope import in_scope
+
+    own = events if wanted is None else in_scope(events, wanted, aliases)
+    return own.agg(F.min("created_at").alias("first_at"))
 
 
 def _level(value: Column, place: int) -> Column:
@@ -175,3 +179,72 @@ def anomalies(cycles: DataFrame) -> DataFrame:
 
 def active_traces(events: DataFrame) -> DataFrame:
     return events.where(is_trace() & is_active())
+
+
+def has_active_traces(events: DataFrame, wanted: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """One row, ``has_traces``: whether any active trace is there, in the sources ``wanted(fingerprint)`` under any name."""
+    from stratalog.operators.scope import in_scope
+
+    own = active_traces(events) if wanted is None else in_scope(active_traces(events), wanted, aliases)
+    return own.limit(1).agg((F.count("*") > 0).alias("has_traces"))
+
+
+def diagnostics(events: DataFrame) -> DataFrame:
+    """One row: everything that a diagnosis of a journal counts; bins of entities by chain length as a map."""
+    from stratalog.operators.retention import pairs
+
+    own = events.where(~is_trace())
+    bins = chain_lengths(events).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "n_entities")))).alias("bins"), F.coalesce(F.sum("n_entities"), F.lit(0)).alias("total_entities"))
+    counts = own.agg(F.count("*").alias("total_events"))
+    gone = events.agg(F.count("invalidated_at").alias("n_invalidated"))
+    out = storage_report(events)
+    for one in (counts, bins, gone, pairs(events).agg(F.count("*").alias("n_pairs"))):
+        out = out.join(F.broadcast(one))  # one row each
+    return out
+
+
+def diagnostic_text(found: DataFrame) -> DataFrame:
+    """``diagnostics`` as lines of text: place, line."""
+    size = lambda c: moments.size_text(c, "report")
+    n = lambda c: F.col(c).cast("string")
+    share = lambda v: F.format_string("%.1f", 100.0 * v / F.greatest(F.col("total_entities"), F.lit(1)))
+    lines = [F.concat(F.lit("events: "), n("total_events")), F.concat(F.lit("entities: "), n("total_entities"))]
+    for _, name in (*CHAIN_BINS, (0, "51+")):
+        value = F.coalesce(F.element_at("bins", F.lit(name)), F.lit(0))
+        lines.append(F.concat(F.lit(f"entities with {name} events: "), value.cast("string"), F.lit(" ("), share(value), F.lit("%)")))
+    named = {"geometries": "n_geometry", "without geometry": "n_no_geometry", "new geometries": "n_new_geometry", "without new geometry": "n_no_new_geometry", "unmoved": "n_unmoved"}
+    lines += [F.concat(F.lit(f"{k}: "), n(v)) for k, v in named.items()]
+    lines += [F.concat(F.lit("unmoved bytes: "), size("unmoved_bytes")), F.concat(F.lit("field schemas: "), size("schema_characters"), F.lit(", "), n("n_schemas"), F.lit(" distinct"))]
+    lines += [F.concat(F.lit("saved by one copy of each schema: "), size("schema_saving"))]
+    lines += [F.concat(F.lit("invalidated traces: "), n("n_invalidated")), F.concat(F.lit("insert and delete pairs: "), n("n_pairs"))]
+    return found.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+
+
+#: What each issue of ``integrity.issues`` means to a reader.
+ISSUE_TEXTS = {
+    "orphan_trace": "Some restores point at events that are gone.",
+    "session_without_events": "Some sessions have no events.",
+    "source_without_events": "Some registered sources have no events.",
+    "newer_layout": "Some events were written by a later version and may not be read in full.",
+    "invalid_event": "Some events can't be read; the last edits may be incomplete.",
+    "repeated_id": "Some events share a number.",
+}
+
+
+def issue_text(issue: Column | str) -> Column:
+    """A sentence for an issue; one that isn't known is named."""
+    c = F.col(issue) if isinstance(issue, str) else issue
+    out = F.when(F.lit(False), F.lit(""))
+    for name, text in ISSUE_TEXTS.items():
+        out = out.when(c == name, text)
+    return out.otherwise(F.concat(F.lit("Something is wrong: "), c))
+
+
+#: Bytes left on a volume below which it is low, and critical.
+LOW_BYTES, CRITICAL_BYTES = 500 << 20, 100 << 20
+
+
+def volume_level(free_bytes: Column | str) -> Column:
+    """``ok``, ``low`` or ``critical``; a volume that can't be measured is critical."""
+    c = F.col(free_bytes) if isinstance(free_bytes, str) else free_bytes
+    return F.when(c.isNull() | (c < CRITICAL_BYTES), "critical").when(c < LOW_BYTES, "low").otherwise("ok")

@@ -611,29 +611,6 @@ def preflight(j: DataFrame) -> DataFrame:
     return planning.preflight(settled(rewind.rewind_events(rewind.window_events(j, CUTOFF))), CUTOFF, oldest)
 
 
-def _decided(j: DataFrame) -> tuple[DataFrame, DataFrame]:
-    now = settled(snapshot.state_at(j, "2025-01-01T00:00:00+00:00"))
-    return now, settled(applying.outcomes(now, rewind.rewind_events(rewind.window_events(j, CUTOFF))))
-
-
-@query("apply_outcomes")
-def apply_outcomes(j: DataFrame) -> DataFrame:
-    return applying.conserved(applying.outcome_counts(_decided(j)[1]))
-
-
-@query("applied_state")
-def applied_state(j: DataFrame) -> DataFrame:
-    now, decided = _decided(j)
-    out = applying.apply_plan(now, decided)
-    return out.select("datasource_fingerprint", "entity", payload.as_text(F.col("attributes")).alias("attributes"), F.hex("geometry_wkb").alias("shape"))
-
-
-@query("apply_row_counts")
-def apply_row_counts(j: DataFrame) -> DataFrame:
-    now, decided = _decided(j)
-    return applying.row_count_check(now, applying.apply_plan(now, decided), decided)
-
-
 @query(
     "undo_traces",
     "SELECT event_id, invalidated_at IS NOT NULL OR (restored_from_event_id IS NOT NULL AND restored_from_event_id % 4 = 1) AS invalid FROM journal",

@@ -7,6 +7,9 @@ late events get late ids. ``created_at`` is ISO text in UTC and is compared as t
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +41,25 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return migrate(spark.read.parquet(path))
 
 
-def write_journal(events: DataFrame, path: str, mode: str = "append", buckets: int = 64) -> None:
+#: Events that a task of ``write_journal`` writes, about.
+TASK_EVENTS = 500_000
+
+
+def write_journal(events: DataFrame, path: str, mode: str = "append", buckets: int = 64, ordered: bool = False, spread: int | None = None) -> None:
     """Appends events, partitioned by a bucket of their source so that reads of one source skip the others' files.
 
     The bucket is a hash, as fingerprints hold path characters and their number is not bounded. Rows are dealt by bucket
-    and entity, so a source that holds most of the journal is still written by many tasks.
+    and entity, so a source that holds most of the journal is still written by many tasks: one for each ``TASK_EVENTS``
+    events of all, if ``spread`` doesn't say how many. ``ordered`` sorts each file by source, entity and time.
     """
     bucket = F.pmod(F.xxhash64("datasource_fingerprint"), F.lit(buckets)).cast("int")
     events = events.withColumn("source_bucket", bucket)
-    spread = F.pmod(F.xxhash64("entity_fingerprint", "event_id"), F.lit(16))
-    events.repartition("source_bucket", spread).write.mode(mode).partitionBy("source_bucket").parquet(path)
+    tasks = spread or 1 + events.count() // TASK_EVENTS
+    part = F.pmod(F.xxhash64("entity_fingerprint", "event_id"), F.lit(tasks))
+    dealt = events.repartition("source_bucket", part)
+    if ordered:
+        dealt = dealt.sortWithinPartitions("source_bucket", "datasource_fingerprint", "entity_fingerprint", "created_at", "event_id")
+    dealt.write.mode(mode).partitionBy("source_bucket").parquet(path)
 
 
 def of_source(journal: DataFrame, fingerprint: str, buckets: int = 64) -> DataFrame:
@@ -120,7 +132,9 @@ def replay_pending(spark: SparkSession, path: str, journal: DataFrame) -> tuple[
     good, bad = split_valid(found)
     natural = ["datasource_fingerprint", "entity_fingerprint", "created_at", "operation_type", "attributes_json"]
     good = good.dropDuplicates(natural)
-    there = journal.select(*[F.col(c).alias(f"j_{c}") for c in natural]).distinct()
+    # Only events at the times of the letters can be theirs.
+    times = good.select(F.col("created_at").alias("j_created_at")).distinct()
+    there = journal.select(*[F.col(c).alias(f"j_{c}") for c in natural]).join(times, "j_created_at", "left_semi")
     fresh = good.join(there, F.expr(" AND ".join(f"{c} <=> j_{c}" for c in natural)), "left_anti")
     # Ids only need to be new and grow: the task number leads, so no task waits for another.
     last = journal.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("last"))
@@ -153,6 +167,43 @@ def journal_registry(journal: DataFrame) -> DataFrame:
     )
 
 
+def lookup_source(registry: DataFrame, aliases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A registry row for each of ``wanted(fingerprint)``: its own, or that of the first of its other names in order.
+
+    Columns: fingerprint, found_as, and the registry's; what is known under no name has no row.
+    """
+    from stratalog.operators.scope import expanded
+
+    names = expanded(aliases, wanted)
+    met = names.join(registry, names["member"] == registry["datasource_fingerprint"])
+    rank = F.struct((F.col("member") != F.col("fingerprint")).alias("other"), "member")
+    first = met.groupBy("fingerprint").agg(F.min_by(F.struct(*registry.columns), rank).alias("r"))
+    return first.select("fingerprint", F.col("r.datasource_fingerprint").alias("found_as"), *[f"r.{c}" for c in registry.columns if c != "datasource_fingerprint"])
+
+
+def target_layers(events: DataFrame, layers: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(event_id, layer_id, source_uri, how): the layer that an event would be restored to.
+
+    ``layers`` (layer_id, datasource_fingerprint, source_uri) are those there now. By ``layer``: the event's own id; by
+    ``source``: the first layer of its source under any name; by ``registry``: none is there, but the source is known.
+    """
+    from stratalog.operators.scope import expanded
+
+    used = events.select("event_id", F.col("layer_id_snapshot").alias("layer_id"), "datasource_fingerprint")
+    own = layers.select("layer_id", F.col("source_uri").alias("own_uri"), F.lit(True).alias("own"))
+    names = expanded(aliases, used.select(F.col("datasource_fingerprint").alias("fingerprint")).distinct())
+    canonical = layers.select("layer_id", "source_uri", identity.canonical_fingerprint("datasource_fingerprint").alias("name"))
+    near = names.withColumn("name", identity.canonical_fingerprint("member")).join(canonical, "name")
+    near = near.groupBy("fingerprint").agg(F.min(F.struct("layer_id", "source_uri")).alias("near"))
+    known = lookup_source(registry, aliases, used.select(F.col("datasource_fingerprint").alias("fingerprint")).distinct())
+    known = known.select(F.col("fingerprint").alias("known_as"), F.col("source_uri").alias("known_uri"))
+    met = used.join(own, "layer_id", "left").join(near, F.col("datasource_fingerprint") == F.col("fingerprint"), "left")
+    met = met.join(known, F.col("datasource_fingerprint") == F.col("known_as"), "left")
+    how = F.when(F.col("own"), "layer").when(F.col("near").isNotNull(), "source").when(F.col("known_uri").isNotNull(), "registry")
+    layer = F.when(F.col("own"), F.col("layer_id")).otherwise(F.col("near.layer_id"))
+    return met.select("event_id", layer.alias("layer_id"), F.when(F.col("own"), F.col("own_uri")).otherwise(F.coalesce("near.source_uri", "known_uri")).alias("source_uri"), how.alias("how"))
+
+
 def as_tsv(rows: DataFrame) -> DataFrame:
     """One ``line`` a row: the columns as text, tab-joined, nulls empty; ``header(rows)`` is the first line."""
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ")
@@ -173,3 +224,55 @@ def settings(stored: DataFrame) -> DataFrame:
     defaults = spark.createDataFrame(list(DEFAULT_SETTINGS.items()), "setting_key string, default_value string")
     both = defaults.join(stored.select("setting_key", "setting_value"), "setting_key", "full_outer")
     return both.select("setting_key", F.coalesce("setting_value", "default_value").alias("setting_value"))
+
+
+def changed_settings(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored settings after ``changes(setting_key, setting_value)``: a change replaces, a null value takes away."""
+    kept = stored.select("setting_key", "setting_value").join(changes.select("setting_key"), "setting_key", "left_anti")
+    return kept.unionByName(changes.where("setting_value IS NOT NULL").select("setting_key", "setting_value"))
+
+
+def journal_path(folder: str, project: str | None = None) -> str:
+    """Where a project's journal is kept under ``folder``: by its name beside it, or by a digest where it has none yet."""
+    name = re.sub(r"\.[^./]*$", "", project.rstrip("/").rpartition("/")[2]) if project else ""
+    return f"{folder.rstrip('/')}/{name or 'unsaved-' + hashlib.sha256((project or '').encode()).hexdigest()[:16]}.journal"
+
+
+class Journal:
+    """One journal by its path: appending, searching and counting, for callers that don't hold DataFrames."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def events(self) -> DataFrame:
+        return read_journal(self.spark, self.path)
+
+    def append(self, events: DataFrame, pending: str | None = None) -> None:
+        """Writes the valid events; the others go to the dead letters in ``pending``, or raise."""
+        good, bad = split_valid(events)
+        if pending:
+            write_pending(bad, pending)
+        elif bad.limit(1).count():
+            raise ValueError(f"events can't be written: {bad.select('reason').first()[0]}")
+        write_journal(good.select(*JOURNAL.names), self.path)
+
+    def of_source(self, fingerprint: str) -> DataFrame:
+        return of_source(self.events(), fingerprint)
+
+    def event(self, event_id: int) -> DataFrame:
+        return event_by_id(self.events(), event_id)
+
+    def search(self, criteria, page: int = 1, size: int = 100) -> DataFrame:
+        from stratalog.operators.search import search_page
+
+        return search_page(self.events(), criteria, page, size)
+
+    def count(self, criteria) -> int:
+        from stratalog.operators.search import count_matching
+
+        return count_matching(self.events(), criteria).first()[0]
+
+    def users(self) -> DataFrame:
+        from stratalog.operators.search import distinct_users
+
+        return distinct_users(self.events())
