@@ -260,7 +260,8 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
         .where("c > 1 AND far > 0")
         .select("ctx", "elem", (F.col("far") > full_list).alias("long"), F.col("best.node").alias("hub_node"))
     )
-    met = space.write(postings.join(lists, ["ctx", "elem"]), f"lists{level}")
+    # By sorting at every size: both sides grow with the corpus.
+    met = space.write(postings.join(lists.hint("merge"), ["ctx", "elem"]), f"lists{level}")
     # Two sets near the same hub are in one component already, so one of each pair is far.
     short = met.where("NOT long")
     far = short.where("NOT near").select("ctx", "elem", F.struct(*side).alias("x"))
@@ -287,7 +288,7 @@ def _suffix_filter(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFram
     left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
     right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
     apart = _apart("parts_a", "parts_b")
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return met.where(F.col("hub") | (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
 
 
@@ -342,6 +343,7 @@ def similar_groups(
     while True:
         pairs = _candidates(postings, space, level, percent, full_list if level == 0 else deep_list)
         pairs = space.write(pairs if level else _suffix_filter(pairs, heads, percent), f"pairs{level}")
+        space.drop(f"lists{level}")
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = wanted.join(heads, "node").select(F.col("head.id").alias("id")).distinct()
@@ -351,8 +353,10 @@ def similar_groups(
             sets = space.write(sets.select("text").mapInArrow(_whole_sets("text", words, seed), SETS_SQL), "sets")
         left = sets.select("ctx", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("body").alias("body_a"), F.col("lost").alias("lost_a"))
         right = sets.select("ctx", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("body").alias("body_b"), F.col("lost").alias("lost_b"))
-        found = pairs.join(left, ["ctx", "a"]).join(right, ["ctx", "b"])
+        found = pairs.join(left.hint("merge"), ["ctx", "a"]).join(right.hint("merge"), ["ctx", "b"])
         found = space.write(found.mapInArrow(_verify(percent), VERIFIED_SQL), f"found{level}")
+        for done in (f"pairs{level}", *(("sets", "wanted") if level == 0 else ())):
+            space.drop(done)
         links.append(found.where("linked").select("a", "b"))
         sets = found.where("body IS NOT NULL").select(F.xxhash64("ctx", "a").alias("ctx"), "node", "n", "near", "body", "lost")
         sets = sets.dropDuplicates(["ctx", "node"])
@@ -364,6 +368,8 @@ def similar_groups(
     for more in links[1:]:
         edges = edges.union(more)
     groups = connected_components(edges, space)
+    for k in range(level):
+        space.drop(f"found{k}")
     # Only linked nodes have a leader other than their own head.
     linked = groups.union(groups.select(F.col("component").alias("node"), "component").distinct()).join(heads.select("node", "head"), "node")
     leaders = linked.groupBy("component").agg(F.min("head").alias("leader"))
