@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from stratalog.plans import catalog, restoring  # noqa: F401
+from stratalog.plans import catalog, details, restoring  # noqa: F401
 from tests.oracle import duck, mismatch
 
 SF_DIR = "/root/testdata/sf0.001"
