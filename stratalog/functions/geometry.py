@@ -1,20 +1,21 @@
 """Geometries in well-known binary: envelopes, and equality without regard to where a ring starts.
 
-Points, by far the most of a journal, are read by built-in functions; other types by a small Arrow function.
+Points, by far the most of a journal, are decoded a batch at a time; other types by a small reader.
 """
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENVELOPE = T.StructType([T.StructField(k, T.DoubleType()) for k in ("xmin", "ymin", "xmax", "ymax")])
-#: Relative tolerance of coordinates that count as equal.
-TOLERANCE_DIGITS = 9
+#: Relative tolerance of coordinates that count as equal, absolute near zero.
+TOLERANCE = 1e-9
 
 
 def _col(c: Column | str) -> Column:
@@ -78,10 +79,24 @@ def _bounds(data: bytes | None) -> tuple | None:
     return min(xs), min(ys), max(xs), max(ys)
 
 
+#: A little-endian point without further dimensions.
+POINT_BYTES, POINT_HEAD = 21, b"\x01\x01\x00\x00\x00"
+
+
 @F.pandas_udf(ENVELOPE)
 def _envelopes(wkb: pd.Series) -> pd.DataFrame:
-    rows = [_bounds(x) or (None,) * 4 for x in wkb]
-    return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
+    """Points are decoded all at once, other geometries one by one."""
+    out = np.full((len(wkb), 4), np.nan)
+    plain = np.array([x is not None and len(x) == POINT_BYTES and bytes(x[:5]) == POINT_HEAD for x in wkb], bool)
+    if plain.any():
+        packed = np.frombuffer(b"".join(bytes(x) for x in wkb[plain]), np.uint8).reshape(-1, POINT_BYTES)
+        xy = packed[:, 5:].copy().view("<f8")
+        xy[np.isnan(xy).any(1)] = np.nan
+        out[plain] = np.concatenate([xy, xy], 1)
+    for k in np.flatnonzero(~plain).tolist():
+        out[k] = _bounds(wkb.iloc[k]) or np.nan
+    rows = pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"])
+    return rows.astype(object).where(rows.notna(), None)
 
 
 def envelope(wkb: Column | str) -> Column:
@@ -97,29 +112,38 @@ def intersects(box: Column, bbox: tuple[float, float, float, float]) -> Column:
     return F.coalesce(~apart, F.lit(True))
 
 
-def _canonical(data: bytes | None) -> str | None:
-    """Rings start at their smallest point and run in the smaller direction; coordinates are rounded."""
-    parts = _parts(data)
-    if parts is None:
-        return None if data is None else data.hex()
-    out = []
-    for kind, points in parts:
-        points = [tuple(float(f"{v:.{TOLERANCE_DIGITS}g}") for v in p) for p in points]
-        if kind == 3 and len(points) > 1 and points[0] == points[-1]:
-            ring = points[:-1]
-            turned = []
-            for way in (ring, ring[::-1]):
-                k = way.index(min(way))
-                turned.append(way[k:] + way[:k])
-            points = min(turned)
-        out.append(f"{kind}:{points}")
-    return "|".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def canonical_shape(wkb: pd.Series) -> pd.Series:
-    """Text that is the same for geometries that differ only in ring start, ring direction and rounding."""
-    return wkb.map(_canonical)
+def _turned(kind: int, points: list[tuple]) -> list[tuple]:
+    """A ring from its smallest point in the smaller direction; other parts as they are."""
+    if kind != 3 or len(points) < 2 or points[0] != points[-1]:
+        return points
+    ring, ways = points[:-1], []
+    for way in (ring, ring[::-1]):
+        k = way.index(min(way))
+        ways.append(way[k:] + way[:k])
+    return min(ways)
+
+
+def _same(a: bytes | None, b: bytes | None) -> bool:
+    if a is None or b is None or a == b:
+        return a == b
+    x, y = _parts(a), _parts(b)
+    if x is None or y is None or [(k, len(p)) for k, p in x] != [(k, len(p)) for k, p in y]:
+        return False
+    for (kind, p), (_, q) in zip(x, y, strict=True):
+        if np.allclose(_turned(kind, p), _turned(kind, q), TOLERANCE, TOLERANCE):
+            continue
+        # The smallest point may be another one within the tolerance: any start and direction will do then.
+        closed = kind == 3 and len(p) > 1 and p[0] == p[-1] and q[0] == q[-1]
+        ring, other = np.array(p[:-1]), np.array(q[:-1])
+        starts = np.flatnonzero(np.isclose(other, ring[:1], TOLERANCE, TOLERANCE).all(1)).tolist() if closed else []
+        if not any(np.allclose(ring, np.roll(way, -s, 0), TOLERANCE, TOLERANCE) for k in starts for way, s in ((other, k), (other[::-1], len(other) - 1 - k))):
+            return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def _same_shapes(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_same(None if x is None else bytes(x), None if y is None else bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def same_bytes(a: Column, b: Column) -> Column:
@@ -127,8 +151,8 @@ def same_bytes(a: Column, b: Column) -> Column:
 
 
 def same_shape(a: Column, b: Column) -> Column:
-    """Equal bytes, or equal canonical shapes."""
-    return a.eqNullSafe(b) | F.coalesce(canonical_shape(a) == canonical_shape(b), F.lit(False))
+    """Equal bytes, or the same parts with coordinates within ``TOLERANCE``, wherever rings start and however they run."""
+    return a.eqNullSafe(b) | _same_shapes(a, b)
 
 
 def repair_drift(before: Column, after: Column, length_change: Column, area_change: Column, boundary: Column) -> Column:

@@ -55,9 +55,17 @@ def test_geometry(spark):
         return struct.pack(f"{order}BIII", order == "<", 3, 1, len(points)) + b"".join(struct.pack(f"{order}dd", *p) for p in points)
     turned = [(4, 3), (4, 0), (0, 0), (4, 3)]
     rows = [(1, polygon(ring)), (2, polygon(turned, ">")), (3, b"\x01\x63"), (4, None), (5, point(2))]
-    df = spark.createDataFrame(rows, "n int, g binary").select("n", geometry.envelope("g").alias("e"), geometry.canonical_shape("g").alias("c"))
+    df = spark.createDataFrame(rows, "n int, g binary").select("n", geometry.envelope("g").alias("e"))
     out = {r["n"]: r for r in df.collect()}
-    assert tuple(out[1]["e"]) == (0, 0, 4, 3) == tuple(out[2]["e"]) and out[1]["c"] == out[2]["c"]
+    assert tuple(out[1]["e"]) == (0, 0, 4, 3) == tuple(out[2]["e"])
+    near, edge = [(x + 2e-10, y) for x, y in ring], [(x + 4.9e-9, y) for x, y in ring]
+    pairs = [
+        (polygon(ring), polygon(turned, ">"), True), (polygon(ring), polygon(near), True), (polygon(ring), polygon(edge), False), (point(2), point(2), True), (point(2), point(3), False),
+        (polygon([(0, 0), (1e-10, 4), (4, 4), (0, 0)]), polygon([(1e-10, 0), (0, 4), (4, 4), (1e-10, 0)]), True), (None, None, True), (None, point(1), False), (b"x", b"x", True), (b"x", b"y", False),
+        (polygon(ring), polygon([(0, 0), (4, 0), (4, 3), (2, 1), (0, 0)]), False),
+    ]
+    frame = spark.createDataFrame(pairs, "a binary, b binary, want boolean").select("want", geometry.same_shape(F.col("a"), F.col("b")).alias("got"))
+    assert all(r["want"] == r["got"] for r in frame.collect())
     assert out[3]["e"] is None and out[4]["e"] is None and tuple(out[5]["e"]) == (2, 0, 2, 0)
 
 
