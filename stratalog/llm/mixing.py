@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.shared import Workspace
@@ -87,6 +87,11 @@ def balance(quotas: DataFrame) -> DataFrame:
     )
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A digest of an id and a seed, to deal and to order by; any engine can make it again."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def mix_sources(
     docs: DataFrame,
     space: Workspace,
@@ -104,7 +109,7 @@ def mix_sources(
     between its shards (``balance``), so each source gets its target to the token. A source's documents in a shard stand in a seeded order as one line of tokens; its quota of blocks is
     taken from the line's start, going round again when it ends, so each document gives at most ``most`` times its size.
 
-    A null source is a source of its own, in last place. Empty texts give 0. Rows that repeat an id are taken each on its
+    A text of any length is counted whole. A null source is a source of its own, in last place. Empty texts give 0. Rows that repeat an id are taken each on its
     own. Reruns agree, as order and shards come from hashes of ids. Extra columns are ignored; an empty table gives none.
 
     Plan: texts are read once to a narrow table. Windows run over one source in one shard, some hundreds of rows however
@@ -117,7 +122,8 @@ def mix_sources(
     targets = space.write(source_targets(sizes, weights, budget, most), "targets")
     # A null source must meet itself in joins.
     on = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
+    number = F.conv(F.substring(seeded("doc_id", seed), 1, 8), 16, 10).cast("long")
+    dealt = sizes.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int"))
     strata = dealt.groupBy("shard", "source").agg(F.sum("size").alias("stratum"))
     t = targets.withColumnRenamed("source", "of")
     strata = (
@@ -143,7 +149,7 @@ def mix_sources(
         .withColumn("tokens", F.least("dealt", "most_tokens"))
     )
     quotas = balance(quotas)
-    line = Window.partitionBy("shard", "source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    line = Window.partitionBy("shard", "source").orderBy(seeded("doc_id", seed + 1), "doc_id", "size")
     placed = dealt.withColumn("until", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     joined = placed.join(quotas, (F.col("shard") == F.col("s")) & F.col("source").eqNullSafe(F.col("of")))
     rounds = F.when(F.col("stratum") > 0, F.floor(F.col("tokens") / F.col("stratum"))).otherwise(0).cast("long")

@@ -83,7 +83,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(docs, Workspace(spark, "op2")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op3_ngram_jaccard_join")
+@query(
+    "op3_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT r, count(*) AS n FROM shingles GROUP BY r
+    ), met AS (
+        SELECT a.r AS a, b.r AS b, count(*) AS common FROM shingles a JOIN shingles b USING (s) WHERE a.r < b.r GROUP BY a.r, b.r
+    ), links AS (
+        SELECT a, b FROM met JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * common >= 90 * (x.n + y.n - common)
+    ), edges AS (
+        SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+    ), reach(r, m) AS (
+        SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN edges ON a = m
+    )
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+    FROM d LEFT JOIN sizes USING (r) JOIN reach USING (r) JOIN d o ON o.r = m GROUP BY d.r, d.doc_id, n
+    """,
+)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return similar_groups(docs, Workspace(spark, "op3"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -125,7 +147,52 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_digest(contamination(docs, read_table(spark, sf_dir, "benchmark")))
 
 
-@query("op5_mix_sources")
+@query(
+    "op5_mix_sources",
+    r"""
+    WITH sizes AS (
+        SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+    ), weighed AS (
+        SELECT *, list_extract([5.0, 2.0, 1.0]::DOUBLE[], 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS weight, source_size * 2.0::DOUBLE AS cap
+        FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source)
+    ), placed AS (
+        SELECT *, coalesce(sum(cap) OVER b, 0) AS cap_before, coalesce(sum(weight) OVER b, 0) AS weight_before, sum(source_size) OVER () * 1.5::DOUBLE AS whole,
+               sum(weight) OVER () AS weights, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+        FROM weighed WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), levels AS (
+        SELECT *, (whole - cap_before) / (weights - weight_before) AS level FROM placed
+    ), targets AS (
+        SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM levels WHERE cap > weight * level ORDER BY place LIMIT 1), cap)) AS target FROM levels
+    ), shards AS (
+        SELECT greatest(1, round_even(count(*) / 2048.0, 0))::BIGINT AS n FROM sizes
+    ), dealt AS (
+        SELECT s.*, ('0x' || substr(md5(concat_ws(':', doc_id, '20')), 1, 8))::BIGINT % n AS shard, md5(concat_ws(':', doc_id, '21')) AS line_key FROM sizes s, shards
+    ), strata AS (
+        SELECT shard, d.source, source_size, target, sum(size)::BIGINT AS stratum, CASE WHEN source_size > 0 THEN target * sum(size)::DOUBLE / source_size ELSE 0 END AS part
+        FROM dealt d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY shard, d.source, source_size, target
+    ), seats AS (
+        SELECT shard, source, row_number() OVER (PARTITION BY shard ORDER BY part / (2 * seat - 1) DESC, source NULLS LAST, seat) AS place FROM strata, range(1, 4097) x(seat) WHERE part > 0
+    ), quotas AS (
+        SELECT shard, source, count(*) AS quota FROM seats WHERE place <= 4096 GROUP BY shard, source
+    ), cut AS (
+        SELECT s.*, floor(stratum * 2.0)::BIGINT AS most, least(floor(coalesce(quota, 0) * (sum(part) OVER (PARTITION BY s.shard) / 4096) + 0.5), floor(stratum * 2.0))::BIGINT AS first_tokens
+        FROM strata s LEFT JOIN quotas q ON q.shard = s.shard AND q.source IS NOT DISTINCT FROM s.source
+    ), rest AS (
+        SELECT *, least(floor(target + 0.5), sum(most) OVER (PARTITION BY source)) - sum(first_tokens) OVER (PARTITION BY source) AS rest FROM cut
+    ), rooms AS (
+        SELECT *, CASE WHEN rest > 0 THEN most - first_tokens ELSE first_tokens END AS room FROM rest
+    ), sums AS (
+        SELECT *, sum(room) OVER (PARTITION BY source)::DOUBLE AS every, sum(room) OVER (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING)::DOUBLE AS upto FROM rooms
+    ), balanced AS (
+        SELECT *, greatest(0, least(most, first_tokens + CASE WHEN every > 0 THEN floor(rest * (upto / every) + 0.5) - floor(rest * ((upto - room) / every) + 0.5) ELSE 0 END))::BIGINT AS tokens FROM sums
+    ), lines AS (
+        SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY line_key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM dealt
+    )
+    SELECT doc_id, size, source_size::BIGINT AS source_size, target::DOUBLE AS target,
+           CASE WHEN stratum > 0 THEN tokens // stratum * size + greatest(0, least(size, tokens % stratum - (l.upto - size))) ELSE 0 END::BIGINT AS taken
+    FROM lines l JOIN balanced b ON b.shard = l.shard AND b.source IS NOT DISTINCT FROM l.source
+    """,
+)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs, Workspace(spark, "op5")).select("doc_id", "size", "source_size", "target", "taken")
