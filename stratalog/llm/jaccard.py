@@ -92,10 +92,13 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+#: Eight of the counts by part, one byte each, make a number.
+PART_COLUMNS = [f"part{k}" for k in range(PARTS // 8)]
+PART_SQL = ", ".join(f"{c} long" for c in PART_COLUMNS)
 DIGEST = pa.schema(
-    [("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("parts", pa.list_(pa.int32())), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
+    [("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), *[(f"part{k}", pa.int64()) for k in range(PARTS // 8)], ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
 )
-DIGEST_SQL = "id long, tie long, n int, node long, proof long, parts array<int>, segment int, salt int, counts binary"
+DIGEST_SQL = f"id long, tie long, n int, node long, proof long, {PART_SQL}, segment int, salt int, counts binary"
 POSTING = pa.schema([("ctx", pa.int64()), ("elem", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("near", pa.bool_())])
 POSTING_SQL = "ctx long, elem long, node long, n int, pos int, near boolean"
 #: Prefixes of differences also carry how many shingles the difference has in each part of the hash space: what the set
@@ -129,11 +132,11 @@ def _digests(key: str, text: str, k: int, seed: int):
                 proofs = set_digests(rows, values, high - low, -1 - seed & (1 << 32) - 1)[1]
                 none = [None] * (high - low)
                 split = np.bincount(rows * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * (high - low))
-                split = pa.ListArray.from_arrays(pa.array(np.arange(0, len(split) + 1, PARTS).astype(np.int32)), pa.array(split.astype(np.int32)))
-                yield _batch(DIGEST, ids[low:high], ties[low:high], sizes, tx.signed(nodes), tx.signed(proofs), split, none, none, none)
+                split = np.minimum(split, 255).astype(np.uint8).reshape(-1, PARTS).view(np.int64)
+                yield _batch(DIGEST, ids[low:high], ties[low:high], sizes, tx.signed(nodes), tx.signed(proofs), *split.T, none, none, none)
         salt = TaskContext.get().partitionId() >> 8
         parts = [squeeze(x.astype(np.uint64)) for x in np.split(counts, SEGMENTS)]
-        yield _batch(DIGEST, *[[None] * SEGMENTS] * 6, range(SEGMENTS), [salt] * SEGMENTS, parts)
+        yield _batch(DIGEST, *[[None] * SEGMENTS] * (len(DIGEST) - 3), range(SEGMENTS), [salt] * SEGMENTS, parts)
 
     return run
 
@@ -256,9 +259,9 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
     side = ["node", "n", "pos", *(["parts"] if level else [])]
     lists = (
         postings.groupBy("ctx", "elem")
-        .agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("far"), F.min(F.struct("pos", "node")).alias("best"))
+        .agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("far"))
         .where("c > 1 AND far > 0")
-        .select("ctx", "elem", (F.col("far") > full_list).alias("long"), F.col("best.node").alias("hub_node"))
+        .select("ctx", "elem", (F.col("far") > full_list).alias("long"))
     )
     # By sorting at every size: both sides grow with the corpus.
     met = space.write(postings.join(lists.hint("merge"), ["ctx", "elem"]), f"lists{level}")
@@ -273,7 +276,9 @@ def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int,
         & ((F.col("x.pos") + F.col("y.pos")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
         & (_apart("x.parts", "y.parts") * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")) if level else F.lit(True))
     ).select("ctx", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("hub"))
-    long = met.where(F.col("long") & (F.col("node") != F.col("hub_node")))
+    # A long list's hub is the set that has the shingle foremost; only long lists are looked through for it.
+    hubs = met.where("long").groupBy("ctx", "elem").agg(F.min(F.struct("pos", "node")).alias("best")).select("ctx", "elem", F.col("best.node").alias("hub_node"))
+    long = met.where("long").join(hubs, ["ctx", "elem"]).where(F.col("node") != F.col("hub_node"))
     long = long.select("ctx", F.col("hub_node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
     return pairs.union(long).distinct()
 
@@ -285,9 +290,11 @@ def _apart(a: str, b: str) -> Column:
 
 def _suffix_filter(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that differ too much in how many shingles they have in some part of the hash space."""
-    left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    apart = _apart("parts_a", "parts_b")
+    left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in PART_COLUMNS])
+    right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in PART_COLUMNS])
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    # Counts above 255 are cut there, which only lowers the bound.
+    apart = sum((F.abs(byte(f"{c}_a", k) - byte(f"{c}_b", k)) for c in PART_COLUMNS for k in range(8)), F.lit(0))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return met.where(F.col("hub") | (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
 
@@ -330,7 +337,7 @@ def similar_groups(
         heads = nodes.groupBy("node").agg(
             F.min(F.struct("id", "tie")).alias("head"),
             F.first("n").alias("n"),
-            F.first("parts").alias("parts"),
+            *[F.first(c).alias(c) for c in PART_COLUMNS],
             (F.min("proof") != F.max("proof")).alias("torn"),
         )
         heads = space.write(heads, f"heads{seed}")
