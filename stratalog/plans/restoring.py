@@ -265,3 +265,19 @@ def session_undo(j: DataFrame) -> DataFrame:
 
     out = targets.session_undo(j, f"s7-{AT[:10]}", _layer(j))
     return out.select("event_id", "reason", F.row_number().over(Window.orderBy("place")).alias("step"))  # one session's events
+
+
+@query(
+    "content_matches",
+    _LAYER
+    + """
+    , want_all AS (SELECT event_id, field, value FROM full_cells WHERE value <> 'null' UNION ALL SELECT event_id, field, new FROM delta_cells WHERE field <> 'updated_at' AND new <> 'null')
+    , wanted AS (SELECT k.event_id, k.datasource_fingerprint, hex(coalesce(k.new_geometry_wkb, k.geometry_wkb)) AS shape, count(w.field) AS n FROM keyed k LEFT JOIN want_all w USING (event_id) GROUP BY ALL)
+    , near AS (SELECT w.event_id, s.datasource_fingerprint, s.entity, w.n FROM wanted w JOIN state s ON s.datasource_fingerprint = w.datasource_fingerprint AND s.shape = w.shape
+      UNION ALL SELECT w.event_id, s.datasource_fingerprint, s.entity, w.n FROM wanted w JOIN state s USING (datasource_fingerprint) WHERE w.shape IS NULL AND w.n >= 2)
+    , held AS (SELECT c.event_id, c.entity FROM near c LEFT JOIN want_all w USING (event_id) LEFT JOIN row_cells x ON x.datasource_fingerprint = c.datasource_fingerprint AND x.entity = c.entity AND x.field = w.field
+      GROUP BY c.event_id, c.entity, c.n HAVING count(*) FILTER (WHERE w.field IS NOT NULL AND x.value IS NOT DISTINCT FROM w.value) = c.n)
+    SELECT event_id, min(entity) AS entity FROM held GROUP BY 1 HAVING count(*) = 1""",
+)
+def content_matches(j: DataFrame) -> DataFrame:
+    return applying.content_matches(j, snapshot.state_at(j, LATER))

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from stratalog.functions import geometry, identity, moments
-from stratalog.operators import retention, scope
+from stratalog.operators import retention, rewind, scope, search
 from stratalog.sources import journal as jr
 from stratalog.streaming import capture
 from tests.test_rewind import event, journal, point, stamp, world
@@ -107,3 +107,41 @@ def test_excess_purge_keeps_whole_commits(spark):
     j = journal(spark, rows)
     left = lambda most: sorted(r["event_id"] for r in retention.purge_excess(j, most).collect())
     assert left(2) == [3, 4, 5] and left(1) == [5] and left(4) == [3, 4, 5] and left(6) == left(0) == [0, 1, 2, 3, 4, 5]
+
+
+def test_pairs_are_purged_until_none_is_left(spark):
+    ops = {1: "INSERT", 2: "INSERT", 3: "DELETE", 4: "DELETE", 5: "UPDATE", 6: "INSERT"}
+    j = journal(spark, [event(n, 1, op, {"all_attributes": {}}) for n, op in ops.items()])
+    assert sorted(r["event_id"] for r in retention.purge_pairs(j).collect()) == [5, 6]
+    assert retention.purge_pairs(j.where("event_id > 4")).count() == 2
+
+
+def test_cut_windows_are_refused(spark):
+    j = journal(spark, [event(n, n, "INSERT", {"all_attributes": {}}) for n in range(1, 6)])
+    assert rewind.whole_window(j, 5).count() == 5 and rewind.whole_window(j, None).count() == 5
+    try:
+        rewind.whole_window(j, 4)
+    except rewind.TruncatedWindow as e:
+        assert "has 5" in str(e)
+    else:
+        raise AssertionError("a cut window was taken")
+
+
+def test_a_journal_by_its_path(spark, tmp_path):
+    own = jr.Journal(spark, jr.journal_path(str(tmp_path), "/home/me/town.project"))
+    assert own.path.endswith("/town.journal") and jr.journal_path("/x").startswith("/x/unsaved-")
+    rows = [event(n, n, "INSERT", {"all_attributes": {}}) for n in range(6)]
+    own.append(journal(spark, rows[:4]))
+    own.append(journal(spark, [*rows[4:], event(9, 9, "MOVE", {})]), pending=str(tmp_path / "p"))
+    assert own.count(search.Criteria()) == 6 and own.event(3).count() == 1 and own.of_source(rows[0][2]).count() == 6
+    assert [r["event_id"] for r in own.search(search.Criteria(), size=2).collect()] == [5, 4]
+    assert own.users().count() == 1 and spark.read.json(str(tmp_path / "p")).count() == 1
+    try:
+        own.append(journal(spark, [event(9, 9, "MOVE", {})]))
+    except ValueError as e:
+        assert "bad operation_type" in str(e)
+    else:
+        raise AssertionError("an invalid event was written")
+    jr.write_journal(own.events(), str(tmp_path / "q"), ordered=True)
+    retention.compact(own.events(), str(tmp_path / "r"))
+    assert jr.read_journal(spark, str(tmp_path / "r")).count() == jr.read_journal(spark, str(tmp_path / "q")).count() == 6
