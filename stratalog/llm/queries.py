@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.bpe import decode_ids, encode_texts, piece_table
+from stratalog.llm.collocations import best_collocations, collocations
 from stratalog.llm.decontam import contamination, contamination_digest
 from stratalog.llm.exact import exact_groups
 from stratalog.llm.html import extract_main_text
@@ -14,6 +16,7 @@ from stratalog.llm.jaccard import similar_groups
 from stratalog.llm.licenses import scan_licenses
 from stratalog.llm.mixing import mix_sources
 from stratalog.llm.ordinal import fit_on_labels, grade_documents, select_documents
+from stratalog.llm.periodic import periodic_runs, run_digest, with_repeats
 from stratalog.llm.shared import Workspace, read_table
 from stratalog.llm.substring import repeated_windows
 from stratalog.llm.tokens import token_counts
@@ -237,3 +240,108 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
+
+
+@query("op11_bpe_roundtrip")
+def op11_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    encoded = encode_texts(read_table(spark, sf_dir, "documents"), tokenizer, Workspace(spark, "op11"))
+    found = decode_ids(encoded, piece_table(spark, tokenizer))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), totals AS (
+        SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+    ), grams AS (
+        SELECT lang, k, w[i:i + k - 1] AS g
+        FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) x(k) WHERE len(w) >= k)
+    ), f AS (
+        SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 30
+    ), cuts AS (
+        SELECT c.lang, c.g, c.f AS a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+        JOIN f x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN f y ON y.lang = c.lang AND y.g = c.g[j + 1:]
+    ), lowest AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+    ), inside AS (
+        SELECT lang, g[i:i + m - 1] AS g, max(f) AS longer
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM f, range(2, 4) x(m) WHERE m < k) GROUP BY ALL
+    ), ranked AS (
+        SELECT lowest.lang, array_to_string(lowest.g, ' ') AS phrase, a, l, r, score
+        FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.g = lowest.g
+        WHERE longer IS NULL OR 100 * longer < 80 * a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return best_collocations(collocations(docs, Workspace(spark, "op12")))
+
+
+@query(
+    "op13_periodic_runs",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), steps AS (
+        SELECT r, list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)], [-1, -1, -1, -1, -1, -1, -1, -1])))) AS s
+        FROM d WHERE doc_id IS NOT NULL
+    ), crc AS (
+        SELECT r, xor(list_reduce(s, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x::BIGINT) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h
+        FROM (SELECT r, s::BIGINT[] AS s FROM steps)
+    ), shape AS (
+        SELECT d.r, doc_id, w, h, h // 10 AS g, len(w) AS n FROM d LEFT JOIN crc USING (r)
+    ), planned AS (
+        SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM shape
+    ), t AS (
+        SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM planned
+    ), factors AS (
+        SELECT r, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS x FROM (SELECT r, w, unnest(range(0, len(w) - 15)) AS i FROM t WHERE len(w) >= 24)
+    ), met AS (
+        SELECT a.r, b.i - a.i AS q, a.i FROM factors a JOIN factors b ON a.r = b.r AND a.x = b.x AND a.i < b.i
+    ), islands AS (
+        SELECT r, q, min(i) AS start, max(i) - min(i) + 16 + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM met) GROUP BY r, q, island
+    ), stretches AS (
+        SELECT * FROM islands WHERE length >= greatest(24, 3 * q)
+    ), runs AS (
+        SELECT * FROM stretches s WHERE NOT EXISTS (
+            SELECT 1 FROM stretches o WHERE o.r = s.r AND o.q < s.q AND o.start <= s.start AND o.start + o.length >= s.start + s.length)
+    ), gone AS (
+        SELECT DISTINCT r, unnest(range(start + q, start + length)) AS j FROM runs
+    ), kept AS (
+        SELECT r, string_agg(word, ' ' ORDER BY j) AS c
+        FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM t) LEFT JOIN (SELECT *, 1 AS out FROM gone) USING (r, j)
+        WHERE out IS NULL GROUP BY r
+    ), listed AS (
+        SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY r
+    ), best AS (
+        SELECT * FROM runs b WHERE NOT EXISTS (
+            SELECT 1 FROM runs o WHERE o.r = b.r AND (o.length * b.q > b.length * o.q OR (o.length * b.q = b.length * o.q AND (o.start, o.q) < (b.start, b.q))))
+    )
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period,
+           (1000 * length // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+    FROM t LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+    """,
+)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_repeats(read_table(spark, sf_dir, "documents"))))
