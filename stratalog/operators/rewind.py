@@ -1,8 +1,8 @@
 """What must be compensated to take data back to a cutoff, reduced to the least set of events.
 
 Events after the cutoff are split where an id was used again for another entity, freed of what earlier rewinds have
-compensated already, and collapsed along each entity's chain. All of it is windows and combining aggregates over (source,
-entity); no chain is gathered in memory, however long.
+compensated already, and collapsed along each entity's chain. All of it is ordered scans in two levels (``scans``) and
+combining aggregates over (source, entity); no chain is gathered in memory or sorted in one task, however long.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import identity, moments, payload
+from stratalog.operators import scans
 from stratalog.session import settled
 from stratalog.sources.journal import is_active, is_trace, order_key
 
@@ -109,18 +110,26 @@ def whole_window(window: DataFrame, limit: int | None = MOST_FETCHED) -> DataFra
     return window
 
 
-def reused_ids(window: DataFrame) -> DataFrame:
+def reused_ids(window: DataFrame, parts: int | None = None) -> DataFrame:
     """(datasource_fingerprint, entity_fingerprint, split_at, split_id): the last place where an id began another life.
 
     That is an insert after a delete or after updates of an entity that was there before, or an update after a delete.
-    Only user events that no active trace compensates count.
+    Only user events that no active trace compensates count. ``parts``: as in ``scans.bucketed``, here and below.
     """
     done = window.where(is_trace() & is_active()).select(F.col("restored_from_event_id").alias("event_id")).distinct()
     live = window.where(~is_trace() & F.col("entity_fingerprint").isNotNull()).join(done, "event_id", "left_anti")
-    line = Window.partitionBy("datasource_fingerprint", "entity_fingerprint").orderBy("created_at", "event_id")
-    op = F.col("operation_type")
-    before = F.lag(op).over(line)
-    turn = F.last(F.when(op != "UPDATE", op), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    op, keys, order = F.col("operation_type"), ["datasource_fingerprint", "entity_fingerprint"], ["created_at", "event_id"]
+    turning = F.when(op != "UPDATE", op)
+    live = scans.bucketed(live.select(*keys, *order, "operation_type"), keys, order, parts)
+    live = scans.carried(
+        live,
+        keys,
+        lambda rows: rows.groupBy(scans.BUCKET, *keys).agg(F.max_by(op, order_key()).alias("op"), F.max_by(turning, F.when(turning.isNotNull(), order_key())).alias("turn")),
+        {"_op": F.last("op").over(scans.earlier(keys)), "_turn": F.last("turn", ignorenulls=True).over(scans.earlier(keys))},
+    )
+    line = scans.line(keys, order)
+    before = F.coalesce(F.lag(op).over(line), F.col("_op"))
+    turn = F.coalesce(F.last(turning, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("_turn"))
     state = F.when(before.isNull(), "none").when(before == "DELETE", "closed").when(turn == "INSERT", "open").otherwise("before")
     marked = live.select("datasource_fingerprint", "entity_fingerprint", order_key().alias("k"), "operation_type", state.alias("state"))
     splits = marked.where("operation_type = 'INSERT' AND state IN ('closed', 'before') OR operation_type = 'UPDATE' AND state = 'closed'")
@@ -151,7 +160,7 @@ def compensated_spans(lives: DataFrame) -> DataFrame:
     return met.select(*KEYS, "event_id", "ref", lo.alias("lo"), "hi")
 
 
-def neutralised(lives: DataFrame) -> DataFrame:
+def neutralised(lives: DataFrame, parts: int | None = None) -> DataFrame:
     """User events of the window with ``dropped``: compensated by an active trace, by name or within its span.
 
     Spans and events meet in one ordered pass: an event is inside if more spans have begun than ended at its place.
@@ -161,29 +170,54 @@ def neutralised(lives: DataFrame) -> DataFrame:
     users = lives.where(~is_trace()).join(refs, "event_id", "left")
     ends = spans.where("lo < hi")
     ends = ends.select(*KEYS, F.col("lo").alias("k"), F.lit(1).alias("step")).union(ends.select(*KEYS, F.col("hi").alias("k"), F.lit(-1).alias("step")))
-    rows = users.withColumn("k", order_key()).withColumn("step", F.lit(0)).unionByName(ends, allowMissingColumns=True)
-    line = Window.partitionBy(*KEYS).orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
-    inside = F.sum("step").over(line) > 0
-    out = rows.withColumn("dropped", F.coalesce("named", F.lit(False)) | inside)
-    return out.where("step = 0").select(*lives.columns, "dropped")
-
-
-def survivors(active: DataFrame) -> DataFrame:
+    rows = users.withColumn("k", order_key()).withColumn("step", F.lit(0))
+    places = rows.select(*KEYS, "k", "event_id", "step").unionByName(ends, allowMissingColumns=True)
+    places = scans.bucketed(places, KEYS, ["k"], parts)
+    total = lambda x: x.groupBy(scans.BUCKET, *KEYS).agg(F.sum("step").alias("steps"))
+    places = scans.carried(places, KEYS, total, {"_begun": F.sum("steps").over(scans.earlier(KEYS))})
+    line = scans.line(KEYS, ["k"]).rangeBetween(Window.unboundedPreceding, 0)
+    inside = F.sum("step").over(line) + F.coalesce("_begun", F.lit(0)) > 0
+    within = places.withColumn("inside", inside).where("step = 0 AND inside").select("event_id", "inside").distinct()
+    out = rows.join(within, "event_id", "left")
+    return out.select(*lives.columns, (F.coalesce("named", F.lit(False)) | F.coalesce("inside", F.lit(False))).alias("dropped"))
+
+
+def survivors(active: DataFrame, parts: int | None = None) -> DataFrame:
     """User events without the lives that begin and end among them.
 
     A delete ends the life that began last and is still open. With a running sum of begun less ended lives, kept from
     falling below zero, an event belongs to a life that ends if the sum falls below the event's own level later on.
     """
-    line = Window.partitionBy(*KEYS).orderBy("created_at", "event_id")
-    upto, later = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(1, Window.unboundedFollowing)
+    order = ["created_at", "event_id"]
     step = F.when(F.col("operation_type") == "INSERT", 1).when(F.col("operation_type") == "DELETE", -1).otherwise(0)
-    out = active.withColumn("_sum", F.sum(step).over(upto))
+    rows = scans.bucketed(active.select(*KEYS, *order, "operation_type", step.alias("_step")), KEYS, order, parts)
+    line = scans.line(KEYS, order)
+    upto, later = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(1, Window.unboundedFollowing)
+
+    def sums(some: DataFrame) -> DataFrame:
+        some = some.withColumn("s", F.sum("_step").over(upto))
+        return some.groupBy(scans.BUCKET, *KEYS).agg(F.sum("_step").alias("s"), F.min("s").alias("least"))
+
+    # A bucket that begins at level x ends at max(x + s, s - least), and its least level is max(x + least, 0).
+    before, after = scans.earlier(KEYS), scans.later(KEYS)
+    rows = scans.carried(
+        rows,
+        KEYS,
+        sums,
+        {"_s": F.coalesce(F.sum("s").over(before), F.lit(0))},
+        {"_floor": F.least(F.lit(0), F.min(F.col("_s") + F.col("least")).over(before))},
+        {"_start": F.col("_s") - F.col("_floor")},
+        {"_least": F.greatest(F.col("_start") + F.col("least"), F.lit(0))},
+        {"_start": F.col("_start"), "_then": F.min("_least").over(after)},
+    )
+    start = F.coalesce("_start", F.lit(0))
+    out = rows.withColumn("_sum", F.sum("_step").over(upto))
     out = out.withColumn("_floor", F.least(F.lit(0), F.min("_sum").over(upto)))
-    out = out.withColumn("_level", F.col("_sum") - F.col("_floor"))
-    out = out.withColumn("_before", F.coalesce(F.lag("_level").over(line), F.lit(0)))
-    ended = (F.col("_level") > 0) & (F.coalesce(F.min("_level").over(later), F.col("_level")) < F.col("_level"))
+    out = out.withColumn("_level", F.greatest(start + F.col("_sum"), F.col("_sum") - F.col("_floor")))
+    out = out.withColumn("_before", F.coalesce(F.lag("_level").over(line), start))
+    ended = (F.col("_level") > 0) & (F.coalesce(F.least(F.min("_level").over(later), F.col("_then")), F.col("_level")) < F.col("_level"))
     gone = F.when(F.col("operation_type") == "DELETE", F.col("_before") > 0).otherwise(ended)
-    return out.withColumn("_gone", gone).where("NOT _gone").select(*active.columns)
+    return active.join(out.withColumn("_gone", gone).where("_gone").select("event_id"), "event_id", "left_anti")
 
 
 def collapse(active: DataFrame) -> DataFrame:
