@@ -18,7 +18,7 @@ from stratalog.session import settled
 BUCKET = "_bucket"
 
 
-def bucketed(rows: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+def bucketed(rows: DataFrame, keys: list[str], order: list[str | Column], parts: int | None = None) -> DataFrame:
     """``rows`` dealt by ranges of ``keys`` and ``order``, with ``_bucket``: ascending along each group.
 
     Rows that are equal in both share a bucket. The table is written once, as another run may draw other ranges. ``parts``
@@ -29,7 +29,7 @@ def bucketed(rows: DataFrame, keys: list[str], order: list[str], parts: int | No
     return settled(dealt.withColumn(BUCKET, F.spark_partition_id()))
 
 
-def line(keys: list[str], order: list[str]) -> WindowSpec:
+def line(keys: list[str], order: list[str | Column]) -> WindowSpec:
     """The rows of a group inside a bucket, in order."""
     return Window.partitionBy(BUCKET, *keys).orderBy(*order)
 

@@ -20,8 +20,8 @@ def identity_parts(events: DataFrame) -> DataFrame:
     return events.withColumns({"pk_field": F.nullif(part("pk_field"), F.lit("")), "pk_value": part("pk_value"), "fid": part("fid").try_cast("long")})
 
 
-def resolved(events: DataFrame, rows: DataFrame) -> DataFrame:
-    """``events`` with ``target_fid``, ``found_by`` (``pk``, ``fid`` or null), and the target's ``_attributes`` and ``_shape``.
+def located(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """``events`` with ``target_fid`` and ``found_by`` (``pk``, ``fid`` or null).
 
     An event with a key meets the row of lowest number whose key field has that value, or none: a number is not tried then.
     One without a key meets the row of its number.
@@ -38,7 +38,12 @@ def resolved(events: DataFrame, rows: DataFrame) -> DataFrame:
     numbered = told.where(~F.coalesce(by_key, F.lit(False)))
     there = rows.select("datasource_fingerprint", F.col("fid"), F.col("fid").alias("target_fid"))
     numbered = numbered.join(there, ["datasource_fingerprint", "fid"], "left").withColumn("found_by", F.when(F.col("target_fid").isNotNull(), "fid"))
-    both = keyed.unionByName(numbered)
+    return keyed.unionByName(numbered).select(*events.columns, "target_fid", "found_by")
+
+
+def resolved(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """``located`` events with their target's ``_attributes`` and ``_shape``."""
+    both = located(events, rows)
     held = rows.select("datasource_fingerprint", F.col("fid").alias("target_fid"), F.col("attributes").alias("_attributes"), F.col("geometry_wkb").alias("_shape"))
     return both.join(held, ["datasource_fingerprint", "target_fid"], "left").select(*events.columns, "target_fid", "found_by", "_attributes", "_shape")
 
