@@ -5,9 +5,10 @@ the older one is right only once the newer one is taken back. Here the events of
 is the row with the writes of those before it that were carried out.
 
 Whether a write is carried out may depend on earlier ones (a row found by its number must look as the event left it), so
-sequences are judged in rounds. A round assumes for each row that from here on all events are carried out, the next that
-none is; as far as the assumption proves right, and for the event that breaks it, the verdict is final. So there are as
-many rounds as the rows' events change between carried out and refused, and every round finishes an event of each row left.
+sequences are judged in rounds. A round assumes that from here on all events of a row are carried out, the next that none
+is whose outcome depends on the row's content (events with a key don't); as far as the assumption proves right, and for the
+event that breaks it, the verdict is final. So there are as many rounds as a row's events by number change between carried
+out and refused, and every round finishes an event of each row left.
 Values before an event are ordered scans in two levels (``scans``) over (row, life, field): no sequence is gathered, and
 one row with a third of all events is many tasks.
 """
@@ -94,18 +95,21 @@ def slots(events: DataFrame, rows: DataFrame, twins: DataFrame, newest_first: bo
     return both.withColumn("slot", slot).select(*base, "slot")
 
 
+def _sure() -> Column:
+    """Whether an event that finds its row there, or not, is carried out whatever the row's content is."""
+    return F.col("keyed") | (F.col("operation_type") == "DELETE")
+
+
 def _presence(events: DataFrame, base: DataFrame, assume: bool, newest_first: bool) -> DataFrame:
     """``events`` with ``before``: whether the row is there, and ``life``: the event that brought it (0: it was there)."""
-    op, turn = F.col("operation_type"), F.col("operation_type")
-    turn = F.when((op == "DELETE") & F.col("twin_fid").isNull(), True).when(op == "INSERT", False)
+    op = F.col("operation_type")
+    turn = F.when((op == "DELETE") & F.col("twin_fid").isNull(), True).when((op == "INSERT") & (F.lit(assume) | _sure()), False)
     events = events.join(base, KEYS, "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    if not assume:
-        return events.withColumns({"before": F.col("present"), "life": F.lit(0).cast("long")}).drop("present")
     line = scans.line(KEYS, _order(newest_first)).rowsBetween(Window.unboundedPreceding, -1)
     at_end = lambda x, c, name: x.groupBy(scans.BUCKET, *KEYS).agg(_last(newest_first)(c, F.when(c.isNotNull(), order_key())).alias(name))
     events = scans.carried(events, KEYS, lambda x: at_end(x, turn, "turn"), {"_turn": F.last("turn", ignorenulls=True).over(scans.earlier(KEYS))})
     events = settled(events.withColumn("before", F.coalesce(F.last(turn, ignorenulls=True).over(line), F.col("_turn"), F.col("present"))).drop("_turn", "present"))
-    born = F.when((op == "DELETE") & F.col("twin_fid").isNull() & ~F.col("before"), F.col("event_id"))
+    born = F.when(_born(), F.col("event_id"))
     events = scans.carried(events, KEYS, lambda x: at_end(x, born, "born"), {"_born": F.last("born", ignorenulls=True).over(scans.earlier(KEYS))})
     return events.withColumn("life", F.coalesce(F.last(born, ignorenulls=True).over(line), F.col("_born"), F.lit(0))).drop("_born")
 
@@ -116,17 +120,14 @@ def _born() -> Column:
 
 def _found(events: DataFrame, cells: DataFrame, start: DataFrame, assume: bool, newest_first: bool, parts: int | None) -> DataFrame:
     """For each event and field that it names: ``there``, and the value that the event finds, ``now``."""
-    named = events.select(*LIFE, "created_at", "event_id", "operation_type", "before").join(cells, "event_id")
-    write = F.when((F.col("operation_type") == "UPDATE") & F.col("before"), F.col("old"))
+    named = events.select(*LIFE, "created_at", "event_id", "operation_type", "before", "keyed").join(cells, "event_id")
+    write = F.when((F.col("operation_type") == "UPDATE") & F.col("before") & (F.lit(assume) | _sure()), F.col("old"))
     by, order = [*LIFE, "field"], _order(newest_first)
-    if assume:
-        named = scans.bucketed(named, by, order, parts)
-        summary = lambda x: x.groupBy(scans.BUCKET, *by).agg(_last(newest_first)(write, F.when(write.isNotNull(), order_key())).alias("w"))
-        named = scans.carried(named, by, summary, {"_w": F.last("w", ignorenulls=True).over(scans.earlier(by))})
-        line = scans.line(by, order).rowsBetween(Window.unboundedPreceding, -1)
-        named = named.withColumn("_w", F.coalesce(F.last(write, ignorenulls=True).over(line), F.col("_w")))
-    else:
-        named = named.withColumn("_w", F.lit(None).cast("struct<value:string>"))
+    named = scans.bucketed(named, by, order, parts)
+    summary = lambda x: x.groupBy(scans.BUCKET, *by).agg(_last(newest_first)(write, F.when(write.isNotNull(), order_key())).alias("w"))
+    named = scans.carried(named, by, summary, {"_w": F.last("w", ignorenulls=True).over(scans.earlier(by))})
+    line = scans.line(by, order).rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("_w", F.coalesce(F.last(write, ignorenulls=True).over(line), F.col("_w")))
     named = named.join(start.select(*by, F.struct("value").alias("_s")), by, "left")
     known = F.col("_s").isNotNull() | ((F.col("field") == SHAPE) & F.col("_w").isNotNull())
     return named.withColumns({"there": known, "now": F.coalesce("_w", "_s")})
@@ -173,10 +174,8 @@ def _verdicts(events: DataFrame, found: DataFrame) -> DataFrame:
 def _left(judged: DataFrame, assume: bool, newest_first: bool) -> DataFrame:
     """``judged`` with ``final``: nothing before the event went against the assumption."""
     done = F.col("reason").isin(*DONE)
-    if assume:
-        broken = F.col("before") & ((F.col("operation_type") == "UPDATE") & ~done & (F.col("reason") != "already_at_old") | (F.col("reason") == "only_the_number_matches"))
-    else:
-        broken = done
+    refused = (F.col("operation_type") == "UPDATE") & ~done & (F.col("reason") != "already_at_old") | (F.col("reason") == "only_the_number_matches")
+    broken = F.col("before") & refused if assume else done & ~_sure()
     judged = settled(judged.withColumn("_broken", broken.cast("long")))
     total = lambda x: x.groupBy(scans.BUCKET, *KEYS).agg(F.sum("_broken").alias("n"))
     judged = scans.carried(judged, KEYS, total, {"_n": F.sum("n").over(scans.earlier(KEYS))})

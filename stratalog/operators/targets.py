@@ -78,21 +78,12 @@ PROVEN = ("pk", "post_geometry", "post_attributes")
 def duplicates(events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(event_id, twin_fid): deleted entities that a row already is: the same geometry and all captured values.
 
-    Values of ``keys``, audit fields and nulls don't count, and one other at least must be there: a geometry alone proves
-    nothing. Rows and events meet on a digest of the geometry, or where none was captured on that of the first value.
+    See ``claims.wanted`` for what counts. Events and rows meet on a digest of all that is compared, so a geometry or a value
+    that many share makes no pairs; ``claims.claimed_twins`` gives each row to one event only.
     """
-    wanted = F.map_filter(payload.old_attributes(), lambda k, v: ~payload.is_audit_field(k) & (v != "null") & ~k.isin(*keys) if keys else ~payload.is_audit_field(k) & (v != "null"))
-    want = events.select("datasource_fingerprint", "event_id", wanted.alias("want"), F.col("geometry_wkb").alias("shape")).where(F.size("want") > 0)
-    held = rows.select("datasource_fingerprint", "fid", "attributes", F.col("geometry_wkb").alias("s"))
-    by_shape = want.where("shape IS NOT NULL").withColumn("h", F.md5("shape")).join(held.withColumn("h", F.md5("s")), ["datasource_fingerprint", "h"]).where("shape = s")
-    first = F.get(F.array_sort(F.map_entries("want")), F.lit(0))
-    bare = want.where("shape IS NULL").select("*", first["key"].alias("f"), payload.plain(first["value"]).alias("v"))
-    cells = held.select("*", F.explode("attributes").alias("f", "w")).withColumn("v", payload.plain(F.col("w")))
-    bare = bare.join(cells, ["datasource_fingerprint", "f", "v"])
-    columns = ["event_id", "want", "attributes", "fid"]
-    met = by_shape.select(*columns).unionByName(bare.select(*columns))
-    every = F.forall(F.map_entries("want"), lambda e: F.map_contains_key("attributes", e["key"]) & payload.same_value(F.element_at("attributes", e["key"]), e["value"]))
-    return met.where(every).groupBy("event_id").agg(F.min("fid").alias("twin_fid"))
+    from stratalog.operators import claims
+
+    return claims.twins(events, rows, keys)
 
 
 def event_restores(events: DataFrame, rows: DataFrame, lost: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -136,15 +127,6 @@ def event_restores(events: DataFrame, rows: DataFrame, lost: DataFrame | None =
     return met.select("event_id", "datasource_fingerprint", "operation_type", "target_fid", "reason", outcome.alias("outcome"))
 
 
-def session_undo(journal: DataFrame, session: str, rows: DataFrame) -> DataFrame:
-    """``event_restores`` of all user events of a session, newest first by ``place``."""
-    from stratalog.sources.journal import is_trace
-
-    own = journal.where((F.col("session_id") == session) & ~is_trace())
-    out = event_restores(own, rows)
-    return out.join(own.select("event_id", F.struct("created_at", "event_id").alias("place")), "event_id")
-
-
 def restore_session(outcomes: DataFrame) -> DataFrame:
     """One row per source: n_ok, n_fail, n_requested and ``status``: completed, partial, failed or cancelled."""
     ok, fail = F.col("outcome").isin("applied", "applied_partial", "skipped_idempotent"), F.col("outcome").startswith("failed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
-from stratalog.operators import applying, rewind, snapshot, targets
+from stratalog.operators import applying, claims, rewind, sequence, snapshot, targets
 from stratalog.plans.catalog import _ACTIONS, _COLLAPSE, AT, CUTOFF, LATER, _state_sql, query
 from stratalog.session import settled
 from stratalog.sources import journal as jr
@@ -252,19 +252,96 @@ def restore_sessions(j: DataFrame) -> DataFrame:
     return targets.restore_session(_restores(j))
 
 
+_CLAIMS = """
+    , offers AS (SELECT r.datasource_fingerprint, r.row_fid, r.shape, a.value AS amount, k.value AS kind FROM layer_rows r
+      JOIN row_cells a ON a.datasource_fingerprint = r.datasource_fingerprint AND a.entity = r.entity AND a.field = 'amount'
+      JOIN row_cells k ON k.datasource_fingerprint = r.datasource_fingerprint AND k.entity = r.entity AND k.field = 'kind')
+    , wants AS (SELECT u.event_id, u.datasource_fingerprint, u.created_at, hex(u.geometry_wkb) AS shape, a.value AS amount, k.value AS kind FROM users u
+      JOIN full_cells a ON a.event_id = u.event_id AND a.field = 'amount' JOIN full_cells k ON k.event_id = u.event_id AND k.field = 'kind' WHERE operation_type = 'DELETE')
+    , claimed AS (SELECT w.event_id, o.row_fid FROM
+        (SELECT *, row_number() OVER (PARTITION BY datasource_fingerprint, shape, amount, kind ORDER BY created_at DESC, event_id DESC) AS n FROM wants) w
+        JOIN (SELECT *, row_number() OVER (PARTITION BY datasource_fingerprint, shape, amount, kind ORDER BY row_fid) AS n FROM offers) o USING (datasource_fingerprint, shape, amount, kind, n))"""
+
+
+@query("twin_claims", _LAYER + _CLAIMS + " SELECT event_id, row_fid AS fid FROM claimed")
+def twin_claims(j: DataFrame) -> DataFrame:
+    return claims.claimed_twins(_users(j).where("operation_type = 'DELETE'"), _layer(j), ("id",)).select("event_id", "fid")
+
+
+#: One event after another, each on the row as the last one left it.
+_SEQUENCE = (
+    _CLAIMS
+    + """
+    , behind AS (SELECT f.*, c.row_fid AS twin, last_value(CASE WHEN bare AND operation_type = 'DELETE' THEN f.event_id END IGNORE NULLS) OVER w AS gone,
+        last_value(CASE WHEN bare AND operation_type = 'DELETE' THEN coalesce(c.row_fid, -1) END IGNORE NULLS) OVER w AS gone_twin
+      FROM found f LEFT JOIN claimed c USING (event_id)
+      WINDOW w AS (PARTITION BY datasource_fingerprint, no, bare ORDER BY created_at DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    , slotted AS (SELECT *, CASE WHEN NOT bare THEN CASE WHEN target_fid IS NOT NULL THEN 'row:' || target_fid ELSE 'key:id:' || no END WHEN operation_type = 'DELETE' THEN 'new:' || event_id
+        WHEN gone_twin >= 0 THEN 'row:' || gone_twin WHEN gone IS NOT NULL THEN 'new:' || gone WHEN target_fid IS NOT NULL THEN 'row:' || target_fid ELSE 'fid:' || no END AS slot FROM behind)
+    , sided AS (SELECT event_id, map(list(field), list(old)) AS old, map(list(field), list(new)) AS new FROM sides GROUP BY 1)
+    , steps AS (SELECT s.event_id, s.datasource_fingerprint, slot, operation_type AS op, bare, twin, hex(geometry_wkb) AS old_shape, hex(new_geometry_wkb) AS new_shape, coalesce(old, MAP {}) AS old, coalesce(new, MAP {}) AS new,
+        row_number() OVER (PARTITION BY s.datasource_fingerprint, slot ORDER BY created_at DESC, s.event_id DESC) AS k FROM slotted s LEFT JOIN sided USING (event_id))
+    , held AS (SELECT r.datasource_fingerprint, 'row:' || row_fid AS slot, any_value(r.shape) AS shape, map(list(c.field) FILTER (WHERE c.field IS NOT NULL), list(c.value) FILTER (WHERE c.field IS NOT NULL)) AS attrs
+      FROM layer_rows r LEFT JOIN row_cells c USING (datasource_fingerprint, entity) GROUP BY 1, 2)
+    , run AS (
+      SELECT s.datasource_fingerprint, s.slot, 0::BIGINT AS k, h.slot IS NOT NULL AS present, h.attrs, h.shape, NULL::BIGINT AS event_id, NULL::VARCHAR AS reason
+      FROM (SELECT DISTINCT datasource_fingerprint, slot FROM steps) s LEFT JOIN held h USING (datasource_fingerprint, slot)
+      UNION ALL
+      SELECT datasource_fingerprint, slot, k, CASE reason WHEN 'inserted' THEN true WHEN 'deleted' THEN false ELSE present END,
+        CASE reason WHEN 'inserted' THEN old WHEN 'taken_back' THEN map_from_entries(list_transform(map_entries(attrs), lambda e: {'key': e.key, 'value': CASE WHEN map_contains(old, e.key) THEN old[e.key] ELSE e.value END})) ELSE attrs END,
+        CASE WHEN reason = 'inserted' THEN old_shape WHEN reason = 'taken_back' THEN coalesce(old_shape, shape) ELSE shape END, event_id, reason
+      FROM (SELECT *, CASE op WHEN 'DELETE' THEN CASE WHEN present THEN 'key_is_there' WHEN twin IS NOT NULL THEN 'twin_is_there' ELSE 'inserted' END
+          WHEN 'INSERT' THEN CASE WHEN NOT present THEN 'target_is_gone' WHEN NOT bare OR (new_there > 0 AND new_same = new_there AND (new_shape IS NULL OR new_shape IS NOT DISTINCT FROM shape)) THEN 'deleted' ELSE 'only_the_number_matches' END
+          ELSE CASE WHEN NOT present THEN 'target_absent' WHEN old_same = cardinality(old) AND (old_shape IS NULL OR old_shape IS NOT DISTINCT FROM shape) AND (cardinality(old) > 0 OR old_shape IS NOT NULL) THEN 'already_at_old'
+            WHEN NOT bare THEN 'taken_back' WHEN new_shape IS NOT NULL THEN CASE WHEN new_shape IS NOT DISTINCT FROM shape THEN 'taken_back' ELSE 'geometry_mismatch' END
+            WHEN cardinality(new) = 0 THEN 'nothing_captured' WHEN new_there = 0 THEN 'nothing_to_compare' WHEN new_same = new_there THEN 'taken_back' ELSE 'attribute_mismatch' END END AS reason
+        FROM (SELECT r.datasource_fingerprint, r.slot, r.present, r.attrs, r.shape, s.k, s.event_id, s.op, s.bare, s.twin, s.old, s.new, s.old_shape, s.new_shape,
+            len(list_filter(map_keys(s.new), lambda f: map_contains(r.attrs, f))) AS new_there,
+            len(list_filter(map_keys(s.new), lambda f: map_contains(r.attrs, f) AND r.attrs[f] IS NOT DISTINCT FROM s.new[f])) AS new_same,
+            len(list_filter(map_keys(s.old), lambda f: map_contains(r.attrs, f) AND r.attrs[f] IS NOT DISTINCT FROM s.old[f])) AS old_same
+          FROM run r JOIN steps s ON s.datasource_fingerprint = r.datasource_fingerprint AND s.slot = r.slot AND s.k = r.k + 1))
+    )"""
+)
+
+
+def _sequence(j: DataFrame) -> tuple[DataFrame, sequence.Restored]:
+    rows = _layer(j)
+    return rows, sequence.restored(_users(j), rows, ("id",))
+
+
+@query("restores_in_sequence", _LAYER + _SEQUENCE + " SELECT event_id, slot, reason FROM run WHERE k > 0")
+def restores_in_sequence(j: DataFrame) -> DataFrame:
+    done = _sequence(j)[1].events
+    return done.select("event_id", F.translate("slot", "\u0001", ":").alias("slot"), "reason")
+
+
+@query(
+    "rows_after_sequence",
+    _LAYER
+    + _SEQUENCE
+    + """, ends AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY datasource_fingerprint, slot ORDER BY k DESC) = 1)
+    , every AS (SELECT datasource_fingerprint, slot, attrs, shape FROM ends WHERE present UNION ALL SELECT datasource_fingerprint, slot, attrs, shape FROM held WHERE (datasource_fingerprint, slot) NOT IN (SELECT datasource_fingerprint, slot FROM ends))
+    SELECT datasource_fingerprint, slot, coalesce(array_to_string(list_sort(list_transform(map_entries(attrs), lambda e: e.key || '=' || coalesce(e.value, 'null'))), ';'), '') AS attributes, shape FROM every""",
+)
+def rows_after_sequence(j: DataFrame) -> DataFrame:
+    rows, done = _sequence(j)
+    left = sequence.rows_after(rows, done)
+    attributes = F.coalesce(payload.as_text("attributes"), F.lit(""))
+    return left.select("datasource_fingerprint", F.translate("slot", "\u0001", ":").alias("slot"), attributes.alias("attributes"), F.hex("geometry_wkb").alias("shape"))
+
+
 @query(
     "session_undo",
     _LAYER.replace("users AS (SELECT *, CAST(feature_identity_json->>'fid' AS BIGINT) AS no, event_id % 3 = 0 AS bare FROM keyed WHERE ref IS NULL)",
                    f"users AS (SELECT *, CAST(feature_identity_json->>'fid' AS BIGINT) AS no, false AS bare FROM keyed WHERE ref IS NULL AND session_id = 's7-{AT[:10]}')")
-    + """ SELECT event_id, CASE operation_type WHEN 'DELETE' THEN CASE WHEN found_by = 'pk' THEN 'key_is_there' ELSE 'inserted' END WHEN 'INSERT' THEN CASE WHEN target_fid IS NULL THEN 'target_is_gone' ELSE 'deleted' END
-      ELSE CASE WHEN target_fid IS NULL THEN 'target_absent' WHEN shared = n AND old_apart = 0 AND (old_shape IS NULL OR row_shape IS NOT DISTINCT FROM old_shape) AND (n > 0 OR old_shape IS NOT NULL) THEN 'already_at_old' ELSE 'taken_back' END END AS reason,
-      row_number() OVER (ORDER BY created_at, event_id) AS step FROM proofs""",
+    + _SEQUENCE
+    + " SELECT r.event_id, reason, row_number() OVER (ORDER BY created_at, r.event_id) AS step FROM run r JOIN journal j ON j.event_id = r.event_id WHERE k > 0",
 )
 def session_undo(j: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    out = targets.session_undo(j, f"s7-{AT[:10]}", _layer(j))
-    return out.select("event_id", "reason", F.row_number().over(Window.orderBy("place")).alias("step"))  # one session's events
+    out = sequence.session_undo(j, f"s7-{AT[:10]}", _layer(j), ("id",)).events
+    return out.select("event_id", "reason", F.row_number().over(Window.orderBy("created_at", "event_id")).alias("step"))  # one session's events
 
 
 @query(
