@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _settled: list[tuple[SparkSession, str]] = []
+_here: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("settled_here", default=None)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -51,15 +55,33 @@ def settled(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _settled.append((df.sparkSession, path))
+    kept = _here.get()
+    (_settled if kept is None else kept).append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def settled_here() -> Iterator[None]:
+    """Deletes, at its end, the tables that ``settled`` makes inside it: for work whose result is written before it ends."""
+    mine: list[tuple[SparkSession, str]] = []
+    token = _here.set(mine)
+    try:
+        yield
+    finally:
+        _here.reset(token)
+        for session, path in mine:
+            _delete(session, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard_settled(spark: SparkSession) -> int:
     """Deletes the tables that ``settled`` made in this session and says how many they were."""
     mine = [path for session, path in _settled if session is spark]
     for path in mine:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     _settled[:] = [x for x in _settled if x[0] is not spark]
     return len(mine)

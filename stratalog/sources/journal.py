@@ -247,14 +247,31 @@ class Journal:
     def events(self) -> DataFrame:
         return read_journal(self.spark, self.path)
 
+    def last_id(self) -> int:
+        """The largest event id, 0 for a journal without events or files."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return 0
+        return self.events().agg(F.max("event_id")).first()[0] or 0
+
     def append(self, events: DataFrame, pending: str | None = None) -> None:
-        """Writes the valid events; the others go to the dead letters in ``pending``, or raise."""
-        good, bad = split_valid(events)
-        if pending:
-            write_pending(bad, pending)
-        elif bad.limit(1).count():
-            raise ValueError(f"events can't be written: {bad.select('reason').first()[0]}")
-        write_journal(good.select(*JOURNAL.names), self.path)
+        """Writes the valid events; the others go to the dead letters in ``pending``, or raise.
+
+        Events without an id get the ids behind the last one of the journal and of this batch, in the order of their time.
+        A journal has one writer: two that append at once could give an id twice.
+        """
+        from stratalog.session import settled, settled_here
+        from stratalog.streaming.capture import numbered
+
+        with settled_here():
+            good, bad = split_valid(events)
+            if pending:
+                write_pending(bad, pending)
+            elif bad.limit(1).count():
+                raise ValueError(f"events can't be written: {bad.select('reason').first()[0]}")
+            good = settled(good.select(*JOURNAL.names))
+            own = good.agg(F.max("event_id")).first()[0] or 0
+            write_journal(numbered(good, max(own, self.last_id()) + 1), self.path)
 
     def of_source(self, fingerprint: str) -> DataFrame:
         return of_source(self.events(), fingerprint)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratalog.functions import payload
-from stratalog.session import settled
+from stratalog.session import settled, settled_here
 from stratalog.sources.journal import JOURNAL, is_trace, split_valid, write_journal
 
 KEYS = ["datasource_fingerprint", "entity"]
@@ -74,7 +74,10 @@ def net_effect(edits: DataFrame) -> DataFrame:
 
 
 #: Fields that tell events of one batch apart, in the order in which they get their ids.
-NATURAL = ["created_at", "datasource_fingerprint", "entity_fingerprint", "operation_type", "attributes_json", "session_id", "user_name"]
+NATURAL = [
+    "created_at", "datasource_fingerprint", "entity_fingerprint", "operation_type", "attributes_json", "session_id", "user_name", "feature_identity_json",
+    "geometry_wkb", "new_geometry_wkb", "restored_from_event_id",
+]
 
 
 def numbered(events: DataFrame, first: int) -> DataFrame:
@@ -101,7 +104,8 @@ def append_batch(events: DataFrame, batch_id: int, path: str, pending: str) -> N
     failure overwrites its own files with the same ids, so each event ends in one of the two, once. A batch has 2**36 ids
     of its own, which follow the order of its events."""
     good, bad = split_valid(events)
-    write_journal(numbered(good, (batch_id + 1) << 36), f"{path}/batch={batch_id}", "overwrite")
+    with settled_here():
+        write_journal(numbered(good, (batch_id + 1) << 36), f"{path}/batch={batch_id}", "overwrite")
     bad.write.mode("overwrite").json(f"{pending}/batch={batch_id}")
 
 

@@ -1,10 +1,12 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from stratalog.functions import geometry, identity, moments
 from stratalog.operators import retention, rewind, scope, search
 from stratalog.sources import journal as jr
+from stratalog.sources.journal import JOURNAL
 from stratalog.streaming import capture
 from tests.test_rewind import event, journal, point, stamp, world
 
@@ -145,3 +147,34 @@ def test_a_journal_by_its_path(spark, tmp_path):
     jr.write_journal(own.events(), str(tmp_path / "q"), ordered=True)
     retention.compact(own.events(), str(tmp_path / "r"))
     assert jr.read_journal(spark, str(tmp_path / "r")).count() == jr.read_journal(spark, str(tmp_path / "q")).count() == 6
+
+
+def test_appended_events_get_growing_ids(spark, tmp_path):
+    from stratalog.session import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    rows = lambda a, b, given=None: spark.createDataFrame([event(n, n, "INSERT", {"all_attributes": {"v": n}}) for n in range(a, b)], JOURNAL).withColumn(
+        "event_id", F.when(F.col("event_id") == (given if given is not None else -1), F.col("event_id"))
+    )
+    journal = jr.Journal(spark, str(tmp_path / "j"))
+    assert journal.last_id() == 0
+    journal.append(rows(0, 30).repartition(20))
+    journal.append(rows(30, 60, given=50).repartition(7))
+    journal.append(rows(60, 70))
+    found = journal.events().select("event_id", "created_at").orderBy("event_id").collect()
+    assert len({r[0] for r in found}) == 70 and found[0][0] == 1
+    first, rest = [r for r in found if r[0] <= 30], [r for r in found if r[0] > 50]
+    assert [r[1] for r in first] == sorted(r[1] for r in first) and len(first) == 30
+    assert len(rest) == 39 and max(r[0] for r in rest) == 89
+    assert set(os.listdir(shared_folder(spark))) == before
+
+
+def test_batches_leave_no_tables_behind(spark, tmp_path):
+    from stratalog.session import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    for n in range(5):
+        events = spark.createDataFrame([event(k, k, "INSERT", {}) for k in range(4)], JOURNAL).withColumn("event_id", F.lit(None).cast("long"))
+        capture.append_batch(events, n, str(tmp_path / "j"), str(tmp_path / "p"))
+    assert jr.read_journal(spark, str(tmp_path / "j")).select("event_id").distinct().count() == 20
+    assert set(os.listdir(shared_folder(spark))) == before
