@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
+from stratalog.operators import claims
 from stratalog.operators.planning import judged
 from stratalog.sources.journal import JOURNAL, is_active, is_trace, order_key
 
@@ -185,18 +186,11 @@ def row_count_check(before: DataFrame, after: DataFrame, decided: DataFrame) ->
 def content_matches(events: DataFrame, state: DataFrame, least: int = 2) -> DataFrame:
     """(event_id, entity): the one row of the state that has the event's geometry and all its new values.
 
-    Candidates meet on source and a digest of the geometry; events without geometry need ``least`` values and meet on
-    source and a digest of one value, that of their first field. An event with several such rows has none.
+    Events and rows meet on a digest of all that is compared (``claims``); events without geometry need ``least`` values. An
+    event with several such rows has none.
     """
-    wanted = events.select("datasource_fingerprint", "event_id", payload.new_attributes().alias("want"), F.coalesce("new_geometry_wkb", "geometry_wkb").alias("shape"))
-    wanted = wanted.withColumn("want", F.map_filter("want", lambda f, v: ~payload.is_audit_field(f) & (v != "null")))
-    rows = state.select("datasource_fingerprint", "entity", "attributes", F.col("geometry_wkb").alias("s"))
-    by_shape = wanted.where("shape IS NOT NULL").withColumn("h", F.md5("shape"))
-    by_shape = by_shape.join(rows.where("s IS NOT NULL").withColumn("h", F.md5("s")), ["datasource_fingerprint", "h"])
-    first = lambda m: F.get(F.array_sort(F.map_entries(m)), F.lit(0))
-    bare = wanted.where("shape IS NULL").where(F.size("want") >= least).withColumn("e", first(F.col("want")))
-    cells = rows.select("*", F.explode("attributes").alias("f", "v"))
-    bare = bare.select("*", F.col("e.key").alias("f"), F.col("e.value").alias("v")).drop("e").join(cells, ["datasource_fingerprint", "f", "v"])
-    both = by_shape.select("event_id", "entity", "want", "attributes").unionByName(bare.select("event_id", "entity", "want", "attributes"))
-    held = both.where(_holds(F.col("attributes"), F.col("want")))
-    return held.groupBy("event_id").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").select("event_id", "entity")
+    new, shape = payload.new_attributes(), F.coalesce("new_geometry_wkb", "geometry_wkb")
+    drawn, bare = events.where(shape.isNotNull()), events.where(shape.isNull())
+    want = claims.wanted(drawn, (), new, shape, 0).unionByName(claims.wanted(bare, (), new, shape, least))
+    rows = state.select("datasource_fingerprint", F.col("entity").alias("fid"), "attributes", "geometry_wkb")
+    return claims.matched(want, rows).where("n = 1").select("event_id", F.col("lowest").alias("entity"))

@@ -25,16 +25,18 @@ def _content(fields: Column, attributes: Column, shape: Column) -> Column:
     return F.sha2(F.to_json(F.struct(values.alias("v"), F.hex(shape).alias("s"))), 256)
 
 
-def wanted(events: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def wanted(events: DataFrame, keys: tuple[str, ...] = (), attributes: Column | None = None, shape: Column | None = None, least: int = 1) -> DataFrame:
     """(datasource_fingerprint, event_id, created_at, fields, with_shape, content) of events that have something to compare.
 
-    Values of ``keys``, audit fields and nulls don't count, and one other at least must be there: a geometry alone proves
-    nothing.
+    ``attributes`` and ``shape`` are what a row should have, by default the old side of an event. Values of ``keys``, audit
+    fields and nulls don't count, and ``least`` others must be there: a geometry alone proves nothing.
     """
-    own = F.map_filter(payload.old_attributes(), lambda k, v: ~payload.is_audit_field(k) & (v != "null") & ~k.isin(*keys) if keys else ~payload.is_audit_field(k) & (v != "null"))
-    want = events.select("datasource_fingerprint", "event_id", "created_at", "geometry_wkb", own.alias("want")).where(F.size("want") > 0)
-    want = want.withColumns({"fields": F.array_sort(F.map_keys("want")), "with_shape": F.col("geometry_wkb").isNotNull()})
-    return want.select("datasource_fingerprint", "event_id", "created_at", "fields", "with_shape", _content(F.col("fields"), F.col("want"), F.col("geometry_wkb")).alias("content"))
+    attributes = payload.old_attributes() if attributes is None else attributes
+    shape = F.col("geometry_wkb") if shape is None else shape
+    own = F.map_filter(attributes, lambda k, v: ~payload.is_audit_field(k) & (v != "null") & ~k.isin(*keys) if keys else ~payload.is_audit_field(k) & (v != "null"))
+    want = events.select("datasource_fingerprint", "event_id", "created_at", shape.alias("shape"), own.alias("want")).where(F.size("want") >= least)
+    want = want.withColumns({"fields": F.array_sort(F.map_keys("want")), "with_shape": F.col("shape").isNotNull()})
+    return want.select("datasource_fingerprint", "event_id", "created_at", "fields", "with_shape", _content(F.col("fields"), F.col("want"), F.col("shape")).alias("content"))
 
 
 def offered(rows: DataFrame, want: DataFrame) -> DataFrame:
@@ -52,8 +54,13 @@ def offered(rows: DataFrame, want: DataFrame) -> DataFrame:
 def twins(events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(event_id, twin_fid): the lowest row that is each event's, whoever else wants it."""
     want = wanted(events, keys)
-    least = offered(rows, want).groupBy(*CLASS).agg(F.min("fid").alias("twin_fid"))
-    return want.join(least, CLASS).select("event_id", "twin_fid")
+    return matched(want, rows).select("event_id", F.col("lowest").alias("twin_fid"))
+
+
+def matched(want: DataFrame, rows: DataFrame) -> DataFrame:
+    """(event_id, lowest, highest, n): the rows of each event's class, as their lowest and highest number and how many."""
+    offer = offered(rows, want).groupBy(*CLASS).agg(F.min("fid").alias("lowest"), F.max("fid").alias("highest"), F.count("*").alias("n"))
+    return want.join(offer, CLASS).select("event_id", "lowest", "highest", "n")
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list, parts: int | None = None) -> DataFrame:

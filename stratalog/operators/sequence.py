@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
-from stratalog.operators import claims, scans, targets
+from stratalog.operators import claims, ladder, scans, targets
 from stratalog.session import settled
 from stratalog.sources.journal import order_key
 
@@ -60,17 +60,34 @@ def _last(newest_first: bool):
     return F.min_by if newest_first else F.max_by
 
 
-def slots(events: DataFrame, rows: DataFrame, twins: DataFrame, newest_first: bool, parts: int | None) -> DataFrame:
+def _moved(events: DataFrame, rows: DataFrame, keys: tuple[str, ...], newest_first: bool) -> DataFrame:
+    """(datasource_fingerprint, number, moved_fid): numbers whose row has another number now.
+
+    The first event of a number tells, if it is an insert or an update: the rows are as the last edit left them. The others
+    follow it, as it is the same row that they meet.
+    """
+    told = targets.identity_parts(events.where(~F.coalesce(targets.has_key(), F.lit(False)))).where("fid IS NOT NULL")
+    first = F.max_by if newest_first else F.min_by
+    heads = told.groupBy("datasource_fingerprint", F.col("fid").alias("number")).agg(first(F.struct("event_id", "operation_type"), order_key()).alias("e"))
+    heads = settled(heads.select("datasource_fingerprint", "number", "e.event_id", "e.operation_type").where("operation_type IN ('INSERT', 'UPDATE')"))
+    found = ladder.moved(events.join(heads.select("event_id"), "event_id", "left_semi"), rows, keys)
+    return heads.join(found, "event_id").select("datasource_fingerprint", "number", "moved_fid")
+
+
+def slots(events: DataFrame, rows: DataFrame, twins: DataFrame, moved: DataFrame, newest_first: bool, parts: int | None) -> DataFrame:
     """``events`` with the row that each is about: ``slot``, ``found_by``, ``target_fid`` and ``twin_fid``.
 
     An event with a key is about the row of that key, or of none yet. One with a number alone is about the row of that
-    number; but behind a delete of the same number, about the row that this delete brings back under another number, or
+    number, or where ``moved`` tells that this row has another number now, about that one; but behind a delete of the same number, about the row that this delete brings back under another number, or
     about the twin that made it needless: a number that was given up may be another row's now.
     """
     located = targets.located(events, rows).join(twins.select("event_id", F.col("fid").alias("twin_fid")), "event_id", "left")
     told = targets.identity_parts(located)
     keyed = F.coalesce(F.col("pk_field").isNotNull() & F.col("pk_value").isNotNull(), F.lit(False))
     told = told.withColumn("keyed", keyed).withColumn("number", F.when(~F.col("keyed"), F.col("fid")))
+    told = told.join(moved, ["datasource_fingerprint", "number"], "left")
+    told = told.withColumn("found_by", F.when(F.col("moved_fid").isNotNull(), "content").otherwise(F.col("found_by")))
+    told = told.withColumn("target_fid", F.coalesce("moved_fid", "target_fid"))
     base = ["event_id", "datasource_fingerprint", "created_at", "operation_type", "keyed", "number", "pk_field", "pk_value", "target_fid", "found_by", "twin_fid"]
     told = told.select(*base)
     by, order = ["datasource_fingerprint", "number"], _order(newest_first)
@@ -185,16 +202,20 @@ def _left(judged: DataFrame, assume: bool, newest_first: bool) -> DataFrame:
 
 
 def restored(
-    events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = (), newest_first: bool = True, claim: bool = True, parts: int | None = None
+    events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = (), newest_first: bool = True, claim: bool = True, relocate: bool = False, parts: int | None = None
 ) -> Restored:
     """Restores ``events`` in order on ``rows`` (datasource_fingerprint, fid, attributes, geometry_wkb).
 
     Rules are those of ``targets.event_restores``, with the row as it is by then. A row is a twin of one delete at most
-    (``claims``), unless ``claim`` is off: then no twins are looked for. ``keys`` are key fields, which a twin needn't share.
+    (``claims``), unless ``claim`` is off: then no twins are looked for. With ``relocate``, events by number whose row has
+    another number now follow it as far as the ladder of proofs finds it (``ladder``). ``keys`` are key fields, which a twin
+    needn't share.
     """
     deletes = events.where("operation_type = 'DELETE'")
     found = claims.claimed_twins(deletes, rows, keys, newest_first, parts) if claim else deletes.select("datasource_fingerprint", "event_id", F.lit(None).cast("long").alias("fid")).limit(0)
-    placed = slots(events, rows, found, newest_first, parts)
+    nowhere = events.sparkSession.createDataFrame([], "datasource_fingerprint string, number long, moved_fid long")
+    moved = settled(_moved(events, rows, keys, newest_first)) if relocate else nowhere
+    placed = slots(events, rows, found, moved, newest_first, parts)
     left = scans.bucketed(placed, KEYS, _order(newest_first), parts)
     sides = events.select("event_id", _cells(payload.old_attributes(), F.col("geometry_wkb")).alias("o"), _cells(payload.new_attributes(), F.col("new_geometry_wkb")).alias("n"))
     side = lambda c, name: sides.select("event_id", F.explode(c).alias("x")).select("event_id", "x.field", F.struct("x.value").alias(name))
@@ -260,4 +281,4 @@ def session_undo(journal: DataFrame, session: str, rows: DataFrame, keys: tuple[
     """``restored`` of all user events of a session, the newest first."""
     from stratalog.sources.journal import is_trace
 
-    return restored(journal.where((F.col("session_id") == session) & ~is_trace()), rows, keys, True, True, parts)
+    return restored(journal.where((F.col("session_id") == session) & ~is_trace()), rows, keys, parts=parts)

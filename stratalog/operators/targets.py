@@ -20,6 +20,12 @@ def identity_parts(events: DataFrame) -> DataFrame:
     return events.withColumns({"pk_field": F.nullif(part("pk_field"), F.lit("")), "pk_value": part("pk_value"), "fid": part("fid").try_cast("long")})
 
 
+def has_key() -> Column:
+    """Whether an event captured a key; null-safe only behind a coalesce."""
+    part = lambda k: F.get_json_object("feature_identity_json", f"$.{k}")
+    return F.nullif(part("pk_field"), F.lit("")).isNotNull() & part("pk_value").isNotNull()
+
+
 def located(events: DataFrame, rows: DataFrame) -> DataFrame:
     """``events`` with ``target_fid`` and ``found_by`` (``pk``, ``fid`` or null).
 
@@ -72,6 +78,12 @@ def proof() -> Column:
     )
 
 
+def at_old() -> Column:
+    """Whether the target of a ``resolved`` update is as before it, in all that was captured."""
+    old, now, moved = payload.old_attributes(), F.coalesce("_attributes", F.create_map().cast("map<string,string>")), F.col("geometry_wkb").isNotNull()
+    return (_shared(now, old) == F.size(old)) & _holds(now, old) & (~moved | F.col("_shape").eqNullSafe(F.col("geometry_wkb"))) & ((F.size(old) > 0) | moved)
+
+
 PROVEN = ("pk", "post_geometry", "post_attributes")
 
 
@@ -101,17 +113,15 @@ def event_restores(events: DataFrame, rows: DataFrame, lost: DataFrame | None =
         met = met.join(gone, "datasource_fingerprint", "left")
         own = F.filter(F.map_keys(payload.old_attributes()), lambda k: ~payload.is_audit_field(k))
         met = met.withColumn("_lost", F.coalesce(F.arrays_overlap(own, F.col("_fields")), F.lit(False)))
-    old, new = payload.old_attributes(), payload.new_attributes()
+    new = payload.new_attributes()
     now = F.coalesce("_attributes", F.create_map().cast("map<string,string>"))
     there, op = F.col("target_fid").isNotNull(), F.col("operation_type")
-    moved = F.col("geometry_wkb").isNotNull()
-    at_old = (_shared(now, old) == F.size(old)) & _holds(now, old) & (~moved | F.col("_shape").eqNullSafe(F.col("geometry_wkb"))) & ((F.size(old) > 0) | moved)
     as_left = (_shared(now, new) > 0) & _holds(now, new) & (F.col("new_geometry_wkb").isNull() | F.col("_shape").eqNullSafe(F.col("new_geometry_wkb")))
     proven = proof()
     reason = (
         F.when(op == "DELETE", F.when(there & (F.col("found_by") == "pk"), "key_is_there").when(F.col("twin_fid").isNotNull(), "twin_is_there").otherwise("inserted"))
         .when(op == "INSERT", F.when(~there, "target_is_gone").when((F.col("found_by") == "pk") | as_left, "deleted").otherwise("only_the_number_matches"))
-        .when(op == "UPDATE", F.when(~there, "target_absent").when(at_old, "already_at_old").when(proven.isin(*PROVEN), "taken_back").otherwise(proven))
+        .when(op == "UPDATE", F.when(~there, "target_absent").when(at_old(), "already_at_old").when(proven.isin(*PROVEN), "taken_back").otherwise(proven))
         .otherwise("unsupported_operation")
     )
     met = met.withColumn("reason", reason)
