@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
-from stratalog.operators import applying, claims, rewind, sequence, snapshot, targets
+from stratalog.operators import applying, claims, ladder, rewind, sequence, snapshot, targets
 from stratalog.plans.catalog import _ACTIONS, _COLLAPSE, AT, CUTOFF, LATER, _state_sql, query
 from stratalog.session import settled
 from stratalog.sources import journal as jr
@@ -309,6 +309,64 @@ def _sequence(j: DataFrame) -> tuple[DataFrame, sequence.Restored]:
     return rows, sequence.restored(_users(j), rows, ("id",))
 
 
+#: The ladder of proofs for inserts and updates; ``stages`` has (event_id, target_fid, stage).
+_STAGES = """
+    , told AS (SELECT event_id, field, new AS value FROM sides WHERE field <> 'id' AND new IS NOT NULL AND new <> 'null')
+    , telling AS (SELECT event_id, count(*) AS n FROM told GROUP BY 1)
+    , ins0 AS (SELECT p.*, hex(geometry_wkb) AS drawn FROM proofs p WHERE operation_type = 'INSERT')
+    , ins1 AS (SELECT * FROM ins0 WHERE found_by IS DISTINCT FROM 'pk' AND NOT (found_by IS NOT DISTINCT FROM 'fid' AND old_apart = 0 AND (drawn IS NULL OR row_shape IS NOT DISTINCT FROM drawn)))
+    , alike AS (SELECT e.event_id, r.row_fid, r.shape, count(*) AS same FROM (SELECT DISTINCT event_id, datasource_fingerprint FROM proofs WHERE operation_type <> 'DELETE') e JOIN told t USING (event_id)
+      JOIN row_cells c ON c.datasource_fingerprint = e.datasource_fingerprint AND c.field = t.field AND c.value = t.value JOIN layer_rows r ON r.datasource_fingerprint = c.datasource_fingerprint AND r.entity = c.entity GROUP BY ALL)
+    , snap AS (SELECT i.event_id, max(a.row_fid) AS fid FROM ins1 i JOIN telling USING (event_id) JOIN alike a ON a.event_id = i.event_id AND a.same = telling.n AND (i.drawn IS NULL OR a.shape IS NOT DISTINCT FROM i.drawn) GROUP BY 1)
+    , ins2 AS (SELECT * FROM ins1 WHERE event_id NOT IN (SELECT event_id FROM snap))
+    , few_shapes AS (SELECT datasource_fingerprint, shape FROM layer_rows WHERE shape IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 5)
+    , differing AS (SELECT i.event_id, r.row_fid, coalesce(string_agg(t.field, ',' ORDER BY t.field) FILTER (WHERE c.field IS NOT NULL AND c.value IS DISTINCT FROM t.value), '') AS apart
+      FROM ins2 i JOIN few_shapes s ON s.datasource_fingerprint = i.datasource_fingerprint AND s.shape = i.drawn JOIN layer_rows r ON r.datasource_fingerprint = s.datasource_fingerprint AND r.shape = s.shape
+      LEFT JOIN told t ON t.event_id = i.event_id LEFT JOIN row_cells c ON c.datasource_fingerprint = r.datasource_fingerprint AND c.entity = r.entity AND c.field = t.field GROUP BY 1, 2)
+    , but_one AS (SELECT event_id, max(row_fid) AS fid FROM differing GROUP BY 1 HAVING count(DISTINCT apart) = 1 AND min(apart) <> '' AND min(apart) NOT LIKE '%,%')
+    , ins3 AS (SELECT * FROM ins2 WHERE event_id NOT IN (SELECT event_id FROM but_one))
+    , by_values AS (SELECT i.event_id, min(a.row_fid) AS fid FROM ins3 i JOIN telling USING (event_id) JOIN alike a ON a.event_id = i.event_id AND a.same = telling.n WHERE telling.n >= 2 GROUP BY 1 HAVING count(*) = 1)
+    , ins4 AS (SELECT * FROM ins3 WHERE event_id NOT IN (SELECT event_id FROM by_values))
+    , upd1 AS (SELECT * FROM proofs WHERE operation_type = 'UPDATE' AND proof NOT IN ('pk', 'post_geometry', 'post_attributes'))
+    , near_rows AS (SELECT u.event_id, r.row_fid FROM upd1 u LEFT JOIN telling USING (event_id) JOIN layer_rows r ON r.datasource_fingerprint = u.datasource_fingerprint AND r.shape = u.new_shape
+        LEFT JOIN alike a ON a.event_id = u.event_id AND a.row_fid = r.row_fid WHERE u.new_shape IS NOT NULL AND coalesce(a.same, 0) = coalesce(telling.n, 0)
+      UNION ALL SELECT u.event_id, a.row_fid FROM upd1 u JOIN telling USING (event_id) JOIN alike a ON a.event_id = u.event_id AND a.same = telling.n WHERE u.new_shape IS NULL AND telling.n >= 2)
+    , elsewhere AS (SELECT event_id, min(row_fid) AS fid FROM near_rows GROUP BY 1 HAVING count(*) = 1)
+    , upd2 AS (SELECT * FROM upd1 WHERE event_id NOT IN (SELECT event_id FROM elsewhere))
+    , stages AS (
+      SELECT event_id, target_fid, 'key' AS stage FROM proofs WHERE operation_type <> 'DELETE' AND found_by = 'pk'
+      UNION ALL SELECT event_id, target_fid, 'number' FROM ins0 WHERE found_by IS DISTINCT FROM 'pk' AND event_id NOT IN (SELECT event_id FROM ins1)
+      UNION ALL SELECT event_id, fid, 'snapshot' FROM snap UNION ALL SELECT event_id, fid, 'but_one' FROM but_one UNION ALL SELECT event_id, fid, 'values' FROM by_values
+      UNION ALL SELECT i.event_id, CASE WHEN shares THEN target_fid END, CASE WHEN target_fid IS NULL THEN 'absent' WHEN shares THEN 'evidence' ELSE 'gone' END
+        FROM (SELECT i.*, coalesce(i.drawn = i.row_shape, false) OR a.event_id IS NOT NULL AS shares FROM ins4 i LEFT JOIN alike a ON a.event_id = i.event_id AND a.row_fid = i.target_fid) i
+      UNION ALL SELECT event_id, target_fid, 'number' FROM proofs WHERE operation_type = 'UPDATE' AND proof IN ('post_geometry', 'post_attributes')
+      UNION ALL SELECT event_id, fid, 'elsewhere' FROM elsewhere
+      UNION ALL SELECT event_id, NULL, CASE WHEN target_fid IS NULL THEN 'absent' WHEN shared = n AND old_apart = 0 AND (old_shape IS NULL OR row_shape IS NOT DISTINCT FROM old_shape) AND (n > 0 OR old_shape IS NOT NULL) THEN 'already_at_old' ELSE 'unproven' END FROM upd2)"""
+
+
+@query("proof_stages", _LAYER + _STAGES + " SELECT event_id, target_fid, stage FROM stages")
+def proof_stages(j: DataFrame) -> DataFrame:
+    events, rows = settled(_users(j)), _layer(j)
+    return ladder.removals(events, rows, ("id",)).unionByName(ladder.updates(events, rows, ("id",)))
+
+
+#: Numbers whose first event of the sequence finds its row under another number, which all of them follow.
+_RELOCATED = (
+    _STAGES
+    + """
+    , heads AS (SELECT event_id, datasource_fingerprint, no FROM users WHERE bare QUALIFY row_number() OVER (PARTITION BY datasource_fingerprint, no ORDER BY created_at DESC, event_id DESC) = 1)
+    , moved AS (SELECT h.datasource_fingerprint, h.no, s.target_fid AS moved_fid FROM heads h JOIN stages s USING (event_id) WHERE s.stage IN ('snapshot', 'but_one', 'values', 'elsewhere')
+      QUALIFY row_number() OVER (PARTITION BY h.datasource_fingerprint, s.target_fid ORDER BY event_id) = 1)"""
+    + _SEQUENCE.replace("FROM found f LEFT JOIN claimed c", "FROM (SELECT f.* REPLACE (CASE WHEN bare THEN coalesce(m.moved_fid, f.target_fid) ELSE f.target_fid END AS target_fid) FROM found f LEFT JOIN moved m USING (datasource_fingerprint, no)) f LEFT JOIN claimed c")
+)
+
+
+@query("restores_of_moved_rows", _LAYER + _RELOCATED + " SELECT event_id, slot, reason FROM run WHERE k > 0")
+def restores_of_moved_rows(j: DataFrame) -> DataFrame:
+    done = sequence.restored(settled(_users(j)), _layer(j), ("id",), relocate=True).events
+    return done.select("event_id", F.translate("slot", "\u0001", ":").alias("slot"), "reason")
+
+
 @query("restores_in_sequence", _LAYER + _SEQUENCE + " SELECT event_id, slot, reason FROM run WHERE k > 0")
 def restores_in_sequence(j: DataFrame) -> DataFrame:
     done = _sequence(j)[1].events
