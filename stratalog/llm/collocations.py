@@ -26,7 +26,7 @@ from stratalog.llm import text as tx
 from stratalog.llm.blocks import list_column, text_blocks
 from stratalog.llm.shared import BROADCAST_ROWS, Workspace
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 #: Characters that end a piece: ``[.,;:!?\x0A-\x0D]``.
 ENDS = ~tx.byte_class([(0x0A, 0x0D), *((ord(x), ord(x)) for x in ".,;:!?")])
 #: Bytes of words: what is neither an end nor a space nor a tab.
@@ -56,11 +56,11 @@ def _post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches, BLOCK_BYTES):
         data, offsets = tx.column_bytes(block.column("text"))
         data, offsets = tx.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
-        start, end, row = tx.split_words(data, offsets, IN_WORD)
-        ends = np.cumsum(ENDS[data])[start] if len(start) else np.zeros(0, np.int64)
+        start, end, row = (x.astype(np.int32) for x in tx.split_words(data, offsets, IN_WORD))
+        ends = np.searchsorted(np.flatnonzero(ENDS[data]), start)
         apart = np.append(0, np.cumsum((ends[1:] != ends[:-1]) | (row[1:] != row[:-1])))[: len(start)]
         texts = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start))), pa.py_buffer(data[IN_WORD[data]])]
+            pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start, dtype=np.int64))), pa.py_buffer(data[IN_WORD[data]])]
         )
         words = texts.dictionary_encode()
         langs = pc.fill_null(block.column("lang"), "und").combine_chunks().dictionary_encode()
@@ -120,13 +120,13 @@ def _extended(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     phrases, length, begin = row["phrases"], row["lengths"], row["begins"]
     if not len(begin):
         return phrases[:0], ids[:0], size[:0], begin
-    behind = np.full(int(at.max()) + words + 2, -1)
+    behind = np.full(int(at.max()) + words + 2, -1, np.int32)
     behind[at] = np.repeat(np.arange(len(ids)), size)
     frequent = np.zeros(len(behind), bool)
     frequent[begin] = True
     next_word = behind[begin + words]
     good = (next_word >= 0) & frequent[begin + 1]
-    key = np.repeat(np.arange(len(phrases)), length)[good] * len(ids) + next_word[good]
+    key = np.repeat(np.arange(len(phrases)), length)[good] * np.int64(len(ids)) + next_word[good]
     key, size, positions = _lists_of(key, begin[good])
     return phrases[key // len(ids)], ids[key % len(ids)], size, positions
 
