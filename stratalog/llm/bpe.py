@@ -4,11 +4,14 @@ A tokenizer that never joins pieces across ASCII white space gives a text's ids
 So texts are split into words in blocks of bounded size, each block with a list of its distinct words and, for each text,
 the places of its words in that list. The lists of all blocks meet by the words' hash class, where every distinct word of
 the corpus is encoded once; the ids go back to the blocks and are joined to the places. Words travel as parts of a block's
-list (some hundred thousand words in a few dozen rows), as a row for each word would be larger than the corpus.
+list (some ten thousand words in many rows), as a row for each word would be larger than the corpus. Texts are split
+twice, for the lists and for the places, which costs less than to keep the places meanwhile; a stamp of each block's list
+proves that both saw the same block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +28,40 @@ from stratalog.llm import text as tx
 from stratalog.llm.blocks import list_column, text_blocks, words_of
 from stratalog.llm.shared import Workspace
 
-#: Text of a block, and words of the blocks' lists that are encoded together.
-BLOCK_BYTES, GROUP_WORDS = 1 << 24, 400_000
+#: Text of a block, and text for whose words there is one group that encodes them.
+BLOCK_BYTES, GROUP_BYTES = 1 << 22, 6_000_000
 #: Classes of words by hash, whose ranges make the groups.
 CLASS_BITS = 20
 #: Words that the tokenizer's library gets at a time.
 CALL = 20_000
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _loosened(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def _packed(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed, behind their count."""
-    return len(values).to_bytes(8, "little") + pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+    """32-bit numbers, compressed byte by byte of each, as small numbers are most."""
+    return _squeezed(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], 4 * size, codec="zstd", asbytes=True), np.int32) if size else np.zeros(0, np.int32)
+    return np.ascontiguousarray(np.frombuffer(_loosened(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _packed_words(words: pa.LargeStringArray) -> bytes:
+    """Words have no line ends, which so come between them."""
+    return _squeezed("\n".join(words.to_pylist()).encode())
+
+
+def _unpacked_words(data: bytes) -> pa.LargeStringArray:
+    text = _loosened(data).decode()
+    return pa.array(text.split("\n") if text else [], pa.large_string())
 
 
 def _classes(words: pa.LargeStringArray) -> np.ndarray:
@@ -47,44 +69,58 @@ def _classes(words: pa.LargeStringArray) -> np.ndarray:
     return (tx.hash_spans(data, offsets[:-1], offsets[1:]) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
 
-def _code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block: its documents, and its distinct words in order of their classes."""
+def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.LargeStringArray, np.ndarray, int]]:
+    """Each block with its number, the offsets of its rows, its distinct words, the most frequent first, the words' places
+    in these, and a stamp of the list."""
     task, turn = TaskContext.get().partitionId(), 0
     for block in text_blocks(batches, BLOCK_BYTES):
         words, offsets = words_of(block.column("text"))
         coded = words.dictionary_encode()
-        order = np.argsort(_classes(coded.dictionary), kind="stable")
+        codes = np.asarray(coded.indices, np.int64)
+        order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+        listed = coded.dictionary.take(pa.array(order))
+        data, ends = tx.column_bytes(listed)
+        stamp = hashlib.blake2b(data[ends[0] : ends[-1]].tobytes() + np.diff(ends).tobytes(), digest_size=8).digest()
+        yield (task << 32) + turn, block, offsets, listed, place[codes], int.from_bytes(stamp, "little", signed=True)
+        turn += 1
+
+
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: its documents with their words' places."""
+    for number, block, offsets, _, codes, stamp in _coded(batches):
         one = np.array([0, block.num_rows])
         yield pa.RecordBatch.from_pydict(
             {
-                "block": pa.array([(task << 32) + turn], pa.int64()),
+                "block": pa.array([number], pa.int64()),
+                "stamp": pa.array([stamp], pa.int64()),
                 "doc_ids": list_column(one, block.column("doc_id").combine_chunks()),
                 "n_words": list_column(one, pa.array(np.diff(offsets), pa.int32())),
-                "codes": pa.array([_packed(place[np.asarray(coded.indices)])], pa.binary()),
-                "words": list_column(np.array([0, len(order)]), coded.dictionary.take(pa.array(order)).cast(pa.string())),
+                "codes": pa.array([_packed(codes)], pa.binary()),
             }
         )
-        turn += 1
 
 
 def _deal(groups: int) -> Callable:
-    """A block's list of words, cut by ranges of classes into ``groups`` parts."""
+    """Each block's list of words, cut by ranges of classes into ``groups`` parts with the words' places."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                words = batch.column("words").slice(row, 1).flatten()
-                part = _classes(words.cast(pa.large_string())) * groups >> CLASS_BITS
-                begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array(np.full(len(begin), batch.column("block")[row].as_py()), pa.int64()),
-                        "part": pa.array(part[begin], pa.int32()),
-                        "words": list_column(np.append(begin, len(part)), words),
-                    }
-                )
+        for number, _, _, words, _, stamp in _coded(batches):
+            part = _classes(words) * groups >> CLASS_BITS
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            mine = [order[a:b] for a, b in zip(begin, np.append(begin[1:], len(part)))]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array(np.full(len(begin), number), pa.int64()),
+                    "stamp": pa.array(np.full(len(begin), stamp), pa.int64()),
+                    "part": pa.array(part[begin], pa.int32()),
+                    "words": pa.array([_packed_words(words.take(pa.array(x))) for x in mine], pa.binary()),
+                    "places": pa.array([_packed(np.diff(x, prepend=0)) for x in mine], pa.binary()),
+                }
+            )
 
     return deal
 
@@ -108,22 +144,19 @@ def _encode(path: str) -> Callable:
     """The ids of a group's words, each distinct word encoded once; a row for each part that came in."""
 
     def encode(group: pa.Table) -> pa.Table:
-        lists = group.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [_unpacked_words(x) for x in group.column("words").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         tokenizer, ids, sizes = _tokenizer(path), [], []
         for at in range(0, len(coded.dictionary), CALL):
             for found in tokenizer.encode_batch(coded.dictionary.slice(at, CALL).to_pylist(), add_special_tokens=False):
                 sizes.append(len(found.ids))
                 ids.extend(found.ids)
-        own = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes, dtype=np.int64)), pa.int64()), pa.array(ids, pa.int32()))
-        found = own.take(coded.indices)
+        found = _lists(np.array(sizes, np.int64), np.array(ids, np.int32)).take(coded.indices)
         size = np.asarray(found.value_lengths(), np.int64)
-        start = np.append(0, np.cumsum(size))
-        flat, at = np.asarray(found.flatten(), np.int32), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+        start, flat, at = np.append(0, np.cumsum(size)), np.asarray(found.flatten()), np.append(0, np.cumsum([len(x) for x in lists]))
         return pa.table(
-            {
-                "block": group.column("block"),
-                "part": group.column("part"),
+            {x: group.column(x) for x in ("block", "stamp", "part", "places")}
+            | {
                 "sizes": pa.array([_packed(size[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
                 "ids": pa.array([_packed(flat[start[a] : start[b]]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
             }
@@ -132,18 +165,24 @@ def _encode(path: str) -> Callable:
     return encode
 
 
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes, dtype=np.int64)), pa.int64()), pa.array(values, pa.int32()))
+
+
 def _join(block: pa.Table, parts: pa.Table) -> pa.Table:
     """A block's documents with their ids: those of its words, at the words' places."""
-    parts = parts.sort_by("part")
-    size = np.concatenate([np.zeros(0, np.int32), *(_unpacked(x) for x in parts.column("sizes").to_pylist())])
-    flat = np.concatenate([np.zeros(0, np.int32), *(_unpacked(x) for x in parts.column("ids").to_pylist())])
-    words = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size, dtype=np.int64)), pa.int64()), pa.array(flat))
-    codes = _unpacked(block.column("codes")[0].as_py())
+    if set(parts.column("stamp").to_pylist()) - set(block.column("stamp").to_pylist()):
+        raise ValueError("the documents came in another order or with other texts when they were read again")
+    none = [np.zeros(0, np.int32)]
+    place = np.concatenate(none + [np.cumsum(_unpacked(x)) for x in parts.column("places").to_pylist()])
+    size = np.concatenate(none + [_unpacked(x) for x in parts.column("sizes").to_pylist()])
+    flat = np.concatenate(none + [_unpacked(x) for x in parts.column("ids").to_pylist()])
+    words = _lists(size, flat).take(pa.array(np.argsort(place)))
+    codes = pa.array(_unpacked(block.column("codes")[0].as_py()))
+    upto = np.append(0, np.cumsum(np.asarray(words.value_lengths().take(codes)), dtype=np.int64))
     n_words = np.asarray(block.column("n_words").combine_chunks().flatten(), np.int64)
-    upto = np.append(0, np.cumsum(size[codes], dtype=np.int64))
-    offsets = upto[np.append(0, np.cumsum(n_words))]
     doc_ids = block.column("doc_ids").combine_chunks().flatten()
-    return pa.table({"doc_id": doc_ids, "ids": list_column(offsets, words.take(pa.array(codes)).flatten())})
+    return pa.table({"doc_id": doc_ids, "ids": list_column(upto[np.append(0, np.cumsum(n_words))], words.take(codes).flatten())})
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, space: Workspace) -> DataFrame:
@@ -152,26 +191,35 @@ def encode_texts(docs: DataFrame, tokenizer: str, space: Workspace) -> DataFrame
     ``tokenizer`` is a file of the tokenizers library whose pieces never cross ASCII white space (word or byte-level BPE
     that drops it); every node must have it. Ids are those of the library without begin and end tokens; strings of special
     tokens in a text become these. Null and empty texts have none; repeated rows and null ids pass; other columns are left
-    out. A block holds 16 MB of text (or one longer text), and comes together in one task with its words' ids.
+    out. A block holds 4 MB of text (or one longer text), and comes together in one task with its words' ids.
     """
+    docs = _rereadable(docs.select("doc_id", "text"), space)
     ids = docs.schema["doc_id"].dataType
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = min(max(1, math.ceil(size / GROUP_BYTES)), 1 << CLASS_BITS)
+    dealt = docs.mapInArrow(_deal(groups), "block long, stamp long, part int, words binary, places binary")
+    pieces = dealt.groupBy("part").applyInArrow(_encode(tokenizer), "block long, stamp long, part int, places binary, sizes binary, ids binary")
+    pieces = space.write(pieces, "pieces")
     schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
+            T.StructField("stamp", T.LongType()),
             T.StructField("doc_ids", T.ArrayType(ids)),
             T.StructField("n_words", T.ArrayType(T.IntegerType())),
             T.StructField("codes", T.BinaryType()),
-            T.StructField("words", T.ArrayType(T.StringType())),
         ]
     )
-    coded = space.write(docs.select("doc_id", "text").mapInArrow(_code, schema), "coded")
-    n = coded.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
-    groups = min(max(1, math.ceil(n / GROUP_WORDS)), 1 << CLASS_BITS)
-    dealt = coded.select("block", "words").mapInArrow(_deal(groups), "block long, part int, words array<string>")
-    pieces = dealt.groupBy("part").applyInArrow(_encode(tokenizer), "block long, part int, sizes binary, ids binary")
-    pieces = space.write(pieces, "pieces")
     whole = T.StructType([T.StructField("doc_id", ids), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return coded.select("block", "doc_ids", "n_words", "codes").groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_join, whole)
+    return docs.mapInArrow(_places, schema).groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_join, whole)
+
+
+def _rereadable(docs: DataFrame, space: Workspace) -> DataFrame:
+    """``docs`` if it is read from files, which give the same blocks each time, or else written to some."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return space.write(docs, "docs")
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
