@@ -149,7 +149,14 @@ def state_at(events: DataFrame, at: str) -> DataFrame:
     Plan: one pass. An event is dealt into cells, one for each field that it writes, one for its shape and one for itself;
     of each cell the latest wins, on the map side already, so values of earlier events are not shuffled.
     """
-    seen = visible(effective_events(events.where(is_active())), at)
+    cells = cells_of(visible(effective_events(events.where(is_active())), at))
+    best = cells.groupBy(*KEYS, "kind", "field").agg(F.max_by(F.struct("value", "wkb", "crs", "k"), "k").alias("v"))
+    return rows_of(best, KEYS)
+
+
+def cells_of(seen: DataFrame) -> DataFrame:
+    """``effective_events`` dealt into what they write: keys, ``k`` (place in time), ``kind`` (0 a field, 1 the shape, 2 the
+    event itself), ``field``, ``value``, ``wkb``, ``crs``."""
     op = F.col("operation_type")
     shape = F.when(op == "INSERT", F.col("geometry_wkb")).when(op == "UPDATE", F.coalesce("new_geometry_wkb", "geometry_wkb"))
     sets_shape = (op == "INSERT") | ((op == "UPDATE") & shape.isNotNull())
@@ -158,10 +165,13 @@ def state_at(events: DataFrame, at: str) -> DataFrame:
     no, none, nothing = F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("binary")
     fields = F.transform(F.map_entries(F.coalesce(written, F.create_map().cast("map<string,string>"))), lambda e: cell(F.lit(0), e["key"], e["value"], nothing, no))
     extra = F.array_compact(F.array(F.when(sets_shape, cell(F.lit(1), none, no, shape, no)), cell(F.lit(2), none, op, nothing, F.col("crs_authid"))))
-    cells = seen.select(*KEYS, order_key().alias("k"), F.explode(F.concat(fields, extra)).alias("c")).select(*KEYS, "k", "c.*")
-    best = cells.groupBy(*KEYS, "kind", "field").agg(F.max_by(F.struct("value", "wkb", "crs", "k"), "k").alias("v"))
+    return seen.select(*KEYS, order_key().alias("k"), F.explode(F.concat(fields, extra)).alias("c")).select(*KEYS, "k", "c.*")
+
+
+def rows_of(best: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that the latest cells make, without deleted entities; ``best``: ``keys``, kind, field, ``v``."""
     last, kind = F.when(F.col("kind") == 2, F.col("v")), F.col("kind")
-    rows = best.groupBy(*KEYS).agg(
+    rows = best.groupBy(*keys).agg(
         F.max(last["value"]).alias("last_op"),
         F.max(last["k"]["event_id"]).alias("last_event_id"),
         F.max(last["k"]["created_at"]).alias("last_at"),

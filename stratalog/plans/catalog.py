@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import geometry, identity, moments, payload
-from stratalog.operators import applying, drift, integrity, planning, retention, rewind, scope, search, snapshot, stats
+from stratalog.operators import applying, cells, drift, integrity, intervals, planning, retention, rewind, scope, search, snapshot, stats
 from stratalog.plans.derived import derived_sql, loaded_journal
 from stratalog.session import settled
 from stratalog.sources import journal as jr
@@ -118,6 +118,49 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
     return QUERIES["state_at"](spark, sf_dir)
 
 
+@query(
+    "states_at_many",
+    """
+    , cuts AS (SELECT DISTINCT substr(created_at, 1, 10) || 'T12:00:00+00:00' AS cutoff FROM journal),
+    lasts AS (SELECT cutoff, datasource_fingerprint, entity, arg_max(operation_type, (created_at, event_id)) AS last_op, arg_max(event_id, (created_at, event_id)) AS last_event_id
+      FROM eff JOIN cuts ON created_at <= cutoff GROUP BY 1, 2, 3),
+    drawn AS (SELECT cutoff, datasource_fingerprint, entity, arg_max_null(CASE WHEN operation_type = 'INSERT' THEN geometry_wkb ELSE coalesce(new_geometry_wkb, geometry_wkb) END, (created_at, event_id)) AS shape
+      FROM eff JOIN cuts ON created_at <= cutoff WHERE operation_type = 'INSERT' OR (operation_type = 'UPDATE' AND coalesce(new_geometry_wkb, geometry_wkb) IS NOT NULL) GROUP BY 1, 2, 3),
+    values_at AS (SELECT cutoff, datasource_fingerprint, entity, field, arg_max_null(value, (created_at, event_id)) AS value FROM written JOIN cuts ON created_at <= cutoff GROUP BY ALL),
+    fields AS (SELECT cutoff, datasource_fingerprint, entity, string_agg(field || '=' || value, ';' ORDER BY field) AS attributes FROM values_at GROUP BY 1, 2, 3)
+    SELECT cutoff, datasource_fingerprint, entity, last_op, last_event_id, attributes, hex(shape) AS shape FROM lasts LEFT JOIN fields USING (cutoff, datasource_fingerprint, entity)
+    LEFT JOIN drawn USING (cutoff, datasource_fingerprint, entity) WHERE last_op <> 'DELETE'""",
+)
+def states_at_many(j: DataFrame) -> DataFrame:
+    """The state at noon of each day that has events."""
+    days = [r[0] for r in j.select(F.substring("created_at", 1, 10)).distinct().collect()]  # a row a day
+    found = intervals.states_at(j, [f"{day}T12:00:00+00:00" for day in days])
+    return found.select(F.col("at").alias("cutoff"), "datasource_fingerprint", "entity", "last_op", "last_event_id", payload.as_text(F.col("attributes")).alias("attributes"), F.hex("geometry_wkb").alias("shape"))
+
+
+#: Boxes of many sizes and places, a few of them points or far away; the same expressions in Spark and DuckDB.
+BOXES = {
+    "x0": "(n % 13) / 2.0 - 1.0", "y0": "(n % 7) - 1.25", "w": "CASE WHEN n % 5 = 0 THEN 0.0 WHEN n % 11 = 0 THEN 900.0 ELSE (n % 9) / 4.0 END", "h": "CASE WHEN n % 5 = 0 THEN 0.0 ELSE (n % 4) / 2.0 END",
+}
+
+
+@query(
+    "boxes_met",
+    f"""
+    , asked AS (SELECT n AS asked_id, {", ".join(f"{e} AS {k}" for k, e in BOXES.items())} FROM range(200) t(n)),
+    points AS (SELECT event_id AS id, hex(coalesce(geometry_wkb, new_geometry_wkb)) AS shape FROM journal WHERE coalesce(geometry_wkb, new_geometry_wkb) IS NOT NULL),
+    numbers AS (SELECT hex, v FROM (VALUES ('0000000000000000', 0), ('000000000000F03F', 1), ('0000000000000040', 2), ('0000000000000840', 3), ('0000000000001040', 4), ('0000000000001440', 5), ('0000000000001840', 6)) t(hex, v)),
+    placed AS (SELECT id, a.v AS x, b.v AS y FROM points JOIN numbers a ON a.hex = substr(shape, 11, 16) JOIN numbers b ON b.hex = substr(shape, 27, 16))
+    SELECT id, asked_id FROM placed JOIN asked ON x >= x0 AND x <= x0 + w AND y >= y0 AND y <= y0 + h""",
+)
+def boxes_met(j: DataFrame) -> DataFrame:
+    """All events with a geometry against two hundred boxes."""
+    boxes = j.sparkSession.range(200).withColumnRenamed("id", "n").selectExpr("n AS id", *[f"CAST({e} AS DOUBLE) AS {k}" for k, e in BOXES.items()])
+    box = F.struct(F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), (F.col("x0") + F.col("w")).alias("xmax"), (F.col("y0") + F.col("h")).alias("ymax"))
+    drawn = j.select(F.col("event_id").alias("id"), geometry.envelope(F.coalesce("geometry_wkb", "new_geometry_wkb")).alias("box"))
+    return cells.met(drawn, boxes.select("id", box.alias("box")))
+
+
 @query(
     "snapshot_counts",
     f"""
