@@ -48,3 +48,22 @@ def joined(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     """The values of each row, joined by one space."""
     lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values.cast(pa.large_string()))
     return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def packed(values: np.ndarray, kind: str = "<i4") -> bytes:
+    """Whole numbers of one width, compressed byte by byte of each, as small numbers are most."""
+    return squeezed(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    planes = np.frombuffer(loosened(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import text as tx
-from stratalog.llm.blocks import list_column, text_blocks, words_of
+from stratalog.llm.blocks import list_column, loosened, packed, squeezed, text_blocks, unpacked, words_of
 from stratalog.llm.shared import Workspace
 
 #: Text of a block, and text for whose words there is one group that encodes them.
@@ -36,31 +36,13 @@ CLASS_BITS = 20
 CALL = 20_000
 
 
-def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _loosened(data: bytes) -> bytes:
-    size = int.from_bytes(data[:8], "little")
-    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed byte by byte of each, as small numbers are most."""
-    return _squeezed(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_loosened(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
-
-
 def _packed_words(words: pa.LargeStringArray) -> bytes:
     """Words have no line ends, which so come between them."""
-    return _squeezed("\n".join(words.to_pylist()).encode())
+    return squeezed("\n".join(words.to_pylist()).encode())
 
 
 def _unpacked_words(data: bytes) -> pa.LargeStringArray:
-    text = _loosened(data).decode()
+    text = loosened(data).decode()
     return pa.array(text.split("\n") if text else [], pa.large_string())
 
 
@@ -69,11 +51,11 @@ def _classes(words: pa.LargeStringArray) -> np.ndarray:
     return (tx.hash_spans(data, offsets[:-1], offsets[1:]) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
 
-def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.LargeStringArray, np.ndarray, int]]:
+def _coded(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.LargeStringArray, np.ndarray, int]]:
     """Each block with its number, the offsets of its rows, its distinct words, the most frequent first, the words' places
     in these, and a stamp of the list."""
     task, turn = TaskContext.get().partitionId(), 0
-    for block in text_blocks(batches, BLOCK_BYTES):
+    for block in text_blocks(batches, limit):
         words, offsets = words_of(block.column("text"))
         coded = words.dictionary_encode()
         codes = np.asarray(coded.indices, np.int64)
@@ -87,26 +69,30 @@ def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, n
         turn += 1
 
 
-def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(limit: int) -> Callable:
     """One row for each block: its documents with their words' places."""
-    for number, block, offsets, _, codes, stamp in _coded(batches):
-        one = np.array([0, block.num_rows])
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([number], pa.int64()),
-                "stamp": pa.array([stamp], pa.int64()),
-                "doc_ids": list_column(one, block.column("doc_id").combine_chunks()),
-                "n_words": list_column(one, pa.array(np.diff(offsets), pa.int32())),
-                "codes": pa.array([_packed(codes)], pa.binary()),
-            }
-        )
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block, offsets, _, codes, stamp in _coded(batches, limit):
+            one = np.array([0, block.num_rows])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([number], pa.int64()),
+                    "stamp": pa.array([stamp], pa.int64()),
+                    "doc_ids": list_column(one, block.column("doc_id").combine_chunks()),
+                    "n_words": list_column(one, pa.array(np.diff(offsets), pa.int32())),
+                    "codes": pa.array([packed(codes)], pa.binary()),
+                }
+            )
+
+    return places
 
 
-def _deal(groups: int) -> Callable:
+def _deal(groups: int, limit: int) -> Callable:
     """Each block's list of words, cut by ranges of classes into ``groups`` parts with the words' places."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, _, words, _, stamp in _coded(batches):
+        for number, _, _, words, _, stamp in _coded(batches, limit):
             part = _classes(words) * groups >> CLASS_BITS
             order = np.argsort(part, kind="stable")
             part = part[order]
@@ -118,7 +104,7 @@ def _deal(groups: int) -> Callable:
                     "stamp": pa.array(np.full(len(begin), stamp), pa.int64()),
                     "part": pa.array(part[begin], pa.int32()),
                     "words": pa.array([_packed_words(words.take(pa.array(x))) for x in mine], pa.binary()),
-                    "places": pa.array([_packed(np.diff(x, prepend=0)) for x in mine], pa.binary()),
+                    "places": pa.array([packed(np.diff(x, prepend=0)) for x in mine], pa.binary()),
                 }
             )
 
@@ -157,8 +143,8 @@ def _encode(path: str) -> Callable:
         return pa.table(
             {x: group.column(x) for x in ("block", "stamp", "part", "places")}
             | {
-                "sizes": pa.array([_packed(size[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                "ids": pa.array([_packed(flat[start[a] : start[b]]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                "sizes": pa.array([packed(size[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                "ids": pa.array([packed(flat[start[a] : start[b]]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
             }
         )
 
@@ -174,30 +160,30 @@ def _join(block: pa.Table, parts: pa.Table) -> pa.Table:
     if set(parts.column("stamp").to_pylist()) - set(block.column("stamp").to_pylist()):
         raise ValueError("the documents came in another order or with other texts when they were read again")
     none = [np.zeros(0, np.int32)]
-    place = np.concatenate(none + [np.cumsum(_unpacked(x)) for x in parts.column("places").to_pylist()])
-    size = np.concatenate(none + [_unpacked(x) for x in parts.column("sizes").to_pylist()])
-    flat = np.concatenate(none + [_unpacked(x) for x in parts.column("ids").to_pylist()])
+    place = np.concatenate(none + [np.cumsum(unpacked(x)) for x in parts.column("places").to_pylist()])
+    size = np.concatenate(none + [unpacked(x) for x in parts.column("sizes").to_pylist()])
+    flat = np.concatenate(none + [unpacked(x) for x in parts.column("ids").to_pylist()])
     words = _lists(size, flat).take(pa.array(np.argsort(place)))
-    codes = pa.array(_unpacked(block.column("codes")[0].as_py()))
+    codes = pa.array(unpacked(block.column("codes")[0].as_py()))
     upto = np.append(0, np.cumsum(np.asarray(words.value_lengths().take(codes)), dtype=np.int64))
     n_words = np.asarray(block.column("n_words").combine_chunks().flatten(), np.int64)
     doc_ids = block.column("doc_ids").combine_chunks().flatten()
     return pa.table({"doc_id": doc_ids, "ids": list_column(upto[np.append(0, np.cumsum(n_words))], words.take(codes).flatten())})
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, space: Workspace) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, space: Workspace, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids array<int>)``, one row for each row.
 
     ``tokenizer`` is a file of the tokenizers library whose pieces never cross ASCII white space (word or byte-level BPE
     that drops it); every node must have it. Ids are those of the library without begin and end tokens; strings of special
     tokens in a text become these. Null and empty texts have none; repeated rows and null ids pass; other columns are left
-    out. A block holds 4 MB of text (or one longer text), and comes together in one task with its words' ids.
+    out. A block holds ``block_bytes`` of text (or one longer text), and comes together in one task with its words' ids.
     """
     docs = _rereadable(docs.select("doc_id", "text"), space)
     ids = docs.schema["doc_id"].dataType
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = min(max(1, math.ceil(size / GROUP_BYTES)), 1 << CLASS_BITS)
-    dealt = docs.mapInArrow(_deal(groups), "block long, stamp long, part int, words binary, places binary")
+    groups = min(max(1, math.ceil(size / group_bytes)), 1 << CLASS_BITS)
+    dealt = docs.mapInArrow(_deal(groups, block_bytes), "block long, stamp long, part int, words binary, places binary")
     pieces = dealt.groupBy("part").applyInArrow(_encode(tokenizer), "block long, stamp long, part int, places binary, sizes binary, ids binary")
     pieces = space.write(pieces, "pieces")
     schema = T.StructType(
@@ -210,7 +196,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, space: Workspace) -> DataFrame
         ]
     )
     whole = T.StructType([T.StructField("doc_id", ids), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_places, schema).groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_join, whole)
+    return docs.mapInArrow(_places(block_bytes), schema).groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_join, whole)
 
 
 def _rereadable(docs: DataFrame, space: Workspace) -> DataFrame:

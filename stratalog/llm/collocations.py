@@ -23,15 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm import text as tx
-from stratalog.llm.blocks import list_column, text_blocks
+from stratalog.llm.blocks import list_column, packed, text_blocks, unpacked
 from stratalog.llm.shared import BROADCAST_ROWS, Workspace
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 3 << 21
 #: Characters that end a piece: ``[.,;:!?\x0A-\x0D]``.
 ENDS = ~tx.byte_class([(0x0A, 0x0D), *((ord(x), ord(x)) for x in ".,;:!?")])
 #: Bytes of words: what is neither an end nor a space nor a tab.
 IN_WORD = tx.byte_class([(0x20, 0x20), (0x09, 0x0D), *((ord(x), ord(x)) for x in ".,;:!?")])
-LISTS = "block long, ids array<long>, sizes array<int>, positions binary"
+#: A block's lists of frequent words and of the phrases that are extended: numbers, lengths and positions, packed.
+STATE = "block long, ids binary, sizes binary, positions binary, phrases binary, lengths binary, begins binary"
 
 
 def _lists_of(key: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,37 +47,47 @@ def _one(values: pa.Array) -> pa.ListArray:
     return list_column(np.array([0, len(values)]), values)
 
 
+def _listed(positions: np.ndarray) -> bytes:
+    """Positions as their steps, compressed."""
+    return packed(np.diff(positions, prepend=0))
+
+
 def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.int32)
+    return np.cumsum(unpacked(data), dtype=np.int32)
 
 
-def _post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(limit: int) -> Callable:
     """The inverted lists of each block: language and word, and where it stands."""
-    task, turn = TaskContext.get().partitionId(), 0
-    for block in text_blocks(batches, BLOCK_BYTES):
-        data, offsets = tx.column_bytes(block.column("text"))
-        data, offsets = tx.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
-        start, end, row = (x.astype(np.int32) for x in tx.split_words(data, offsets, IN_WORD))
-        ends = np.searchsorted(np.flatnonzero(ENDS[data]), start)
-        apart = np.append(0, np.cumsum((ends[1:] != ends[:-1]) | (row[1:] != row[:-1])))[: len(start)]
-        texts = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start, dtype=np.int64))), pa.py_buffer(data[IN_WORD[data]])]
-        )
-        words = texts.dictionary_encode()
-        langs = pc.fill_null(block.column("lang"), "und").combine_chunks().dictionary_encode()
-        lang = np.asarray(langs.indices, np.int64)[row]
-        wide = len(words.dictionary)
-        key, size, positions = _lists_of(lang * wide + np.asarray(words.indices, np.int64), np.arange(len(start)) + apart)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([(task << 32) + turn], pa.int64()),
-                "langs": _one(langs.dictionary.take(pa.array(key // max(wide, 1))).cast(pa.string())),
-                "words": _one(words.dictionary.take(pa.array(key % max(wide, 1))).cast(pa.large_string()).cast(pa.string())),
-                "sizes": _one(pa.array(size, pa.int32())),
-                "positions": pa.array([positions.astype(np.int32).tobytes()], pa.binary()),
-            }
-        )
-        turn += 1
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, turn = TaskContext.get().partitionId(), 0
+        for block in text_blocks(batches, limit):
+            data, offsets = tx.column_bytes(block.column("text"))
+            data, offsets = tx.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+            start, end, row = (x.astype(np.int32) for x in tx.split_words(data, offsets, IN_WORD))
+            ends = np.searchsorted(np.flatnonzero(ENDS[data]), start)
+            apart = np.append(0, np.cumsum((ends[1:] != ends[:-1]) | (row[1:] != row[:-1])))[: len(start)]
+            texts = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start, dtype=np.int64))), pa.py_buffer(data[IN_WORD[data]])]
+            )
+            words = texts.dictionary_encode()
+            langs = pc.fill_null(block.column("lang"), "und").combine_chunks().dictionary_encode()
+            lang = np.asarray(langs.indices, np.int64)[row]
+            wide = len(words.dictionary)
+            key, size, positions = _lists_of(lang * wide + np.asarray(words.indices, np.int64), np.arange(len(start)) + apart)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([(task << 32) + turn], pa.int64()),
+                    "langs": _one(langs.dictionary.take(pa.array(key // max(wide, 1))).cast(pa.string())),
+                    "words": _one(words.dictionary.take(pa.array(key % max(wide, 1))).cast(pa.large_string()).cast(pa.string())),
+                    "sizes": _one(pa.array(size, pa.int32())),
+                    "lengths": pa.array([packed(size)], pa.binary()),
+                    "positions": pa.array([_listed(positions)], pa.binary()),
+                }
+            )
+            turn += 1
+
+    return post
 
 
 def _kept(lists: tuple[np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +98,9 @@ def _kept(lists: tuple[np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[np.nd
     return size[keep], positions[np.repeat(flag, size)]
 
 
+NAMES = ("ids", "sizes", "positions", "phrases", "lengths", "begins")
+
+
 def _marks(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     place, ids = np.asarray(marks.column("place")), np.asarray(marks.column("id"))
     order = np.argsort(place)
@@ -99,25 +113,17 @@ def _frequent_words(block: pa.Table, marks: pa.Table) -> pa.Table:
         place = ids = place[:0]
         size = positions = np.zeros(0, np.int32)
     else:
-        size = np.asarray(block.column("sizes").combine_chunks().flatten())
+        size = unpacked(block.column("lengths")[0].as_py())
         size, positions = _kept((size, _numbers(block.column("positions")[0].as_py())), place)
-    return pa.table(
-        {
-            "block": block.column("block"),
-            "ids": _one(pa.array(ids, pa.int64())),
-            "sizes": _one(pa.array(size, pa.int32())),
-            "positions": pa.array([positions.tobytes()], pa.binary()),
-            "phrases": _one(pa.array(ids, pa.int64())),
-            "lengths": _one(pa.array(size, pa.int32())),
-            "begins": pa.array([positions.tobytes()], pa.binary()),
-        }
-    )
+    none = np.zeros(0, np.int64)
+    own = (packed(ids, "<i8"), packed(size), _listed(positions), packed(none, "<i8"), packed(none), _listed(none))
+    return pa.table({"block": block.column("block")} | {x: pa.array([v], pa.binary()) for x, v in zip(NAMES, own)})
 
 
 def _extended(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of ``words`` words, merged with the words behind them: (phrase, next word, list lengths, positions)."""
     ids, size, at = row["ids"], row["sizes"], row["positions"]
-    phrases, length, begin = row["phrases"], row["lengths"], row["begins"]
+    phrases, length, begin = (ids, size, at) if words == 1 else (row["phrases"], row["lengths"], row["begins"])
     if not len(begin):
         return phrases[:0], ids[:0], size[:0], begin
     behind = np.full(int(at.max()) + words + 2, -1, np.int32)
@@ -132,8 +138,9 @@ def _extended(row: dict, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _row_of(batch: pa.RecordBatch | pa.Table, row: int) -> dict:
-    lists = {x: np.asarray(batch.column(x)[row].values) for x in ("ids", "sizes", "phrases", "lengths")}
-    return lists | {x: _numbers(batch.column(x)[row].as_py()) for x in ("positions", "begins")}
+    data = {x: batch.column(x)[row].as_py() for x in NAMES}
+    read = {"ids": lambda x: unpacked(x, "<i8"), "phrases": lambda x: unpacked(x, "<i8"), "positions": _numbers, "begins": _numbers}
+    return {x: read.get(x, unpacked)(data[x]) for x in NAMES}
 
 
 def _extensions(words: int) -> Callable:
@@ -164,14 +171,9 @@ def _frequent_phrases(words: int) -> Callable:
         place, ids = _marks(marks)
         _, _, size, positions = _extended(_row_of(block, 0), words)
         size, positions = _kept((size, positions), place)
-        return pa.table(
-            {x: block.column(x) for x in ("block", "ids", "sizes", "positions")}
-            | {
-                "phrases": _one(pa.array(ids, pa.int64())),
-                "lengths": _one(pa.array(size, pa.int32())),
-                "begins": pa.array([positions.tobytes()], pa.binary()),
-            }
-        )
+        own = {"phrases": packed(ids, "<i8"), "lengths": packed(size), "begins": _listed(positions)}
+        kept = {x: block.column(x) for x in ("block", "ids", "sizes", "positions")}
+        return pa.table(kept | {x: pa.array([v], pa.binary()) for x, v in own.items()})
 
     return keep
 
@@ -181,22 +183,21 @@ def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
-def frequent_phrases(docs: DataFrame, space: Workspace, least: int, longest: int, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, space: Workspace, least: int, longest: int, block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that stand at least ``least`` times, and the words of each language.
 
     ``docs(text, lang)`` -> ``(lang, words array<string>, f)`` and ``(lang, n)``, n of all words, frequent or not.
     """
-    lists = "block long, langs array<string>, words array<string>, sizes array<int>, positions binary"
-    posted = space.write(docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_post, lists), "posted")
+    lists = "block long, langs array<string>, words array<string>, sizes array<int>, lengths binary, positions binary"
+    posted = space.write(docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_post(block_bytes), lists), "posted")
     each = posted.select("block", F.posexplode(F.arrays_zip("langs", "words", "sizes")).alias("place", "x"))
     each = each.select("block", "place", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.sizes").cast("long").alias("n"))
     counted = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     words = space.write(counted.withColumn("id", F.monotonically_increasing_id()), "words")
     totals = space.write(each.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     marks = each.join(_small(words, broadcast_rows), ["lang", "word"]).select(F.col("block").alias("block"), "place", "id")
-    state = f"{LISTS}, phrases array<long>, lengths array<int>, begins binary"
-    by_block = posted.select("block", "sizes", "positions").groupBy("block")
-    now = space.write(by_block.cogroup(marks.groupBy("block")).applyInArrow(_frequent_words, state), "lists1")
+    by_block = posted.select("block", "lengths", "positions").groupBy("block")
+    now = space.write(by_block.cogroup(marks.groupBy("block")).applyInArrow(_frequent_words, STATE), "lists1")
     space.drop("posted")
     named = words.select("id", "lang", F.array("word").alias("words"), "f")
     found, right = [named], words.select(F.col("id").alias("right"), "word")
@@ -208,7 +209,7 @@ def frequent_phrases(docs: DataFrame, space: Workspace, least: int, longest: int
         found.append(phrases.join(left, "left").join(right, "right").select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f"))
         if size + 1 < longest:
             marks = extended.join(_small(phrases, broadcast_rows), ["left", "right"]).select(F.col("block").alias("block"), "place", "id")
-            after = now.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_frequent_phrases(size), state)
+            after = now.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_frequent_phrases(size), STATE)
             after = space.write(after, f"lists{size + 1}")
             space.drop(f"lists{size}")
             now = after
@@ -220,7 +221,9 @@ def _phrase(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def collocations(docs: DataFrame, space: Workspace, least: int = 30, longest: int = 4, share: int = 80, scale: int = 2_000_000) -> DataFrame:
+def collocations(
+    docs: DataFrame, space: Workspace, least: int = 30, longest: int = 4, share: int = 80, scale: int = 2_000_000, block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Phrases of 2 to ``longest`` words of ``docs(text, lang)``: ``(lang, phrase, words, a, l, r, n, score)``.
 
     A-Z are lower-cased; texts are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these into words ``[^\\x20\\x09]+``. All is
@@ -228,9 +231,15 @@ def collocations(docs: DataFrame, space: Workspace, least: int = 30, longest: in
     Cut after k words, a phrase has l and r occurrences of its two parts and the score ``floor(scale * a / (l + r))``; the
     lowest score counts, the smallest k of equal ones. Phrases that stand within a longer one of at most ``longest`` words
     are left out where that has ``share`` percent of their occurrences. Arithmetic is exact (decimals of 38 digits). Null
-    and empty texts have no words; repeated rows count each; other columns are left out; no rows without frequent phrases.
+    and empty texts have no words; repeated rows count each; a block holds ``block_bytes`` of text or one longer text; tables
+    of up to ``broadcast_rows`` frequent words or phrases are told to all tasks, larger ones meet blocks by shuffle; other columns are left out; no rows without frequent phrases.
     """
-    found, totals = frequent_phrases(docs, space, least, longest)
+    found, totals = frequent_phrases(docs, space, least, longest, block_bytes, broadcast_rows)
+    return scored(found, totals, share, scale)
+
+
+def scored(found: DataFrame, totals: DataFrame, share: int, scale: int) -> DataFrame:
+    """The collocations of ``frequent_phrases``."""
     size = F.size("words")
     candidates = found.where(size > 1).select("lang", "words", F.col("f").alias("a"))
     counts = found.select("lang", F.col("words").alias("part"), "f")
