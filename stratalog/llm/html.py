@@ -22,7 +22,7 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 INLINE = frozenset(
@@ -36,7 +36,7 @@ CLOSABLE = frozenset({"p"}.union(*CLOSES.values()))
 #: Elements beyond which a start tag ends nothing.
 SCOPES = CONTAINERS | frozenset("ul ol table dl".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-BOILERPLATE = frozenset("nav footer aside form button select head title menu dialog object audio video canvas".split())
+BOILERPLATE = frozenset("nav footer aside button select head title menu dialog object audio video canvas".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|header|masthead|footer|notices?|cookies?|"
     r"consent|gdpr|alert|popup|modal|overlay|newsletter|subscri\w+|social|share|sharing|related|recommend\w*|comments?|disqus|repl(?:y|ies)|widgets?|"
@@ -49,6 +49,9 @@ LAYOUT = re.compile(
     r"|(?<!\S)(?:post|entry|article|story|content|title|headline)[_-]*header(?!\S)",
     re.I,
 )
+#: Elements of running text: in an article, one is marked only by a name that is a mark as a whole, or with a word that names a part of a page.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd dl ul ol blockquote pre figure figcaption table tr td th".split()) | INLINE
+PARTS_OF_PAGE = frozenset("area bar block bottom box button buttons container content footer form icon icons inner item items label left line link links list message module note outer panel pane right row section slot text title top unit wrap wrapper".split())
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies))(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 #: A marked element with at least this share of the page's unlinked text is its content; one around an article needs the lesser share.
@@ -108,10 +111,19 @@ def judge(regions: list[Region], unlinked: int) -> None:
         shown += waiting[r] if r.kept else 0
 
 
-def is_marked(label: str, inside: bool) -> bool:
-    """Whether a class or id is on the list; in an article or main, a header is a headline's, as the element ``header`` is."""
+def is_marked(label: str, inside: bool, textual: bool = False) -> bool:
+    """Whether a class or id is on the list; in an article or main, a header is a headline's, as the element ``header`` is.
+
+    A paragraph or other ``textual`` element there may be named for what it tells (side effects, a share price, an ad-hoc
+    meeting): all words of a name must then be marks or parts of a page.
+    """
     label = LAYOUT.sub(" ", label)
-    return bool(MARKED.search(HEADER.sub("", label) if inside else label))
+    if not inside:
+        return bool(MARKED.search(label))
+    label = HEADER.sub("", label)
+    if not textual:
+        return bool(MARKED.search(label))
+    return any(MARKED.search(name) and all(not w or w in PARTS_OF_PAGE or w.isdigit() or MARKED.search(w) for w in re.split(r"[_-]", name.lower())) for name in label.split())
 
 
 class Box:
@@ -240,7 +252,7 @@ def _parts(page: str, regions: list[Region], boxes: list[Box]) -> Iterator[tuple
         named = {}
         if m["attrs"]:
             for a in ATTRIBUTE.finditer(m["attrs"]):
-                named[(a[1] or a[5]).lower()] = a[2] or a[3] or a[4] or ""
+                named[a[1].lower()] = a[2] or a[3] or a[4] or ""
         label = named.get("class", "")
         inside = region is not None and region.inside
         skip = (
@@ -251,7 +263,10 @@ def _parts(page: str, regions: list[Region], boxes: list[Box]) -> Iterator[tuple
             or named.get("aria-hidden") == "true"
             or "display:none" in named.get("style", "").replace(" ", "").lower()
         )
-        marked = tag not in ("html", "body", "main", "header") and (is_marked(label, inside) or is_marked(named.get("id", ""), inside))
+        textual = tag in TEXTUAL
+        marked = tag not in ("html", "body", "main", "header") and (
+            tag == "form" or is_marked(label, inside, textual) or is_marked(named.get("id", ""), inside, textual)
+        )
         if not m["attrs"].endswith("/") or tag in CONTAINERS:
             push(tag, skip)
             if tag in CONTAINERS:
@@ -326,7 +341,8 @@ def best_container(found: list[Block], boxes: list[Box]) -> tuple[str, float]:
 
     It starts at the best article, where that has a fair share of the text, or else at the container with most text in
     its own blocks and half as much for its children's, and goes outwards as long as unlinked text is added. An article
-    or main that has most of the text around it is not left, nor is a container for a body that adds little beside it.
+    or main that has most of the text around it is not left, but for a container that only adds blocks of its own, as a
+    headline or a correction; nor is a container for a body that adds little beside it.
     """
     by_path = containers(found, boxes)
     page = by_path[""]
@@ -344,7 +360,8 @@ def best_container(found: list[Block], boxes: list[Box]) -> tuple[str, float]:
         if added > 0:
             if there.linked - here.linked > LINKED * (there.length - here.length):
                 break
-            if here.tag in ("article", "main") and here.worth >= HELD * there.worth:
+            beside = there.tag not in ("", "body") and added <= there.own + 1e-6
+            if here.tag in ("article", "main") and here.worth >= HELD * there.worth and not beside:
                 break
             if there.tag in ("", "body") and not there.own and added <= OUTSIDE * there.worth:
                 break
@@ -413,7 +430,7 @@ def extract_main_text(pages: DataFrame, space: Workspace, url: str = "url", html
     the one from which all its pages are read again; a page where that path has little of the text is read from its own
     best container. Menus, page headers, footers, asides, forms, scripts, styles, adverts, notices
     and reader comments are left out by tag, role, class or id; a class or id decides only where the element is neither the
-    page's article nor around it nor holds most of the page's text (``judge``). White space in a block becomes one space, blocks are
+    page's article nor around it nor holds most of the page's text (``judge``); so is a form, which may hold a whole page. White space in a block becomes one space, blocks are
     joined by one space in page order; nothing is cut.
 
     Reading a page takes time and memory in proportion to its length, however deep its elements stand. A null html gives an

@@ -1,6 +1,8 @@
 import random
 import time
 
+import pytest
+
 from stratalog.llm.html import best_container, blocks, container_path, extract_main_text, main_text, read
 from stratalog.llm.shared import Workspace
 
@@ -133,3 +135,46 @@ def test_votes_match_brute_force(spark):
     best = {h: max(v, key=lambda p: (round(v[p], 3), p)) for h, v in votes.items()}
     got = {r.page_id: r.text for r in extract_main_text(frame(spark, rows).repartition(5), Workspace(spark, "t")).collect()}
     assert got == {i: main_text(page, best[i % 4]) for i, _, page in rows}
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<form id="aspnetForm" method="post">', "</form>"),
+        ('<form><div class="search-page">', "</div></form>"),
+        ("<article data-a hidden-x>", "</article>"),
+        ("<article not-hidden>", "</article>"),
+        ("<div data-hidden>", "</div>"),
+        ('<div title="the hidden > door">', "</div>"),
+    ],
+)
+def test_a_form_or_an_attribute_like_hidden_keeps_its_article(before, after):
+    prose = "A long sentence about the harbour and its boats, told at length. " * 4
+    page = f"<html><body><nav><a href=x>Home</a></nav>{before}<p>{prose}</p><p>The end of it.</p>{after}<footer>Imprint</footer></body></html>"
+    assert main_text(page, None) == f"{prose.strip()} The end of it."
+
+
+def test_forms_beside_an_article_and_hidden_elements_go():
+    prose = "A long sentence about the harbour and its boats, told at length. " * 4
+    page = f"<body><article><p>{prose}</p><form><label>Your mail</label><input name=m></form><p hidden>secret</p><div HIDDEN=''>secret</div></article><form>Search here</form></body>"
+    assert main_text(page, None) == prose.strip()
+
+
+@pytest.mark.parametrize("name", ["ad-hoc", "side-effects", "search-results-note2", "share-price", "comment-worthy", "alert-level-history"])
+def test_paragraphs_named_for_what_they_tell_stay(name):
+    prose = "A long sentence about the harbour and its boats, told at length. " * 4
+    page = f'<body><article><p>{prose}</p><p class="{name}">A telling line.</p><p>End.</p></article></body>'
+    assert main_text(page, None) == f"{prose.strip()} A telling line. End."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "cookie-notice", "share-buttons", "advert x", "newsletter-signup", "social_links", "related-box"])
+def test_paragraphs_that_are_marks_as_a_whole_go(name):
+    prose = "A long sentence about the harbour and its boats, told at length. " * 4
+    page = f'<body><article><p>{prose}</p><p class="{name}">Buy this now.</p><p>End.</p></article></body>'
+    assert main_text(page, None) == f"{prose.strip()} End."
+
+
+def test_a_headline_and_a_correction_beside_the_article_stay():
+    prose = "A long sentence about the harbour and its boats, told at length. " * 4
+    page = f'<body><div class="top"><a href=x>Home</a></div><div class="story"><h1>Headline of it</h1><article><p>{prose}</p></article><p>Correction: it was a ship.</p></div><div class="more"><p>Another page says more of the harbour.</p></div></body>'
+    assert main_text(page, None) == f"Headline of it {prose.strip()} Correction: it was a ship."
