@@ -266,14 +266,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         if found is None:
             found = base.mapInArrow(_search(phrases, text, added), schema)
             continue
-        earlier = found.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"}).drop("n_words")
+        spans, items = (free_name(x, docs.columns) for x in ("_spans", "_items"))
+        earlier = found.withColumnsRenamed({"hit_spans": spans, "hit_items": items}).drop("n_words")
         wide = T.StructType([*earlier.schema.fields, *kinds])
         found = earlier.mapInArrow(_search(phrases, text, added), wide)
-        found = found.withColumn("hit_items", F.array_union("_items", "hit_items")).withColumn("hit_spans", merged_spans("_spans", "hit_spans"))
+        found = found.withColumn("hit_items", F.array_union(items, "hit_items")).withColumn("hit_spans", merged_spans(spans, "hit_spans"))
         found = found.select(*schema.names)
     return found.withColumn("hit_items", F.array_sort("hit_items"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with more underscores as long as a column bears it; names differ by more than case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def merged_spans(left: str, right: str):
     """Union of two lists of ranges as merged ranges."""
     both = F.array_sort(F.concat(left, right))

@@ -50,11 +50,16 @@ class Workspace:
 
 def row_numbered(docs: DataFrame, space: Workspace, name: str = "rows") -> DataFrame:
     """``docs`` with ``_row``, a 64-bit number of each row by its file and place in it; written first if it isn't a table of files."""
-    number = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        # By this call, so that a column of the table that is called _metadata too is no matter.
+        place = rows.metadataColumn("_metadata")
+        return rows.select("*", F.xxhash64(place["file_path"], place["row_index"]).alias("_row"))
+
     try:
-        return docs.select("*", number)
+        return numbered(docs)
     except AnalysisException:
-        return space.write(docs, name).select("*", number)
+        return numbered(space.write(docs, name))
 
 
 #: Rows to be left out (some 40 bytes each) are told to the scan by broadcast up to this number; beyond, tables meet by shuffle.

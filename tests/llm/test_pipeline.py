@@ -4,6 +4,7 @@ from ast import literal_eval
 import corpus_pipeline as cp
 import pytest
 
+from stratalog.llm import decontam
 from stratalog.llm.shared import Workspace
 
 from . import test_decontam, test_jaccard, test_mixing
@@ -165,3 +166,24 @@ def test_run_is_the_stages_in_order(spark, tmp_path, empty):
         assert abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 2 * r.size
     for s, want in targets.items():
         assert abs(sum(r.taken for r in found if r.source == s) - want) <= 1
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    """Every stage leaves columns alone that are called as its own ones, in any case."""
+    rows = [(k, " ".join(f"w{(k // 2) * 40 + i}" for i in range(30)), "s") for k in range(12)]
+    sf = save(spark, tmp_path / "sf", rows, [(k, 1, 0) for k in range(12)], [(1, rows[4][1])])
+    names = ["_row", "_metadata", "_gone", "_at", "_spans", "_items", "hit_spans", "HIT_ITEMS", "keep", "P_at_least_1", "chunk", "node", "proof", "id", "tie", "size"]
+    docs = cp.read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    for c in names:
+        docs = docs.withColumn(c, cp.F.concat(cp.F.lit(c), "source"))
+    docs.write.parquet(str(tmp_path / "named"))
+    docs = spark.read.parquet(str(tmp_path / "named"))
+    for name, stage in cp.STAGES[:-1]:
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns, name
+        found = left.collect()
+        assert found and all(r[c] == f"{c}s" for r in found for c in names), name
+    assert cp.mix(spark, docs, sf).count() == 12
+    few = decontam.contamination(docs.drop("hit_spans", "HIT_ITEMS"), cp.read_table(spark, sf, "benchmark").union(spark.createDataFrame([(2, rows[6][1])], "item_id long, text string")), block_bytes=10)
+    found = few.collect()
+    assert sorted(r["doc_id"] for r in found if r["hit_spans"]) == [4, 5, 6, 7] and all(r["_spans"] == "_spanss" and r["_items"] == "_itemss" for r in found)
