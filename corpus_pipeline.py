@@ -17,10 +17,14 @@ from stratalog.llm.shared import Workspace, read_table, row_numbered, without_ro
 
 def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with its own columns of ``names`` renamed, and what gives a result their names and ``docs``'s columns back."""
-    away = {c: f"_own_{c}" for c in names if c in docs.columns}
+    away = {c: f"_own_{c}" for c in docs.columns if c.lower() in names}
     return docs.withColumnsRenamed(away), lambda df: df.drop(*away).withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
 
 
+#: Names that the duplicate stages give to columns of their own.
+ROW_NAMES = ["_row", "_metadata", "_gone", "_at"]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier selects; the fit uses the labelled ones among ``docs``.
 
@@ -41,10 +45,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the same in id and text one stays. Columns pass as they are; an empty table stays empty.
     """
     space = Workspace(spark, "pipeline-exact")
-    rows = row_numbered(docs, space)
+    own, back = set_aside(docs, ROW_NAMES)
+    rows = row_numbered(own, space)
     keyed = rows.select(F.struct("doc_id", "_row").alias("key"), "text")
     gone = exact_groups(keyed, space, key="key").where("NOT kept").select("key.doc_id", "key._row")
-    return without_rows(rows, gone, space).select(*docs.columns)
+    return back(without_rows(rows, gone, space))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +59,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pass as they are; an empty table stays empty.
     """
     space = Workspace(spark, "pipeline-near")
-    rows = row_numbered(docs, space)
+    own, back = set_aside(docs, ROW_NAMES)
+    rows = row_numbered(own, space)
     groups = similar_groups(rows.select("doc_id", "text", "_row"), space, words=5, percent=80, tie="_row")
     gone = groups.where("NOT kept").select("doc_id", F.col("tie").alias("_row"))
-    return without_rows(rows, gone, space).select(*docs.columns)
+    return back(without_rows(rows, gone, space))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
