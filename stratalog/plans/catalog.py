@@ -489,11 +489,17 @@ def history_spans(j: DataFrame) -> DataFrame:
 
 @query(
     "alias_families",
-    """, e(a, b) AS (SELECT a, t FROM alias UNION SELECT t, a FROM alias), walk(f, m, d) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT f, b, d + 1 FROM walk JOIN e ON m = a WHERE d < 8)
+    """, known AS (SELECT DISTINCT datasource_fingerprint AS a FROM journal), edge AS (SELECT a, replace(a, '/d/', '/e/') AS t FROM known UNION SELECT replace(a, '/d/', '/e/'), replace(a, '/d/', '/f/') FROM known WHERE a NOT LIKE '%layer2%'),
+    e(a, b) AS (SELECT a, t FROM edge UNION SELECT t, a FROM edge), walk(f, m, d) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT f, b, d + 1 FROM walk JOIN e ON m = a WHERE d < 8)
     SELECT DISTINCT f AS fingerprint, m AS member FROM walk""",
 )
 def alias_families(j: DataFrame) -> DataFrame:
-    return scope.family(aliases(j.sparkSession))
+    """Families of the journal's sources, each moved to another folder once, and all but one of them twice."""
+    moved = lambda folder: F.replace("datasource_fingerprint", F.lit("/d/"), F.lit(folder))
+    known = j.select("datasource_fingerprint").distinct()
+    once = known.select(F.col("datasource_fingerprint").alias("alias_fingerprint"), moved("/e/").alias("target_fingerprint"))
+    again = known.where("datasource_fingerprint NOT LIKE '%layer2%'").select(moved("/e/").alias("alias_fingerprint"), moved("/f/").alias("target_fingerprint"))
+    return scope.family(once.union(again))
 
 
 @query(

@@ -62,11 +62,21 @@ def clipboard_lines(j: DataFrame) -> DataFrame:
     return jr.as_tsv(j.select("event_id", "user_name", "session_id"))
 
 
-@query("settings_now", "SELECT * FROM (VALUES ('capture_enabled', 'false'), ('retention_days', '365'), ('max_events', '1000000'), ('capture_inserts', 'true'), ('extra', '1')) t(setting_key, setting_value)")
+@query(
+    "settings_now",
+    """, stored AS (SELECT 'last_' || operation_type AS k, CAST(max(event_id) AS VARCHAR) AS v FROM journal GROUP BY 1 UNION ALL SELECT 'retention_days', CAST(count(DISTINCT substr(created_at, 1, 10)) AS VARCHAR) FROM journal),
+    kept AS (SELECT * FROM stored WHERE k NOT IN ('last_DELETE', 'last_UPDATE') UNION ALL SELECT 'last_UPDATE', CAST(count(*) AS VARCHAR) FROM journal WHERE operation_type = 'UPDATE' UNION ALL SELECT 'capture_enabled', 'false')
+    SELECT coalesce(kept.k, d.k) AS setting_key, coalesce(kept.v, d.v) AS setting_value FROM kept FULL JOIN (VALUES ('capture_enabled', 'true'), ('retention_days', '365'), ('max_events', '1000000'), ('capture_inserts', 'true')) d(k, v) ON d.k = kept.k""",
+)
 def settings_now(j: DataFrame) -> DataFrame:
-    make = lambda rows: j.sparkSession.createDataFrame(rows, "setting_key string, setting_value string")
-    stored = jr.changed_settings(make([("capture_enabled", "true"), ("gone", "x")]), make([("capture_enabled", "false"), ("gone", None), ("extra", "1")]))
-    return jr.settings(stored)
+    """Settings that a journal's own counts set, of which one is taken away and two are changed."""
+    pair = lambda k, v: [k.cast("string").alias("setting_key"), v.cast("string").alias("setting_value")]
+    last = j.groupBy("operation_type").agg(F.max("event_id").alias("v")).select(*pair(F.concat(F.lit("last_"), "operation_type"), F.col("v")))
+    days = j.agg(F.countDistinct(F.substring("created_at", 1, 10)).alias("v")).select(*pair(F.lit("retention_days"), F.col("v")))
+    updates = j.agg(F.count_if(F.col("operation_type") == "UPDATE").alias("v")).select(*pair(F.lit("last_UPDATE"), F.col("v")))
+    off = j.agg(F.lit("false").alias("v")).select(*pair(F.lit("capture_enabled"), F.col("v")))
+    gone = j.agg(F.lit(None).alias("v")).select(*pair(F.lit("last_DELETE"), F.col("v")))
+    return jr.settings(jr.changed_settings(last.union(days), updates.union(off).union(gone)))
 
 
 _REGISTRY = "r AS (SELECT DISTINCT datasource_fingerprint, '/d/layer' || substr(layer_id_snapshot, 7) || '.gpkg|layername=l' AS source_uri FROM journal)"
@@ -300,17 +310,33 @@ def all_issues(j: DataFrame) -> DataFrame:
     return integrity.issues(broken, more, sessions)
 
 
+#: Cycles of each source and day, eight kinds of them, that break each rule somewhere; the same for Spark and DuckDB.
+_COUNTS = {
+    "n_user": "count(CASE WHEN restored_from_event_id IS NULL THEN 1 END)", "traces": "count(restored_from_event_id) * max(CASE WHEN event_id % 8 = 3 THEN 6 ELSE 1 END)",
+    "traces_invalidated": "count(invalidated_at)", "n_update": "count(CASE WHEN operation_type = 'UPDATE' THEN 1 END)", "n_delete": "count(CASE WHEN operation_type = 'DELETE' THEN 1 END)",
+}
+_CYCLE = {
+    "cycle": "CASE WHEN g = 6 THEN 'undo' ELSE 'rewind' END", "plan_actions": "n_user", "apply_ok": "CASE WHEN g < 3 THEN 0 ELSE n_update END", "apply_skipped": "CASE WHEN g = 0 THEN n_user ELSE 0 END",
+    "apply_fail": "CASE WHEN g IN (5, 6) THEN n_delete ELSE 0 END", "user": "n_user", "traces": "traces", "traces_invalidated": "traces_invalidated", "dedup_active": "CASE WHEN g IN (1, 2) THEN 0 ELSE n_user END",
+    "dedup_dropped": "n_delete", "traces_written": "CASE WHEN g = 4 THEN 0 ELSE n_update END",
+}
+_BY_DAY = "datasource_fingerprint, substr(created_at, 1, 10) AS day, event_id % 8 AS g"
+
+
 @query(
     "all_anomalies",
-    """SELECT * FROM (VALUES (1, 'all_skipped'), (2, 'already_at_target'), (3, 'all_collapsed_no_traces'), (4, 'low_neutralization'), (5, 'missing_traces'), (6, 'apply_failures'), (7, 'apply_failures,undo_partial'), (8, '')) x(n, anomalies)""",
+    f""", counted AS (SELECT {_BY_DAY}, {", ".join(f"{e} AS {n}" for n, e in _COUNTS.items())} FROM journal GROUP BY 1, 2, 3),
+    cycles AS (SELECT datasource_fingerprint, day, g, {", ".join(f'{e} AS "{n}"' for n, e in _CYCLE.items())} FROM counted), c AS (SELECT *, greatest(traces - traces_invalidated, 0) AS active FROM cycles)
+    SELECT datasource_fingerprint, day, g, concat_ws(',', CASE WHEN cycle = 'rewind' AND plan_actions > 0 AND apply_ok = 0 AND apply_skipped = plan_actions THEN 'all_skipped' END,
+      CASE WHEN cycle = 'rewind' AND "user" > 0 AND dedup_active = 0 AND active > 0 THEN 'already_at_target' END, CASE WHEN cycle = 'rewind' AND "user" > 0 AND dedup_active = 0 AND active = 0 THEN 'all_collapsed_no_traces' END,
+      CASE WHEN cycle = 'rewind' AND active >= 5 AND dedup_dropped < active // 2 THEN 'low_neutralization' END, CASE WHEN cycle = 'rewind' AND apply_ok > 0 AND traces_written = 0 THEN 'missing_traces' END,
+      CASE WHEN apply_fail > 0 THEN 'apply_failures' END, CASE WHEN cycle = 'undo' AND apply_ok > 0 AND apply_fail > 0 THEN 'undo_partial' END) AS anomalies FROM c""",
 )
 def all_anomalies(j: DataFrame) -> DataFrame:
-    names = "n int, cycle string, plan_actions int, apply_ok int, apply_skipped int, apply_fail int, user int, traces int, traces_invalidated int, dedup_active int, dedup_dropped int, traces_written int"
-    rows = [
-        (1, "rewind", 5, 0, 5, 0, 5, 0, 0, 5, 0, 0), (2, "rewind", 0, 0, 0, 0, 5, 3, 1, 0, 5, 0), (3, "rewind", 0, 0, 0, 0, 5, 1, 1, 0, 5, 0), (4, "rewind", 4, 4, 0, 0, 9, 8, 0, 4, 1, 4), (5, "rewind", 4, 4, 0, 0, 4, 0, 0, 4, 0, 0),
-        (6, "rewind", 4, 0, 1, 3, 4, 0, 0, 4, 0, 0), (7, "undo", 4, 2, 0, 2, 0, 0, 0, 0, 0, 0), (8, "rewind", 4, 4, 0, 0, 4, 0, 0, 4, 0, 4),
-    ]
-    return stats.anomalies(j.sparkSession.createDataFrame(rows, names)).select("n", "anomalies")
+    base = j.selectExpr("*", "substr(created_at, 1, 10) AS day", "event_id % 8 AS g")
+    counted = base.groupBy("datasource_fingerprint", "day", "g").agg(*[F.expr(e).alias(n) for n, e in _COUNTS.items()])
+    cycles = counted.selectExpr("datasource_fingerprint", "day", "g", *[f"{e} AS `{n}`" for n, e in _CYCLE.items()])
+    return stats.anomalies(cycles).select("datasource_fingerprint", "day", "g", "anomalies")
 
 
 @query("all_reasons", "SELECT event_id, CASE event_id % 10 WHEN 3 THEN 'bad operation_type' WHEN 4 THEN 'bad operation_type' WHEN 5 THEN 'empty attributes_json' ELSE 'empty created_at' END AS reason FROM journal WHERE event_id % 10 BETWEEN 3 AND 6")
@@ -320,21 +346,35 @@ def all_reasons(j: DataFrame) -> DataFrame:
     return jr.split_valid(j.withColumns(bad))[1].select("event_id", "reason")
 
 
+_PG = "postgres::host=h port=5432 dbname=d schema=s table="
+#: Names that a source of the journal is given, its registered place, and the verdict, by kind; ``u`` is the layer's number.
+_NAMED = [
+    ("'ogr::/a' || u || '.gpkg'", "'/a' || u || '.gpkg'", "'ogr::/a' || u || '.gpkg'", "canonical"),
+    ("'ogr::/b' || u || '.gpkg|subset=x'", "'/b' || u || '.gpkg|subset=x'", "'ogr::/b' || u || '.gpkg'", "alias"),
+    ("'ogr::/c' || u || '.gpkg|subset=x'", "'/c' || u || '.gpkg|subset=x'", "'ogr::/c' || u || '.gpkg'", "aliased"),
+    ("'ogr::/d' || u || '.gpkg'", "''", "CAST(NULL AS STRING)", "without_uri"),
+    ("'ogr::/e' || u || '.gpkg|subset=x'", "'/e' || u || '.gpkg|subset=x'", "'ogr::/e' || u || '.gpkg'", "ambiguous"),
+    (f"'{_PG}s'", "'host=h dbname=d schema=s table=t'", f"'{_PG}t'", "ambiguous"),
+    (f"'{_PG}u' || u", "'host=h dbname=d schema=s table=v' || u", f"'{_PG}v' || u", "alias"),
+]
+
+
+def _of_kind(place: int) -> str:
+    return f"CASE event_id % {len(_NAMED)} {' '.join(f'WHEN {k} THEN {row[place]}' for k, row in enumerate(_NAMED))} END"
+
+
 @query(
     "all_verdicts",
-    """SELECT * FROM (VALUES ('ogr::/a.gpkg', 'ogr::/a.gpkg', 'canonical'), ('ogr::/b.gpkg|subset=x', 'ogr::/b.gpkg', 'alias'), ('ogr::/c.gpkg|subset=x', 'ogr::/c.gpkg', 'aliased'), ('ogr::/d.gpkg', NULL, 'without_uri'),
-    ('ogr::/e.gpkg|subset=x', 'ogr::/e.gpkg', 'ambiguous'), ('postgres::host=h port=5432 dbname=d schema=s table=s', 'postgres::host=h port=5432 dbname=d schema=s table=t', 'ambiguous'),
-    ('postgres::host=h port=5432 dbname=d schema=s table=u', 'postgres::host=h port=5432 dbname=d schema=s table=v', 'alias')) x(datasource_fingerprint, target, verdict)""",
+    f""", v AS (SELECT *, substr(layer_id_snapshot, 7) AS u FROM journal)
+    SELECT DISTINCT {_of_kind(0)} AS datasource_fingerprint, {_of_kind(2)} AS target, CASE event_id % {len(_NAMED)} {" ".join(f"WHEN {k} THEN '{row[3]}'" for k, row in enumerate(_NAMED))} END AS verdict FROM v""",
 )
 def all_verdicts(j: DataFrame) -> DataFrame:
-    spark, pg = j.sparkSession, "postgres::host=h port=5432 dbname=d schema=s table="
-    seen = [("ogr::/a.gpkg", "1"), ("ogr::/b.gpkg|subset=x", "1"), ("ogr::/c.gpkg|subset=x", "1"), ("ogr::/d.gpkg", "1"), ("ogr::/e.gpkg|subset=x", "1"), (pg + "s", "1"), (pg + "s", "2"), (pg + "u", "1")]
-    events = spark.createDataFrame([(d, f"id{n}", f"n{n}") for d, n in seen], "datasource_fingerprint string, layer_id_snapshot string, layer_name_snapshot string")
-    uris = {"ogr::/d.gpkg": "", pg + "s": "host=h dbname=d schema=s table=t", pg + "u": "host=h dbname=d schema=s table=v"}
-    known = [(d, d.split("::")[0], uris.get(d, d.split("::")[1])) for d in dict(seen)]
-    registry = spark.createDataFrame(known, "datasource_fingerprint string, provider_type string, source_uri string")
-    edges = spark.createDataFrame([("ogr::/c.gpkg|subset=x", "ogr::/c.gpkg"), ("ogr::/e.gpkg", "ogr::/e.gpkg|subset=x")], "alias_fingerprint string, target_fingerprint string")
-    return scope.reconcile(events, registry, edges)
+    told = j.selectExpr("event_id", "layer_id_snapshot", "layer_name_snapshot", "substr(layer_id_snapshot, 7) AS u")
+    told = told.selectExpr("*", f"{_of_kind(0)} AS datasource_fingerprint", f"{_of_kind(1)} AS source_uri", f"{_of_kind(2)} AS target", f"event_id % {len(_NAMED)} AS kind")
+    registry = told.select("datasource_fingerprint", F.split("datasource_fingerprint", "::")[0].alias("provider_type"), "source_uri").distinct()
+    aliased = told.where("kind = 2").select(F.col("datasource_fingerprint").alias("alias_fingerprint"), F.col("target").alias("target_fingerprint"))
+    turned = told.where("kind = 4").select(F.col("target").alias("alias_fingerprint"), F.col("datasource_fingerprint").alias("target_fingerprint"))
+    return scope.reconcile(told, registry, aliased.union(turned).distinct())
 
 
 @query(
