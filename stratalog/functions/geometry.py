@@ -146,6 +146,26 @@ def _same_shapes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_same(None if x is None else bytes(x), None if y is None else bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+SIGNATURE = T.StructType(
+    [T.StructField(x, T.DoubleType()) for x in ("xmin", "ymin", "xmax", "ymax")] + [T.StructField("parts", T.LongType()), T.StructField("points", T.LongType()), T.StructField("kinds", T.StringType())]
+)
+
+
+@F.pandas_udf(SIGNATURE)
+def _signatures(wkb: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in wkb:
+        parts = _parts(None if x is None else bytes(x)) or []
+        bounds = _bounds(None if x is None else bytes(x)) or (None,) * 4
+        rows.append((*bounds, len(parts), sum(len(p) for _, p in parts), ",".join(str(k) for k, _ in parts[:64])))
+    return pd.DataFrame(rows, columns=["xmin", "ymin", "xmax", "ymax", "parts", "points", "kinds"])
+
+
+def signature(wkb: Column | str) -> Column:
+    """What equal shapes have nearly or wholly in common: the envelope, and the numbers of parts and points and their kinds."""
+    return _signatures(_col(wkb))
+
+
 def same_bytes(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

@@ -28,17 +28,18 @@ def _levels(boxes: DataFrame, name: str) -> DataFrame:
     return F.broadcast(boxes.agg(F.collect_set("level").alias(name)))
 
 
-def _told(boxes: DataFrame, others: DataFrame) -> DataFrame:
+def _told(boxes: DataFrame, others: DataFrame, also: list[str]) -> DataFrame:
     """``boxes`` by cell: (id, box, level of the cell, x, y, own: whether that is the box's level)."""
     met = boxes.crossJoin(others).withColumn("at", F.explode(F.array_union(F.array("level"), F.filter("_levels", lambda x: x > F.col("level")))))
     size = F.pow(F.lit(2.0), F.col("at"))
     span = lambda low, high: F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long"))
     met = met.withColumn("x", F.explode(span("box.xmin", "box.xmax"))).withColumn("y", F.explode(span("box.ymin", "box.ymax")))
-    return met.select("id", "box", "at", "x", "y", (F.col("at") == F.col("level")).alias("own"))
+    return met.select("id", "box", *also, "at", "x", "y", (F.col("at") == F.col("level")).alias("own"))
 
 
-def met(boxes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, asked_id): boxes that touch or overlap; both inputs are ``(id, box struct<xmin,ymin,xmax,ymax>)``.
+def met(boxes: DataFrame, asked: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, asked_id): boxes that touch or overlap; both inputs are ``(id, box struct<xmin,ymin,xmax,ymax>)``, with columns
+    ``also`` that must be equal too.
 
     Unknown boxes (null) and coordinates that are no finite numbers meet nothing. Boxes on coordinates that long integers
     of small cells can't hold are met on a coarser level. Each pair comes once.
@@ -50,8 +51,8 @@ def met(boxes: DataFrame, asked: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(LOWEST), F.ceil(F.log2(F.greatest(reach, F.lit(1.0)))).cast("int") - 61)
     both = [good(b).withColumn("level", F.greatest(_level(F.col("box")), least)) for b in (boxes, asked)]
     rows, wants = both
-    a = _told(rows, _levels(wants, "_levels"))
-    b = _told(wants, _levels(rows, "_levels")).select(F.col("id").alias("asked_id"), F.col("box").alias("b"), "at", "x", "y", F.col("own").alias("own_b"))
-    pairs = a.join(b, ["at", "x", "y"]).where(F.col("own") | F.col("own_b"))
+    a = _told(rows, _levels(wants, "_levels"), list(also))
+    b = _told(wants, _levels(rows, "_levels"), list(also)).select(F.col("id").alias("asked_id"), F.col("box").alias("b"), *also, "at", "x", "y", F.col("own").alias("own_b"))
+    pairs = a.join(b, [*also, "at", "x", "y"]).where(F.col("own") | F.col("own_b"))
     touch = (F.col("box.xmin") <= F.col("b.xmax")) & (F.col("box.xmax") >= F.col("b.xmin")) & (F.col("box.ymin") <= F.col("b.ymax")) & (F.col("box.ymax") >= F.col("b.ymin"))
     return pairs.where(touch).select("id", "asked_id").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions import payload
-from stratalog.operators import applying, claims, ladder, rewind, sequence, snapshot, targets
+from stratalog.operators import applying, claims, ladder, rewind, sequence, shapes, snapshot, targets
 from stratalog.plans.catalog import _ACTIONS, _COLLAPSE, AT, CUTOFF, LATER, _state_sql, query
 from stratalog.session import settled
 from stratalog.sources import journal as jr
@@ -416,3 +416,18 @@ def session_undo(j: DataFrame) -> DataFrame:
 )
 def content_matches(j: DataFrame) -> DataFrame:
     return applying.content_matches(j, snapshot.state_at(j, LATER))
+
+
+@query(
+    "near_shapes",
+    _state_sql(LATER)
+    + """, e AS (SELECT event_id, datasource_fingerprint, hex(coalesce(new_geometry_wkb, geometry_wkb)) AS shape FROM journal WHERE coalesce(new_geometry_wkb, geometry_wkb) IS NOT NULL AND event_id % 3 > 0)
+    SELECT event_id, count(*) AS n_rows, min(CAST(regexp_extract(entity, '=(\\d+)', 1) AS BIGINT)) AS lowest FROM e JOIN state USING (datasource_fingerprint, shape) GROUP BY 1""",
+)
+def near_shapes(j: DataFrame) -> DataFrame:
+    """Events whose geometry is a last bit away from what was captured, or for each third of them far more, against the rows."""
+    drawn = F.hex(F.coalesce("new_geometry_wkb", "geometry_wkb"))
+    moved = F.when(F.col("event_id") % 3 == 0, F.overlay(drawn, F.lit("3F41"), 23, 4)).otherwise(F.overlay(drawn, F.lit("01"), 11, 2))
+    events = j.select("datasource_fingerprint", "event_id", F.unhex(moved).alias("geometry_wkb"))
+    rows = snapshot.state_at(j, LATER).select("datasource_fingerprint", F.regexp_extract("entity", r"=(\d+)", 1).cast("long").alias("fid"), "geometry_wkb")
+    return shapes.matches(events, settled(rows))
