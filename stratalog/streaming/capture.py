@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratalog.functions import payload
+from stratalog.functions import identity, payload
 from stratalog.session import settled, settled_here
 from stratalog.sources.journal import JOURNAL, is_trace, split_valid, write_journal
 
@@ -128,8 +128,11 @@ def live_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -
 
 
 def admitted(stream: DataFrame, selection: list[str] | None) -> DataFrame:
-    """Events of the selected sources; no selection takes all."""
-    return stream if not selection else stream.where(F.col("datasource_fingerprint").isin(*selection))
+    """Events of the selected sources, in whichever equal form these are named; no selection takes all."""
+    if not selection:
+        return stream
+    wanted = [identity.canonical_fingerprint(F.lit(x)) for x in selection]
+    return stream.where(identity.canonical_fingerprint("datasource_fingerprint").isin(*wanted))
 
 
 def pressure(queued: Column | str) -> Column:
