@@ -189,3 +189,35 @@ def grid_fields(events: DataFrame) -> DataFrame:
 
     rows = events.select("event_id", F.explode(F.map_keys(payload.old_attributes())).alias("field"))
     return rows.groupBy("field").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))
+
+
+#: Columns that a grid has at most, if not told otherwise.
+MOST_FIELDS = 200
+
+
+def discovered_grid(events: DataFrame, most: int = MOST_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """Events with a column for each field that they have, and one row that tells how many fields there are and were left out.
+
+    Fields come in the order of the first event that brings them, then by name; the first ``most`` get a column, with the
+    state before the event. ``changed`` are the names of the fields that an update changed, ``geometry_changed`` says whether
+    it moved the entity. Fields that are called like a column of the grid are set apart by an underscore.
+    """
+    from stratalog.functions import payload
+
+    fields = grid_fields(events)
+    told = whole_within(fields, most)
+    names = [r["field"] for r in fields.orderBy("first_event", "field").limit(most).collect()]  # the columns
+    state = events.withColumn("_state", payload.old_attributes())
+    fixed = ["event_id", "operation_type", "created_at", "changed", "geometry_changed"]
+    taken, columns = {x.lower() for x in fixed}, []
+    for f in names:
+        name = f
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        columns.append(F.element_at("_state", F.lit(f)).alias(name))
+    update = F.col("operation_type") == "UPDATE"
+    delta = F.map_filter(payload.changes(), lambda k, _: ~payload.is_audit_field(k))
+    changed = F.when(update, F.array_sort(F.map_keys(delta))).alias("changed")
+    moved = payload.is_geometry_only() | (update & F.col("geometry_wkb").isNotNull())
+    return state.select("event_id", "operation_type", "created_at", *columns, changed, F.coalesce(moved, F.lit(False)).alias("geometry_changed")), told

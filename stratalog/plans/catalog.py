@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from stratalog.functions import geometry, identity, moments, payload
 from stratalog.operators import applying, cells, drift, integrity, intervals, planning, retention, rewind, scope, search, snapshot, stats
 from stratalog.plans.derived import derived_sql, loaded_journal
-from stratalog.session import settled
+from stratalog.session import settled, shared_folder
 from stratalog.sources import journal as jr
-from stratalog.streaming import capture
+from stratalog.streaming import capture, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -305,6 +306,33 @@ def result_grid(j: DataFrame) -> DataFrame:
     return search.result_grid(j, ["amount", "kind"])
 
 
+@query(
+    "discovered_grid",
+    """, side AS (SELECT event_id, field, value FROM full_cells UNION ALL SELECT event_id, field, old FROM delta_cells),
+    named AS (SELECT event_id, max(value) FILTER (WHERE field = 'id') AS id, max(value) FILTER (WHERE field = 'amount') AS amount, max(value) FILTER (WHERE field = 'kind') AS kind, max(value) FILTER (WHERE field = 'note') AS note FROM side GROUP BY 1),
+    c AS (SELECT event_id, string_agg(field, ',' ORDER BY field) AS changed FROM delta_cells WHERE field <> 'updated_at' GROUP BY 1)
+    SELECT event_id, operation_type, created_at, id, amount, kind, note, CASE WHEN operation_type = 'UPDATE' THEN changed END AS changed,
+      operation_type = 'UPDATE' AND (geometry_wkb IS NOT NULL OR (ref IS NULL AND changed IS NULL)) AS geometry_changed FROM keyed LEFT JOIN named USING (event_id) LEFT JOIN c USING (event_id)""",
+)
+def discovered_grid(j: DataFrame) -> DataFrame:
+    grid = search.discovered_grid(j)[0]
+    return grid.withColumn("changed", F.nullif(F.array_join("changed", ","), F.lit("")))
+
+
+@query(
+    "stats_of_batches",
+    "SELECT datasource_fingerprint, count(*) AS n_events, count(*) FILTER (WHERE restored_from_event_id IS NULL) AS n_user_events, min(created_at) AS first_at, max(created_at) AS last_at, array_to_string(list_sort(list(DISTINCT operation_type)), ',') AS operations FROM journal GROUP BY 1",
+)
+def stats_of_batches(j: DataFrame) -> DataFrame:
+    """The journal in four batches, of which one comes twice and two are folded, against one pass over all."""
+    path = f"{shared_folder(j.sparkSession)}/partials-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2, 3):
+        statistics.write_partial(j.where(F.pmod("event_id", F.lit(4)) == batch), batch, path)
+    statistics.fold(j.sparkSession, path, 1)
+    found = statistics.merged(statistics.partials(j.sparkSession, path))
+    return found.select("datasource_fingerprint", "n_events", "n_user_events", "first_at", "last_at", F.array_join("operations", ",").alias("operations"))
+
+
 @query("grid_fields", "SELECT field, min(event_id) AS first_event, count(*) AS n_events FROM (SELECT event_id, field FROM full_cells UNION ALL SELECT event_id, field FROM delta_cells WHERE field <> 'updated_at') GROUP BY 1")
 def grid_fields(j: DataFrame) -> DataFrame:
     return search.grid_fields(j)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stratalog.functions import identity, payload
 from stratalog.session import settled, settled_here
 from stratalog.sources.journal import JOURNAL, is_trace, split_valid, write_journal
+from stratalog.streaming import statistics
 
 KEYS = ["datasource_fingerprint", "entity"]
 CHANGES_DDL = """
@@ -99,19 +100,22 @@ def numbered(events: DataFrame, first: int) -> DataFrame:
     return own.unionByName(met.withColumn("event_id", number).select(*events.columns))
 
 
-def append_batch(events: DataFrame, batch_id: int, path: str, pending: str) -> None:
+def append_batch(events: DataFrame, batch_id: int, path: str, pending: str, stats: str | None = None) -> None:
     """A micro-batch into the journal; what isn't valid goes to the dead letters. A batch that is run again after a
     failure overwrites its own files with the same ids, so each event ends in one of the two, once. A batch has 2**36 ids
-    of its own, which follow the order of its events."""
+    of its own, which follow the order of its events. ``stats`` is where the batch leaves its partial of the statistics
+    (``statistics``), after its events are there."""
     good, bad = split_valid(events)
     with settled_here():
         write_journal(numbered(good, (batch_id + 1) << 36), f"{path}/batch={batch_id}", "overwrite")
     bad.write.mode("overwrite").json(f"{pending}/batch={batch_id}")
+    if stats:
+        statistics.write_partial(good, batch_id, stats)
 
 
-def journal_sink(stream: DataFrame, path: str, pending: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def journal_sink(stream: DataFrame, path: str, pending: str, checkpoint: str, available_now: bool = True, stats: str | None = None) -> StreamingQuery:
     """Runs a stream of events into a journal. No watermark: late events keep their time and are never dropped."""
-    writer = stream.writeStream.foreachBatch(lambda df, n: append_batch(df, n, path, pending)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, n: append_batch(df, n, path, pending, stats)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -5,9 +5,9 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from stratalog.functions import geometry, identity, payload
-from stratalog.operators import retention, stats, targets
-from stratalog.streaming import capture
-from tests.test_rewind import DS, event, journal, stamp
+from stratalog.operators import retention, search, stats, targets
+from stratalog.streaming import capture, statistics
+from tests.test_rewind import DS, event, journal, point, stamp
 
 
 def values(spark, *columns):
@@ -78,3 +78,36 @@ def test_canonical_texts_are_equal_where_values_are(spark):
     both = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
     apart = both.where(payload.same_value(F.col("a"), F.col("b")) != payload.canonical(F.col("a")).eqNullSafe(payload.canonical(F.col("b"))))
     assert apart.collect() == []
+
+
+def test_statistics_of_batches_with_a_replay(spark, tmp_path):
+    path, log, bad = (str(tmp_path / x) for x in ("s", "j", "p"))
+    rows = [event(n, n % 7, ["INSERT", "UPDATE", "DELETE"][n % 3], {}, created=stamp(n), ds=f"ogr::/{n % 2}.gpkg", ref=3 if n == 30 else None) for n in range(40)]
+    part = lambda a, b: journal(spark, rows[a:b])
+    for batch, (a, b) in enumerate([(0, 10), (10, 25), (25, 40)]):
+        capture.append_batch(part(a, b), batch, log, bad, path)
+    capture.append_batch(part(10, 25), 1, log, bad, path)
+    read = lambda: {r[statistics.SOURCE]: r.asDict() for r in statistics.merged(statistics.partials(spark, path)).collect()}
+    whole = {r[statistics.SOURCE]: r.asDict() for r in statistics.merged(statistics.partial(journal(spark, rows))).collect()}
+    assert read() == whole and sum(r["n_events"] for r in whole.values()) == 40 and {r["n_entities_about"] for r in whole.values()} == {7}
+    kept = statistics.partial(part(0, 10)).withColumn("batch", F.lit(0))
+    statistics.fold(spark, path, 1)
+    assert read() == whole
+    kept.drop("batch").write.parquet(f"{path}/batch=0")  # as if the fold had stopped before it deleted this one
+    assert read() == whole
+    statistics.fold(spark, path, 2)
+    assert read() == whole and {r[0] for r in statistics.partials(spark, path).select("batch").collect()} == {-3}
+
+
+def test_a_grid_finds_its_columns_and_tells_what_it_leaves_out(spark):
+    rows = [
+        event(1, 1, "INSERT", {"all_attributes": {"b": 1, "created_at": "x"}}),
+        event(2, 1, "UPDATE", {"changed_only": {"a": {"old": 5, "new": 6}, "updated_at": {"old": 1, "new": 2}}}, point(1), point(2)),
+        event(3, 1, "UPDATE", {"changed_only": {}}),
+    ]
+    grid, told = search.discovered_grid(journal(spark, rows))
+    assert grid.columns == ["event_id", "operation_type", "created_at", "b", "created_at_", "a", "changed", "geometry_changed"]
+    assert [tuple(r)[3:] for r in grid.orderBy("event_id").collect()] == [("1", '"x"', None, None, False), (None, None, "5", ["a"], True), (None, None, None, [], True)]
+    assert told.first().asDict() == {"n_rows": 3, "limit": 200, "truncated": False}
+    grid, told = search.discovered_grid(journal(spark, rows), most=1)
+    assert "a" not in grid.columns and told.first()["truncated"]
