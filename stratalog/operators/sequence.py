@@ -37,11 +37,13 @@ SKIPPED = ("key_is_there", "twin_is_there", "target_is_gone", "already_at_old")
 @dataclass(frozen=True)
 class Restored:
     """``events``: event_id, operation_type, slot, target_fid, found_by, reason, outcome; ``cells``: the touched rows that
-    are there in the end, a row for each field (datasource_fingerprint, slot, field, value)."""
+    are there in the end, a row for each field (datasource_fingerprint, slot, field, value); ``there``: these rows themselves,
+    as one may have neither a field nor a shape."""
 
     events: DataFrame
     cells: DataFrame
     touched: DataFrame
+    there: DataFrame
 
 
 def _cells(attributes: Column, shape: Column) -> Column:
@@ -225,7 +227,7 @@ def restored(
     held = rows.select("datasource_fingerprint", named, _cells(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("geometry_wkb")).alias("x"))
     held = settled(held.join(touched, KEYS, "left_semi"))
     base, start = held.select(*KEYS, F.lit(True).alias("present")), held.select(*KEYS, F.explode("x").alias("x")).select(*KEYS, "x.field", "x.value")
-    judged, ends, assume = None, None, True
+    judged, ends, there, assume = None, None, None, True
     while True:
         now = settled(_presence(left, base, assume, newest_first))
         image = now.where(_born()).select(*KEYS, F.col("event_id").alias("life"), "event_id").join(cells.where("old IS NOT NULL"), "event_id")
@@ -249,6 +251,8 @@ def restored(
         open_slots = settled(left.select(*KEYS).distinct())
         closed = over.join(open_slots, KEYS, "left_anti")
         ends = closed if ends is None else ends.unionByName(closed)
+        stays = end.where("present").select(*KEYS).join(open_slots, KEYS, "left_anti")
+        there = stays if there is None else there.unionByName(stays)
         if open_slots.isEmpty():
             break
         base, start = end.select(*KEYS, "present").join(open_slots, KEYS, "left_semi"), settled(over.join(open_slots, KEYS, "left_semi"))
@@ -261,7 +265,7 @@ def restored(
         .otherwise("failed_target_absent")
     )
     judged = judged.select("event_id", "datasource_fingerprint", "created_at", "operation_type", "slot", "target_fid", "found_by", "reason", outcome.alias("outcome"))
-    return Restored(judged, ends, touched)
+    return Restored(judged, ends, touched, there)
 
 
 def rows_after(rows: DataFrame, done: Restored) -> DataFrame:
@@ -272,6 +276,7 @@ def rows_after(rows: DataFrame, done: Restored) -> DataFrame:
     rest = rest.select("datasource_fingerprint", "slot", "fid", "attributes", "geometry_wkb")
     pairs = F.collect_list(F.when(F.col("field") != SHAPE, F.struct("field", "value")))
     whole = done.cells.groupBy(*KEYS).agg(pairs.alias("pairs"), F.max(F.when(F.col("field") == SHAPE, F.col("value"))).alias("shape"))
+    whole = done.there.join(whole, KEYS, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<field:string,value:string>>")))
     fid = F.when(kind[0] == "row", kind[1].cast("long"))
     whole = whole.select("datasource_fingerprint", "slot", fid.alias("fid"), F.map_from_entries("pairs").alias("attributes"), F.unhex("shape").alias("geometry_wkb"))
     return rest.unionByName(whole)
