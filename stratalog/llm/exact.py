@@ -84,7 +84,8 @@ def exact_groups(docs: DataFrame, space: Workspace, text: str = "text", key: str
         groups = recipe_groups(listed, keep, on)
     groups = groups.drop("confirmed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = listed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return rows.join(groups, [*on, "salt"], "left").select(
+    # By sorting: the salted groups are larger than their files tell, too large to be told to all by the driver.
+    return rows.join(groups.hint("merge"), [*on, "salt"], "left").select(
         F.col("key").alias(key),
         F.coalesce("keep_id", "key").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

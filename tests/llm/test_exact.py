@@ -57,3 +57,9 @@ def test_recipes_decide_and_hashes_confirm(spark, monkeypatch):
     recipes = chunk_recipes(docs_frame(spark, texts))
     monkeypatch.setattr(exact, "chunk_recipes", lambda *_: recipes.withColumn("chunks", F.slice("chunks", 1, 0)))
     assert sorted(map(str, map(tuple, exact_groups(docs_frame(spark, texts), Workspace(spark, "t")).collect()))) == brute(texts)
+
+
+def test_no_groups_are_told_to_all_tasks(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    plan = exact_groups(docs, Workspace(spark, "t"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
