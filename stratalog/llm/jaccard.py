@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm import text as tx
@@ -257,14 +257,11 @@ def _verify(percent: int):
 def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int, full_list: int) -> DataFrame:
     """Distinct pairs (ctx, a, b, hub) of a level, from its prefix lists; differences also pass the suffix filter."""
     side = ["node", "n", "pos", *(["parts"] if level else [])]
-    lists = (
-        postings.groupBy("ctx", "elem")
-        .agg(F.count("*").alias("c"), F.count_if(~F.col("near")).alias("far"))
-        .where("c > 1 AND far > 0")
-        .select("ctx", "elem", (F.col("far") > full_list).alias("long"))
-    )
-    # By sorting at every size: both sides grow with the corpus.
-    met = space.write(postings.join(lists.hint("merge"), ["ctx", "elem"]), f"lists{level}")
+    # One shuffle and one order of the prefixes for all of it: copies of a set in other tasks' batches go, lists are counted.
+    own = Window.partitionBy("ctx", "elem")
+    once = postings.withColumn("last", F.lag("node").over(own.orderBy("node"))).where("last IS NULL OR last <> node").drop("last")
+    lists = once.withColumns({"c": F.count("*").over(own), "far": F.count_if(~F.col("near")).over(own)}).where("c > 1 AND far > 0")
+    met = space.write(lists.withColumn("long", F.col("far") > full_list).drop("c", "far"), f"lists{level}")
     # Two sets near the same hub are in one component already, so one of each pair is far.
     short = met.where("NOT long")
     far = short.where("NOT near").select("ctx", "elem", F.struct(*side).alias("x"))
@@ -324,8 +321,8 @@ def similar_groups(
     from another seed. Rows that repeat an id are judged each on its own. A null id counts as larger than all others and
     comes out null. Very long texts are read whole, as any other. Extra columns are ignored; an empty table gives no rows.
 
-    Plan: two scans make sizes, counts and prefixes; prefixes are grouped by shingle with map-side combine, and only
-    shingles of two sets or more go on. The suffix filter works on 32
+    Plan: two scans make sizes, counts and prefixes; prefixes are dealt by shingle once, and only shingles of two sets or
+    more go on. The suffix filter works on 32
     numbers a set; documents in the pairs that it leaves are read once more for their sets. Links and
     components are narrow tables. Nothing of the documents reaches the driver but the 2**20 summed counters.
     """

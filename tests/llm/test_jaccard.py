@@ -67,3 +67,14 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(20, 60)] + [(3, 3), (5, 5), (None, 4), (60, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()
     assert {r.node: r.component for r in got} == {i: 100 for i in range(101, 141)} | {k: 7 for k in range(20, 61)}
+
+
+def test_copies_of_one_set_make_no_list(spark):
+    from stratalog.llm import jaccard
+    from stratalog.llm.shared import Workspace
+
+    space = Workspace(spark, "t")
+    rows = [(0, 1, 5, 10, 0, False)] * 3 + [(0, 2, 5, 10, 1, False), (0, 2, 6, 10, 0, False)] * 2
+    pairs = jaccard._candidates(spark.createDataFrame(rows, jaccard.POSTING_SQL), space, 0, 80, 24).collect()
+    assert [(r["a"], r["b"], r["hub"]) for r in pairs] == [(5, 6, False)]
+    assert sorted(r["node"] for r in spark.read.parquet(f"{space.path}/lists0").collect()) == [5, 6]
