@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog import session
 from stratalog.functions import payload
 from stratalog.operators import claims
 from stratalog.operators.planning import judged
@@ -48,7 +49,7 @@ def outcomes(state: DataFrame, events: DataFrame, refused: DataFrame | None = No
     all the values that they lead to, and refused where it is gone (and no action of the plan brings it back) or where its
     geometry, once the newer updates are undone, is neither the update's new one nor its old one.
     """
-    plan = judged(events).where("compensation IS NOT NULL")
+    plan = session.settled(judged(events).where("compensation IS NOT NULL"))  # read four times
     now = state.select(*KEYS, F.col("attributes").alias("_now"), F.col("geometry_wkb").alias("_shape"), F.lit(True).alias("_there"))
     brought = plan.where("compensation = 'INSERT'").select(*KEYS).distinct().withColumn("_brought", F.lit(True))
     met = plan.join(now, KEYS, "left").join(brought, KEYS, "left").join(update_targets(plan), KEYS, "left")
