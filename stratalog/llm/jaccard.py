@@ -34,8 +34,10 @@ DEEP_LIST = 2048
 COUNTERS_LOG2 = 20
 SEGMENTS = 16
 ELEMENT_BITS = 64
-#: The suffix filter compares sets by how many shingles each has in so many parts of the hash space.
+#: Differences are compared by how many shingles each has in so many parts of the hash space.
 PARTS = 32
+#: The suffix filter compares sets by a parity for each shingle or two, so many at least.
+LEAST_BITS = 64
 #: Documents in candidate pairs up to this number (8 bytes each) are told to the scan by broadcast, more by a join.
 BROADCAST_IDS = 1_000_000
 SALTS = 16
@@ -73,6 +75,27 @@ def set_digests(rows: np.ndarray, values: np.ndarray, n_rows: int, seed: int = 0
     return sizes, tx.mix(sums ^ (sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def parities(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Of each row's set, whether an even or odd number of shingles falls to each of so many bits.
+
+    There are as many bits as the next power of two above the set's size. Where two sets differ in a bit they differ in a
+    shingle at least.
+    """
+    wide = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, LEAST_BITS))).astype(np.int64)
+    begin = np.append(0, np.cumsum(wide))
+    bits = np.bincount(begin[rows] + (values & (wide[rows] - 1).astype(np.uint64)).astype(np.int64), minlength=begin[-1]) & 1
+    blob = np.packbits(bits.astype(np.uint8))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(blob)])
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits ``parities`` of two sets differ: a lower bound of how many shingles are in one of them only."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def rarity(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The place of shingles in the shared order, before ties: their hashed count on a logarithmic scale."""
     c = counts[(values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64)]
@@ -92,13 +115,12 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-#: Eight of the counts by part, one byte each, make a number.
-PART_COLUMNS = [f"part{k}" for k in range(PARTS // 8)]
-PART_SQL = ", ".join(f"{c} long" for c in PART_COLUMNS)
 DIGEST = pa.schema(
-    [("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), *[(f"part{k}", pa.int64()) for k in range(PARTS // 8)], ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
+    [("id", pa.int64()), ("tie", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.binary()), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())]
 )
-DIGEST_SQL = f"id long, tie long, n int, node long, proof long, {PART_SQL}, segment int, salt int, counts binary"
+DIGEST_SQL = "id long, tie long, n int, node long, proof long, bits binary, segment int, salt int, counts binary"
+PAIR_SQL = "ctx long, a long, b long, hub boolean"
+PAIR = pa.schema([("ctx", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("hub", pa.bool_())])
 POSTING = pa.schema([("ctx", pa.int64()), ("elem", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("near", pa.bool_())])
 POSTING_SQL = "ctx long, elem long, node long, n int, pos int, near boolean"
 #: Prefixes of differences also carry how many shingles the difference has in each part of the hash space: what the set
@@ -131,9 +153,7 @@ def _digests(key: str, text: str, k: int, seed: int):
                 sizes, nodes = set_digests(rows, values, high - low, seed)
                 proofs = set_digests(rows, values, high - low, -1 - seed & (1 << 32) - 1)[1]
                 none = [None] * (high - low)
-                split = np.bincount(rows * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * (high - low))
-                split = np.minimum(split, 255).astype(np.uint8).reshape(-1, PARTS).view(np.int64)
-                yield _batch(DIGEST, ids[low:high], ties[low:high], sizes, tx.signed(nodes), tx.signed(proofs), *split.T, none, none, none)
+                yield _batch(DIGEST, ids[low:high], ties[low:high], sizes, tx.signed(nodes), tx.signed(proofs), parities(rows, values, sizes), none, none, none)
         salt = TaskContext.get().partitionId() >> 8
         parts = [squeeze(x.astype(np.uint64)) for x in np.split(counts, SEGMENTS)]
         yield _batch(DIGEST, *[[None] * SEGMENTS] * (len(DIGEST) - 3), range(SEGMENTS), [salt] * SEGMENTS, parts)
@@ -286,14 +306,18 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _suffix_filter(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs that differ too much in how many shingles they have in some part of the hash space."""
-    left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in PART_COLUMNS])
-    right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in PART_COLUMNS])
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    # Counts above 255 are cut there, which only lowers the bound.
-    apart = sum((F.abs(byte(f"{c}_a", k) - byte(f"{c}_b", k)) for c in PART_COLUMNS for k in range(8)), F.lit(0))
+    """Drops pairs whose parities differ in more bits than similar sets have shingles apart."""
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("hub", "n_a", "n_b", "bits_a", "bits_b"))
+            kept = [hub or bits_apart(x, y) * (100 + percent) <= (100 - percent) * (n_a + n_b) for hub, n_a, n_b, x, y in zip(*columns, strict=True)]
+            yield batch.select(PAIR.names).filter(pa.array(kept, pa.bool_()))
+
+    left = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return met.where(F.col("hub") | (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select(*pairs.columns)
+    return met.mapInArrow(near, PAIR_SQL)
 
 
 def similar_groups(
@@ -322,8 +346,8 @@ def similar_groups(
     comes out null. Very long texts are read whole, as any other. Extra columns are ignored; an empty table gives no rows.
 
     Plan: two scans make sizes, counts and prefixes; prefixes are dealt by shingle once, and only shingles of two sets or
-    more go on. The suffix filter works on 32
-    numbers a set; documents in the pairs that it leaves are read once more for their sets. Links and
+    more go on. The suffix filter works on a
+    bit or two for each shingle of a set; documents in the pairs that it leaves are read once more for their sets. Links and
     components are narrow tables. Nothing of the documents reaches the driver but the 2**20 summed counters.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"))
@@ -334,7 +358,7 @@ def similar_groups(
         heads = nodes.groupBy("node").agg(
             F.min(F.struct("id", "tie")).alias("head"),
             F.first("n").alias("n"),
-            *[F.first(c).alias(c) for c in PART_COLUMNS],
+            F.first("bits").alias("bits"),
             (F.min("proof") != F.max("proof")).alias("torn"),
         )
         heads = space.write(heads, f"heads{seed}")

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm.components import connected_components
-from stratalog.llm.jaccard import similar_groups
+from stratalog.llm.jaccard import _suffix_filter, bits_apart, parities, similar_groups
 from stratalog.llm.shared import Workspace
 
 from .helpers import docs_frame, words
@@ -78,3 +80,32 @@ def test_copies_of_one_set_make_no_list(spark):
     pairs = jaccard._candidates(spark.createDataFrame(rows, jaccard.POSTING_SQL), space, 0, 80, 24).collect()
     assert [(r["a"], r["b"], r["hub"]) for r in pairs] == [(5, 6, False)]
     assert sorted(r["node"] for r in spark.read.parquet(f"{space.path}/lists0").collect()) == [5, 6]
+
+
+def test_suffix_filter_tells_long_sets_apart(spark, monkeypatch):
+    draw = random.Random(5)
+    long = [[f"w{draw.randrange(10**6)}" for _ in range(9000)] for _ in range(3)]
+    near = [*long[0][:8900], *(f"w{draw.randrange(10**6)}" for _ in range(150))]
+    space = Workspace(spark, "test-suffix")
+    monkeypatch.setattr(Workspace, "drop", lambda self, name="": None)
+    found = similar_groups(docs_frame(spark, [(i, " ".join(x), "en") for i, x in enumerate([*long, near])]), space, words=3, percent=90).collect()
+    monkeypatch.undo()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 2, 3: 0}
+    heads = spark.read.parquet(f"{space.path}/heads0")
+    ids = heads.select(F.col("head.id").alias("i"), "node")
+    pairs = ids.select(F.col("i").alias("x"), F.col("node").alias("a")).crossJoin(ids.select(F.col("i").alias("y"), F.col("node").alias("b"))).where("x < y")
+    pairs = pairs.select(F.lit(0).cast("long").alias("ctx"), "a", "b", F.lit(False).alias("hub"))
+    node = {r.i: r.node for r in ids.collect()}
+    assert [{r.a, r.b} for r in _suffix_filter(pairs, heads, 90).collect()] == [{node[0], node[3]}]
+    space.drop()
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 1000, 5000])
+def test_bits_apart_never_pass_the_difference(size):
+    draw = np.random.default_rng(size)
+    a = np.unique(draw.integers(0, 2**63, size, np.uint64))
+    for more in (0, 1, size // 10, 3 * size):
+        b = np.unique(np.concatenate([a[more // 2 :], draw.integers(0, 2**63, more, np.uint64)]))
+        rows, values = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
+        x, y = parities(rows, values, np.array([len(a), len(b)])).to_pylist()
+        assert bits_apart(x, y) <= len(np.setxor1d(a, b)) and bits_apart(x, y) == bits_apart(y, x)
