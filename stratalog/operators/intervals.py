@@ -74,7 +74,11 @@ def states_at(events: DataFrame, cutoffs: list[str]) -> DataFrame:
     out = None
     for n in range(0, len(every), BLOCK):
         block = every[n : n + BLOCK]
-        held = settled(intervals(events, block)).select(*CELL, "v", F.explode(F.expr("sequence(since, until - 1)")).alias("at"))
+        # Dealt by entity before they are told to their cutoffs, so that these make no rows of a shuffle; an entity has at most
+        # a row for each cutoff of each of its fields.
+        held = settled(intervals(events, block)).select(*CELL, "v.value", "v.wkb", "v.crs", "v.k.created_at", "v.k.event_id", "since", "until")
+        held = held.repartition(*snapshot.KEYS).withColumn("at", F.explode(F.expr("sequence(since, until - 1)")))
+        held = held.withColumn("v", F.struct("value", "wkb", "crs", F.struct("created_at", "event_id").alias("k")))
         names = F.array(*[F.lit(x) for x in block])
         rows = snapshot.rows_of(held, [*snapshot.KEYS, "at"]).withColumn("at", F.get(names, F.col("at")))
         out = rows if out is None else out.unionByName(rows)

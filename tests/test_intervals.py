@@ -40,3 +40,12 @@ def test_refusals(spark):
     with pytest.raises(Exception, match="not a uniform time"):
         intervals.states_at(j, [stamp(1)]).count()
     assert intervals.states_at(journal(spark, []), [stamp(1)]).count() == 0
+
+
+def test_values_are_dealt_by_entity_and_not_by_instant(spark):
+    rows = [event(n, n, "INSERT", {"all_attributes": {"v": n}}, None, point(n), created=stamp(1)) for n in range(1, 5)]
+    found = intervals.states_at(journal(spark, rows), [stamp(n) for n in range(2, 8)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if " at#" in x or "(at#" in x]
+    assert found.count() == 4 * 6 and len(found.collect()) == 4 * 6
