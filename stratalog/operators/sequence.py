@@ -4,6 +4,9 @@
 the older one is right only once the newer one is taken back. Here the events of a row form a sequence; what an event finds
 is the row with the writes of those before it that were carried out.
 
+A row with few events is folded: its events are gathered in order, and each is judged on the row as the last one left it
+(``_folded``). Rows with many events, or with much in them, are never gathered; they are judged in rounds, as follows.
+
 Whether a write is carried out may depend on earlier ones (a row found by its number must look as the event left it), so
 sequences are judged in rounds. A round assumes that from here on all events of a row are carried out, the next that none
 is whose outcome depends on the row's content (events with a key don't); as far as the assumption proves right, and for the
@@ -34,6 +37,10 @@ DONE = ("inserted", "deleted", "taken_back")
 SKIPPED = ("key_is_there", "twin_is_there", "target_is_gone", "already_at_old")
 
 
+#: Rows with at most so many events, and so many bytes of payloads and shapes in them, are folded.
+FEW, LIGHT = 64, 1 << 20
+
+
 @dataclass(frozen=True)
 class Restored:
     """``events``: event_id, operation_type, slot, target_fid, found_by, reason, outcome; ``cells``: the touched rows that
@@ -83,15 +90,15 @@ def slots(events: DataFrame, rows: DataFrame, twins: DataFrame, moved: DataFrame
     number, or where ``moved`` tells that this row has another number now, about that one; but behind a delete of the same number, about the row that this delete brings back under another number, or
     about the twin that made it needless: a number that was given up may be another row's now.
     """
-    located = targets.located(events, rows).join(twins.select("event_id", F.col("fid").alias("twin_fid")), "event_id", "left")
-    told = targets.identity_parts(located)
+    told = settled(targets.identity_parts(events.select("event_id", "datasource_fingerprint", "created_at", "operation_type", "feature_identity_json")).drop("feature_identity_json"))
+    told = targets.located_parts(told, rows).join(twins.select("event_id", F.col("fid").alias("twin_fid")), "event_id", "left")
     keyed = F.coalesce(F.col("pk_field").isNotNull() & F.col("pk_value").isNotNull(), F.lit(False))
     told = told.withColumn("keyed", keyed).withColumn("number", F.when(~F.col("keyed"), F.col("fid")))
     told = told.join(moved, ["datasource_fingerprint", "number"], "left")
     told = told.withColumn("found_by", F.when(F.col("moved_fid").isNotNull(), "content").otherwise(F.col("found_by")))
     told = told.withColumn("target_fid", F.coalesce("moved_fid", "target_fid"))
     base = ["event_id", "datasource_fingerprint", "created_at", "operation_type", "keyed", "number", "pk_field", "pk_value", "target_fid", "found_by", "twin_fid"]
-    told = told.select(*base)
+    told = settled(told.select(*base))  # read twice, and once more to find the ranges
     by, order = ["datasource_fingerprint", "number"], _order(newest_first)
     numbered = scans.bucketed(told.where("number IS NOT NULL"), by, order, parts)
     gone = F.when(F.col("operation_type") == "DELETE", F.struct("event_id", "twin_fid"))
@@ -203,29 +210,119 @@ def _left(judged: DataFrame, assume: bool, newest_first: bool) -> DataFrame:
     return judged.withColumn("final", before == 0).drop("_broken", "_n")
 
 
+def _judged_by(state: Column, e: Column) -> Column:
+    """The reason of event ``e`` on a row's ``state`` (present, cells: field -> value); as ``_verdicts``."""
+    has = lambda x: F.map_contains_key(state["cells"], x["field"])
+    is_shape = lambda x: x["field"] == SHAPE
+    now = lambda x: F.element_at(state["cells"], x["field"])
+    same = lambda x: F.when(is_shape(x), now(x).eqNullSafe(x["value"])).otherwise(payload.same_value(now(x), x["value"]))
+    at_old = (F.size(e["old"]) > 0) & F.forall(e["old"], lambda x: has(x) & same(x))
+    drawn_so = F.forall(e["new"], lambda x: ~is_shape(x) | (has(x) & same(x)))
+    shared = F.exists(e["new"], lambda x: ~is_shape(x) & has(x))
+    valued_so = F.forall(e["new"], lambda x: is_shape(x) | ~has(x) | same(x))
+    before, keyed, op = state["present"], e["keyed"], e["operation_type"]
+    update = (
+        F.when(~before, "target_absent")
+        .when(at_old, "already_at_old")
+        .when(keyed, "taken_back")
+        .when(F.exists(e["new"], is_shape), F.when(drawn_so, "taken_back").otherwise("geometry_mismatch"))
+        .when(F.size(e["new"]) == 0, "nothing_captured")
+        .when(~shared, "nothing_to_compare")
+        .when(valued_so, "taken_back")
+        .otherwise("attribute_mismatch")
+    )
+    return (
+        F.when(op == "DELETE", F.when(before, "key_is_there").when(e["twin_fid"].isNotNull(), "twin_is_there").otherwise("inserted"))
+        .when(op == "INSERT", F.when(~before, "target_is_gone").when(keyed | (shared & drawn_so & valued_so), "deleted").otherwise("only_the_number_matches"))
+        .when(op == "UPDATE", update)
+        .otherwise("unsupported_operation")
+    )
+
+
+def _left_by(state: Column, e: Column, reason: Column) -> Column:
+    """A row's ``state`` behind event ``e``: a write sets fields that the row has, and the shape."""
+    old, cells = F.map_from_entries(e["old"]), state["cells"]
+    written = F.transform_values(cells, lambda k, v: F.when(F.map_contains_key(old, k), F.element_at(old, k)).otherwise(v))
+    drawn = F.map_contains_key(old, F.lit(SHAPE)) & ~F.map_contains_key(cells, F.lit(SHAPE))
+    written = F.when(drawn, F.map_concat(written, F.create_map(F.lit(SHAPE), F.element_at(old, F.lit(SHAPE))))).otherwise(written)
+    return F.struct(
+        F.when(reason == "inserted", True).when(reason == "deleted", False).otherwise(state["present"]).alias("present"),
+        F.when(reason == "inserted", old).when(reason == "taken_back", written).otherwise(cells).alias("cells"),
+        F.concat(state["reasons"], F.array(reason)).alias("reasons"),
+    )
+
+
+def _folded(placed: DataFrame, sides: DataFrame, held: DataFrame, newest_first: bool) -> DataFrame:
+    """A row for each slot: KEYS, ``events`` in order, and ``end``: whether the row is there, its cells and the events' reasons."""
+    told = ["event_id", "operation_type", "target_fid", "found_by"]
+    events = placed.join(sides.select("event_id", F.col("o").alias("old"), F.col("n").alias("new")), "event_id")
+    events = events.groupBy(*KEYS).agg(F.collect_list(F.struct("created_at", *told, "keyed", "twin_fid", "old", "new")).alias("e"))
+    start = held.select(*KEYS, F.map_from_entries("x").alias("cells"))
+    met = events.withColumn("e", F.sort_array("e", not newest_first)).join(start, KEYS, "left")
+    begin = F.struct(
+        F.col("cells").isNotNull().alias("present"),
+        F.coalesce("cells", F.create_map().cast("map<string,string>")).alias("cells"),
+        F.array().cast("array<string>").alias("reasons"),
+    )
+    # An array of one: the reason is worked out once for all that follows from it.
+    step = lambda s, e: F.get(F.transform(F.array(_judged_by(s, e)), lambda r: _left_by(s, e, r)), F.lit(0))
+    short = F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in ("created_at", *told)]))
+    return met.select(*KEYS, short.alias("events"), F.aggregate("e", begin, step).alias("end"))
+
+
 def restored(
-    events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = (), newest_first: bool = True, claim: bool = True, relocate: bool = False, parts: int | None = None
+    events: DataFrame, rows: DataFrame, keys: tuple[str, ...] = (), newest_first: bool = True, claim: bool = True, relocate: bool = False, parts: int | None = None, few: int = FEW
 ) -> Restored:
     """Restores ``events`` in order on ``rows`` (datasource_fingerprint, fid, attributes, geometry_wkb).
 
     Rules are those of ``targets.event_restores``, with the row as it is by then. A row is a twin of one delete at most
     (``claims``), unless ``claim`` is off: then no twins are looked for. With ``relocate``, events by number whose row has
     another number now follow it as far as the ladder of proofs finds it (``ladder``). ``keys`` are key fields, which a twin
-    needn't share.
+    needn't share. Rows with more than ``few`` events are judged in rounds, and so are several rows of one number.
     """
     deletes = events.where("operation_type = 'DELETE'")
     found = claims.claimed_twins(deletes, rows, keys, newest_first, parts) if claim else deletes.select("datasource_fingerprint", "event_id", F.lit(None).cast("long").alias("fid")).limit(0)
     nowhere = events.sparkSession.createDataFrame([], "datasource_fingerprint string, number long, moved_fid long")
     moved = settled(_moved(events, rows, keys, newest_first)) if relocate else nowhere
     placed = slots(events, rows, found, moved, newest_first, parts)
-    left = scans.bucketed(placed, KEYS, _order(newest_first), parts)
-    sides = events.select("event_id", _cells(payload.old_attributes(), F.col("geometry_wkb")).alias("o"), _cells(payload.new_attributes(), F.col("new_geometry_wkb")).alias("n"))
-    side = lambda c, name: sides.select("event_id", F.explode(c).alias("x")).select("event_id", "x.field", F.struct("x.value").alias(name))
-    cells = settled(side("o", "old").join(side("n", "new"), ["event_id", "field"], "full_outer"))
+    placed = settled(placed)
+    weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("attributes_json", "geometry_wkb", "new_geometry_wkb")), F.lit(0)).cast("long")
+    sides = events.select("event_id", _cells(payload.old_attributes(), F.col("geometry_wkb")).alias("o"), _cells(payload.new_attributes(), F.col("new_geometry_wkb")).alias("n"), weight.alias("w"))
+    sides = settled(sides)
     named = F.concat_ws("\u0001", F.lit("row"), F.col("fid").cast("string")).alias("slot")
-    touched = settled(left.select(*KEYS).distinct())
+    weighed = placed.join(sides.select("event_id", "w"), "event_id").groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    several = rows.groupBy(*KEYS[:1], named).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    weighed = settled(weighed.join(several, KEYS, "left").select(*KEYS, ((F.col("n") <= few) & (F.col("w") <= LIGHT) & F.col("_rows").isNull()).alias("light")))
+    touched, heavy = weighed.select(*KEYS), weighed.where("NOT light").select(*KEYS)
     held = rows.select("datasource_fingerprint", named, _cells(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("geometry_wkb")).alias("x"))
-    held = settled(held.join(touched, KEYS, "left_semi"))
+    folded = settled(_folded(placed.join(heavy, KEYS, "left_anti"), sides, held.join(heavy, KEYS, "left_anti"), newest_first))
+    each = folded.select(*KEYS, F.posexplode("events").alias("_at", "e"), F.col("end.reasons").alias("_all"))
+    judged = each.select(*KEYS, "e.*", F.get("_all", F.col("_at")).alias("reason"))
+    there = folded.where("end.present")
+    ends, there = there.select(*KEYS, F.explode("end.cells").alias("field", "value")), there.select(*KEYS)
+    if not heavy.isEmpty():
+        base = [*KEYS, "event_id", "created_at", "operation_type", "target_fid", "found_by"]
+        rest = _rounds(placed.join(heavy, KEYS, "left_semi"), sides, held.join(heavy, KEYS, "left_semi"), newest_first, parts)
+        judged = judged.unionByName(rest[0].select(*base, "reason"))
+        ends, there = ends.unionByName(rest[1]), there.unionByName(rest[2])
+    outcome = (
+        F.when(F.col("reason").isin(*DONE), "applied")
+        .when(F.col("reason").isin(*SKIPPED), "skipped_idempotent")
+        .when(F.col("reason") == "geometry_mismatch", "failed_geometry_drift")
+        .when(F.col("reason") == "unsupported_operation", "failed")
+        .otherwise("failed_target_absent")
+    )
+    judged = judged.select("event_id", "datasource_fingerprint", "created_at", "operation_type", "slot", "target_fid", "found_by", "reason", outcome.alias("outcome"))
+    return Restored(judged, ends, touched, there)
+
+
+def _rounds(placed: DataFrame, sides: DataFrame, held: DataFrame, newest_first: bool, parts: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with their reasons, cells of the rows that are there in the end, and these rows, judged in rounds."""
+    left = scans.bucketed(placed, KEYS, _order(newest_first), parts)
+    ids = placed.select("event_id").distinct()
+    side = lambda c, name: sides.join(ids, "event_id", "left_semi").select("event_id", F.explode(c).alias("x")).select("event_id", "x.field", F.struct("x.value").alias(name))
+    cells = settled(side("o", "old").join(side("n", "new"), ["event_id", "field"], "full_outer"))
+    held = settled(held)
     base, start = held.select(*KEYS, F.lit(True).alias("present")), held.select(*KEYS, F.explode("x").alias("x")).select(*KEYS, "x.field", "x.value")
     judged, ends, there, assume = None, None, None, True
     while True:
@@ -257,15 +354,7 @@ def restored(
             break
         base, start = end.select(*KEYS, "present").join(open_slots, KEYS, "left_semi"), settled(over.join(open_slots, KEYS, "left_semi"))
         left, assume = settled(left), not assume
-    outcome = (
-        F.when(F.col("reason").isin(*DONE), "applied")
-        .when(F.col("reason").isin(*SKIPPED), "skipped_idempotent")
-        .when(F.col("reason") == "geometry_mismatch", "failed_geometry_drift")
-        .when(F.col("reason") == "unsupported_operation", "failed")
-        .otherwise("failed_target_absent")
-    )
-    judged = judged.select("event_id", "datasource_fingerprint", "created_at", "operation_type", "slot", "target_fid", "found_by", "reason", outcome.alias("outcome"))
-    return Restored(judged, ends, touched, there)
+    return judged, ends, there
 
 
 def rows_after(rows: DataFrame, done: Restored) -> DataFrame:
