@@ -50,29 +50,32 @@ def outcomes(state: DataFrame, events: DataFrame, refused: DataFrame | None = No
     geometry, once the newer updates are undone, is neither the update's new one nor its old one.
     """
     plan = session.settled(judged(events).where("compensation IS NOT NULL"))  # read four times
-    now = state.select(*KEYS, F.col("attributes").alias("_now"), F.col("geometry_wkb").alias("_shape"), F.lit(True).alias("_there"))
+    now = state.select(*KEYS, F.col("geometry_wkb").alias("_shape"), F.lit(True).alias("_there"))
     brought = plan.where("compensation = 'INSERT'").select(*KEYS).distinct().withColumn("_brought", F.lit(True))
-    met = plan.join(now, KEYS, "left").join(brought, KEYS, "left").join(update_targets(plan), KEYS, "left")
+    # What updates lead to is compared once for an entity; its values aren't carried to each event.
+    none = F.create_map().cast("map<string,string>")
+    leads = update_targets(plan).join(state.select(*KEYS, "attributes", F.col("geometry_wkb").alias("_at")), KEYS, "left")
+    holds = _holds(F.coalesce("attributes", none), F.coalesce("_old", none)) & (F.col("_move").isNull() | F.col("_at").eqNullSafe(F.col("_move.g")))
+    leads = leads.select(*KEYS, holds.alias("_settled"), *([] if lost is None else [F.map_keys(F.coalesce("_old", none)).alias("_written")]))
+    met = plan.join(now, KEYS, "left").join(brought, KEYS, "left").join(leads, KEYS, "left")
     there, coming = F.coalesce("_there", F.lit(False)), F.coalesce("_brought", F.lit(False))
     moved = (F.col("compensation") == "UPDATE") & F.col("geometry_wkb").isNotNull()
     newer = Window.partitionBy(*KEYS).orderBy("created_at", "event_id").rowsBetween(1, Window.unboundedFollowing)
     met = met.withColumn("_then", F.coalesce(F.first(F.when(moved, F.col("geometry_wkb")), ignorenulls=True).over(newer), F.col("_shape")))
     drift = moved & ~F.col("_then").eqNullSafe(F.col("new_geometry_wkb")) & ~F.col("_then").eqNullSafe(F.col("geometry_wkb"))
-    none = F.create_map().cast("map<string,string>")
-    settled = _holds(F.coalesce("_now", none), F.coalesce("_old", none)) & (F.col("_move").isNull() | F.col("_shape").eqNullSafe(F.col("_move.g")))
     outcome = (
         F.when(F.col("compensation") == "INSERT", F.when(there, "skipped_idempotent").otherwise("applied"))
         .when(F.col("compensation") == "DELETE", F.when(there | coming, "applied").otherwise("skipped_idempotent"))
         .when(coming & ~there, "applied")
         .when(~there, "failed_target_absent")
-        .when(settled, "skipped_idempotent")
+        .when(F.col("_settled"), "skipped_idempotent")
         .when(drift, "failed_geometry_drift")
         .otherwise("applied")
     )
     if lost is not None:
         gone = lost.groupBy("datasource_fingerprint").agg(F.collect_set("field").alias("_lost"))  # fields of a source
         met = met.join(gone, "datasource_fingerprint", "left")
-        written = F.when(F.col("compensation") == "UPDATE", F.map_keys(F.coalesce("_old", none))).when(F.col("compensation") == "INSERT", F.map_keys(F.coalesce(payload.full_attributes(), none)))
+        written = F.when(F.col("compensation") == "UPDATE", F.col("_written")).when(F.col("compensation") == "INSERT", F.map_keys(F.coalesce(payload.full_attributes(), none)))
         partial = F.coalesce(F.arrays_overlap(written, F.col("_lost")), F.lit(False))
         outcome = F.when((outcome == "applied") & partial, "applied_partial").otherwise(outcome)
     if refused is not None:

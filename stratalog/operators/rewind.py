@@ -235,22 +235,24 @@ def collapse(active: DataFrame) -> DataFrame:
         F.min_by("operation_type", k).alias("first_op"),
         F.max_by("operation_type", k).alias("last_op"),
         F.count_if(op != "UPDATE").alias("others"),
-        F.max_by(F.struct("feature_identity_json", "entity_fingerprint", "new_geometry_wkb", "geometry_wkb", "attributes_json"), k).alias("newest"),
-        F.min_by("geometry_wkb", F.when((op == "UPDATE") & F.col("geometry_wkb").isNotNull(), k)).alias("oldest_shape"),
     )
     to_delete = (F.col("n") > 1) & (F.col("first_op") == "UPDATE") & (F.col("last_op") == "DELETE") & (F.col("others") == 1)
     long = F.col("n") > LONGEST_CHAIN
     to_update = long & (F.col("first_op") == "UPDATE") & (F.col("last_op") == "UPDATE")
     kind = F.when(to_delete, "delete").when(to_update, "update").when(long, "ends").otherwise("all")
-    whole = whole.withColumn("kind", kind)
-    met = kept.join(whole, KEYS).withColumn("_k", k)
-    plain = met.where("kind = 'all' OR kind = 'ends' AND (_k = first_k OR _k = last_k)")
+    whole = settled(whole.select(*KEYS, "n", "first_k", "last_k", kind.alias("kind")))  # no payloads; read twice
+    met = kept.withColumn("_k", k)
+    plain = met.join(whole.where("kind IN ('all', 'ends')"), KEYS).where("kind = 'all' OR _k = first_k OR _k = last_k")
     plain = plain.select(*active.columns, F.lit(1).cast("long").alias("fused"))
-    fused = met.where("kind IN ('delete', 'update')")
+    fused = met.join(whole.where("kind IN ('delete', 'update')"), KEYS)
+    outer = fused.groupBy(*KEYS).agg(
+        F.max_by(F.struct("feature_identity_json", "entity_fingerprint", "new_geometry_wkb", "geometry_wkb", "attributes_json"), "_k").alias("newest"),
+        F.min_by("geometry_wkb", F.when((op == "UPDATE") & F.col("geometry_wkb").isNotNull(), F.col("_k"))).alias("oldest_shape"),
+    )
     cells = fused.where(op == "UPDATE").select(*KEYS, "_k", F.explode(payload.changes()).alias("field", "v"))
     cells = cells.groupBy(*KEYS, "field").agg(F.min_by(F.struct("v.old"), "_k").alias("o"), F.max_by(F.struct("v.new"), "_k").alias("w"))
     merged = cells.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("o.old", "w.new")))).alias("merged"))
-    fused = fused.where("_k = first_k").join(merged, KEYS, "left")
+    fused = fused.where("_k = first_k").join(outer, KEYS).join(merged, KEYS, "left")
     none = F.create_map().cast("map<string,struct<old:string,new:string>>")
     change = F.coalesce("merged", none)
     old = F.transform_values(change, lambda _, v: v["old"])
