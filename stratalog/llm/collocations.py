@@ -6,12 +6,14 @@ extended by merge-joining it with the lists of the words that stand right behind
 blocks add up to its exact frequency. Only phrases that are frequent in the whole corpus are extended, and only where the
 phrase without its first word is frequent too, since no part of a frequent phrase is rare.
 
-What moves between blocks is narrow: (phrase, next word, list length) for counting, and the numbers of the frequent ones
-back. Positions stay with their block.
+What moves between blocks is narrow: a block deals its extended lists by their phrases to ranges and sends each range one
+row, the packed (phrase, next word, list length) that fall there. A range adds up the lengths from all blocks and answers
+each with one row, the packed numbers of its frequent ones. Positions stay with their block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -27,12 +29,20 @@ from stratalog.llm.blocks import list_column, packed, text_blocks, unpacked
 from stratalog.llm.shared import BROADCAST_ROWS, Workspace
 
 BLOCK_BYTES = 3 << 21
+#: Lists that a range has room for, some 100 bytes each while they are added up.
+RANGE_LISTS = 1 << 21
+#: Ranges at least, so that small corpora too are counted by several tasks.
+LEAST_RANGES = 64
+#: Bits of a phrase's number that tell it within its range.
+WITHIN = 40
 #: Characters that end a piece: ``[.,;:!?\x0A-\x0D]``.
 ENDS = ~tx.byte_class([(0x0A, 0x0D), *((ord(x), ord(x)) for x in ".,;:!?")])
 #: Bytes of words: what is neither an end nor a space nor a tab.
 IN_WORD = tx.byte_class([(0x20, 0x20), (0x09, 0x0D), *((ord(x), ord(x)) for x in ".,;:!?")])
 #: A block's lists of frequent words and of the phrases that are extended: numbers, lengths and positions, packed.
 STATE = "block long, ids binary, sizes binary, positions binary, phrases binary, lengths binary, begins binary"
+#: What a range tells: its frequent phrases, and for each block (null in those) the numbers of the lists that it sent.
+TOLD = "block long, part int, numbers binary, id long, left long, right long, f long"
 
 
 def _lists_of(key: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,35 +153,85 @@ def _row_of(batch: pa.RecordBatch | pa.Table, row: int) -> dict:
     return {x: read.get(x, unpacked)(data[x]) for x in NAMES}
 
 
-def _extensions(words: int) -> Callable:
-    """(block, place, left, right, n): each extended list of each block, by its place among them."""
+def _dealt(left: np.ndarray, right: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists in order of their ranges, and where each range begins among them."""
+    part = (tx.mix(tx.mix(left.view(np.uint64)) ^ right.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+    return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=ranges)))
+
+
+def _extensions(words: int, ranges: int) -> Callable:
+    """(block, part, left, right, n): the extended lists of each block, packed in one row for each range that has some."""
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 left, right, size, _ = _extended(_row_of(batch, row), words)
-                for at in range(0, len(left), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    place = np.arange(len(left))[part]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "block": pa.array(np.full(len(place), batch.column("block")[row].as_py()), pa.int64()),
-                            "place": pa.array(place, pa.int32()),
-                            "left": pa.array(left[part], pa.int64()),
-                            "right": pa.array(right[part], pa.int64()),
-                            "n": pa.array(size[part], pa.int64()),
-                        }
-                    )
+                order, bounds = _dealt(left, right, ranges)
+                left, right, size = left[order], right[order], size[order]
+                parts = np.flatnonzero(np.diff(bounds))
+                spans = [slice(bounds[x], bounds[x + 1]) for x in parts]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": pa.array(np.full(len(parts), batch.column("block")[row].as_py()), pa.int64()),
+                        "part": pa.array(parts, pa.int32()),
+                        "left": pa.array([packed(left[x], "<i8") for x in spans], pa.binary()),
+                        "right": pa.array([packed(right[x], "<i8") for x in spans], pa.binary()),
+                        "n": pa.array([packed(size[x]) for x in spans], pa.binary()),
+                    }
+                )
 
     return extend
 
 
-def _frequent_phrases(words: int) -> Callable:
-    def keep(block: pa.Table, marks: pa.Table) -> pa.Table:
-        place, ids = _marks(marks)
-        _, _, size, positions = _extended(_row_of(block, 0), words)
+def _counted(least: int) -> Callable:
+    """Adds up the lists of one range: its phrases of at least ``least`` occurrences, and their numbers for each block."""
+
+    def count(key: tuple, sent: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        lists = {x: [unpacked(v.as_py(), kind) for v in sent.column(x)] for x, kind in (("left", "<i8"), ("right", "<i8"), ("n", "<i4"))}
+        ends = np.cumsum([len(x) for x in lists["n"]])
+        left, right, n = (np.concatenate(lists.pop(x)) for x in ("left", "right", "n"))
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        first = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+        begin = np.flatnonzero(first)
+        f = np.add.reduceat(n[order], begin, dtype=np.int64)
+        good = np.flatnonzero(f >= least)
+        # Within the range, from 1; 0 of a rare phrase.
+        number = np.zeros(len(f), np.int32)
+        number[good] = np.arange(1, len(good) + 1)
+        numbers = np.empty(len(order), np.int32)
+        numbers[order] = number[np.cumsum(first) - 1]
+        told = {
+            "block": pa.nulls(len(good), pa.int64()),
+            "part": pa.nulls(len(good), pa.int32()),
+            "numbers": pa.nulls(len(good), pa.binary()),
+            "id": pa.array((part << WITHIN) + number[good].astype(np.int64), pa.int64()),
+            "left": pa.array(left[begin[good]], pa.int64()),
+            "right": pa.array(right[begin[good]], pa.int64()),
+            "f": pa.array(f[good], pa.int64()),
+        }
+        answers = {
+            "block": sent.column("block"),
+            "part": pa.array(np.full(sent.num_rows, part), pa.int32()),
+            "numbers": pa.array([packed(x) for x in np.split(numbers, ends[:-1])], pa.binary()),
+        } | {x: pa.nulls(sent.num_rows, pa.int64()) for x in ("id", "left", "right", "f")}
+        return pa.concat_tables([pa.table(told), pa.table(answers)])
+
+    return count
+
+
+def _frequent_phrases(words: int, ranges: int) -> Callable:
+    def keep(block: pa.Table, answers: pa.Table) -> pa.Table:
+        left, right, size, positions = _extended(_row_of(block, 0), words)
+        order, bounds = _dealt(left, right, ranges)
+        ids = np.zeros(len(order), np.int64)
+        for part, numbers in zip(answers.column("part").to_pylist(), answers.column("numbers")):
+            number = unpacked(numbers.as_py()).astype(np.int64)
+            ids[order[bounds[part] : bounds[part + 1]]] = np.where(number > 0, (part << WITHIN) + number, 0)
+        place = np.flatnonzero(ids)
         size, positions = _kept((size, positions), place)
-        own = {"phrases": packed(ids, "<i8"), "lengths": packed(size), "begins": _listed(positions)}
+        own = {"phrases": packed(ids[place], "<i8"), "lengths": packed(size), "begins": _listed(positions)}
         kept = {x: block.column(x) for x in ("block", "ids", "sizes", "positions")}
         return pa.table(kept | {x: pa.array([v], pa.binary()) for x, v in own.items()})
 
@@ -183,7 +243,15 @@ def _small(df: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
-def frequent_phrases(docs: DataFrame, space: Workspace, least: int, longest: int, block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(
+    docs: DataFrame,
+    space: Workspace,
+    least: int,
+    longest: int,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
+    range_lists: int = RANGE_LISTS,
+) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that stand at least ``least`` times, and the words of each language.
 
     ``docs(text, lang)`` -> ``(lang, words array<string>, f)`` and ``(lang, n)``, n of all words, frequent or not.
@@ -200,16 +268,18 @@ def frequent_phrases(docs: DataFrame, space: Workspace, least: int, longest: int
     now = space.write(by_block.cogroup(marks.groupBy("block")).applyInArrow(_frequent_words, STATE), "lists1")
     space.drop("posted")
     named = words.select("id", "lang", F.array("word").alias("words"), "f")
-    found, right = [named], words.select(F.col("id").alias("right"), "word")
+    found, last, right = [named], words, words.select(F.col("id").alias("right"), "word")
     for size in range(1, longest):
-        extended = now.mapInArrow(_extensions(size), "block long, place int, left long, right long, n long")
-        counted = extended.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        phrases = space.write(counted.withColumn("id", F.monotonically_increasing_id()), f"phrases{size + 1}")
+        # A list has one occurrence at least, of a phrase that was counted as frequent.
+        ranges = max(LEAST_RANGES, math.ceil((last.agg(F.sum("f")).first()[0] or 0) / range_lists))
+        extended = now.mapInArrow(_extensions(size, ranges), "block long, part int, left binary, right binary, n binary")
+        told = space.write(extended.groupBy("part").applyInArrow(_counted(least), TOLD), f"phrases{size + 1}")
+        last = told.where(F.col("block").isNull()).select("id", "left", "right", "f")
         left = found[-1].select(F.col("id").alias("left"), "lang", "words")
-        found.append(phrases.join(left, "left").join(right, "right").select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f"))
+        found.append(last.join(left, "left").join(right, "right").select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f"))
         if size + 1 < longest:
-            marks = extended.join(_small(phrases, broadcast_rows), ["left", "right"]).select(F.col("block").alias("block"), "place", "id")
-            after = now.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_frequent_phrases(size), STATE)
+            answers = told.where(F.col("block").isNotNull()).select("block", "part", "numbers")
+            after = now.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_frequent_phrases(size, ranges), STATE)
             after = space.write(after, f"lists{size + 1}")
             space.drop(f"lists{size}")
             now = after
@@ -222,7 +292,15 @@ def _phrase(words: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, space: Workspace, least: int = 30, longest: int = 4, share: int = 80, scale: int = 2_000_000, block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame,
+    space: Workspace,
+    least: int = 30,
+    longest: int = 4,
+    share: int = 80,
+    scale: int = 2_000_000,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
+    range_lists: int = RANGE_LISTS,
 ) -> DataFrame:
     """Phrases of 2 to ``longest`` words of ``docs(text, lang)``: ``(lang, phrase, words, a, l, r, n, score)``.
 
@@ -231,10 +309,11 @@ def collocations(
     Cut after k words, a phrase has l and r occurrences of its two parts and the score ``floor(scale * a / (l + r))``; the
     lowest score counts, the smallest k of equal ones. Phrases that stand within a longer one of at most ``longest`` words
     are left out where that has ``share`` percent of their occurrences. Arithmetic is exact (decimals of 38 digits). Null
-    and empty texts have no words; repeated rows count each; a block holds ``block_bytes`` of text or one longer text; tables
-    of up to ``broadcast_rows`` frequent words or phrases are told to all tasks, larger ones meet blocks by shuffle; other columns are left out; no rows without frequent phrases.
+    and empty texts have no words; repeated rows count each; a block holds ``block_bytes`` of text or one longer text; up to
+    ``broadcast_rows`` frequent words are told to all tasks, more meet blocks by shuffle; phrases are counted in ranges of
+    some ``range_lists`` lists; other columns are left out; no rows without frequent phrases.
     """
-    found, totals = frequent_phrases(docs, space, least, longest, block_bytes, broadcast_rows)
+    found, totals = frequent_phrases(docs, space, least, longest, block_bytes, broadcast_rows, range_lists)
     return scored(found, totals, share, scale)
 
 

@@ -74,3 +74,37 @@ def test_a_long_text(spark):
     rows = [("up and down " * 20_000, "en"), ("up. and down", "en")]
     found = cl.best_collocations(cl.collocations(frame(spark, rows), Workspace(spark, "cl5"))).collect()
     assert sorted(tuple(r) for r in found) == brute(rows, 30)
+
+
+class Kept(Workspace):
+    """Keeps the tables that were written, with their plans."""
+
+    def write(self, df, name):
+        made = super().write(df, name)
+        self.tables = getattr(self, "tables", {}) | {name: (df, made)}
+        return made
+
+    def drop(self, name=""):
+        pass
+
+
+def test_lists_do_not_meet_phrases_row_by_row(spark):
+    space = Kept(spark, "cl6")
+    rows = rows_of(4, 400)
+    found = cl.best_collocations(cl.collocations(frame(spark, rows).repartition(3), space, least=3, block_bytes=300), top=40).collect()
+    assert sorted(tuple(r) for r in found) == brute(rows, 3, top=40)
+    for name in ("lists2", "lists3"):
+        assert "Join" not in space.tables[name][0]._jdf.queryExecution().optimizedPlan().toString()
+    blocks = space.tables["lists1"][1].count()
+    assert blocks > 20
+    for name in ("phrases2", "phrases3", "phrases4"):
+        told = space.tables[name][1]
+        answers = told.where(F.col("block").isNotNull())
+        assert 0 < answers.count() <= blocks * cl.LEAST_RANGES and answers.select("block", "part").distinct().count() == answers.count()
+
+
+@pytest.mark.parametrize("range_lists", [1, 40, 1 << 21])
+def test_ranges_of_any_number(spark, range_lists):
+    rows = rows_of(5, 60)
+    found = cl.best_collocations(cl.collocations(frame(spark, rows).repartition(2), Workspace(spark, "cl7"), least=3, block_bytes=200, range_lists=range_lists), top=40)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 3, top=40)
