@@ -9,15 +9,18 @@ when a prefix shingle's list is long, one of its sets becomes a hub, and every o
 symmetric difference with the hub. Differences keep all distances between sets, and two sets that are similar to each
 other but not both similar to the hub must share a part of their differences, so the same prefix filter holds for those,
 which are small and mostly unlike each other. So each list costs its length, not its square, and no link between two
-components is lost.
+components is lost. A long list is dealt by classes of sizes before: what a frequent shingle brings together by chance is
+mostly too unlike in size to be similar, and needs no hub then.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from stratalog.llm.substring import NO_ID, squeeze, unsqueeze
 FULL_LIST = 24
 #: The same for lists of differences, which the filters thin out far more.
 DEEP_LIST = 2048
-#: Counters of the shared frequency table, a fixed size whatever the corpus.
-COUNTERS_LOG2 = 20
+#: Counters of the shared frequency table, a fixed size whatever the corpus; tasks get one byte of each.
+COUNTERS_LOG2 = 23
 SEGMENTS = 16
 ELEMENT_BITS = 64
 #: Differences are compared by how many shingles each has in so many parts of the hash space.
@@ -41,6 +44,8 @@ LEAST_BITS = 64
 #: Documents in candidate pairs up to this number (8 bytes each) are told to the scan by broadcast, more by a join.
 BROADCAST_IDS = 1_000_000
 SALTS = 16
+#: Whole sets and differences are worked on by so many bytes at once, postings made of them by so many rows.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 50_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +101,14 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def rarity(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The place of shingles in the shared order, before ties: their hashed count on a logarithmic scale."""
-    c = counts[(values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64)]
-    return np.minimum(255, 8 * np.log2(c + 1.0)).astype(np.uint8)
+def counter(values: np.ndarray) -> np.ndarray:
+    """The counter that each shingle falls to."""
+    return (values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64)
+
+
+def rarity(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of shingles in the shared order, before ties."""
+    return places[counter(values)]
 
 
 def body(values: np.ndarray) -> bytes:
@@ -143,13 +152,13 @@ def _digests(key: str, text: str, k: int, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
+        counts = np.zeros(1 << COUNTERS_LOG2, np.int32)
         for batch in batches:
             data, offsets = tx.column_bytes(batch.column(text))
             ids, ties = _ids(batch, key), _ids(batch, "tie")
             for low, high in tx.pieces(offsets):
                 rows, values = shingle_sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
-                counts += np.bincount((values >> np.uint64(ELEMENT_BITS - COUNTERS_LOG2)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, counter(values), 1)
                 sizes, nodes = set_digests(rows, values, high - low, seed)
                 proofs = set_digests(rows, values, high - low, -1 - seed & (1 << 32) - 1)[1]
                 none = [None] * (high - low)
@@ -161,22 +170,35 @@ def _digests(key: str, text: str, k: int, seed: int):
     return run
 
 
-def _sum_counts(table: pa.Table) -> pa.Table:
+def _summed(table: pa.Table) -> np.ndarray:
     total = np.zeros((1 << COUNTERS_LOG2) // SEGMENTS, np.uint64)
-    for blob in table.column("counts").to_pylist():
-        total += unsqueeze(blob)
-    return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "counts": pa.array([squeeze(total)], pa.binary())})
+    for blob in table.column("counts"):
+        total += unsqueeze(blob.as_py())
+    return total
+
+
+def _segment(table: pa.Table, numbers: np.ndarray) -> pa.Table:
+    return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "counts": pa.array([squeeze(numbers)], pa.binary())})
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    return _segment(table, _summed(table))
+
 
+def _places(table: pa.Table) -> pa.Table:
+    """Counts on a logarithmic scale, a byte each."""
+    return _segment(table, np.minimum(255, 8 * np.log2(_summed(table) + 1.0)).astype(np.uint64))
 
-def corpus_counts(digests: DataFrame) -> np.ndarray:
-    """The frequency table of the whole corpus: partial tables summed in two steps, 2**20 counters in the end."""
+
+def corpus_places(digests: DataFrame) -> np.ndarray:
+    """The frequency table of the whole corpus: partial tables summed in two steps, a byte for each of 2**23 counters in the end."""
     parts = digests.where("segment IS NOT NULL").select("segment", "salt", "counts")
     once = parts.groupBy("segment", "salt").applyInArrow(_sum_counts, "segment int, counts binary")
-    rows = once.groupBy("segment").applyInArrow(_sum_counts, "segment int, counts binary").orderBy("segment").collect()
-    return np.concatenate([unsqueeze(r["counts"]) for r in rows]).astype(np.int64) if rows else np.zeros(1 << COUNTERS_LOG2, np.int64)
+    rows = once.groupBy("segment").applyInArrow(_places, "segment int, counts binary").orderBy("segment").collect()
+    return np.concatenate([unsqueeze(r["counts"]).astype(np.uint8) for r in rows]) if rows else np.zeros(1 << COUNTERS_LOG2, np.uint8)
 
 
-def _prefixes(counts, text: str, k: int, percent: int, seed: int):
+def _prefixes(places, text: str, k: int, percent: int, seed: int):
     """Rare-first prefixes of the distinct sets of each batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +214,7 @@ def _prefixes(counts, text: str, k: int, percent: int, seed: int):
                 seen = np.union1d(seen, nodes)
                 some = fresh[rows]
                 rows, values = rows[some], values[some]
-                order = np.argsort(rows * 256 + rarity(counts.value, values), kind="stable")
+                order = np.argsort(rows * 256 + rarity(places.value, values), kind="stable")
                 rows, values = rows[order], values[order]
                 first = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=high - low))])
                 pos = np.arange(len(rows)) - first[rows]
@@ -220,26 +242,39 @@ def _whole_sets(text: str, k: int, seed: int):
     return run
 
 
-def _delta_prefixes(counts, percent: int):
+def _slices(batch: pa.RecordBatch, *bodies: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` by ranges of rows whose ``bodies`` take some ``SLICE_BYTES``."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in bodies)
+    for low, high in tx.pieces(np.append(0, np.cumsum(size)), SLICE_BYTES):
+        yield batch.slice(low, high - low)
+
+
+def _delta_prefixes(places, percent: int):
     """Prefixes of differences: what a set has beyond its hub first, by rarity, then what it lacks."""
 
+    def postings(rows: list[tuple]) -> pa.RecordBatch:
+        out, parts = zip(*((columns, counts) for *columns, counts in rows), strict=True)
+        flat = np.repeat(np.stack(parts), [len(columns[1]) for columns in out], axis=0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 2 * PARTS), pa.array(flat.reshape(-1)))
+        return _batch(DEEP, *[np.concatenate(x) for x in zip(*out, strict=True)], lists)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, parts, repeats = [[] for _ in POSTING], [], []
+        for batch in (x for whole in batches for x in _slices(whole, "body")):
+            rows, total = [], 0
             for ctx, node, n, near, blob, lost in zip(*(batch.column(f.name).to_pylist() for f in SETS), strict=True):
                 values = unbody(blob)
                 flags = np.unpackbits(np.frombuffer(lost, np.uint8), count=len(values))
-                order = np.argsort(flags.astype(np.int64) * 256 + rarity(counts.value, values), kind="stable")
+                order = np.argsort(flags.astype(np.int64) * 256 + rarity(places.value, values), kind="stable")
                 order = order[: (100 - percent) * n // percent + 1]
                 m = len(order)
-                parts.append(np.bincount((values % np.uint64(PARTS)).astype(np.int64) + PARTS * flags, minlength=2 * PARTS))
-                repeats.append(m)
-                for column, x in zip(out, (np.full(m, ctx), tx.signed(values[order]), np.full(m, node), np.full(m, n), np.arange(m), np.full(m, near)), strict=True):
-                    column.append(x)
-            if out[0]:
-                flat = np.repeat(np.stack(parts), repeats, axis=0).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 2 * PARTS), pa.array(flat.reshape(-1)))
-                yield _batch(DEEP, *[np.concatenate(x) for x in out], lists)
+                parts = np.bincount((values % np.uint64(PARTS)).astype(np.int64) + PARTS * flags, minlength=2 * PARTS).astype(np.int32)
+                rows.append((np.full(m, ctx), tx.signed(values[order]), np.full(m, node), np.full(m, n), np.arange(m), np.full(m, near), parts))
+                total += m
+                if total >= SLICE_ROWS:
+                    yield postings(rows)
+                    rows, total = [], 0
+            if rows:
+                yield postings(rows)
 
     return run
 
@@ -249,7 +284,7 @@ def _verify(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ctx", "a", "b", "hub", "n_a", "n_b", "body_a", "body_b", "lost_a", "lost_b")
-        for batch in batches:
+        for batch in (x for whole in batches for x in _slices(whole, "body_a", "body_b")):
             rows = []
             for ctx, a, b, hub, n_a, n_b, left, right, lost_a, lost_b in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
                 x, y = unbody(left), unbody(right)
@@ -276,30 +311,46 @@ def _verify(percent: int):
 
 def _candidates(postings: DataFrame, space: Workspace, level: int, percent: int, full_list: int) -> DataFrame:
     """Distinct pairs (ctx, a, b, hub) of a level, from its prefix lists; differences also pass the suffix filter."""
-    side = ["node", "n", "pos", *(["parts"] if level else [])]
+    side = ["node", "n", "pos", "own", *(["parts"] if level else [])]
     # One shuffle and one order of the prefixes for all of it: copies of a set in other tasks' batches go, lists are counted.
     own = Window.partitionBy("ctx", "elem")
     once = postings.withColumn("last", F.lag("node").over(own.orderBy("node"))).where("last IS NULL OR last <> node").drop("last")
     lists = once.withColumns({"c": F.count("*").over(own), "far": F.count_if(~F.col("near")).over(own)}).where("c > 1 AND far > 0")
     met = space.write(lists.withColumn("long", F.col("far") > full_list).drop("c", "far"), f"lists{level}")
+    # Similar sets are of one class of sizes or of neighbours, so a long list is dealt by classes: a set goes to its own class
+    # and to the next, and of two that meet one is at home. What a frequent shingle brings together by chance falls apart.
+    sized = met.where("long").withColumn("home", _size_class("n", percent))
+    sized = sized.select("*", F.explode(F.array("home", F.col("home") + 1)).alias("class")).withColumn("own", F.col("home") == F.col("class")).drop("home", "long")
+    here = Window.partitionBy("ctx", "elem", "class")
+    sized = sized.withColumns({"c": F.count("*").over(here), "far": F.count_if(~F.col("near")).over(here), "owned": F.count_if("own").over(here)})
+    sized = sized.where("c > 1 AND far > 0 AND owned > 0").withColumn("long", F.col("far") > full_list).drop("c", "far", "owned")
+    sized = space.write(sized, f"classes{level}")
     # Two sets near the same hub are in one component already, so one of each pair is far.
-    short = met.where("NOT long")
-    far = short.where("NOT near").select("ctx", "elem", F.struct(*side).alias("x"))
-    pairs = far.join(short.select("ctx", "elem", "near", F.struct(*side).alias("y")), ["ctx", "elem"])
+    short = met.where("NOT long").drop("long").withColumns({"class": F.lit(-1), "own": F.lit(True)})
+    short = short.unionByName(sized.where("NOT long").drop("long"))
+    far = short.where("NOT near").select("ctx", "elem", "class", F.struct(*side).alias("x"))
+    pairs = far.join(short.select("ctx", "elem", "class", "near", F.struct(*side).alias("y")), ["ctx", "elem", "class"])
     pairs = pairs.where(
         (F.col("near") | (F.col("x.node") < F.col("y.node")))
         & (F.col("x.node") != F.col("y.node"))
+        & (F.col("x.own") | F.col("y.own"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
         & ((F.col("x.pos") + F.col("y.pos")) * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
         & (_apart("x.parts", "y.parts") * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")) if level else F.lit(True))
     ).select("ctx", F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(False).alias("hub"))
-    # A long list's hub is the set that has the shingle foremost; only long lists are looked through for it.
-    hubs = met.where("long").groupBy("ctx", "elem").agg(F.min(F.struct("pos", "node")).alias("best")).select("ctx", "elem", F.col("best.node").alias("hub_node"))
-    long = met.where("long").join(hubs, ["ctx", "elem"]).where(F.col("node") != F.col("hub_node"))
+    # A long class's hub is the set that has the shingle foremost; only long ones are looked through for it.
+    long = sized.where("long")
+    hubs = long.groupBy("ctx", "elem", "class").agg(F.min(F.struct("pos", "node")).alias("best")).select("ctx", "elem", "class", F.col("best.node").alias("hub_node"))
+    long = long.join(hubs, ["ctx", "elem", "class"]).where(F.col("node") != F.col("hub_node"))
     long = long.select("ctx", F.col("hub_node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("hub"))
     return pairs.union(long).distinct()
 
 
+def _size_class(n: str, percent: int) -> Column:
+    """Classes of sizes, a little wider than similar sets can be apart."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(max(1.001 * math.log(100 / percent), 1e-6))).cast("int")
+
+
 def _apart(a: str, b: str) -> Column:
     """A lower bound of how many shingles are in one of two sets only, from their counts by part."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
@@ -348,7 +399,7 @@ def similar_groups(
     Plan: two scans make sizes, counts and prefixes; prefixes are dealt by shingle once, and only shingles of two sets or
     more go on. The suffix filter works on a
     bit or two for each shingle of a set; documents in the pairs that it leaves are read once more for their sets. Links and
-    components are narrow tables. Nothing of the documents reaches the driver but the 2**20 summed counters.
+    components are narrow tables. Nothing of the documents reaches the driver but a byte for each of the 2**23 summed counters.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"))
     seed = 0
@@ -365,13 +416,14 @@ def similar_groups(
         if not heads.where("torn").limit(1).count():
             break
         seed += 1
-    counts = space.spark.sparkContext.broadcast(corpus_counts(digests))
-    postings = docs.mapInArrow(_prefixes(counts, "text", words, percent, seed), POSTING_SQL)
+    places = space.spark.sparkContext.broadcast(corpus_places(digests))
+    postings = docs.mapInArrow(_prefixes(places, "text", words, percent, seed), POSTING_SQL)
     links, level = [], 0
     while True:
         pairs = _candidates(postings, space, level, percent, full_list if level == 0 else deep_list)
         pairs = space.write(pairs if level else _suffix_filter(pairs, heads, percent), f"pairs{level}")
-        space.drop(f"lists{level}")
+        for done in (f"lists{level}", f"classes{level}"):
+            space.drop(done)
         if level == 0:
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = wanted.join(heads, "node").select(F.col("head.id").alias("id")).distinct()
@@ -391,7 +443,7 @@ def similar_groups(
         level += 1
         if not sets.limit(1).count():
             break
-        postings = sets.mapInArrow(_delta_prefixes(counts, percent), DEEP_SQL)
+        postings = sets.mapInArrow(_delta_prefixes(places, percent), DEEP_SQL)
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)

@@ -109,3 +109,47 @@ def test_bits_apart_never_pass_the_difference(size):
         rows, values = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
         x, y = parities(rows, values, np.array([len(a), len(b)])).to_pylist()
         assert bits_apart(x, y) <= len(np.setxor1d(a, b)) and bits_apart(x, y) == bits_apart(y, x)
+
+
+def test_lists_by_chance_fall_apart_by_size(spark):
+    from stratalog.llm import jaccard
+
+    space = Workspace(spark, "t")
+    rows = [(0, 1, node, int(10 * 1.5 ** (node // 2)), 0, False) for node in range(2, 62)]
+    pairs = jaccard._candidates(spark.createDataFrame(rows, jaccard.POSTING_SQL), space, 0, 90, 24).collect()
+    assert sorted((r["a"], r["b"], r["hub"]) for r in pairs) == [(n, n + 1, False) for n in range(2, 62, 2)]
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 90, 99, 100])
+def test_similar_sizes_are_of_one_class_or_of_neighbours(spark, percent):
+    from stratalog.llm.jaccard import _size_class
+
+    low = spark.range(1, 1500).select(F.col("id").alias("n")).select("n", (100 * F.col("n") / percent).cast("long").alias("m"))
+    apart = low.select((_size_class("m", percent) - _size_class("n", percent)).alias("d"))
+    assert apart.where("d NOT IN (0, 1)").count() == 0
+
+
+def test_a_class_of_one_size_keeps_its_hub(spark):
+    from stratalog.llm import jaccard
+
+    space = Workspace(spark, "t")
+    rows = [(0, 1, node, 100 if node < 40 else 104, node == 7 and 2 or 3, False) for node in range(2, 60)]
+    pairs = jaccard._candidates(spark.createDataFrame(rows, jaccard.POSTING_SQL), space, 0, 90, 24).collect()
+    assert {(r["a"], r["b"]) for r in pairs if r["hub"]} >= {(7, n) for n in range(2, 60) if n != 7}
+
+
+def test_prefixes_of_large_differences_come_in_slices():
+    import pyarrow as pa
+
+    from stratalog.llm import jaccard
+
+    class Told:
+        value = np.zeros(1 << jaccard.COUNTERS_LOG2, np.uint8)
+
+    draw, n, each = np.random.default_rng(3), 60, 20_000
+    bodies = [jaccard.body(draw.integers(0, 2**63, each, np.uint64)) for _ in range(n)]
+    columns = [[1] * n, list(range(n)), [each] * n, [False] * n, bodies, [bytes(each // 8)] * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, jaccard.SETS, strict=True)], schema=jaccard.SETS)
+    out = list(jaccard._delta_prefixes(Told, 80)([batch]))
+    assert sum(b.num_rows for b in out) == n * (each // 4 + 1) and max(b.num_rows for b in out) < jaccard.SLICE_ROWS + each
+    assert {x for b in out for x in b.column("node").to_pylist()} == set(range(n))
