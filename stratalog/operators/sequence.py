@@ -43,8 +43,8 @@ FEW, LIGHT = 64, 1 << 20
 
 @dataclass(frozen=True)
 class Restored:
-    """``events``: event_id, operation_type, slot, target_fid, found_by, reason, outcome; ``cells``: the touched rows that
-    are there in the end, a row for each field (datasource_fingerprint, slot, field, value); ``there``: these rows themselves,
+    """``events``: event_id, operation_type, slot, target_fid, found_by, reason, outcome; ``cells``: the touched rows (each with a
+    slot of its own, as ``rows_after`` names them) that are there in the end, a row for each field (datasource_fingerprint, slot, field, value); ``there``: these rows themselves,
     as one may have neither a field nor a shape."""
 
     events: DataFrame
@@ -121,6 +121,42 @@ def slots(events: DataFrame, rows: DataFrame, twins: DataFrame, moved: DataFrame
     return both.withColumn("slot", slot).select(*base, "slot")
 
 
+def _number(fid: str = "fid") -> Column:
+    return F.concat_ws("\u0001", F.lit("row"), F.col(fid).cast("string"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose number others have too, with ``slot`` and ``own``: the slot of each row alone."""
+    by = ["datasource_fingerprint", "fid"]
+    several = rows.where("fid IS NOT NULL").groupBy(*by).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*by)
+    # Rows that are equal in all may change places.
+    told = Window.partitionBy(*by).orderBy(F.array_sort(F.map_entries("attributes")), "geometry_wkb")
+    more = rows.join(several, by, "left_semi").withColumn("slot", _number())
+    return more.withColumn("own", F.concat_ws("\u0001", "slot", F.row_number().over(told).cast("string")))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``slot`` of each, which no two rows of a number share."""
+    more = _shared(rows)
+    alone = rows.join(more.select("datasource_fingerprint", "fid").distinct(), ["datasource_fingerprint", "fid"], "left_anti")
+    return alone.withColumn("slot", _number()).unionByName(more.drop("slot").withColumnRenamed("own", "slot"))
+
+
+def _told_apart(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``placed`` events once for each row that they are about: of several rows of a number, those with the event's key, or
+    without a key all of them."""
+    more = _shared(rows).select(*KEYS, "own", F.col("attributes").alias("_attributes"))
+    held = payload.plain(F.try_element_at("_attributes", F.col("pk_field")))
+    fits = F.col("own").isNull() | ~F.col("keyed") | held.eqNullSafe(F.col("pk_value"))
+    met = placed.dropDuplicates(["event_id"]).join(more, KEYS, "left").where(fits)
+    return met.withColumn("slot", F.coalesce("own", "slot")).drop("own", "_attributes")
+
+
+def _by_number(slot: Column) -> Column:
+    """A slot without what tells rows of one number apart."""
+    return F.when(slot.startswith("row\u0001"), F.substring_index(slot, "\u0001", 2)).otherwise(slot)
+
+
 def _sure() -> Column:
     """Whether an event that finds its row there, or not, is carried out whatever the row's content is."""
     return F.col("keyed") | (F.col("operation_type") == "DELETE")
@@ -278,23 +314,22 @@ def restored(
     Rules are those of ``targets.event_restores``, with the row as it is by then. A row is a twin of one delete at most
     (``claims``), unless ``claim`` is off: then no twins are looked for. With ``relocate``, events by number whose row has
     another number now follow it as far as the ladder of proofs finds it (``ladder``). ``keys`` are key fields, which a twin
-    needn't share. Rows with more than ``few`` events are judged in rounds, and so are several rows of one number.
+    needn't share. Rows with more than ``few`` events are judged in rounds. Rows of one number are rows of their own: an event
+    by number comes once for each of them, one with a key for those that have it.
     """
     deletes = events.where("operation_type = 'DELETE'")
     found = claims.claimed_twins(deletes, rows, keys, newest_first, parts) if claim else deletes.select("datasource_fingerprint", "event_id", F.lit(None).cast("long").alias("fid")).limit(0)
     nowhere = events.sparkSession.createDataFrame([], "datasource_fingerprint string, number long, moved_fid long")
     moved = settled(_moved(events, rows, keys, newest_first)) if relocate else nowhere
     placed = slots(events, rows, found, moved, newest_first, parts)
-    placed = settled(placed)
+    placed = settled(_told_apart(placed, rows))
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("attributes_json", "geometry_wkb", "new_geometry_wkb")), F.lit(0)).cast("long")
     sides = events.select("event_id", _cells(payload.old_attributes(), F.col("geometry_wkb")).alias("o"), _cells(payload.new_attributes(), F.col("new_geometry_wkb")).alias("n"), weight.alias("w"))
     sides = settled(sides)
-    named = F.concat_ws("\u0001", F.lit("row"), F.col("fid").cast("string")).alias("slot")
     weighed = placed.join(sides.select("event_id", "w"), "event_id").groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    several = rows.groupBy(*KEYS[:1], named).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    weighed = settled(weighed.join(several, KEYS, "left").select(*KEYS, ((F.col("n") <= few) & (F.col("w") <= LIGHT) & F.col("_rows").isNull()).alias("light")))
+    weighed = settled(weighed.select(*KEYS, ((F.col("n") <= few) & (F.col("w") <= LIGHT)).alias("light")))
     touched, heavy = weighed.select(*KEYS), weighed.where("NOT light").select(*KEYS)
-    held = rows.select("datasource_fingerprint", named, _cells(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("geometry_wkb")).alias("x"))
+    held = _named(rows).select(*KEYS, _cells(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.col("geometry_wkb")).alias("x"))
     folded = settled(_folded(placed.join(heavy, KEYS, "left_anti"), sides, held.join(heavy, KEYS, "left_anti"), newest_first))
     each = folded.select(*KEYS, F.posexplode("events").alias("_at", "e"), F.col("end.reasons").alias("_all"))
     judged = each.select(*KEYS, "e.*", F.get("_all", F.col("_at")).alias("reason"))
@@ -312,7 +347,7 @@ def restored(
         .when(F.col("reason") == "unsupported_operation", "failed")
         .otherwise("failed_target_absent")
     )
-    judged = judged.select("event_id", "datasource_fingerprint", "created_at", "operation_type", "slot", "target_fid", "found_by", "reason", outcome.alias("outcome"))
+    judged = judged.select("event_id", "datasource_fingerprint", "created_at", "operation_type", _by_number(F.col("slot")).alias("slot"), "target_fid", "found_by", "reason", outcome.alias("outcome"))
     return Restored(judged, ends, touched, there)
 
 
@@ -360,15 +395,14 @@ def _rounds(placed: DataFrame, sides: DataFrame, held: DataFrame, newest_first:
 def rows_after(rows: DataFrame, done: Restored) -> DataFrame:
     """The rows behind a batch: fid, attributes, geometry_wkb, and ``brought_by``, the event that inserted one (fid is null)."""
     kind = F.split("slot", "\u0001")
-    named = F.concat_ws("\u0001", F.lit("row"), F.col("fid").cast("string"))
-    rest = rows.withColumn("slot", named).join(done.touched, KEYS, "left_anti")
+    rest = _named(rows).join(done.touched, KEYS, "left_anti")
     rest = rest.select("datasource_fingerprint", "slot", "fid", "attributes", "geometry_wkb")
     pairs = F.collect_list(F.when(F.col("field") != SHAPE, F.struct("field", "value")))
     whole = done.cells.groupBy(*KEYS).agg(pairs.alias("pairs"), F.max(F.when(F.col("field") == SHAPE, F.col("value"))).alias("shape"))
     whole = done.there.join(whole, KEYS, "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<field:string,value:string>>")))
     fid = F.when(kind[0] == "row", kind[1].cast("long"))
     whole = whole.select("datasource_fingerprint", "slot", fid.alias("fid"), F.map_from_entries("pairs").alias("attributes"), F.unhex("shape").alias("geometry_wkb"))
-    return rest.unionByName(whole)
+    return rest.unionByName(whole).withColumn("slot", _by_number(F.col("slot")))
 
 
 def session_undo(journal: DataFrame, session: str, rows: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> Restored:
